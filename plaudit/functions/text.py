@@ -35,7 +35,7 @@ def lower_text(c) -> Column:
 def clean_text(c) -> Column:
     """lower; drop URLs; keep [a-z0-9], whitespace and CJK; collapse whitespace."""
     t = lower_text(c)
-    t = F.regexp_replace(t, F.lit(f"http{NON_WS}*|www{NON_WS}*"), F.lit(""))
+    t = F.regexp_replace(t, F.lit(f"http{NON_WS}+|www{NON_WS}+"), F.lit(""))
     t = F.regexp_replace(t, F.lit(f"[^a-zA-Z0-9{WS}{CJK}]"), F.lit(" "))
     t = F.regexp_replace(t, F.lit(f"[{WS}]+"), F.lit(" "))
     return F.trim(t)
@@ -80,12 +80,14 @@ def preprocess_tokens(c, lang: Column | str | None = None,
 def ngrams(tokens, lo: int = 1, hi: int = 1) -> Column:
     """All contiguous n-grams, lo <= n <= hi, joined with a space (per review)."""
     t = as_col(tokens)
-    per_n = []
-    for n in range(lo, hi + 1):
+
+    def grams_of(n: int) -> Column:
         k = F.size(t) - n + 1
-        per_n.append(F.when(k > 0, F.transform(
-            F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-            lambda i, n=n: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>")))
+        return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
+                                         lambda i: F.array_join(F.slice(t, i, n), " "))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    per_n = [grams_of(n) for n in range(lo, hi + 1)]
     return per_n[0] if len(per_n) == 1 else F.concat(*per_n)
 
 

@@ -6,3 +6,4 @@ from plaudit.plans import q_core  # noqa: F401
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
 NOTES = registry.NOTES
+from plaudit.plans import q_text  # noqa: F401,E402
