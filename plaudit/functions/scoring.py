@@ -13,25 +13,31 @@ from plaudit.functions.cleaning import NON_WS, as_col, normalize_vote, text_or_e
 from plaudit.functions.text import any_contained, count_contained, lower_text, weighted_contained
 
 __all__ = [
-    "lexicon_sentiment", "sentiment_label", "intensity_score", "intensity_label",
+    "lexicon_sentiment", "lexicon_outcome", "sentiment_label", "intensity_score", "intensity_label",
     "quality_score", "simple_quality", "helpfulness", "sentence_count", "detail_level",
     "opinion_intensity", "recency", "recommendation_score", "usefulness_category",
     "segment", "benchmark_intensity",
 ]
 
 
-def lexicon_sentiment(text, positive: Sequence[str] = L.LEXICON_POSITIVE,
-                      negative: Sequence[str] = L.LEXICON_NEGATIVE) -> Column:
-    """struct(label, score, compound) from distinct positive vs negative substring hits."""
-    t = lower_text(text)
-    pos = count_contained(t, positive)
-    neg = count_contained(t, negative)
+def lexicon_outcome(pos, neg) -> Column:
+    """struct(label, score, compound) from positive / negative hit counts."""
+    pos, neg = as_col(pos), as_col(neg)
     label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
     score = F.when(pos != neg, F.lit(0.7)).otherwise(F.lit(0.5))
     compound = F.when(pos > neg, F.lit(0.7)).when(neg > pos, F.lit(-0.7)).otherwise(F.lit(0.0))
     return F.struct(label.alias("label"), score.alias("score"), compound.alias("compound"))
 
 
+def lexicon_sentiment(text, positive: Sequence[str] = L.LEXICON_POSITIVE,
+                      negative: Sequence[str] = L.LEXICON_NEGATIVE) -> Column:
+    """struct(label, score, compound) from distinct positive vs negative substring hits.
+    For wide projections prefer computing the two counts as columns first and
+    calling ``lexicon_outcome`` (keeps the expression tree small)."""
+    t = lower_text(text)
+    return lexicon_outcome(count_contained(t, positive), count_contained(t, negative))
+
+
 def sentiment_label(score) -> Column:
     s = as_col(score)
     return F.when(s > 0.05, "positive").when(s < -0.05, "negative").otherwise("neutral")

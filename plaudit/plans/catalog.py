@@ -7,3 +7,4 @@ QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
 NOTES = registry.NOTES
 from plaudit.plans import q_text  # noqa: F401,E402
+from plaudit.plans import q_enrich  # noqa: F401,E402
