@@ -10,7 +10,7 @@ from plaudit import lexicons as L
 __all__ = [
     "WS", "NON_WS", "as_col", "normalize_vote", "normalize_flag", "coerce_epoch", "epoch_to_ts",
     "playtime_hours", "review_length", "word_count", "distinct_word_count", "words",
-    "clip", "star_rating", "playtime_bin", "length_bin", "is_blank", "text_or_empty",
+    "clip", "round_to", "star_rating", "playtime_bin", "length_bin", "is_blank", "text_or_empty",
 ]
 
 # Python's str.split()/str.strip() whitespace set, written so that the same class
@@ -87,6 +87,14 @@ def clip(c, lo=None, hi=None) -> Column:
     return v
 
 
+def round_to(c, places: int = 0) -> Column:
+    """Round half away from zero on the binary value (x * 10^p + 0.5, floor), the
+    rule of C ``round``; used for every reported rounded number."""
+    x = as_col(c).cast("double")
+    m = float(10 ** places)
+    return F.when(x >= 0, F.floor(x * m + 0.5)).otherwise(-F.floor(-x * m + 0.5)) / m
+
+
 def star_rating(c) -> Column:
     """round(weighted_vote_score * 5), half to even like numpy."""
     return F.bround(as_col(c).cast("double") * 5, 0)

@@ -61,7 +61,9 @@ def evaluate_alerts(stats: DataFrame, rules: Sequence[tuple] = L.DEFAULT_ALERT_R
         else:
             raise ValueError(f"unknown condition {cond}")
         fmt, args = _FORMATS[cond]
-        arg_cols = [avg if a == "avg_negative" else F.col(a) for a in args]
+        # numbers shown with one decimal are rounded first (half up), then formatted
+        arg_cols = [F.round(avg, 1) if a == "avg_negative" else
+                    F.round(F.col(a), 1) if a == "_rate_pct" else F.col(a) for a in args]
         fired.append(F.when(c, F.struct(F.lit(name).alias("rule"), F.lit(cond).alias("condition"),
                                          F.format_string(fmt, *arg_cols).alias("message"))))
     hits = F.filter(F.array(*fired), lambda x: x.isNotNull())

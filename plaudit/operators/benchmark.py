@@ -8,6 +8,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plaudit.functions.cleaning import round_to
+
 from plaudit import lexicons as L
 from plaudit.functions import any_contained, benchmark_intensity, lower_text, simple_quality
 from plaudit.operators.timeseries import percentile_rank, rank_average
@@ -56,14 +58,14 @@ def benchmark_games(df: DataFrame, key: str = "app_id", approx_variety: bool = F
     div = F.when(tot > 0, F.least(ent / math.log(6), F.lit(1.0))).otherwise(F.lit(0.0))
     out = g.select(
         key, "total_reviews", "positive_rate",
-        F.round("_q", 2).alias("avg_quality_score"),
-        F.round(div, 2).alias("issue_diversity"),
-        F.round(F.col("positive_rate") * 0.7 + F.col("_q") / 100.0 * 100 * 0.3, 2).alias("player_satisfaction"),
-        F.round(F.least(F.col("_v") / 10 * 100, F.lit(100.0)), 2).alias("review_engagement"),
-        F.round("_si", 2).alias("sentiment_intensity"))
+        round_to("_q", 2).alias("avg_quality_score"),
+        round_to(div, 2).alias("issue_diversity"),
+        round_to(F.col("positive_rate") * 0.7 + F.col("_q") / 100.0 * 100 * 0.3, 2).alias("player_satisfaction"),
+        round_to(F.least(F.col("_v") / 10 * 100, F.lit(100.0)), 2).alias("review_engagement"),
+        round_to("_si", 2).alias("sentiment_intensity"))
     v = topic_variety(df, key, approx_variety)
     return out.join(v, key, "left").withColumn(
-        "topic_variety", F.round(F.coalesce("topic_variety", F.lit(0.0)), 2))
+        "topic_variety", round_to(F.coalesce("topic_variety", F.lit(0.0)), 2))
 
 
 def rank_games(bench: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plaudit.functions.cleaning import round_to
+
 from plaudit import lexicons as L
 from plaudit.functions import (any_contained, clean_text, count_contained, is_blank, lang_code,
                                lower_text, ngrams, preprocess_tokens, tokenize_en, tokenize_zh)
@@ -162,7 +164,7 @@ def sentiment_by_topic(df: DataFrame, keys: Keys | None = None,
                  F.avg(F.when(m, F.col("voted_up").cast("double"))).alias(f"_p{i}")]
     agg = df.groupBy(*ks).agg(*aggs) if ks else df.agg(*aggs)
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("topic"), F.col(f"_c{i}").alias("review_count"),
-                                           F.round(F.col(f"_p{i}") * 100, 1).alias("positive_rate"),
+                                           round_to(F.col(f"_p{i}") * 100, 1).alias("positive_rate"),
                                            (F.col(f"_c{i}") / F.col("_total") * 100).alias("pct_of_total"))
                                   for i, n in enumerate(names)]))
     out = agg.select(*ks, stacked.alias("_s")).select(*ks, "_s.*")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plaudit.functions.cleaning import round_to
+
 from plaudit.functions import (detail_level, helpfulness, opinion_intensity, recency,
                                recommendation_score, simple_quality, usefulness_category)
 from plaudit.operators.quality import _issue_flags, with_segment
@@ -48,8 +50,8 @@ OUTPUT = ["rank", "recommendation_id", "recommendation_score", "quality_score",
 
 def _output(df: DataFrame, ks: list[str]) -> DataFrame:
     return df.select(*ks, "rank", "recommendation_id",
-                     F.round("recommendation_score", 2).alias("recommendation_score"),
-                     F.round("quality_score", 2).alias("quality_score"),
+                     round_to("recommendation_score", 2).alias("recommendation_score"),
+                     round_to("quality_score", 2).alias("quality_score"),
                      F.when(F.col("voted_up") == 1, "Positive").otherwise("Negative").alias("sentiment"),
                      F.coalesce(F.col("votes_up"), F.lit(0)).cast("long").alias("helpful_votes"),
                      "author_steam_id",
@@ -81,7 +83,7 @@ def recommend_by_category(df: DataFrame, category: str, top_n: int = 5,
     """Top ``top_n`` inside one usefulness category (on the rounded score)."""
     ks = _keys(keys)
     d = score_reviews(df, as_of).withColumn(
-        "usefulness", usefulness_category(F.round("recommendation_score", 2)))
+        "usefulness", usefulness_category(round_to("recommendation_score", 2)))
     d = d.where(F.col("usefulness") == category)
     top = top_n_per_group(d, ks, [F.col("recommendation_score").desc(), F.col("recommendation_id")],
                           top_n)

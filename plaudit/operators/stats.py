@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from plaudit.functions.cleaning import round_to
 from pyspark.sql import types as T
 
 from plaudit import lexicons as L
@@ -41,7 +43,7 @@ def review_stats(df: DataFrame, keys: Keys | None = None, app_id: str | None = N
 
 def with_positive_rate(stats: DataFrame) -> DataFrame:
     """positive / total * 100, rounded to 2 places; 0 when there are no reviews."""
-    return stats.withColumn("positive_rate", F.when(F.col("total") > 0, F.round(
+    return stats.withColumn("positive_rate", F.when(F.col("total") > 0, round_to(
         F.col("positive") / F.col("total") * 100, 2)).otherwise(F.lit(0.0)))
 
 
@@ -94,7 +96,7 @@ def label_distribution(df: DataFrame, col: str, keys: Keys | None = None,
     ks = _keys(keys)
     counts = df.groupBy(*ks, col).agg(F.count(F.lit(1)).alias("n"))
     tot = F.sum("n").over(Window.partitionBy(*ks)) if ks else F.sum("n").over(Window.partitionBy())
-    out = counts.withColumn("pct", F.round(F.col("n") / tot * 100, 2))
+    out = counts.withColumn("pct", round_to(F.col("n") / tot * 100, 2))
     if top is not None:
         w = Window.partitionBy(*ks).orderBy(F.col("n").desc(), F.col(col))
         out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plaudit.functions.cleaning import round_to
+
 Keys = Sequence[str]
 
 FREQ_STEP = {"D": "1 day", "W": "7 days", "M": "1 month"}
@@ -72,8 +74,8 @@ def daily_stats(df: DataFrame, keys: Keys | None = ("app_id",)) -> DataFrame:
     ks = _keys(keys)
     return df.groupBy(*ks, event_date().alias("date")).agg(
         F.count(F.lit(1)).alias("count"), F.sum("voted_up").cast("long").alias("positive"),
-        F.round(F.avg("voted_up"), 3).alias("mean"),
-        F.round(F.avg("voted_up") * 100, 1).alias("positive_pct"))
+        round_to(F.avg("voted_up"), 3).alias("mean"),
+        round_to(F.avg("voted_up") * 100, 1).alias("positive_pct"))
 
 
 def weekly_sentiment(df: DataFrame, keys: Keys | None = ("app_id",)) -> DataFrame:
@@ -97,7 +99,7 @@ def temporal_trends(df: DataFrame, period: str = "daily", keys: Keys | None = ("
     ks = _keys(keys)
     return df.groupBy(*ks, bucket(freq).alias("bucket")).agg(
         F.sum("voted_up").cast("long").alias("sum"), F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("voted_up"), 3).alias("mean"))
+        round_to(F.avg("voted_up"), 3).alias("mean"))
 
 
 def trend_direction(df: DataFrame, period: str = "daily", keys: Keys | None = ("app_id",)) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plaudit.functions.cleaning import round_to
+
 from plaudit.functions import detect_versions as detect_versions_col
 from plaudit.operators import timeseries as ts
 from plaudit.operators.keywords import with_tokens
@@ -38,7 +40,7 @@ def sentiment_by_version(mentions: DataFrame, keys: Keys | None = ("app_id",)) -
 def version_summary(mentions: DataFrame, keys: Keys | None = ("app_id",)) -> DataFrame:
     """Per version: rate rounded to 2, sample size; sorted by rate desc."""
     s = sentiment_by_version(mentions, keys)
-    return s.withColumn("satisfaction_rate", F.round("satisfaction_rate", 2)).orderBy(
+    return s.withColumn("satisfaction_rate", round_to("satisfaction_rate", 2)).orderBy(
         F.col("satisfaction_rate").desc(), F.col("version"))
 
 

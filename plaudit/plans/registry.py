@@ -45,16 +45,30 @@ def normalize(df: DataFrame, places: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), places)
+            c = round_half_away(c.cast("double"), places)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def round_half_away(c, places: int = 6):
+    """Round half away from zero on the binary value (x * 10^p, +0.5, floor); the
+    oracle applies the identical IEEE operations, so both sides agree exactly."""
+    m = float(10 ** places)
+    return F.when(c >= 0, F.floor(c * m + 0.5)).otherwise(-F.floor(-c * m + 0.5)) / m
+
+
+def sql_round(expr: str, places: int = 6) -> str:
+    m = f"{float(10 ** places)}"
+    return (f"(CASE WHEN ({expr}) >= 0 THEN floor(({expr}) * {m} + 0.5) "
+            f"ELSE -floor(-({expr}) * {m} + 0.5) END / {m})")
+
+
 def rnd(sql: str, doubles: list[str], places: int = 6) -> str:
     """Wrap an oracle query so the listed double columns are rounded."""
     if not doubles:
         return sql
-    rep = ", ".join(f"round(CAST(\"{c}\" AS DOUBLE), {places}) AS \"{c}\"" for c in doubles)
+    rep = ", ".join(f"CAST({sql_round(f'CAST(\"{c}\" AS DOUBLE)', places)} AS DOUBLE) AS \"{c}\""
+                    for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
