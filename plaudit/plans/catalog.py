@@ -9,3 +9,4 @@ NOTES = registry.NOTES
 from plaudit.plans import q_text  # noqa: F401,E402
 from plaudit.plans import q_enrich  # noqa: F401,E402
 from plaudit.plans import q_analytics  # noqa: F401,E402
+from plaudit.plans import q_sources  # noqa: F401,E402
