@@ -119,7 +119,7 @@ def any_contained(text: Column, words: Iterable[str]) -> Column:
 
 def matched_words(text: Column, words: Sequence[str]) -> Column:
     """Distinct list words contained in ``text``, in list order."""
-    return F.filter(array_lit(list(dict.fromkeys(words))), lambda w: F.instr(text, w) > 0)
+    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in dict.fromkeys(words)]))
 
 
 def has_cjk(c) -> Column:
@@ -146,13 +146,17 @@ def lang_code(c) -> Column:
 
 
 def aspect_context(text, matched: Column, before: int = 50, after: int = 50,
-                   fallback: int = 200) -> Column:
+                   fallback: int = 200, lowered: Column | None = None,
+                   length: Column | None = None) -> Column:
     """Window of text around the first occurrence of the first matched keyword:
-    [pos-50, pos+len(kw)+50); no keyword -> the first 200 characters."""
+    [pos-50, pos+len(kw)+50); no keyword -> the first 200 characters.
+    ``lowered`` / ``length`` may pass precomputed columns of the text."""
     t = text_or_empty(text)
+    low = lowered if lowered is not None else F.lower(t)
+    n = length if length is not None else F.length(t)
     kw = F.try_element_at(matched, F.lit(1))
-    p0 = F.instr(F.lower(t), kw) - 1
+    p0 = F.instr(low, kw) - 1
     start0 = F.greatest(p0 - before, F.lit(0))
-    end0 = F.least(F.length(t), p0 + F.length(kw) + after)
+    end0 = F.least(n, p0 + F.length(kw) + after)
     return F.when(kw.isNull() | (p0 < 0), F.substring(t, 1, fallback)) \
         .otherwise(t.substr(start0 + 1, end0 - start0))

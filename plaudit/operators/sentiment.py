@@ -166,8 +166,10 @@ def _with_lower(df: DataFrame, col: str) -> DataFrame:
 
 
 def _matched(words: Sequence[str]) -> Column:
+    """Distinct list words contained in ``_low``, in list order. Written as an array
+    of conditional literals (codegen'd byte search), not a lambda over the list."""
     ws = list(dict.fromkeys(words))
-    return F.filter(F.array(*[F.lit(w) for w in ws]), lambda w: F.instr(F.col("_low"), w) > 0)
+    return F.array_compact(F.array(*[F.when(F.col("_low").contains(w), F.lit(w)) for w in ws]))
 
 
 def aspect_mentions(df: DataFrame, col: str = "review", aspects: dict | None = None,
@@ -194,7 +196,10 @@ def aspect_columns(df: DataFrame, col: str = "review", aspects: dict | None = No
     names = list(aspects)
     d = _with_lower(df, col)
     d = d.withColumns({f"_kw_{i}": _matched(aspects[a]) for i, a in enumerate(names)})
-    d = d.withColumns({f"_ctx_{i}": F.lower(aspect_context(col, F.col(f"_kw_{i}")))
+    d = d.withColumn("_len", F.length(text_or_empty(col)))
+    d = d.withColumns({f"_ctx_{i}": F.lower(aspect_context(col, F.col(f"_kw_{i}"),
+                                                           lowered=F.col("_low"),
+                                                           length=F.col("_len")))
                        for i in range(len(names))})
     cnt = {}
     for i in range(len(names)):
@@ -207,7 +212,7 @@ def aspect_columns(df: DataFrame, col: str = "review", aspects: dict | None = No
         mentioned = F.size(F.col(f"_kw_{i}")) > 0
         cols[f"aspect_{a}_sentiment"] = F.when(mentioned, s.getField("label")).otherwise(F.lit("none"))
         cols[f"aspect_{a}_score"] = F.when(mentioned, s.getField("compound")).otherwise(F.lit(0.0))
-    tmp = ["_low"] + [f"_{k}_{i}" for k in ("kw", "ctx", "p", "n") for i in range(len(names))]
+    tmp = ["_low", "_len"] + [f"_{k}_{i}" for k in ("kw", "ctx", "p", "n") for i in range(len(names))]
     return d.withColumns(cols).drop(*tmp)
 
 
