@@ -48,12 +48,12 @@ def evaluate_alerts(stats: DataFrame, rules: Sequence[tuple] = L.DEFAULT_ALERT_R
     negative_reviews_spike: recent_negative > avg_negative * threshold (missing
     average counts as 1, as in the original); total_reviews_below: total < threshold.
     """
-    s = stats.withColumn("_rate_pct", F.col("positive") / F.col("total") * 100)
+    s = stats.withColumn("_rate_pct", F.try_divide(F.col("positive"), F.col("total")) * 100)
     avg = F.coalesce(F.col("avg_negative"), F.lit(1.0))
     fired = []
     for name, cond, thr, _msg in rules:
         if cond == "positive_rate_below":
-            c = (F.col("total") > 0) & (F.col("positive") / F.col("total") < thr)
+            c = (F.col("total") > 0) & (F.try_divide(F.col("positive"), F.col("total")) < thr)
         elif cond == "negative_reviews_spike":
             c = F.coalesce(F.col("recent_negative"), F.lit(0)) > avg * thr
         elif cond == "total_reviews_below":

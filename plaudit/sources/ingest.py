@@ -44,7 +44,10 @@ def append_new(existing: DataFrame | None, batch: DataFrame, path: str) -> int:
     obs = Observation("append_new")
     rows = new_rows(existing, batch).observe(obs, F.count(F.lit(1)).alias("n"))
     write_reviews_table(rows, path, "append")
-    return int(obs.get.get("n", 0))
+    try:
+        return int(obs.get.get("n", 0))
+    except Exception:  # noqa: BLE001 - no metrics are reported for an empty write
+        return 0
 
 
 def import_summary(batch: DataFrame, existing: DataFrame | None = None,
