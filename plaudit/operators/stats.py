@@ -298,8 +298,11 @@ def pearson_test(df: DataFrame, x: str, y: str, keys: Keys | None = None,
     The aggregate runs in the JVM; only the one-row-per-group result passes
     through the small Arrow UDF for the t-distribution tail."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    out = _agg(base, keys, F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"),
-               F.count(F.lit(1)).alias("n"))
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    # r = cov / (sd_x sd_y); a constant column gives null instead of an ANSI error
+    sd = F.stddev_samp(xc) * F.stddev_samp(yc)
+    r = F.when(sd > 0, F.try_divide(F.covar_samp(xc, yc), sd))
+    out = _agg(base, keys, r.alias("r"), F.count(F.lit(1)).alias("n"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
     out = out.withColumn("t", F.when((F.col("n") > 2) & (F.abs("r") < 1), t))
     if with_p:

@@ -317,8 +317,9 @@ def q_describe_playtime(spark, sf):
 base AS (SELECT CAST(length(coalesce(review, '')) AS DOUBLE) AS x,
                 CAST(author_playtime_forever AS DOUBLE) AS y FROM reviews
          WHERE review IS NOT NULL AND author_playtime_forever IS NOT NULL AND language = 'en')
-SELECT corr(x, y) AS r, count(*) AS n,
-       corr(x, y) * sqrt((count(*) - 2) / (1 - corr(x, y) * corr(x, y))) AS t FROM base""",
+SELECT CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN corr(x, y) END AS r, count(*) AS n,
+       CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 AND count(*) > 2 AND abs(corr(x, y)) < 1
+            THEN corr(x, y) * sqrt((count(*) - 2) / (1 - corr(x, y) * corr(x, y))) END AS t FROM base""",
                                           ["r", "t"]),
           note="p-value checked in tests against a direct computation")
 def q_pearson(spark, sf):
@@ -331,8 +332,8 @@ def q_pearson(spark, sf):
 @register("point_biserial_playtime", rnd(f"""{R},
 base AS (SELECT author_playtime_forever / 60.0 AS x, CAST(voted_up AS DOUBLE) AS y FROM reviews
          WHERE author_playtime_forever IS NOT NULL)
-SELECT app_id, corr(x, y) AS r, count(*) AS n,
-       CASE WHEN count(*) > 2 AND abs(corr(x, y)) < 1
+SELECT app_id, CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN corr(x, y) END AS r, count(*) AS n,
+       CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 AND count(*) > 2 AND abs(corr(x, y)) < 1
             THEN corr(x, y) * sqrt((count(*) - 2) / (1 - corr(x, y) * corr(x, y))) END AS t
 FROM (SELECT app_id, author_playtime_forever / 60.0 AS x, CAST(voted_up AS DOUBLE) AS y
       FROM reviews WHERE author_playtime_forever IS NOT NULL) GROUP BY app_id""", ["r", "t"]))
