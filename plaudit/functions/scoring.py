@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plaudit import lexicons as L
-from plaudit.functions.cleaning import NON_WS, as_col, normalize_vote, text_or_empty, word_count, \
-    distinct_word_count
+from plaudit.functions.cleaning import ASCII_NON_WS, as_col, distinct_word_count, norm_ws, \
+    normalize_vote, text_or_empty, word_count
 from plaudit.functions.text import any_contained, count_contained, lower_text, weighted_contained
 
 __all__ = [
@@ -89,7 +89,8 @@ def helpfulness(votes_up, votes_funny) -> Column:
 
 def sentence_count(text) -> Column:
     """Non-blank pieces of the text split on '.'."""
-    return F.size(F.filter(F.split(text_or_empty(text), r"\.", -1), lambda s: s.rlike(NON_WS)))
+    pieces = F.split(norm_ws(text_or_empty(text)), r"\.", -1)
+    return F.size(F.filter(pieces, lambda s: s.rlike(ASCII_NON_WS)))
 
 
 def detail_level(text) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plaudit import lexicons as L
-from plaudit.functions.cleaning import NON_WS, WS, as_col, text_or_empty
+from plaudit.functions.cleaning import ASCII_NON_WS, ASCII_WS, as_col, norm_ws, text_or_empty
 
 __all__ = [
     "lower_text", "clean_text", "tokenize_en", "tokenize_zh", "alpha_tokens", "preprocess_tokens",
@@ -34,30 +34,31 @@ def lower_text(c) -> Column:
 
 def clean_text(c) -> Column:
     """lower; drop URLs; keep [a-z0-9], whitespace and CJK; collapse whitespace."""
-    t = lower_text(c)
-    t = F.regexp_replace(t, F.lit(f"http{NON_WS}+|www{NON_WS}+"), F.lit(""))
-    t = F.regexp_replace(t, F.lit(f"[^a-zA-Z0-9{WS}{CJK}]"), F.lit(" "))
-    t = F.regexp_replace(t, F.lit(f"[{WS}]+"), F.lit(" "))
+    t = norm_ws(lower_text(c))
+    t = F.regexp_replace(t, F.lit(f"http{ASCII_NON_WS}+|www{ASCII_NON_WS}+"), F.lit(""))
+    t = F.regexp_replace(t, F.lit(f"[^a-zA-Z0-9{ASCII_WS}{CJK}]"), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(f"[{ASCII_WS}]+"), F.lit(" "))
     return F.trim(t)
 
 
 def tokenize_en(cleaned, stop_words: Sequence[str] = L.STOP_WORDS_EN, min_len: int = 3) -> Column:
     """Whitespace tokens of cleaned text, length >= min_len, stop words removed."""
-    stop = array_lit(stop_words)
+    stop = list(dict.fromkeys(stop_words))
     toks = F.split(as_col(cleaned), " ")
-    return F.filter(toks, lambda x: (F.length(x) >= min_len) & ~F.array_contains(stop, x))
+    # isin over a literal list becomes a hash-set lookup (InSet), not a list scan
+    return F.filter(toks, lambda x: (F.length(x) >= min_len) & ~x.isin(stop))
 
 
 def tokenize_zh(cleaned, stop_words: Sequence[str] = L.STOP_WORDS_ZH) -> Column:
     """Dictionary-free Chinese tokens: each CJK run becomes its character bigrams
     (a single character stays a unigram); Latin tokens are kept whole."""
-    stop = array_lit(stop_words)
+    stop = list(dict.fromkeys(stop_words))
     runs = F.regexp_extract_all(as_col(cleaned), F.lit(f"([{CJK}]+|[a-z0-9]+)"), 1)
     grams = F.flatten(F.transform(runs, lambda r: F.when(
         r.rlike(f"^[{CJK}]{{2,}}$"),
         F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))
     ).otherwise(F.array(r))))
-    return F.filter(grams, lambda x: (F.length(x) > 0) & ~F.array_contains(stop, x))
+    return F.filter(grams, lambda x: (F.length(x) > 0) & ~x.isin(stop))
 
 
 def alpha_tokens(c) -> Column:
@@ -72,9 +73,9 @@ def preprocess_tokens(c, lang: Column | str | None = None,
     toks = alpha_tokens(c)
     if not remove_stop_words or lang is None:
         return toks
-    stop = array_lit(L.STOP_WORDS_EN)
+    stop = list(dict.fromkeys(L.STOP_WORDS_EN))
     is_en = lang_code(lang) == F.lit("en")
-    return F.when(is_en, F.filter(toks, lambda x: ~F.array_contains(stop, x))).otherwise(toks)
+    return F.when(is_en, F.filter(toks, lambda x: ~x.isin(stop))).otherwise(toks)
 
 
 def ngrams(tokens, lo: int = 1, hi: int = 1) -> Column:

@@ -12,6 +12,7 @@ from plaudit.functions.cleaning import round_to
 
 from plaudit import lexicons as L
 from plaudit.functions import any_contained, benchmark_intensity, lower_text, simple_quality
+from plaudit.functions.cleaning import ASCII_WS, norm_ws
 from plaudit.operators.timeseries import percentile_rank, rank_average
 
 DIMS = L.BENCHMARK_DIMENSIONS
@@ -24,8 +25,7 @@ def topic_variety(df: DataFrame, key: str = "app_id", approx: bool = False) -> D
     both columns, so a hot app's words spread over all shuffle partitions. With
     ``approx`` the HyperLogLog sketch is used instead (the metric caps at 100).
     """
-    words = F.split(lower_text("review"), r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}"
-                                         r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+    words = F.split(norm_ws(lower_text("review")), f"[{ASCII_WS}]+")
     e = df.select(key, F.explode(F.filter(words, lambda w: F.length(w) > 3)).alias("w"))
     if approx:
         c = e.groupBy(key).agg(F.approx_count_distinct("w").alias("_u"))
