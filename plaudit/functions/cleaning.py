@@ -25,7 +25,9 @@ NON_WS = f"[^{WS}]"
 U_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
         "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 ASCII_WS = r"\t\n\x0b\x0c\r "
-ASCII_NON_WS = f"[^{ASCII_WS}]"
+# the complement of ASCII_WS written as a positive class (negated classes are the
+# slow path of java.util.regex)
+ASCII_NON_WS = r"[\x00-\x08\x0e-\x1f\x{21}-\x{10ffff}]"
 
 
 def norm_ws(c) -> Column:

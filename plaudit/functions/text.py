@@ -36,7 +36,9 @@ def clean_text(c) -> Column:
     """lower; drop URLs; keep [a-z0-9], whitespace and CJK; collapse whitespace."""
     t = norm_ws(lower_text(c))
     t = F.regexp_replace(t, F.lit(f"http{ASCII_NON_WS}+|www{ASCII_NON_WS}+"), F.lit(""))
-    t = F.regexp_replace(t, F.lit(f"[^a-zA-Z0-9{ASCII_WS}{CJK}]"), F.lit(" "))
+    # everything except [a-z0-9], whitespace and CJK ideographs, as a positive class
+    t = F.regexp_replace(t, F.lit(r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x{4dff}\x{a000}-\x{10ffff}]"),
+                         F.lit(" "))
     t = F.regexp_replace(t, F.lit(f"[{ASCII_WS}]+"), F.lit(" "))
     return F.trim(t)
 
