@@ -81,14 +81,19 @@ def preprocess_tokens(c, lang: Column | str | None = None,
 
 
 def ngrams(tokens, lo: int = 1, hi: int = 1) -> Column:
-    """All contiguous n-grams, lo <= n <= hi, joined with a space (per review)."""
+    """All contiguous n-grams, lo <= n <= hi, joined with a space (per review).
+
+    Built by zipping the token array with its shifted copies (one pass per n),
+    so no sub-array is allocated per position."""
     t = as_col(tokens)
+    size = F.size(t)
 
     def grams_of(n: int) -> Column:
-        k = F.size(t) - n + 1
-        return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                                         lambda i: F.array_join(F.slice(t, i, n), " "))
-                      ).otherwise(F.array().cast("array<string>"))
+        g = t
+        for k in range(2, n + 1):
+            g = F.zip_with(g, F.slice(t, k, F.greatest(size, F.lit(1))),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.slice(g, 1, F.greatest(size - n + 1, F.lit(0))) if n > 1 else g
 
     per_n = [grams_of(n) for n in range(lo, hi + 1)]
     return per_n[0] if len(per_n) == 1 else F.concat(*per_n)

@@ -64,14 +64,13 @@ def keyword_summary(df: DataFrame, top_n: int = 50, keys: Keys | None = None,
     ks = _keys(keys)
     counts = term_counts(with_tokens(df, mode), F.col("tokens"), ks, "word")
     top = top_terms(counts, top_n, ks, "word")
-    uniq = counts.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_unique")) if ks else \
-        counts.agg(F.count(F.lit(1)).alias("total_unique"))
-    avg = top.groupBy(*ks).agg(F.avg("count").alias("average_frequency")) if ks else \
-        top.agg(F.avg("count").alias("average_frequency"))
-    if ks:
-        return uniq.join(avg, ks)
-    # both sides are single-row aggregates: join on a constant key
-    return uniq.withColumn("_j", F.lit(0)).join(avg.withColumn("_j", F.lit(0)), "_j").drop("_j")
+    # two one-row-per-group results combined by union + aggregate (no join)
+    u = counts.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_unique"),
+                                F.lit(None).cast("double").alias("average_frequency"))
+    a = top.groupBy(*ks).agg(F.lit(None).cast("long").alias("total_unique"),
+                             F.avg("count").alias("average_frequency"))
+    return u.unionByName(a).groupBy(*ks).agg(F.max("total_unique").alias("total_unique"),
+                                             F.max("average_frequency").alias("average_frequency"))
 
 
 def bigram_counts(df: DataFrame, top_n: int = 30, keys: Keys | None = None,

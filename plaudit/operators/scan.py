@@ -76,6 +76,11 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
     shuffle, so each map task forwards at most ``n`` rows per group: a hot group
     (say a third of all rows) never reaches one task whole.
     """
+    if not keys:
+        # global top-n: TakeOrderedAndProject keeps n rows per partition, then the
+        # rank is numbered over the n survivors only
+        top = df.orderBy(*order).limit(n)
+        return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
