@@ -26,7 +26,7 @@ def topic_variety(df: DataFrame, key: str = "app_id", approx: bool = False) -> D
     ``approx`` the HyperLogLog sketch is used instead (the metric caps at 100).
     """
     words = F.split(norm_ws(lower_text("review")), f"[{ASCII_WS}]+")
-    e = df.select(key, F.explode(F.filter(words, lambda w: F.length(w) > 3)).alias("w"))
+    e = df.select(key, F.explode(words).alias("w")).where(F.length("w") > 3)
     if approx:
         c = e.groupBy(key).agg(F.approx_count_distinct("w").alias("_u"))
     else:

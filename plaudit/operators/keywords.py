@@ -40,6 +40,16 @@ def with_tokens(df: DataFrame, mode: str = "english", col: str = "review") -> Da
     return df.withColumn("tokens", toks)
 
 
+def english_token_rows(df: DataFrame, keys: Keys | None = None, col: str = "review",
+                       term_name: str = "word", min_len: int = 3,
+                       stop_words=L.STOP_WORDS_EN) -> DataFrame:
+    """One row per English token: explode the split cleaned text, then filter with
+    plain predicates (hash-set ``isin``), which stays in generated code."""
+    ks = _keys(keys)
+    w = df.select(*ks, F.explode(F.split(clean_text(col), " ")).alias(term_name))
+    return w.where((F.length(term_name) >= min_len) & ~F.col(term_name).isin(list(dict.fromkeys(stop_words))))
+
+
 def term_counts(df: DataFrame, terms: Column, keys: Keys | None = None,
                 term_name: str = "term") -> DataFrame:
     ks = _keys(keys)
@@ -54,6 +64,10 @@ def top_terms(counts: DataFrame, n: int, keys: Keys | None = None, term_name: st
 
 def keyword_counts(df: DataFrame, top_n: int = 50, keys: Keys | None = None,
                    mode: str = "english") -> DataFrame:
+    if mode == "english":
+        ks = _keys(keys)
+        counts = english_token_rows(df, ks).groupBy(*ks, "word").agg(F.count(F.lit(1)).alias("count"))
+        return top_terms(counts, top_n, keys, "word")
     t = with_tokens(df, mode)
     return top_terms(term_counts(t, F.col("tokens"), keys, "word"), top_n, keys, "word")
 
@@ -62,7 +76,10 @@ def keyword_summary(df: DataFrame, top_n: int = 50, keys: Keys | None = None,
                     mode: str = "english") -> DataFrame:
     """Distinct keyword total and the mean count of the top n."""
     ks = _keys(keys)
-    counts = term_counts(with_tokens(df, mode), F.col("tokens"), ks, "word")
+    if mode == "english":
+        counts = english_token_rows(df, ks).groupBy(*ks, "word").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        counts = term_counts(with_tokens(df, mode), F.col("tokens"), ks, "word")
     top = top_terms(counts, top_n, ks, "word")
     # two one-row-per-group results combined by union + aggregate (no join)
     u = counts.groupBy(*ks).agg(F.count(F.lit(1)).alias("total_unique"),
