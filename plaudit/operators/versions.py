@@ -64,7 +64,8 @@ def version_over_time(mentions: DataFrame, unit: str = "W", top: int = 5,
                           .otherwise(F.lit(0.0)))
 
 
-def _prefix_probe(reviews: DataFrame, probes: DataFrame, ks: list[str], chunk_s: int) -> DataFrame:
+def _prefix_probe(reviews: DataFrame, probes: DataFrame, ks: list[str], probe_keys: list[str],
+                  chunk_s: int) -> DataFrame:
     """P(x) = (#reviews, #positive) with timestamp < x, for every probe point x.
 
     Exact and skew-safe: reviews are pre-aggregated per (keys, second); the running
@@ -73,10 +74,10 @@ def _prefix_probe(reviews: DataFrame, probes: DataFrame, ks: list[str], chunk_s:
     """
     pts = reviews.groupBy(*ks, "timestamp_created").agg(
         F.count(F.lit(1)).alias("n"), F.sum("voted_up").cast("long").alias("p"))
-    rows = pts.select(*ks, F.col("timestamp_created").alias("x"), "n", "p",
-                      F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("probe_id"))
+    rows = pts.select(*ks, F.col("timestamp_created").alias("x"), "n", "p", F.lit(1).alias("_kind"),
+                      *[F.lit(None).cast(probes.schema[k].dataType).alias(k) for k in probe_keys])
     pr = probes.select(*ks, "x", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"),
-                       F.lit(0).alias("_kind"), "probe_id")
+                       F.lit(0).alias("_kind"), *probe_keys)
     u = rows.unionByName(pr).withColumn("chunk", F.floor(F.col("x") / chunk_s))
     # running sums inside each chunk; probes sort before reviews at the same second
     w_in = Window.partitionBy(*ks, "chunk").orderBy("x", "_kind").rowsBetween(
@@ -89,7 +90,7 @@ def _prefix_probe(reviews: DataFrame, probes: DataFrame, ks: list[str], chunk_s:
     offs = chunk_tot.select(*ks, "chunk", F.coalesce(F.sum("tn").over(w_c), F.lit(0)).alias("on"),
                             F.coalesce(F.sum("tp").over(w_c), F.lit(0)).alias("op"))
     got = u.where(F.col("_kind") == 0).join(offs, [*ks, "chunk"])
-    return got.select(*ks, "probe_id", (F.col("on") + F.col("cn")).alias("P_n"),
+    return got.select(*ks, *probe_keys, (F.col("on") + F.col("cn")).alias("P_n"),
                       (F.col("op") + F.col("cp")).alias("P_p"))
 
 
@@ -101,26 +102,22 @@ def update_impact(df: DataFrame, window_days: int = 7, keys: Keys | None = ("app
     ks = _keys(keys)
     w = window_days * DAY_S
     base = df.where(F.col("timestamp_created").isNotNull())
-    mentions = detect_versions(base, ks).withColumn(
-        "probe_id", F.concat_ws("|", F.col("recommendation_id"), F.col("version")))
+    mentions = detect_versions(base, ks)
     t = F.col("timestamp_created")
-    probes = mentions.select(*ks, "probe_id", F.explode(F.array(
-        F.struct(F.lit("b0").alias("k"), (t - w).alias("x")),
-        F.struct(F.lit("b1").alias("k"), t.alias("x")),
-        F.struct(F.lit("a0").alias("k"), (t + 1).alias("x")),
-        F.struct(F.lit("a1").alias("k"), (t + w + 1).alias("x")))).alias("pp"))
-    probes = probes.select(*ks, F.concat_ws("#", "probe_id", "pp.k").alias("probe_id"), "pp.x")
-    got = _prefix_probe(base, probes, ks, chunk_s)
-    got = got.withColumns({"mid": F.regexp_extract("probe_id", r"^(.*)#", 1),
-                           "k": F.regexp_extract("probe_id", r"#(\w+)$", 1)})
-    piv = got.groupBy(*ks, "mid").pivot("k", ["b0", "b1", "a0", "a1"]).agg(
-        F.first("P_n").alias("n"), F.first("P_p").alias("p"))
-    bn, bp = F.col("b1_n") - F.col("b0_n"), F.col("b1_p") - F.col("b0_p")
-    an, ap = F.col("a1_n") - F.col("a0_n"), F.col("a1_p") - F.col("a0_p")
-    rates = piv.select(*ks, F.col("mid").alias("probe_id"),
-                       F.when(bn > 0, bp / bn * 100).alias("before_rate"),
-                       F.when(an > 0, ap / an * 100).alias("after_rate"))
-    per = mentions.join(rates, [*ks, "probe_id"])
+    # four probes per mention: t - w, t (before = [t-w, t)), t + 1, t + w + 1 (after = (t, t+w])
+    probes = mentions.select(*ks, "recommendation_id", "version", F.posexplode(
+        F.array(t - w, t, t + 1, t + w + 1)).alias("k", "x"))
+    got = _prefix_probe(base, probes, ks, ["recommendation_id", "version", "k"], chunk_s)
+
+    def at(k, c):
+        return F.sum(F.when(F.col("k") == k, F.col(c)))
+
+    per = got.groupBy(*ks, "recommendation_id", "version").agg(
+        (at(1, "P_n") - at(0, "P_n")).alias("bn"), (at(1, "P_p") - at(0, "P_p")).alias("bp"),
+        (at(3, "P_n") - at(2, "P_n")).alias("an"), (at(3, "P_p") - at(2, "P_p")).alias("ap"))
+    per = per.select(*ks, "version",
+                     F.when(F.col("bn") > 0, F.col("bp") / F.col("bn") * 100).alias("before_rate"),
+                     F.when(F.col("an") > 0, F.col("ap") / F.col("an") * 100).alias("after_rate"))
     out = per.groupBy(*ks, "version").agg(F.count(F.lit(1)).alias("mentions"),
                                           F.avg("before_rate").alias("before_avg"),
                                           F.avg("after_rate").alias("after_avg"))
