@@ -208,8 +208,11 @@ def q_changed_files(spark, sf):
     src.where(F.col("timestamp_created") < CUTOFF).write.mode("overwrite").parquet(path)
     manifest = io.changed_files(spark, f"{path}/*.parquet").select(
         "path", "md5", F.current_timestamp().alias("checked_at"))
-    manifest = manifest.cache()
-    manifest.count()
+    # the manifest is a written table: a lost cache would be recomputed from the
+    # already-changed folder
+    mpath = _scratch(spark, "manifest")
+    manifest.write.mode("overwrite").parquet(mpath)
+    manifest = spark.read.parquet(mpath)
     src.where(F.col("timestamp_created") >= CUTOFF).write.mode("append").parquet(path)
     return io.changed_files(spark, f"{path}/*.parquet", manifest).select("md5", "reason")
 
