@@ -1,0 +1,331 @@
+"""Near duplicates, vectors, decontamination, toxicity, quality, secrets, pipeline."""
+
+import numpy as np
+import pytest
+
+from plaudit.llm import decontaminate, lsh_forest, pivot_index, secret_forest, toxicity, weak_quality
+from plaudit.llm.common import id_bucket
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_components(rows, percent, width=3):
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        if w:
+            sets[d] = {tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))}
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if min(len(sets[a]), len(sets[b])) * 100 < percent * max(len(sets[a]), len(sets[b])):
+                continue
+            i = len(sets[a] & sets[b])
+            if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets.get(d, ())), find(d)) for d in parent}
+
+
+def near_copies(rng, n_base=4, copies=60, size=120, edits=3):
+    out = []
+    for b in range(n_base):
+        base = [f"b{b}w{k}" for k in rng.integers(0, 400, size)]
+        out.append(" ".join(base))
+        for _ in range(copies):
+            c = list(base)
+            for p in rng.integers(0, size, rng.integers(0, edits + 1)):
+                c[p] = f"e{rng.integers(0, 1000)}"
+            out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 8, "first": 1, "later": 2}])
+def test_near_duplicates_match_brute_force(spark, docs, options):
+    rng = np.random.default_rng(4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(100_000 + k, t) for k, t in enumerate(near_copies(rng))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+           lsh_forest.near_duplicates(df, 85, **options).collect()}
+    assert got == want
+
+
+def test_near_duplicates_odd_rows(odd_docs, no_docs):
+    got = lsh_forest.near_duplicates(odd_docs).collect()
+    assert len(got) == 12
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
+    assert all(r["n_shingles"] == 0 and r["component_id"] == r["doc_id"] and r["kept"] for r in got
+               if r["doc_id"] in (3, 4, 5))
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    assert [r["n_shingles"] for r in got if r["doc_id"] in (6, 7)] == [1, 1]
+    assert lsh_forest.near_duplicates(no_docs).count() == 0
+
+
+def test_deep_regions(spark):
+    """A region above the limit is taken deeper and still finds most of a tight group."""
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(near_copies(rng, n_base=1, copies=150, size=200, edits=2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, 85, region_rows=20).collect()}
+    want = {d: c for d, (_, c) in brute_components(rows, 85).items()}
+    assert np.mean([got[d] == want[d] for d in want]) >= 0.98
+
+
+def brute_vectors(rows, threshold):
+    links, parent = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    good = [(i, np.array(v, float), lab) for i, v, lab in rows
+            if v is not None and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    for k, (i, v, a) in enumerate(good):
+        for j, w, b in good[:k]:
+            if a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (links[i], find(i)) for i in parent}
+
+
+def test_vectors_match_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]], r["label"]) for r in table.collect()]
+    odd = [(9001, None, 1), (9002, [0.0] * 64, 1), (9003, [float("nan")] * 64, 1), (9004, [None] * 64, 1),
+           (9005, rows[0][1], None), (9006, rows[0][1], rows[0][2]), (9007, [1.0, 2.0], 1), (9008, [2.0, 4.0], 1),
+           (9009, [float("inf")] * 64, 1), (9010, [], 1)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    for options in ({}, {"block_rows": 7}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivot_index.near_vectors(df, **options).collect()}
+        assert got == brute_vectors(rows + odd, 0.93)
+    assert pivot_index.near_vectors(df.where("false")).count() == 0
+
+
+def test_vector_recall_at_the_threshold(spark):
+    """Pairs just above the threshold are found (recall at least 0.9)."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 64))
+    noise = rng.normal(size=(1500, 64))
+    other = base / np.linalg.norm(base, axis=1, keepdims=True) + 0.37 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([base, other]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute_vectors(rows, 0.93)
+    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_vectors(df).collect()}
+    total = sum(n for n, _ in want.values())
+    assert total > 500 and sum(got.values()) >= 0.9 * total
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for _ in range(n):
+        kind, p = rng.integers(0, 3), rng.integers(0, len(w))
+        if kind == 0:
+            w[p] = f"x{rng.integers(0, 99)}"
+        elif kind == 1:
+            w.insert(p, f"y{rng.integers(0, 99)}")
+        else:
+            del w[p]
+    return w
+
+
+def test_decontamination_recall_and_exactness(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    rng = np.random.default_rng(3)
+    rows, planted = [], {}
+    for k, (i, t) in enumerate(items.items()):
+        w = t.split()
+        d = int(rng.integers(0, int(0.2 * len(w)) + 1))
+        before, after = [f"q{x}" for x in rng.integers(0, 500, 30)], [f"q{x}" for x in rng.integers(0, 500, 30)]
+        rows.append((k, " ".join(before + edited(rng, w, d) + after).upper()))
+        planted[k] = i
+    rows += [(10_000 + k, " ".join(f"q{x}" for x in rng.integers(0, 500, 200))) for k in range(20)]
+    rows += [(20_000, None), (20_001, ""), (None, next(iter(items.values())))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert np.mean([(k, i) in found for k, i in planted.items()]) >= 0.95
+    assert not any(r["doc_id"] is not None and r["doc_id"] >= 10_000 for r in got)
+    assert any(r["doc_id"] is None for r in got)
+    text = dict(rows)
+    for r in got[:40]:
+        words = [decontaminate.words_of(x) for x in (items[r["item_id"]], text[r["doc_id"]])]
+        table = {w: k for k, w in enumerate({*words[0], *words[1]})}
+        a, b = (np.array([table[w] for w in x]) for x in words)
+        row = np.zeros(len(b) + 1, int)  # plain edit distance with free ends in the text
+        for k in range(len(a)):
+            new = [k + 1]
+            for j in range(len(b)):
+                new.append(min(row[j] + (a[k] != b[j]), row[j + 1] + 1, new[j] + 1))
+            row = np.array(new)
+        assert row.min() == r["distance"] <= 0.2 * r["item_words"]
+    blocks = decontaminate.contaminated(df, bench, block_items=60).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in blocks} >= {
+        (r["doc_id"], r["item_id"], r["distance"]) for r in got if r["distance"] == 0}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in found}
+
+
+def test_decontamination_odd_tables(odd_docs, no_docs, spark):
+    bench = spark.createDataFrame([(1, "a b c d e f", 0), (2, None, 0), (3, "", 0), (1, "a b c d e f", 0)],
+                                  "item_id long, text string, doc_id int")
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.contaminated(odd_docs, bench).collect())
+    assert got == [(0, 1), (0, 1), (1, 1), (1, 1), (2, 1), (2, 1), (2, 1), (2, 1)]
+    assert decontaminate.contaminated(no_docs, bench).count() == 0
+    assert decontaminate.contaminated(odd_docs, bench.where("false")).count() == 0
+    assert decontaminate.drop_contaminated(odd_docs, bench).columns == odd_docs.columns
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    rng = np.random.default_rng(8)
+    terms = {"".join(rng.choice(list("abc"), rng.integers(5, 9))): 1.0 for _ in range(40)}
+    for k in (1, 2):
+        lex = toxicity.Lexicon(terms, k)
+        for _ in range(400):
+            w = "".join(rng.choice(list("abc"), rng.integers(4, 9)))
+            near = sorted((edit_distance(w, t), t) for t in terms)
+            got = lex.find(w)
+            want = (near[0][1], near[0][0]) if near[0][0] <= k else None
+            assert got == want
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = id_bucket("doc_id", 5) == 0
+    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels, held), held).collect()}
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out.values())
+    test = [(r["toxic"], out[r["doc_id"]]["predicted"]) for r in labels.collect() if out[r["doc_id"]]["held_out"]]
+    assert np.mean([a == b for a, b in test]) >= 0.95
+
+
+def test_toxicity_misspelling_and_quotation(spark):
+    rows, labels = [], []
+    for k in range(80):
+        rows.append((k, f"the {['meeting', 'garden', 'river'][k % 3]} was long and the weather number{k} fine"))
+        labels.append((k, 0))
+        rows.append((1000 + k, f"you are a worthless {['idiot', 'moron'][k % 2]} and number{k} that"))
+        labels.append((1000 + k, 1))
+    rows += [(5000, "you are a worthles idiott and that"), (5001, "the garden was fine"), (5002, None), (5003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = id_bucket("doc_id", 5) == 9
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), held)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, held).collect()}
+    assert got[5000] == 1 and got[5001] == got[5002] == got[5003] == 0
+    scorer = toxicity.Scorer(model.shared.value)
+    plain, quoted = scorer.features("you idiot go home"), scorer.features('he said the word "idiot" was used')
+    assert plain[0] > 0 and quoted[0] == 0 and quoted[2] > 0
+
+
+def test_toxicity_odd_rows(odd_docs, no_docs, spark):
+    held = id_bucket("doc_id", 5) == 0
+    for labels in ([(1, 0), (2, 1), (None, 1), (3, None)], []):
+        frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+        model = toxicity.fit(odd_docs, frame, held)
+        assert toxicity.score(odd_docs, model, held).count() == 12
+        assert toxicity.drop_toxic(odd_docs, model).columns == odd_docs.columns
+        assert toxicity.score(no_docs, model, held).count() == 0
+    empty = toxicity.fit(no_docs, spark.createDataFrame([], "doc_id long, toxic int"), held)
+    assert toxicity.drop_toxic(no_docs, empty).count() == 0
+
+
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = {r["doc_id"]: r["keep"] for r in weak_quality.quality(docs).collect()}
+    test = [(r["quality"], out[r["doc_id"]]) for r in labels.collect()]
+    assert np.mean([bool(q) == k for q, k in test]) >= 0.95
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(0)
+    n, acc = 20_000, np.array([0.9, 0.8, 0.7, 0.85, 0.6, 0.75, 0.9])
+    truth = rng.random(n) < 0.7
+    vote = np.where(rng.random((n, 7)) < acc, truth[:, None], ~truth[:, None]) * 2
+    vote[rng.random((n, 7)) < 0.2] = 1
+    pattern, count = np.unique((vote * 3 ** np.arange(7)).sum(1), return_counts=True)
+    m = weak_quality.label_model(pattern, count.astype(float))
+    assert abs(m["prior"] - 0.7) < 0.03
+    said = m["prob"][:, 1, 2] / (m["prob"][:, 1, 0] + m["prob"][:, 1, 2])
+    assert np.abs(said - acc).max() < 0.04
+
+
+def test_quality_odd_rows(odd_docs, no_docs):
+    got = weak_quality.quality(odd_docs).collect()
+    assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
+    assert weak_quality.quality(no_docs).count() == 0
+
+
+def test_secrets(spark):
+    rng = np.random.default_rng(1)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = []
+    for k in range(60):
+        rows += [(4 * k, f"and the garden password={hexa(18)} was long", "src1"),
+                 (4 * k + 1, f"it ends with token = \"{hexa(40)}\" and then", "src1"),
+                 (4 * k + 2, f"write to garden.{k + 10}@mail8.example.com or 10.20.30.{100 + k} now", "src2"),
+                 (4 * k + 3, f"card {4000000000000000 + k} was the number1234567 of it", "src2")]
+    rows += [(9000, None, None), (9001, "", None), (None, "password=0123abcd4567ef890a x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_forest.scan(df).collect()
+    bad = {r["doc_id"] for r in got if r["is_secret"]}
+    assert bad == {d for d, t, _ in rows if t and ("password" in t or "token" in t)}
+    found = secret_forest.scan(df)
+    clean = {r["doc_id"]: r["text"] for r in secret_forest.redact(df, found).where("doc_id < 8").collect()}
+    assert clean[0] == "and the garden password=[SECRET] was long" and clean[2] == rows[2][1]
+
+
+def test_secrets_odd_rows(odd_docs, no_docs):
+    for df in (odd_docs, no_docs):
+        found = secret_forest.scan(df)
+        out = secret_forest.redact(df, found)
+        assert out.columns == df.columns and out.count() == df.count()
+
+
+def test_secret_scan_is_native(docs):
+    plan = secret_forest.scan(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {r["doc_id"]: r["text"] for r in docs.collect()}
+    at, ids = docs, set(seen)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = corpus_pipeline.written(stage(spark, at, sf), f"test_{name}")
+        assert at.columns == docs.columns
+        rows = {r["doc_id"]: r["text"] for r in at.collect()}
+        if name == "near_dedup":
+            want = brute_components([(d, seen[d]) for d in ids], 80, 5)
+            assert set(rows) == {d for d in ids if want[d][1] == d}
+        elif name == "decontaminate":
+            items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            holds = {d for d in ids if any(t in seen[d] for t in items)}
+            assert not holds & set(rows) and len(ids - holds - set(rows)) <= 0.002 * len(ids)
+        elif name == "secrets":
+            assert set(rows) == ids and not any("AKIA" in t for t in rows.values() if t)
+        ids = set(rows)
+    pieces = corpus_pipeline.pack(spark, at, sf)
+    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == ids
