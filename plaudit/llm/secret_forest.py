@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plaudit.llm.common import written
 
-VALUE = r"([A-Za-z0-9+/_.@~\-]{10,200})[\"'`;,.)\]}>]*$"
+VALUE = r"([A-Za-z0-9+/_.@~\-]{10,200}={0,2})[\x22\x27\x60;,.)\]}>]*$"
 #: fixed values: names that stand before a credential, words that mark a made-up one
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"
@@ -50,12 +50,12 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source")
     place = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     near = f"slice(_words, greatest(i + 1 - {AROUND}, 1), least(i, {AROUND})) "
     after = f"slice(_words, i + 2, {AROUND})"
-    has = f"w rlike '[0-9]' and length(w) >= 10 and regexp_extract(w, r'{VALUE.replace(chr(39), chr(92) + chr(39))}', 1) rlike '[0-9]'"
+    has = f"w rlike '[0-9]' and length(w) >= 10 and regexp_extract(w, r'{VALUE}', 1) rlike '[0-9]'"
     value = F.regexp_extract("c.w", VALUE, 1)
     rows = (docs.select("doc_id", place.alias("path"), F.col(text).alias("_text")).where("_text rlike '[0-9]'")
             .select("doc_id", "path", F.split("_text", r"[\x20\x09-\x0D]+").alias("_words"))
             .selectExpr("doc_id", "path", f"""explode(filter(transform(_words, (w, i) ->
-                if({_sql(has)}, named_struct('word_no', i, 'w', w, 'before', {near}, 'after', {after}), null)),
+                if({has}, named_struct('word_no', i, 'w', w, 'before', {near}, 'after', {after}), null)),
                 x -> x is not null)) as c"""))
     return rows.select("doc_id", F.col("c.word_no").alias("word_no"), value.alias("value"),
                        F.regexp_extract("c.w", r"^[\"'`(\[{]*([A-Za-z][A-Za-z0-9_.\-]*)[\"']?[=:]", 1).alias("key"),
@@ -63,17 +63,11 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source")
                        F.col("c.after").alias("after")).where("value <> ''")
 
 
-def _sql(expr: str) -> str:
-    return expr.replace("\n", " ")
-
-
 def with_features(found: DataFrame) -> DataFrame:
     """Findings with a feature column each; ``finding`` names the finding."""
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
     size = F.length("value")
     share = lambda p: F.regexp_count("value", F.lit(p)) / size
-    last = F.element_at("before", -1)
-    near = F.concat_ws(" ", F.slice("before", -3, 3))
     base = (found.withColumn("length", size.cast("double"))
             .withColumn("digits", share("[0-9]")).withColumn("upper", share("[A-Z]")).withColumn("lower", share("[a-z]"))
             .withColumn("distinct", F.size(F.array_distinct(F.split("value", ""))) / size)
@@ -86,7 +80,6 @@ def with_features(found: DataFrame) -> DataFrame:
                                      | (F.col("key") != "")).cast("double"))
             .withColumn("quoted", F.col("word").rlike("[\"'`]").cast("double"))
             .withColumn("near_placeholder", F.concat_ws(" ", "before", "after").rlike(PLACEHOLDER).cast("double")))
-    del last, near
     around = found.select(F.explode(F.concat("before", "after")).alias("w")) \
         .select(F.lower(F.regexp_extract("w", r"^\W*([^\W\d_]+)\W*$", 1)).alias("w")).where("length(w) > 1")
     words = around.groupBy("w").agg(F.count("*").alias("n"))

@@ -3,8 +3,9 @@
 Overlapping heuristic labellers vote on every text (-1 low, 0 abstain, 1 high). The
 number of texts with each vote pattern (at most 3 to the number of labellers) is a
 grouped count over all documents; expectation-maximisation on that table estimates,
-without any given label, the share of good texts and each labeller's vote
-probabilities per class, and so the posterior of a pattern. The posteriors of a
+without any given label, the share of good texts and, for each labeller that does not
+abstain, how often it votes low on low and on high texts, and so the posterior of a
+pattern. Weak prior counts say that low votes are rare on high texts. The posteriors of a
 bounded sample of texts (``train_rows`` with the smallest id hash, one of each text)
 train a linear scorer over hashed words and hashed word shapes; it scores every
 whole text.
@@ -31,10 +32,13 @@ FUNCTION_WORDS = frozenset(
     "el los las en es por con se del para".split())
 SYMBOLS = b"#$%&*+<=>@^`{|}~\\"
 MARKS = b".,;:?"
-LABELLERS = ("symbols", "capitals", "variety", "lines", "function_words", "marks", "word_length")
+LABELLERS = ("symbols", "capitals", "variety", "lines", "function_words", "marks", "word_length", "plain_words",
+             "stutter")
 BUCKETS = 1 << 16
 CACHE_WORDS = 600_000
 _UPPER = bytes(range(65, 91))
+_LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum()) + b"'-"
+_AROUND_WORDS = b".,;:!?()\"'"
 _SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"))
 
 
@@ -53,11 +57,14 @@ def votes(text: bytes | None) -> list[int]:
     function = sum(w.lower() in _FUNCTION_BYTES for w in words) / n
     marks = (size - len(text.translate(None, MARKS))) / n
     mean = (size - n + 1) / n
+    stutter = sum(map(bytes.__eq__, words[1:], words)) / n
+    plain = sum(w.strip(_AROUND_WORDS).translate(None, _LETTERS) == b"" for w in words) / n
     pick = lambda low, high: -1 if low else 1 if high else 0
     return [pick(symbols > 0.04, symbols < 0.01), pick(capitals > 0.3, capitals < 0.1),
             pick(n >= 50 and variety < 0.25, n >= 20 and variety > 0.35), pick(again > 0.3, len(lines) > 2 and not again),
             pick(n >= 20 and function < 0.02, function > 0.08), pick(n >= 20 and marks < 0.01, 0.02 < marks < 0.5),
-            pick(mean < 2 or mean > 14, 3 < mean < 10)]
+            pick(mean < 2 or mean > 14, 3 < mean < 10), pick(n >= 8 and plain < 0.75, plain > 0.9),
+            pick(n >= 8 and stutter > 0.2, n >= 8 and stutter < 0.02)]
 
 
 _FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
@@ -74,25 +81,27 @@ def pattern_votes(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def label_model(pattern: np.ndarray, n: np.ndarray, rounds: int = 200) -> dict:
-    """EM over vote patterns: class share, vote probabilities (labeller, class, vote)
-    and each pattern's posterior of a good text. Starts from the majority."""
+def label_model(pattern: np.ndarray, n: np.ndarray, rounds: int = 200, weight: float = 0.02) -> dict:
+    """EM over vote patterns: share of high texts, each labeller's rates of low votes
+    on (low, high) texts, and each pattern's posterior of a high text. ``weight``: the
+    prior counts as a share of all texts."""
+    if not len(pattern):
+        return {"prior": 0.5, "low": np.tile([0.5, 0.03], (len(LABELLERS), 1)), "posterior": {}}
     v = pattern_votes(pattern)
-    one = np.eye(3)[v]  # pattern, labeller, vote
-    lean = (v - 1).sum(1)
-    post = 1 / (1 + np.exp(-lean.astype(float)))
-    prior, prob = 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
+    low, said = (v == 0).astype(float), (v != 1).astype(float)  # pattern, labeller
+    start = np.array([0.5, 0.03])  # low votes on low and on high texts
+    prior, rate, strength = 0.8, np.tile(start, (len(LABELLERS), 1)), weight * n.sum() + 1
+    post = np.zeros(len(pattern))
     for _ in range(rounds):
-        w = np.stack([(1 - post) * n, post * n])  # class, pattern
-        prior = (w[1].sum() + 1) / (w.sum() + 2)
-        counts = np.einsum("cp,plv->lcv", w, one) + 1.0
-        prob = counts / counts.sum(2, keepdims=True)
-        logs = np.einsum("plv,lcv->pc", one, np.log(prob)) + np.log([1 - prior, prior])
-        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
+        logs = np.stack([low @ np.log(rate[:, c]) + (said - low) @ np.log(1 - rate[:, c]) for c in (0, 1)], 1)
+        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] + np.log((1 - prior) / prior), -50, 50)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return {"prior": prior, "prob": prob, "posterior": dict(zip(pattern.tolist(), post.tolist()))}
+        for c, w in enumerate(((1 - post) * n, post * n)):
+            rate[:, c] = (w @ low + strength * start[c]) / (w @ said + strength)
+        prior = ((post * n).sum() + 0.8 * strength) / (n.sum() + strength)
+    return {"prior": prior, "low": rate, "posterior": dict(zip(pattern.tolist(), post.tolist()))}
 
 
 def shape(w: bytes) -> bytes:
@@ -177,13 +186,14 @@ def quality(docs: DataFrame, train_rows: int = 6000, keep: float = 0.5) -> DataF
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     table = texts.select("text").mapInArrow(_vote, "pattern long").groupBy("pattern").count().collect()
     model = label_model(np.array([r[0] for r in table], np.int64).reshape(-1),
-                        np.array([r[1] for r in table], float).reshape(-1))  # at most 3 ** 7 rows
+                        np.array([r[1] for r in table], float).reshape(-1))  # at most 3 ** 9 rows
     # the smallest hashes are found without the texts, so that only the sample's texts move
     limit = texts.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("h")) \
         .orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
     sample = texts.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)) <= F.lit(limit)) \
         .select("text").distinct().orderBy(F.xxhash64("text")).limit(train_rows) \
         .mapInArrow(_features, "pattern long, idx binary, val binary").collect()  # bounded by train_rows
+    sample = [r for r in sample if r["idx"]]  # texts without words teach nothing
     w, b = fit_linear([np.frombuffer(r["idx"], "<i4") for r in sample], [np.frombuffer(r["val"], "<f4") for r in sample],
                       np.array([model["posterior"][r["pattern"]] for r in sample]))
     return texts.mapInArrow(_scorer(spark.sparkContext.broadcast(w), b, keep),
