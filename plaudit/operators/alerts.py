@@ -6,9 +6,11 @@ expression, so evaluation is one projection over the stats frame, with no join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from string import Formatter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaudit import lexicons as L
@@ -16,15 +18,44 @@ from plaudit.operators import timeseries as ts
 
 Keys = Sequence[str]
 
-# (condition -> Spark format pattern, argument columns) for the fixed default messages
-_FORMATS = {
-    "positive_rate_below": ("Warning: Positive rate (%.1f%%) dropped below 50%%", ["_rate_pct"]),
-    "negative_reviews_spike": ("Warning: Negative reviews spike detected (recent: %d, avg: %.1f)",
-                               ["recent_negative", "avg_negative"]),
-    "total_reviews_below": ("Warning: Very few reviews collected (%d)", ["total"]),
+#: the named fields a rule's message may use, per condition
+FIELDS = {
+    "positive_rate_below": {"rate": lambda: F.try_divide(F.col("positive"), F.col("total")) * 100},
+    "negative_reviews_spike": {"recent": lambda: F.coalesce(F.col("recent_negative"), F.lit(0)),
+                               "avg": lambda: F.coalesce(F.col("avg_negative"), F.lit(1.0))},
+    "total_reviews_below": {"total": lambda: F.coalesce(F.col("total"), F.lit(0))},
 }
 
 
+def message_column(condition: str, template: str) -> Column:
+    """A rule's own text with its named fields filled in. A field may carry a number
+    format of the kind ``.1f``, ``d`` or ``.0%``; shown decimals are rounded half up."""
+    fmt, args = [], []
+    for literal, name, spec, _ in Formatter().parse(template):
+        fmt.append(literal.replace("%", "%%"))
+        if name is None:
+            continue
+        if name not in FIELDS[condition]:
+            raise ValueError(f"message of a {condition} rule has no field {name!r}")
+        value = FIELDS[condition][name]()
+        m = re.fullmatch(r"(,?)(?:\.(\d+))?([fd%]?)", spec or "")
+        if m is None:
+            raise ValueError(f"number format {spec!r} is not known")
+        comma, places, kind = m.groups()
+        if kind == "d" or (not spec and name != "rate" and name != "avg"):
+            fmt.append(f"%{comma}d")
+            value = value.cast("long")
+        elif not spec:
+            fmt.append("%s")
+            value = value.cast("string")
+        else:
+            n = int(places) if places is not None else 6
+            fmt.append(f"%{comma}.{n}f" + ("%%" if kind == "%" else ""))
+            value = F.round((value * 100 if kind == "%" else value).cast("double"), n)
+        args.append(value)
+    return F.format_string("".join(fmt), *args)
+
+
 def alert_stats(df: DataFrame, freq: str = "D", lookback: int = 7,
                 keys: Keys | None = ("app_id",)) -> DataFrame:
     """Per (app, bucket): total, positive, recent_negative (this bucket) and
@@ -42,16 +73,15 @@ def alert_stats(df: DataFrame, freq: str = "D", lookback: int = 7,
 
 def evaluate_alerts(stats: DataFrame, rules: Sequence[tuple] = L.DEFAULT_ALERT_RULES,
                     keys: Sequence[str] = ("app_id", "bucket")) -> DataFrame:
-    """One row per (stats row, fired rule) with the formatted message.
+    """One row per (stats row, fired rule) with the rule's own message, formatted.
 
     positive_rate_below: total > 0 and positive/total < threshold;
     negative_reviews_spike: recent_negative > avg_negative * threshold (missing
     average counts as 1, as in the original); total_reviews_below: total < threshold.
     """
-    s = stats.withColumn("_rate_pct", F.try_divide(F.col("positive"), F.col("total")) * 100)
     avg = F.coalesce(F.col("avg_negative"), F.lit(1.0))
     fired = []
-    for name, cond, thr, _msg in rules:
+    for name, cond, thr, template in rules:
         if cond == "positive_rate_below":
             c = (F.col("total") > 0) & (F.try_divide(F.col("positive"), F.col("total")) < thr)
         elif cond == "negative_reviews_spike":
@@ -60,25 +90,23 @@ def evaluate_alerts(stats: DataFrame, rules: Sequence[tuple] = L.DEFAULT_ALERT_R
             c = F.coalesce(F.col("total"), F.lit(0)) < thr
         else:
             raise ValueError(f"unknown condition {cond}")
-        fmt, args = _FORMATS[cond]
-        # numbers shown with one decimal are rounded first (half up), then formatted
-        arg_cols = [F.round(avg, 1) if a == "avg_negative" else
-                    F.round(F.col(a), 1) if a == "_rate_pct" else F.col(a) for a in args]
         fired.append(F.when(c, F.struct(F.lit(name).alias("rule"), F.lit(cond).alias("condition"),
-                                         F.format_string(fmt, *arg_cols).alias("message"))))
+                                         message_column(cond, template).alias("message"))))
     hits = F.filter(F.array(*fired), lambda x: x.isNotNull())
     ks = [k for k in keys if k in stats.columns]
-    return s.select(*ks, "total", "positive", "recent_negative", "avg_negative",
+    return stats.select(*ks, "total", "positive", "recent_negative", "avg_negative",
                     F.explode(hits).alias("a")).select(*ks, "a.*", "total", "positive",
                                                        "recent_negative", "avg_negative")
 
 
 def record_alerts(alerts: DataFrame, path: str, alerted_at=None) -> None:
     """Append fired alerts (with time) to a Parquet history table."""
-    ts_col = F.current_timestamp() if alerted_at is None else F.lit(alerted_at)
+    ts_col = (F.current_timestamp() if alerted_at is None else
+              alerted_at if isinstance(alerted_at, Column) else F.lit(alerted_at))
     alerts.withColumn("alerted_at", ts_col).write.mode("append").parquet(path)
 
 
 def alert_history(history: DataFrame, keep: int = 100) -> DataFrame:
-    """The newest ``keep`` alerts (time, rule, message, stats)."""
-    return history.orderBy(F.col("alerted_at").desc(), F.col("rule")).limit(keep)
+    """The newest ``keep`` alerts (time, rule, message, stats); ties by app and rule."""
+    ties = [F.col(c) for c in ("app_id", "rule", "message") if c in history.columns]
+    return history.orderBy(F.col("alerted_at").desc(), *ties).limit(keep)

@@ -187,9 +187,10 @@ def sentiment_by_topic(df: DataFrame, keys: Keys | None = None,
     return out.where(F.col("review_count") > 0)
 
 
-def corpus_has_cjk(df: DataFrame, sample: int = 100) -> DataFrame:
-    """Whether the first ``sample`` reviews (by time, id) contain CJK ideographs."""
-    first = df.orderBy("timestamp_created", "recommendation_id").limit(sample)
-    return first.agg(F.coalesce(F.max(F.coalesce(F.col("review"), F.lit(""))
-                                      .rlike(r"[\x{4e00}-\x{9fff}]").cast("int")), F.lit(0))
-                     .alias("has_cjk"))
+def corpus_has_cjk(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """Whether any review contains CJK ideographs; with ``sample``, whether any of the
+    first ones (by time, id) does."""
+    rows = df if sample is None else df.orderBy("timestamp_created", "recommendation_id").limit(sample)
+    return rows.agg(F.coalesce(F.max(F.coalesce(F.col("review"), F.lit(""))
+                                     .rlike(r"[\x{4e00}-\x{9fff}]").cast("int")), F.lit(0))
+                    .alias("has_cjk"))

@@ -326,3 +326,17 @@ def q_evaluate_alerts(spark, sf):
     rules = [(n, c, {"positive_rate_below": 0.8, "negative_reviews_spike": 1.2,
                      "total_reviews_below": 20.0}[c], m) for n, c, _t, m in L.DEFAULT_ALERT_RULES]
     return al.evaluate_alerts(al.alert_stats(review_events(spark, sf), "D", 7), rules)
+
+
+@register("evaluate_alerts_custom_message", f"""{E}, {ALERT_STATS}
+SELECT app_id, bucket, 'rate' AS rule,
+       printf('%.0f%% of 100%% in app', round(positive / total * 100, 0)) AS message
+FROM stats WHERE total > 0 AND positive / total < 0.85
+UNION ALL
+SELECT app_id, bucket, 'few', printf('{{%d}} reviews', total) FROM stats WHERE total < 25""")
+def q_evaluate_alerts_custom(spark, sf):
+    """Rules with texts of their own."""
+    rules = [("rate", "positive_rate_below", 0.85, "{rate:.0f}% of 100% in app"),
+             ("few", "total_reviews_below", 25, "{{{total}}} reviews")]
+    return al.evaluate_alerts(al.alert_stats(review_events(spark, sf), "D", 7), rules).select(
+        "app_id", "bucket", "rule", "message")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from plaudit.operators import alerts as al
+from plaudit.plans.q_analytics import ALERT_STATS
 from plaudit.plans.registry import register, rnd
 from plaudit.session import scratch_path
 from plaudit.sources import io
@@ -23,19 +25,22 @@ def _dirs(spark, name):
     return f"{base}/out", f"{base}/ckpt", f"{base}/src"
 
 
-# The staged files are not in time order (each holds several days), so the test
-# streams use a watermark covering the table's month; production streams arrive
-# roughly in order and use the operators' default of one day.
-DISORDER = "31 days"
+def disorder(rows) -> str:
+    """A watermark delay that covers the whole time span of staged rows: their files
+    are not in time order, and a row that came later than the delay would be dropped
+    (``run_to_end`` fails then)."""
+    lo, hi = rows.agg(F.min("timestamp_created"), F.max("timestamp_created")).first()
+    return f"{(hi or 0) - (lo or 0) + 86_400} seconds"
 
 
 def _events_stream(spark, sf, src_dir):
-    """Stage the derived review events as files (several per day) and open them
-    as a file stream, one file per micro-batch."""
+    """Stage the derived review events as files (several per day) and open them as a
+    file stream; returns the stream and the delay it needs."""
     ev = review_events(spark, sf).withColumn("day", F.to_date(F.timestamp_seconds("timestamp_created")))
     ev.repartition(8, "day").write.mode("overwrite").parquet(src_dir)
-    schema = spark.read.parquet(src_dir).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
+    staged = spark.read.parquet(src_dir)
+    return (spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 2).parquet(src_dir),
+            disorder(staged))
 
 
 @register("stream_daily_trend", f"""{E}
@@ -43,8 +48,7 @@ SELECT app_id, {DAY} AS date, count(*) AS total, CAST(sum(voted_up) AS BIGINT) A
 FROM review_events GROUP BY ALL""")
 def q_stream_daily_trend(spark, sf):
     out, ck, src = _dirs(spark, "daily")
-    q = jobs.upsert_sink(jobs.stream_daily_trend(_events_stream(spark, sf, src), DISORDER), out, ck)
-    q.awaitTermination()
+    jobs.run_to_end(jobs.upsert_sink(jobs.stream_daily_trend(*_events_stream(spark, sf, src)), out, ck))
     return jobs.read_upserts(spark, out, ["app_id", "date"])
 
 
@@ -59,22 +63,20 @@ FROM (SELECT DISTINCT window_start FROM w) w JOIN review_events e
 GROUP BY app_id, w.window_start""", ["positive_rate"]))
 def q_stream_rolling_rate(spark, sf):
     out, ck, src = _dirs(spark, "rolling")
-    q = jobs.upsert_sink(jobs.stream_rolling_rate(_events_stream(spark, sf, src), DISORDER), out, ck)
-    q.awaitTermination()
+    jobs.run_to_end(jobs.upsert_sink(jobs.stream_rolling_rate(*_events_stream(spark, sf, src)), out, ck))
     return jobs.read_upserts(spark, out, ["app_id", "window_start", "window_end"])
 
 
-@register("stream_dedupe", f"""{E} SELECT count(DISTINCT recommendation_id) AS n FROM review_events""")
+@register("stream_dedupe", f"""{E} SELECT DISTINCT recommendation_id FROM review_events""")
 def q_stream_dedupe(spark, sf):
     """Every event arrives twice; watermark dedupe keeps one of each."""
     out, ck, src = _dirs(spark, "dedupe")
     ev = review_events(spark, sf)
     ev.unionByName(ev).repartition(8).write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    q = (jobs.stream_dedupe(stream, DISORDER).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))
+    jobs.run_to_end(jobs.stream_dedupe(stream, disorder(ev)).writeStream.format("parquet").option("path", out)
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("recommendation_id")
 
 
 @register("stream_ingest", f"""{R} SELECT recommendation_id, app_id, timestamp_created FROM reviews""")
@@ -92,11 +94,33 @@ def q_stream_ingest(spark, sf):
     return io.read_reviews_table(spark, out).select("recommendation_id", "app_id", "timestamp_created")
 
 
-@register("stream_alerts", note="alerts per micro-batch; rows-only")
+RULES = [("low_rating", "positive_rate_below", 0.8, "Rate {rate:.1f}% is under 80%"),
+         ("negative_spike", "negative_reviews_spike", 1.2, "{recent} negative reviews, {avg:.1f} before")]
+
+
+@register("stream_alerts", f"""{E}, {ALERT_STATS}
+SELECT app_id, bucket, 'low_rating' AS rule,
+       printf('Rate %.1f%% is under 80%%', round(positive / total * 100, 1)) AS message
+FROM stats WHERE total > 0 AND positive / total < 0.8
+UNION ALL
+SELECT app_id, bucket, 'negative_spike',
+       printf('%d negative reviews, %.1f before', recent_negative, round(coalesce(avg_negative, 1.0), 1))
+FROM stats WHERE recent_negative > coalesce(avg_negative, 1.0) * 1.2""")
 def q_stream_alerts(spark, sf):
+    """The stream's alerts after its last batch equal those of the whole table."""
     out, ck, src = _dirs(spark, "alerts")
-    rules = [("low_rating", "positive_rate_below", 0.8,
-              "Warning: Positive rate ({rate:.1f}%) dropped below 50%")]
-    q = jobs.stream_alerts(_events_stream(spark, sf, src), out, ck, rules, watermark=DISORDER)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("app_id", "bucket", "rule", "message").distinct()
+    stream, delay = _events_stream(spark, sf, src)
+    jobs.run_to_end(jobs.stream_alerts(stream, out, ck, RULES, watermark=delay))
+    return jobs.read_stream_alerts(spark, out).select("app_id", "bucket", "rule", "message")
+
+
+@register("alert_history", f"""{E}, {ALERT_STATS}
+SELECT app_id, bucket, 'few' AS rule, printf('only %d reviews', total) AS message
+FROM stats WHERE total < 20 ORDER BY bucket DESC, app_id LIMIT 100""")
+def q_alert_history(spark, sf):
+    """Alerts recorded day by day, the newest 100 read back."""
+    out, _, _ = _dirs(spark, "history")
+    rules = [("few", "total_reviews_below", 20.0, "only {total} reviews")]
+    fired = al.evaluate_alerts(al.alert_stats(review_events(spark, sf), "D", 7), rules)
+    al.record_alerts(fired, out, F.col("bucket").cast("timestamp"))
+    return al.alert_history(spark.read.parquet(out)).select("app_id", "bucket", "rule", "message")

@@ -151,9 +151,9 @@ def q_sentiment_by_topic_test(spark, sf):
 @register("corpus_has_cjk", f"""{R}
 SELECT CAST(coalesce(max(CASE WHEN regexp_matches(coalesce(review, ''), '[\\x{{4e00}}-\\x{{9fff}}]')
                      THEN 1 ELSE 0 END), 0) AS BIGINT) AS has_cjk
-FROM (SELECT review FROM reviews ORDER BY timestamp_created, recommendation_id LIMIT 100)""")
+FROM reviews""")
 def q_corpus_has_cjk(spark, sf):
-    return kw.corpus_has_cjk(reviews(spark, sf), 100)
+    return kw.corpus_has_cjk(reviews(spark, sf))
 
 
 SCRIPT_SQL = f"""CASE WHEN regexp_matches({S.text()}, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh'

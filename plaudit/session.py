@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +51,9 @@ def get_session(master: str | None = None, app_name: str = "plaudit",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster is expected to name a shared, durable folder there. Only when
-    the setting is absent (local tests) do we create one of our own.
+    The cluster is expected to name a shared, durable folder there. Only in a
+    local session without the setting do we create one of our own; on a cluster a
+    folder of one machine would be read back in part, so that raises.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -63,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc.getCheckpointDir():
         d = sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="plaudit-ckpt-",
                              dir=os.environ.get("PLAUDIT_SCRATCH", "/tmp"))
         try:
@@ -71,11 +75,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-    _CKPT[id(sc)] = d
     return d
 
 
-_CKPT: dict[int, str] = {}
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or any match of a glob) exists, by Spark's own file systems;
+    any other failure, such as a missing permission, is raised."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

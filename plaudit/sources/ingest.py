@@ -21,12 +21,20 @@ def existing_ids(df: DataFrame) -> DataFrame:
 
 
 def dedupe_batch(batch: DataFrame) -> DataFrame:
-    """One row per id inside a batch, keeping the latest ``timestamp_updated``
-    (then ``timestamp_created``)."""
+    """One row per id inside a batch, keeping the latest ``timestamp_updated`` (then
+    ``timestamp_created``, then the smallest content hash, so that a re-run keeps the
+    same row). Rows without an id are not part of it: see ``rows_without_id``."""
     order = [F.col(c).desc_nulls_last() for c in ("timestamp_updated", "timestamp_created")
-             if c in batch.columns] or [F.lit(1)]
+             if c in batch.columns] + [F.xxhash64(*batch.columns)]
     w = Window.partitionBy("recommendation_id").orderBy(*order)
-    return batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return batch.where(F.col("recommendation_id").isNotNull()) \
+        .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def rows_without_id(batch: DataFrame) -> DataFrame:
+    """Every row of a batch that has no id, as it came (canonical column names): the
+    rejects of an import, none folded into another."""
+    return canonicalize_columns(batch).where(F.col("recommendation_id").isNull())
 
 
 def new_rows(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -37,17 +45,29 @@ def new_rows(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     return project_to_schema(b).withColumn("scraped_at", F.current_timestamp())
 
 
-def append_new(existing: DataFrame | None, batch: DataFrame, path: str) -> int:
-    """Append only new reviews to the partitioned table at ``path``; returns the
-    inserted count (observed during the write, no second pass)."""
+def append_new(existing: DataFrame | None, batch: DataFrame, path: str,
+               rejects_path: str | None = None) -> int:
+    """Append only new reviews to the partitioned table at ``path``; rows without an
+    id are appended to ``rejects_path`` (default: ``path`` + ``_rejects``). Returns the
+    inserted count; ``append_report`` returns the rejected one too."""
+    return append_report(existing, batch, path, rejects_path)["inserted"]
+
+
+def append_report(existing: DataFrame | None, batch: DataFrame, path: str,
+                  rejects_path: str | None = None) -> dict[str, int]:
+    """``append_new`` with the counts of inserted and rejected rows, observed during
+    the writes (no second pass)."""
     from plaudit.sources.io import write_reviews_table
-    obs = Observation("append_new")
-    rows = new_rows(existing, batch).observe(obs, F.count(F.lit(1)).alias("n"))
-    write_reviews_table(rows, path, "append")
-    try:
-        return int(obs.get.get("n", 0))
-    except Exception:  # noqa: BLE001 - no metrics are reported for an empty write
-        return 0
+    report = {}
+    for name, rows in (("inserted", new_rows(existing, batch)), ("rejected", rows_without_id(batch))):
+        obs = Observation(name)
+        rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
+        if name == "inserted":
+            write_reviews_table(rows, path, "append")
+        else:
+            rows.write.mode("append").option("mergeSchema", True).json(rejects_path or path.rstrip("/") + "_rejects")
+        report[name] = int(obs.get.get("n") or 0)
+    return report
 
 
 def import_summary(batch: DataFrame, existing: DataFrame | None = None,
@@ -60,7 +80,9 @@ def import_summary(batch: DataFrame, existing: DataFrame | None = None,
         b = b.join(ids, "recommendation_id", "left")
     else:
         b = b.withColumn("_stored", F.lit(None).cast("int"))
-    first = Window.partitionBy("recommendation_id").orderBy(F.col(file_col))
+    # rows without an id have a partition each: they never gather in one task
+    own = F.coalesce("recommendation_id", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    first = Window.partitionBy(own).orderBy(F.col(file_col))
     b = b.withColumn("_dup", F.when(F.col("recommendation_id").isNotNull(),
                                     F.row_number().over(first) > 1).otherwise(F.lit(False)))
     out = b.groupBy(file_col).agg(
@@ -84,7 +106,8 @@ def game_names(spark: SparkSession, overrides: dict | None = None,
 
 def with_game_name(df: DataFrame, games: DataFrame) -> DataFrame:
     """Attach the game name: known id -> name, unknown -> 'App <id>', null -> 'Unknown'.
-    The name table is configuration (a handful of rows), so it is broadcast."""
-    j = df.join(F.broadcast(games), "app_id", "left")
+    Spark broadcasts the name table if its size allows; a larger one is shuffled and
+    a hot app split by the skew join."""
+    j = df.join(games, "app_id", "left")
     return j.withColumn("game_name", F.when(F.col("app_id").isNull(), F.lit("Unknown"))
                         .otherwise(F.coalesce(F.col("game_name"), F.concat(F.lit("App "), F.col("app_id")))))

@@ -4,32 +4,54 @@ table, CSV / JSON exports, stop-word files and changed-file detection (2-A)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaudit.functions import coerce_epoch, normalize_flag
+from plaudit.session import path_exists
 from plaudit.sources.schema import FLAG_COLUMNS, REVIEW_FIELDS, REVIEW_SCHEMA
 
 # ------------------------------------------------------------------ CSV
 
 
-def read_review_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_review_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Header CSV with quoted multi-line text, all columns read as strings (typed
-    later with ``try_cast``), plus the source ``file_name``. ``path`` may be a glob."""
+    later with ``try_cast``), plus the source ``file_name``. ``path`` may be a glob or
+    a list; all files must have one header (``read_review_glob`` takes any). A file
+    whose header differs from ``columns`` raises."""
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("encoding", "UTF-8").option("mode", "PERMISSIVE"))
+         .option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("enforceSchema", False))
     if columns is not None:
         r = r.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = r.csv(path)
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def read_review_glob(spark: SparkSession, directory: str, pattern: str = "*_reviews.csv",
-                     columns: Sequence[str] | None = None) -> DataFrame:
-    """All review files of a folder in one scan (no per-file loop)."""
-    return read_review_csv(spark, f"{directory.rstrip('/')}/{pattern}", columns)
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header): the first line of every file, found by a distributed scan of
+    the files' first blocks."""
+    lines = (spark.read.text(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                     "value").where("at = 0").withColumn("n", F.monotonically_increasing_id()))
+    return lines.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+
+
+def read_review_glob(spark: SparkSession, directory: str, pattern: str = "*_reviews.csv") -> DataFrame:
+    """All review files of a folder, each by its own header: one scan per distinct
+    header, columns matched by (canonical) name, missing ones null."""
+    import csv
+    by_header: dict[tuple, list[str]] = {}
+    for r in file_headers(spark, f"{directory.rstrip('/')}/{pattern}").collect():  # one row per file
+        names = tuple(next(csv.reader([r["header"].lstrip("\ufeff")])))
+        by_header.setdefault(names, []).append(unquote(r["path"]))
+    parts = [canonicalize_columns(read_review_csv(spark, sorted(paths), list(names)))
+             for names, paths in sorted(by_header.items())]
+    if not parts:
+        return spark.createDataFrame([], "recommendation_id string, review string, file_name string")
+    return merge_page_schemas(*parts)
 
 
 def source_from_filename(c) -> Column:
@@ -150,8 +172,11 @@ def project_to_schema(df: DataFrame, schema: T.StructType = REVIEW_SCHEMA,
 
 def write_reviews_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet table partitioned by app, rows sorted by time inside each file so
-    min/max statistics prune time ranges (the index replacement)."""
-    (df.repartition("app_id").sortWithinPartitions("app_id", "timestamp_created")
+    min/max statistics prune time ranges (the index replacement). Rows are dealt by
+    ranges of (app, time, id), so an app with most of the rows is written by many
+    tasks."""
+    (df.repartitionByRange("app_id", "timestamp_created", "recommendation_id")
+       .sortWithinPartitions("app_id", "timestamp_created")
        .write.mode(mode).partitionBy("app_id").parquet(path))
 
 
@@ -175,20 +200,27 @@ def export_json(df: DataFrame, path: str, app_id: str | None = None) -> None:
 
 
 def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
-    """One word per line, stripped, blanks dropped; a missing file is empty."""
-    try:
-        t = spark.read.text(path)
-    except Exception:  # noqa: BLE001 - missing file -> empty list, as the original
+    """One word per line, stripped, blanks dropped; a missing file is empty (any
+    other failure is raised)."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "word string")
+    t = spark.read.text(path)
     return t.select(F.trim("value").alias("word")).where(F.col("word") != "")
 
 
+WHOLE_FILE = 1 << 30
+
+
 def changed_files(spark: SparkSession, path_glob: str, manifest: DataFrame | None = None,
                   max_age_hours: float = 24.0, now=None) -> DataFrame:
     """Files whose MD5 is not in the manifest (path, md5, checked_at), or whose last
-    check is older than ``max_age_hours``; newest first."""
-    files = (spark.read.format("binaryFile").load(path_glob)
-             .select("path", "modificationTime", F.md5("content").alias("md5")))
+    check is older than ``max_age_hours``; newest first. Files too large to be one
+    value (``WHOLE_FILE`` bytes) are told apart by length and modification time."""
+    found = spark.read.format("binaryFile").load(path_glob)
+    small = found.where(F.col("length") < WHOLE_FILE).select("path", "modificationTime", F.md5("content").alias("md5"))
+    large = found.where(F.col("length") >= WHOLE_FILE).select(
+        "path", "modificationTime", F.md5(F.concat_ws("|", "length", "modificationTime").cast("binary")).alias("md5"))
+    files = small.unionByName(large)
     if manifest is None:
         return files.withColumn("reason", F.lit("new")).orderBy(F.col("modificationTime").desc())
     now_c = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")

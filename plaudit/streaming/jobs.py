@@ -6,8 +6,8 @@
 * ``stream_dedupe``: watermark-bounded duplicate removal.
 * ``stream_daily_trend`` / ``stream_rolling_rate``: event-time windows with a
   watermark; results are upserted per window through foreachBatch.
-* ``stream_alerts``: windowed stats evaluated with the batch alert rules; fired
-  alerts go to the history table and to an optional handler.
+* ``stream_alerts``: windowed stats evaluated with the batch alert rules; every
+  evaluated day goes to the history table, by batch, and to an optional handler.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plaudit import lexicons as L
 from plaudit.operators import alerts as al
+from plaudit.session import path_exists
 from plaudit.sources import ingest, io
 
 
@@ -40,10 +41,10 @@ def stream_ingest(spark: SparkSession, source: str, table_path: str, checkpoint:
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         b = transform(batch) if transform else batch
-        try:
-            stored = io.read_reviews_table(b.sparkSession, table_path)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            stored = None
+        # no table before the first batch; any failure to open one is raised, or the
+        # whole batch would be appended as new
+        stored = (io.read_reviews_table(b.sparkSession, table_path)
+                  if path_exists(b.sparkSession, table_path) else None)
         ingest.append_new(stored, b, table_path)
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
@@ -81,7 +82,7 @@ def upsert_sink(agg: DataFrame, path: str, checkpoint: str, available_now: bool
     """Write an update-mode aggregation as an append-only change log (one row per
     changed key and batch); ``read_upserts`` returns the latest row per key."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        _replace_batch(batch.withColumn("_batch", F.lit(batch_id).cast("long")), path, batch_id)
 
     w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -90,36 +91,88 @@ def upsert_sink(agg: DataFrame, path: str, checkpoint: str, available_now: bool
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     log = spark.read.parquet(path)
-    vals = [c for c in log.columns if c not in keys and c != "_batch"]
+    vals = [c for c in log.columns if c not in keys and c not in ("_batch", "batch_id")]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("v"))
     return latest.select(*keys, "v.*")
 
 
+def late_rows_dropped(query: StreamingQuery) -> int:
+    """Rows that a finished query's state operators dropped as late."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress
+               for op in p["stateOperators"])
+
+
+def run_to_end(query: StreamingQuery) -> StreamingQuery:
+    """Wait for an available-now query; totals that miss late rows are an error."""
+    query.awaitTermination()
+    dropped = late_rows_dropped(query)
+    if dropped:
+        raise RuntimeError(f"{dropped} rows came later than the watermark allows; use a longer one")
+    return query
+
+
+def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write one micro-batch's folder; a replayed batch replaces its own rows."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
 def stream_alerts(df: DataFrame, history_path: str, checkpoint: str, rules=L.DEFAULT_ALERT_RULES,
-                  handler: Callable[[str], None] | None = None, lookback: int = 7,
+                  handler: Callable[[DataFrame, int], None] | None = None, lookback: int = 7,
                   processing_time: str | None = None, watermark: str = "1 day") -> StreamingQuery:
-    """Daily windowed stats per app; each micro-batch re-evaluates the changed days
-    (with the previous ``lookback`` days from the stats log) and records alerts."""
+    """Daily stats per app; each micro-batch re-evaluates the days that it changes:
+    its own days and the ``lookback`` days whose averages they enter, over a calendar
+    without gaps, as ``alert_stats`` does for a table. Every evaluated (app, day) is
+    recorded with the alerts it has now (none, too), so ``read_stream_alerts`` gives
+    the state after the last batch and a replayed batch changes nothing. ``handler``
+    gets the batch's alerts as a frame, to deliver them where it likes."""
     daily = stream_daily_trend(df, watermark)
     stats_path = history_path.rstrip("/") + "_stats"
+    day = F.expr("INTERVAL 1 DAY")
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(stats_path)
-        cur = read_upserts(spark, stats_path, ["app_id", "date"])
-        w = Window.partitionBy("app_id").orderBy("bucket").rowsBetween(-lookback, -1)
-        st = cur.withColumnRenamed("date", "bucket").withColumn(
-            "recent_negative", F.col("total") - F.col("positive")).withColumn(
-            "avg_negative", F.avg("recent_negative").over(w))
-        changed = batch.select("app_id", F.col("date").alias("bucket"))
-        fired = al.evaluate_alerts(st.join(changed, ["app_id", "bucket"], "left_semi"), rules)
-        fired = fired.withColumn("batch_id", F.lit(batch_id)).withColumn("alerted_at", F.current_timestamp())
-        fired.write.mode("append").parquet(history_path)
+        _replace_batch(batch, stats_path, batch_id)
+        changed = spark.read.parquet(f"{stats_path}/batch_id={batch_id}")
+        first, last = changed.agg(F.min("date"), F.max("date")).first()
+        if first is None:
+            return
+        log = spark.read.parquet(stats_path)
+        span = log.groupBy("app_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+        # an app's last day moves when the batch brings a newer one, so days after the
+        # batch's own are looked at as far as the averages reach
+        near = (log.where(F.col("date").between(F.lit(first) - F.expr(f"INTERVAL {lookback} DAYS"),
+                                                F.lit(last) + F.expr(f"INTERVAL {lookback} DAYS")))
+                .groupBy("app_id", "date").agg(F.max_by(F.struct("total", "positive"), "batch_id").alias("v"))
+                .select("app_id", "date", "v.*"))
+        apps = changed.select("app_id").distinct()
+        cal = (span.join(apps, "app_id").select("app_id", F.explode(F.sequence(
+            F.greatest("lo", (F.lit(first) - F.expr(f"INTERVAL {lookback} DAYS")).cast("date")),
+            F.least("hi", (F.lit(last) + F.expr(f"INTERVAL {lookback} DAYS")).cast("date")), day)).alias("date")))
+        filled = cal.join(near, ["app_id", "date"], "left").fillna(0, ["total", "positive"])
+        w = Window.partitionBy("app_id").orderBy("date").rowsBetween(-lookback, -1)
+        stats = (filled.withColumn("recent_negative", F.col("total") - F.col("positive"))
+                 .withColumn("avg_negative", F.avg("recent_negative").over(w))
+                 .where(F.col("date") >= F.lit(first)).withColumnRenamed("date", "bucket"))
+        alerts = al.evaluate_alerts(stats, rules).groupBy("app_id", "bucket").agg(
+            F.collect_list(F.struct("rule", "condition", "message", "total", "positive", "recent_negative",
+                                    "avg_negative")).alias("alerts"))
+        _replace_batch(stats.select("app_id", "bucket").join(alerts, ["app_id", "bucket"], "left")
+                       .withColumn("alerted_at", F.current_timestamp()), history_path, batch_id)
         if handler is not None:
-            # alerts are few by construction (apps x rules per batch); deliver them
-            for row in fired.select("message").toLocalIterator():
-                handler(row["message"])
+            done = spark.read.parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}")
+            handler(done.select("app_id", "bucket", F.explode("alerts").alias("a")).select("app_id", "bucket", "a.*"),
+                    batch_id)
 
     w = daily.writeStream.outputMode("update").foreachBatch(check).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()
+
+
+def read_stream_alerts(spark: SparkSession, history_path: str) -> DataFrame:
+    """The alerts that hold after the last batch: of each (app, day) those of its
+    latest evaluation."""
+    log = spark.read.parquet(history_path)
+    latest = log.groupBy("app_id", "bucket").agg(
+        F.max_by(F.struct("alerts", "alerted_at"), "batch_id").alias("v"))
+    return latest.select("app_id", "bucket", F.explode("v.alerts").alias("a"), "v.alerted_at") \
+        .select("app_id", "bucket", "a.*", "alerted_at")
