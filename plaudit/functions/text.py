@@ -134,9 +134,9 @@ def has_cjk(c) -> Column:
     return text_or_empty(c).rlike(f"[{CJK}]")
 
 
-def script_language(c, kana_first: bool = False) -> Column:
-    """any CJK ideograph -> zh, kana -> ja, hangul -> ko, else en. The original tests
-    ideographs first (so Japanese with kanji is zh); ``kana_first`` swaps that."""
+def script_language(c, kana_first: bool = True) -> Column:
+    """Kana -> ja, any CJK ideograph -> zh, hangul -> ko, else en. The original tests
+    ideographs first (so Japanese with kanji is zh): ``kana_first=False``."""
     t = text_or_empty(c)
     zh = t.rlike(f"[{CJK}]")
     ja = t.rlike(r"[\x{3040}-\x{309f}\x{30a0}-\x{30ff}]")

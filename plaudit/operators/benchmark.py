@@ -13,7 +13,6 @@ from plaudit.functions.cleaning import round_to
 from plaudit import lexicons as L
 from plaudit.functions import any_contained, benchmark_intensity, lower_text, simple_quality
 from plaudit.functions.cleaning import ASCII_WS, norm_ws
-from plaudit.operators.timeseries import percentile_rank, rank_average
 
 DIMS = L.BENCHMARK_DIMENSIONS
 
@@ -68,21 +67,35 @@ def benchmark_games(df: DataFrame, key: str = "app_id", approx_variety: bool = F
         "topic_variety", round_to(F.coalesce("topic_variety", F.lit(0.0)), 2))
 
 
-def rank_games(bench: DataFrame) -> DataFrame:
+def _by_dimension(bench: DataFrame, dims, key: str, value) -> DataFrame:
+    """Apply ``value(dimension window)`` to all dimensions at once: the table is
+    unpivoted, windows are partitioned by dimension (and tie), and the result is
+    pivoted back by one grouped aggregate."""
+    long = bench.select(key, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("d"), F.col(c).cast("double").alias("v")) for i, c in enumerate(dims)])).alias("s")) \
+        .select(key, "s.d", "s.v")
+    got = long.select(key, "d", value.alias("x"))
+    return got.groupBy(key).agg(*[F.max(F.when(F.col("d") == i, F.col("x"))).alias(f"_x{i}")
+                                  for i in range(len(dims))])
+
+
+def rank_games(bench: DataFrame, key: str = "app_id") -> DataFrame:
     """Average-tie descending rank per dimension -> ``<dim>_rank``. Runs over the
     per-game table (one row per game)."""
-    out = bench
-    for d in DIMS:
-        out = rank_average(out, d, f"{d}_rank")
-    return out
+    rank = F.rank().over(Window.partitionBy("d").orderBy(F.col("v").desc()))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("d", "v"))
+    got = _by_dimension(bench, DIMS, key, rank + (ties - 1) / 2.0)
+    return bench.join(got, key).select(*bench.columns, *[F.col(f"_x{i}").alias(f"{d}_rank")
+                                                         for i, d in enumerate(DIMS)])
 
 
-def game_percentiles(bench: DataFrame, dims=DIMS) -> DataFrame:
+def game_percentiles(bench: DataFrame, dims=DIMS, key: str = "app_id") -> DataFrame:
     """Strictly-smaller percentile per dimension -> ``<dim>_percentile``."""
-    out = bench
-    for d in dims:
-        out = percentile_rank(out, d, f"{d}_percentile")
-    return out
+    rank = F.rank().over(Window.partitionBy("d").orderBy(F.col("v").asc()))
+    n = F.count(F.lit(1)).over(Window.partitionBy("d"))
+    got = _by_dimension(bench, dims, key, (rank - 1) / n * 100.0)
+    return bench.join(got, key).select(*bench.columns, *[F.col(f"_x{i}").alias(f"{d}_percentile")
+                                                         for i, d in enumerate(dims)])
 
 
 def strengths_weaknesses(ranked: DataFrame, key: str = "app_id") -> DataFrame:

@@ -34,9 +34,11 @@ def profile_language(text, profiles: dict[str, list[str]] | None = None) -> Colu
     return F.when(best > 0, out)
 
 
-def detect_language(df: DataFrame, col: str = "review", out: str = "detected_language") -> DataFrame:
-    """blank -> 'unknown'; CJK / kana / hangul by script; else profile vote; else 'en'."""
-    script = script_language(col)
+def detect_language(df: DataFrame, col: str = "review", out: str = "detected_language",
+                    legacy_order: bool = False) -> DataFrame:
+    """blank -> 'unknown'; kana / CJK / hangul by script; else profile vote; else 'en'.
+    ``legacy_order``: the original's order of scripts (ideographs before kana)."""
+    script = script_language(col, kana_first=not legacy_order)
     lang = (F.when(is_blank(col), F.lit("unknown"))
             .when(script != "en", script)
             .otherwise(F.coalesce(profile_language(col), F.lit("en"))))

@@ -22,9 +22,10 @@ def _keys(keys) -> list[str]:
     return [] if keys is None else ([keys] if isinstance(keys, str) else list(keys))
 
 
-def latest_timestamp(df: DataFrame) -> int | None:
-    """The data's newest timestamp (one scalar), used as 'now' for recency."""
-    return df.agg(F.max("timestamp_created")).first()[0]
+def latest_timestamp(df: DataFrame) -> Column:
+    """The data's newest timestamp, used as 'now' for recency: a scalar inside the
+    plan (no job runs before the plan does)."""
+    return df.agg(F.max("timestamp_created")).scalar()
 
 
 def score_reviews(df: DataFrame, as_of: int | Column | None = None) -> DataFrame:
@@ -44,17 +45,19 @@ def score_reviews(df: DataFrame, as_of: int | Column | None = None) -> DataFrame
         "quality_score", "helpfulness", "opinion_intensity", "recency", "detail_level"))
 
 
-OUTPUT = ["rank", "recommendation_id", "recommendation_score", "quality_score", "sentiment",
-          "helpful_votes", "author_steam_id", "playtime", "timestamp_created"]
-
-
 def _output(df: DataFrame, ks: list[str]) -> DataFrame:
+    def number(name: str) -> Column:
+        return (F.coalesce(F.col(name), F.lit(0)) if name in df.columns else F.lit(0)).cast("long")
+
+    author = F.col("author_num_reviews").cast("string") if "author_num_reviews" in df.columns else F.lit(None)
     return df.select(*ks, "rank", "recommendation_id",
                      round_to("recommendation_score", 2).alias("recommendation_score"),
                      round_to("quality_score", 2).alias("quality_score"),
                      F.when(F.col("voted_up") == 1, "Positive").otherwise("Negative").alias("sentiment"),
                      F.coalesce(F.col("votes_up"), F.lit(0)).cast("long").alias("helpful_votes"),
-                     "author_steam_id",
+                     number("helpful_count").alias("helpful_count"),
+                     F.coalesce(author, F.lit("Unknown")).alias("author"),
+                     F.coalesce("review", F.lit("")).alias("review_text"), "author_steam_id",
                      F.coalesce(F.col("author_playtime_forever"), F.lit(0)).cast("long").alias("playtime"),
                      "timestamp_created")
 

@@ -239,7 +239,7 @@ def train_toxicity_baseline(labelled: DataFrame, text_col: str = "text", label_c
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_feat")
     lr = LogisticRegression(featuresCol="_feat", labelCol=label_col, maxIter=20, regParam=0.01)

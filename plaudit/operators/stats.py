@@ -172,51 +172,94 @@ def sentiment_share_by(df: DataFrame, key: str, keys: Keys | None = None) -> Dat
     return out.withColumn("Negative", 1 - F.col("Positive"))
 
 
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, _n): how often each value occurs. The shuffle is keyed by the value
+    too, so one large group spreads over all tasks."""
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """Join a frame that has one row per key. The rows of a key are dealt out over
+    ``salts`` parts and the small side is repeated once per part, so a hot key never
+    meets in one task, whatever join Spark picks."""
+    part = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", part).join(each, [*keys, "_salt"]).drop("_salt")
+
+
+def exact_quantiles(counts: DataFrame, keys: list[str], probs: Sequence[float], chunks: int = 4096) -> DataFrame:
+    """Linear-interpolation quantiles per key from value counts: one row per key with
+    ``_q`` (array), ``_lo``, ``_hi`` and ``_total``.
+
+    The value range of a key is cut into ``chunks`` equal stretches. Running counts
+    are taken per (key, stretch), the offsets of the stretches come from a window over
+    at most ``chunks`` rows per key, and the two order statistics of each quantile are
+    picked by a partial maximum."""
+    rng = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    at = F.when(F.col("_hi") > F.col("_lo"),
+                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * chunks)).otherwise(F.lit(0))
+    placed = join_small(counts, rng, keys).withColumn("_c", at.cast("long"))
+    inside = Window.partitionBy(*keys, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offs = placed.groupBy(*keys, "_c").agg(F.sum("_n").alias("_cn")).select(
+        *keys, "_c", F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_off"))
+    ranked = placed.withColumn("_to", F.sum("_n").over(inside)).join(offs, [*keys, "_c"]) \
+        .withColumn("_to", F.col("_to") + F.col("_off")).withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def order_stat(i):
+        return F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_v")))
+
+    pos = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    got = ranked.groupBy(*keys, "_lo", "_hi", "_total").agg(
+        *[order_stat(F.floor(x)).alias(f"_a{k}") for k, x in enumerate(pos)],
+        *[order_stat(F.ceil(x)).alias(f"_b{k}") for k, x in enumerate(pos)])
+    q = [F.when(F.ceil(x) == F.floor(x), F.col(f"_a{k}"))
+         .otherwise((F.ceil(x) - x) * F.col(f"_a{k}") + (x - F.floor(x)) * F.col(f"_b{k}"))
+         for k, x in enumerate(pos)]
+    return got.select(*keys, F.array(*q).alias("_q"), "_lo", "_hi", "_total")
+
+
 def box_stats(df: DataFrame, value: str, by: str = "voted_up", keys: Keys | None = None,
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Five-number summary per ``by`` value: quartiles (linear interpolation) and
-    Tukey whiskers (min/max inside 1.5 IQR), the second pass joining the per-group
-    quartiles (one row per group) back to the rows.
+    Tukey whiskers (min/max inside 1.5 IQR), all from the counts of distinct values.
 
-    ``approx=True`` uses the mergeable sketch (percentile_approx) whose memory is
-    bounded per group; the exact version keeps a value->count map per group.
+    ``approx=True`` takes the quartiles from the mergeable sketch
+    (percentile_approx), whose memory is bounded per group.
     """
     ks = [*_keys(keys), by]
-    v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
+    counts = _value_counts(df.where(F.col(by).isNotNull()), ks, value)
     if approx:
-        qs = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        v = F.col(value).cast("double")
+        q = df.where(v.isNotNull() & F.col(by).isNotNull()).groupBy(*ks).agg(
+            F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"), F.count(F.lit(1)).alias("_total"))
     else:
-        qs = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    q = base.groupBy(*ks).agg(qs.alias("_q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*ks, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+        q = exact_quantiles(counts, ks, (0.25, 0.5, 0.75))
+    q = q.select(*ks, F.col("_total").alias("n"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    w = base.select(*ks, v.alias("_v")).join(q, ks).groupBy(*ks, "n", "q1", "median", "q3").agg(
+    return join_small(counts, q, ks).groupBy(*ks, "n", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(F.col("_v") <= hi, F.col("_v"))).alias("whisker_high"),
         F.min("_v").alias("min"), F.max("_v").alias("max"))
-    return w
 
 
 def histogram(df: DataFrame, col: str, nbins: int = 10, keys: Keys | None = None) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin is right-closed; empty bins kept.
-    The per-group range (one row per group) is joined back; AQE broadcasts it when its runtime size is under the threshold."""
+    Bins are counted from the counts of distinct values."""
     ks = _keys(keys) or ["_g"]
-    base = df.where(F.col(col).isNotNull())
-    if ks == ["_g"]:
-        base = base.withColumn("_g", F.lit(0))
-    base = base.select(*ks, F.col(col).cast("double").alias("_v"))
-    rng = base.groupBy(*ks).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    base = df.withColumn("_g", F.lit(0)) if ks == ["_g"] else df
+    counts = _value_counts(base, ks, col)
+    rng = counts.groupBy(*ks).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.least(
         F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * nbins) + 1,
         F.lit(nbins))).cast("int")
-    counts = base.join(rng, ks).groupBy(*ks, idx.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+    per_bin = join_small(counts, rng, ks).groupBy(*ks, idx.alias("bin")).agg(F.sum("_n").alias("n"))
     width = (F.col("hi") - F.col("lo")) / nbins
     grid = rng.select(*ks, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(nbins))).alias("bin"))
-    out = grid.join(counts, [*ks, "bin"], "left").select(
+    out = grid.join(per_bin, [*ks, "bin"], "left").select(
         *ks, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_low"),
         (F.col("lo") + F.col("bin") * width).alias("bin_high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -224,60 +267,58 @@ def histogram(df: DataFrame, col: str, nbins: int = 10, keys: Keys | None = None
 
 
 def describe_scores(df: DataFrame, col: str, keys: Keys | None = None) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 % (linear), max."""
+    """count, mean, std (sample), min, 25/50/75 % (linear, exact), max."""
+    ks = _keys(keys) or ["_g"]
+    base = df.withColumn("_g", F.lit(0)) if ks == ["_g"] else df
     v = F.col(col).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = _agg(df, keys, F.count(v).alias("count"), F.avg(v).alias("mean"),
-               F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"),
-               F.max(v).alias("max"))
-    return out.select(*_keys(keys), "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max")
+    plain = base.groupBy(*ks).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                  F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(_value_counts(base, ks, col), ks, (0.25, 0.5, 0.75)).select(*ks, "_q")
+    out = plain.join(q, ks, "left").select(*ks, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                                           F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    return out.drop("_g")
 
 
 # ---------------------------------------------------------------- correlation
 
-def _betacf(a, b, x, iters=200):
+def _beta_fraction(a, b, x, tolerance=1e-15, most=100_000):
+    """Continued fraction of the incomplete beta function (DLMF 8.17.22) by its
+    convergents, scaled as they grow, until none of them moves any more."""
     import numpy as np
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-    return h
+    num, num_before = np.ones_like(x), np.zeros_like(x)
+    den, den_before = np.ones_like(x), np.ones_like(x)
+    value = np.ones_like(x)
+    for k in range(1, most):
+        half = k // 2
+        if k % 2:
+            step = -(a + half) * (a + b + half) * x / ((a + k - 1) * (a + k))
+        else:
+            step = half * (b - half) * x / ((a + k - 1) * (a + k))
+        num, num_before = num + step * num_before if k > 1 else np.ones_like(x), num
+        den, den_before = den + step * den_before, den
+        size = np.maximum(np.abs(den), np.abs(num))
+        num, num_before, den, den_before = num / size, num_before / size, den / size, den_before / size
+        new = num / den
+        if k > 1 and np.all(np.abs(new - value) <= tolerance * np.abs(new)):
+            return new
+        value = new
+    return value
 
 
 def student_t_two_sided_p(t, df):
-    """Two-sided p-value of Student's t via the regularised incomplete beta."""
+    """Two-sided p-value of Student's t: the regularised incomplete beta function
+    at df / (df + t^2), taken from the side where its fraction converges fast."""
     import numpy as np
-    t = np.asarray(t, dtype=float)
-    df = np.asarray(df, dtype=float)
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    lbeta = np.vectorize(math.lgamma)(a + b) - np.vectorize(math.lgamma)(a) - math.lgamma(b)
-    front = np.exp(np.log(np.clip(x, 1e-300, 1)) * a + np.log(np.clip(1 - x, 1e-300, 1)) * b + lbeta)
-    use_direct = x < (a + 1) / (a + b + 2)
-    ib_direct = front * _betacf(a, b, x) / a
-    ib_sym = 1.0 - front * _betacf(b, a, 1 - x) / b
-    return np.where(use_direct, ib_direct, ib_sym)
+    t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
+    x, a, b = df / (df + t * t), df / 2.0, np.full_like(df, 0.5)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    tiny = np.finfo(float).tiny
+    edge = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(np.maximum(x, tiny))
+                  + b * np.log(np.maximum(1 - x, tiny)))
+    near = x < (a + 1) / (a + b + 2)
+    p, q, y = np.where(near, a, b), np.where(near, b, a), np.where(near, x, 1 - x)
+    part = edge * _beta_fraction(p, q, y) / p
+    return np.where(near, part, 1.0 - part)
 
 
 @F.pandas_udf(T.DoubleType())

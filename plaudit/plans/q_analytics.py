@@ -156,7 +156,8 @@ scored AS (SELECT *, (quality_score / 100.0 * 0.35 + helpfulness * 0.25 + opinio
 
 OUT = """rank, recommendation_id, round(recommendation_score, 2) AS recommendation_score,
   round(quality_score, 2) AS quality_score, CASE WHEN voted_up = 1 THEN 'Positive' ELSE 'Negative' END AS {s},
-  CAST(coalesce(votes_up, 0) AS BIGINT) AS helpful_votes, author_steam_id,
+  CAST(coalesce(votes_up, 0) AS BIGINT) AS helpful_votes, CAST(helpful_count AS BIGINT) AS helpful_count,
+  CAST(author_num_reviews AS VARCHAR) AS author, coalesce(review, '') AS review_text, author_steam_id,
   CAST(trunc(coalesce(author_playtime_forever, 0)) AS BIGINT) AS playtime, timestamp_created"""
 
 

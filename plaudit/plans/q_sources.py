@@ -258,15 +258,17 @@ SELECT app_id, count(*) AS n_all, count_if(NOT {S.is_blank()}) AS n_not_blank,
        count_if(review IS NOT NULL AND author_playtime_forever IS NOT NULL) AS n_complete
 FROM reviews GROUP BY app_id""")
 def q_review_filters(spark, sf):
-    """drop_blank_reviews, long_reviews and dropna_subset, counted per app."""
+    """drop_blank_reviews, long_reviews and dropna_subset, counted per app in one pass:
+    every filter marks the rows that it keeps."""
     from plaudit.operators import filters as fl
-    df = reviews(spark, sf)
-    a = df.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_all"))
-    b = fl.drop_blank_reviews(df).groupBy("app_id").agg(F.count(F.lit(1)).alias("n_not_blank"))
-    c = fl.long_reviews(df, 20).groupBy("app_id").agg(F.count(F.lit(1)).alias("n_long"))
-    d = fl.dropna_subset(df, ["review", "author_playtime_forever"]).groupBy("app_id").agg(
-        F.count(F.lit(1)).alias("n_complete"))
-    return a.join(b, "app_id", "left").join(c, "app_id", "left").join(d, "app_id", "left").fillna(0)
+    df = reviews(spark, sf).select("app_id", "review", "author_playtime_forever")
+    marked = fl.drop_blank_reviews(df).select("app_id", F.lit(1).alias("kind"))
+    marked = marked.unionByName(fl.long_reviews(df, 20).select("app_id", F.lit(2).alias("kind")))
+    marked = marked.unionByName(fl.dropna_subset(df, ["review", "author_playtime_forever"])
+                                .select("app_id", F.lit(3).alias("kind")))
+    marked = marked.unionByName(df.select("app_id", F.lit(0).alias("kind")))
+    return marked.groupBy("app_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(
+        ("n_all", "n_not_blank", "n_long", "n_complete"))])
 
 
 @register("drop_all_null_columns", f"""{R}

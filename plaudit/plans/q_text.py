@@ -156,9 +156,39 @@ def q_corpus_has_cjk(spark, sf):
     return kw.corpus_has_cjk(reviews(spark, sf))
 
 
-SCRIPT_SQL = f"""CASE WHEN regexp_matches({S.text()}, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh'
-  WHEN regexp_matches({S.text()}, '[\\x{{3040}}-\\x{{309f}}\\x{{30a0}}-\\x{{30ff}}]') THEN 'ja'
-  WHEN regexp_matches({S.text()}, '[\\x{{ac00}}-\\x{{d7af}}]') THEN 'ko' ELSE 'en' END"""
+def _script_sql(text: str, kana_first: bool = True) -> str:
+    kana = f"WHEN regexp_matches({text}, '[\\x{{3040}}-\\x{{309f}}\\x{{30a0}}-\\x{{30ff}}]') THEN 'ja' "
+    han = f"WHEN regexp_matches({text}, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh' "
+    first, second = (kana, han) if kana_first else (han, kana)
+    return (f"CASE {first}{second}WHEN regexp_matches({text}, '[\\x{{ac00}}-\\x{{d7af}}]') THEN 'ko' "
+            "ELSE 'en' END")
+
+
+SCRIPT_SQL = _script_sql(S.text())
+#: letters swapped for other scripts, so that texts hold kana, ideographs and hangul
+SWAPS = {0: ("aeiou", "かなカタん"), 1: ("thern", "漢字文学人"), 2: ("aethn", "かな漢字人"), 3: ("aeton", "한국어문장")}
+_SWAP_SQL = "CASE CAST(recommendation_id AS BIGINT) % 5 " + " ".join(
+    f"WHEN {k} THEN translate(review, '{a}', '{b}')" for k, (a, b) in SWAPS.items()) + " ELSE review END"
+
+
+def _swapped(df):
+    k = F.col("recommendation_id").cast("long") % 5
+    text = F.when(k == 0, F.translate("review", *SWAPS[0]))
+    for i in (1, 2, 3):
+        text = text.when(k == i, F.translate("review", *SWAPS[i]))
+    return df.withColumn("review", text.otherwise(F.col("review")))
+
+
+@register("detect_language_scripts", f"""{R}, s AS (SELECT {_SWAP_SQL} AS review FROM reviews),
+d AS (SELECT {_script_sql("review")} AS script, {_script_sql("review", False)} AS legacy FROM s
+      WHERE regexp_matches(review, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}]'))
+SELECT script AS detected_language, legacy AS legacy_language, count(*) AS n FROM d GROUP BY ALL""")
+def q_detect_language_scripts(spark, sf):
+    """Texts with kana, ideographs and hangul derived from the reviews."""
+    df = _swapped(reviews(spark, sf)).where(
+        F.col("review").rlike(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"))
+    out = lg.detect_language(lg.detect_language(df), out="legacy_language", legacy_order=True)
+    return out.groupBy("detected_language", "legacy_language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("language_codes", f"""{R}

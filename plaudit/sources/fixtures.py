@@ -41,6 +41,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 20).alias("votes_up"),
         (k % 7).alias("votes_funny"),
         F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("written_during_early_access"),
+        (k % 11).alias("helpful_count"),
+        (k % 13 + 1).alias("author_num_reviews"),
+        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("primarily_steam_deck"),
+        ((k % 21 - 10) / 10.0).alias("sentiment_score"),
+        F.when(k % 5 == 0, F.lit("fr")).otherwise(F.col("lang")).alias("detected_language"),
     )
 
 
@@ -69,7 +74,12 @@ REVIEWS_CTE_SQL = """reviews AS (
          CAST(e.user_id AS VARCHAR) AS author_steam_id,
          CAST(json_extract(e.props, '$.k') AS INTEGER) % 20 AS votes_up,
          CAST(json_extract(e.props, '$.k') AS INTEGER) % 7 AS votes_funny,
-         CASE WHEN e.event_type = 'signup' THEN 1 ELSE 0 END AS written_during_early_access
+         CASE WHEN e.event_type = 'signup' THEN 1 ELSE 0 END AS written_during_early_access,
+         CAST(json_extract(e.props, '$.k') AS INTEGER) % 11 AS helpful_count,
+         CAST(json_extract(e.props, '$.k') AS INTEGER) % 13 + 1 AS author_num_reviews,
+         CASE WHEN e.event_type = 'view' THEN 1 ELSE 0 END AS primarily_steam_deck,
+         (CAST(json_extract(e.props, '$.k') AS INTEGER) % 21 - 10) / 10.0 AS sentiment_score,
+         CASE WHEN CAST(json_extract(e.props, '$.k') AS INTEGER) % 5 = 0 THEN 'fr' ELSE d.lang END AS detected_language
   FROM documents d
   JOIN events e ON e.event_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id
