@@ -1,19 +1,20 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Benchmark items and documents are sequences of word symbols (lower case, ASCII
-punctuation taken as space). For every item length, item-sized windows of a document
-are embedded by the CGK random walk: at step j the current symbol is copied out and
-the walk moves on to the next symbol iff a random bit of (j, symbol) says so, so words
-after an edit fall back into step and edit distance becomes Hamming distance.
-``repeats`` independent walks, each sampled at ``tables`` sets of ``bits`` positions,
-give the hash keys; a window that shares a key with an item is a candidate, and its
-exact word edit distance to the best-fitting stretch of the window decides:
-contaminated if it is at most ``(1 - similarity) * words of the item``.
-
-Only windows that can hold a match are embedded: of an item of n words at most
-d = floor((1 - similarity) * n) may be edited, so a window that starts where the match
-starts has at least n - 2d words of the items of its length class, and starts with one.
-That test loses nothing; it is a running sum over each document.
+punctuation taken as space). Item-sized windows of a document are embedded by the CGK
+random walk: at step j the current symbol is copied out and the walk moves on to the
+next symbol iff a random bit of (j, symbol) says so, so words after an edit fall back
+into step and edit distance becomes Hamming distance. ``repeats`` independent walks,
+each sampled at ``tables`` sets of ``bits`` positions, give the hash keys; a window
+that shares a key with an item is a candidate, and the exact word edit distance of the
+item to the best-fitting stretch of the window decides: contaminated if it is at most
+``(1 - similarity) * words of the item``.
+
+Only windows that can hold a match are embedded. Of an item of n words at most
+d = floor((1 - similarity) * n) may be edited, so of any d + 1 of its words one is
+left: a match lies around one of the item's d + 1 rarest words (anchors), starts at
+most d words from where the anchor's place in the item says, starts with a word of the
+items of that length, and has at least n - 2d such words. These tests lose nothing.
 
 The benchmark is a stated query set: it is read in blocks of at most ``block_items``
 items, and each block passes over all documents. Nothing is shuffled.
@@ -26,6 +27,7 @@ give repeated rows; items of equal text are all reported.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,37 +49,36 @@ def scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Plan:
-    """The walk bits and sampled positions of one window length, the same wherever
-    they are made."""
+class Walks:
+    """The walks' bits and sampled positions, the same wherever they are made; windows
+    of all lengths go through them together."""
 
-    def __init__(self, length: int, symbols: int, repeats: int, tables: int, bits: int, seed: int):
-        rng = np.random.default_rng([seed, length])
-        self.length, self.repeats, self.tables = length, repeats, tables
-        # positions where walks at half speed have not yet left the window
-        self.at = np.sort(rng.integers(0, 2 * length, (repeats, tables, bits)), axis=2)
-        self.seeds = rng.integers(1, 2**63, (repeats, 2 * length), dtype=np.uint64)
+    def __init__(self, longest: int, repeats: int, tables: int, bits: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.steps, self.repeats, self.tables = 2 * longest, repeats, tables
+        # walks at half speed have not left a window of n words after 2 n steps
+        self.at = rng.random((repeats, tables, bits))
+        self.seeds = rng.integers(1, 2**63, (repeats, max(1, self.steps)), dtype=np.uint64)
         self.salt = rng.integers(1, 2**63, (repeats, tables), dtype=np.uint64)
-        self.symbols = symbols
 
-    def keys(self, win: np.ndarray) -> np.ndarray:
-        """(window, repeat * tables) keys of windows given as rows of symbols."""
+    def keys(self, win: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(window, repeat * tables) keys of windows given as rows of symbols; what is
+        behind a window's ``size`` is -1."""
         n = len(win)
         pad = np.concatenate([win, np.full((n, 1), -1, win.dtype)], 1)
-        sym = np.arange(-1, self.symbols + 1).astype(np.int64).view(np.uint64)
-        rows = np.arange(n)
-        out = np.empty((n, self.repeats * self.tables), np.uint64)
+        rows, out = np.arange(n), np.empty((n, self.repeats * self.tables), np.uint64)
+        kind = scatter(size.astype(np.uint64))[:, None]
         for r in range(self.repeats):
-            steps = int(self.at[r].max()) + 1
-            where = np.zeros(n, np.int64)
-            acc = np.tile(self.salt[r], (n, 1))
-            hit = [np.flatnonzero((self.at[r] == j).any(1)) for j in range(steps)]
-            for j in range(steps):
-                s = pad[rows, where]
-                for t in hit[j]:
-                    acc[:, t] = scatter(acc[:, t] ^ (s + 2).astype(np.uint64) * M1)
-                go = (scatter(sym ^ self.seeds[r, j]) & np.uint64(1)).astype(np.int64)
-                where = np.minimum(where + go[s + 1], self.length)
+            where, copied = np.zeros(n, np.int64), np.empty((n, self.steps), np.int64)
+            for j in range(self.steps):
+                s = copied[:, j] = pad[rows, where]
+                go = scatter(s.view(np.uint64) ^ self.seeds[r, j]) & np.uint64(1)
+                where = np.minimum(where + go.astype(np.int64), size)
+            place = (self.at[r] * 2 * size[:, None, None]).astype(np.int64)
+            seen = copied[rows[:, None, None], place].view(np.uint64)
+            acc = kind ^ self.salt[r]
+            for b in range(seen.shape[2]):
+                acc = scatter(acc ^ seen[:, :, b] * M1)
             out[:, r * self.tables:(r + 1) * self.tables] = acc
         return out
 
@@ -114,57 +115,94 @@ class Items:
                  bits: int, seed: int):
         self.similarity = similarity
         self.vocab: dict[bytes, int] = {}
-        self.ids, self.words = [], []
+        self.ids: list = []
+        self.words: list[np.ndarray] = []
         for item_id, text in rows:
             w = words_of(text)
             if len(w) >= min_words:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
-        lengths = sorted({len(w) for w in self.words})
-        self.longest = lengths[-1] if lengths else 0
-        self.classes = []
-        for n in lengths:
-            own = [k for k, w in enumerate(self.words) if len(w) == n]
-            member = np.zeros(len(self.vocab) + 1, bool)
-            for k in own:
-                member[self.words[k]] = True
-            plan = Plan(n, len(self.vocab), repeats, tables, bits, seed)
-            keys = plan.keys(np.stack([self.words[k] for k in own]))
-            d = self.edits(n)
-            # one sorted array of (key mixed with its table) for all tables
-            flat = scatter(keys ^ np.arange(1, keys.shape[1] + 1, dtype=np.uint64)).ravel()
-            order = np.argsort(flat, kind="stable")
-            self.classes.append((n, d, member, plan, flat[order], np.repeat(own, keys.shape[1])[order]))
-
-    def edits(self, n: int) -> int:
-        return int(math.floor((1 - self.similarity) * n + 1e-9))
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.d = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
+        self.longest = int(self.size.max(initial=0))
+        self.walks = Walks(self.longest, repeats, tables, bits, seed)
+        if not self.words:
+            return
+        wide = np.full((len(self.words), self.longest), -1, np.int64)
+        for k, w in enumerate(self.words):
+            wide[k, :len(w)] = w
+        # words of the items of one length; the last row of symbols is the gap
+        self.member = np.zeros((self.longest + 1, len(self.vocab) + 1), bool)
+        for k, w in enumerate(self.words):
+            self.member[self.size[k], w] = True
+        spread = np.bincount(np.concatenate([np.unique(w) for w in self.words]), minlength=len(self.vocab) + 1)
+        length = np.zeros(len(self.vocab) + 1, np.int64)
+        for w, k in self.vocab.items():
+            length[k] = len(w)
+        anchors = []  # (symbol, item, place)
+        for k, w in enumerate(self.words):
+            for o in np.lexsort((-length[w], spread[w]))[:self.d[k] + 1]:
+                anchors.append((w[o], k, o))
+        anchors = np.array(sorted(anchors), np.int64)
+        self.anchor_item, self.anchor_place = anchors[:, 1], anchors[:, 2]
+        self.anchor_from = np.searchsorted(anchors[:, 0], np.arange(len(self.vocab) + 2))
+        keys = self.keys(wide, self.size).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.flat, self.owner = keys[order], np.repeat(np.arange(len(self.words)), len(keys) // len(wide))[order]
+
+    def keys(self, win: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keys mixed with their table, for one sorted array of all tables."""
+        got = self.walks.keys(win, size)
+        return scatter(got ^ np.arange(1, got.shape[1] + 1, dtype=np.uint64))
+
+    def windows(self, sym: np.ndarray, gap: int) -> np.ndarray:
+        """(size, start) of the windows that can hold a match."""
+        count = np.diff(self.anchor_from)[sym]
+        at = np.flatnonzero(count)
+        n = count[at]
+        entry = np.repeat(self.anchor_from[sym[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item = self.anchor_item[entry]
+        first = np.repeat(at, n) - self.anchor_place[entry] - self.d[item]
+        wide = 2 * self.d[item] + 1
+        step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        pairs = np.unique(np.repeat(self.size[item], wide) * np.int64(len(sym)) + np.repeat(first, wide) + step)
+        size, start = pairs // len(sym), pairs % len(sym)
+        good = (start < len(sym) - gap) & self.member[size, sym[start]]
+        size, start = size[good], start[good]
+        keep = []
+        for k in range(0, len(size), 50_000):
+            z, t = size[k:k + 50_000], start[k:k + 50_000]
+            col = np.arange(self.longest)
+            inside = self.member[z[:, None], sym[np.minimum(t[:, None] + col, len(sym) - 1)]] & (col < z[:, None])
+            keep.append(inside.sum(1) >= z - 2 * np.floor((1 - self.similarity) * z + 1e-9))
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        return np.stack([size[keep], start[keep]], 1)
 
     def matches(self, sym: np.ndarray, gap: int):
         """(item index, distance, start, end) of every matching stretch of a symbol
         array; documents in it are kept apart by ``gap`` zeros."""
-        size = len(sym)
         out = []
-        for n, d, member, plan, flat, owner in self.classes:
-            own = member[sym]
-            run = np.concatenate(([0], np.cumsum(own)))
-            start = np.flatnonzero(own[:size - gap])
-            start = start[run[start + n] - run[start] >= n - 2 * d]
-            for at in range(0, len(start), 20_000):
-                part = start[at:at + 20_000]
-                win = sym[part[:, None] + np.arange(n)]
-                keys = scatter(plan.keys(win) ^ np.arange(1, plan.repeats * plan.tables + 1, dtype=np.uint64))
-                lo, hi = np.searchsorted(flat, keys, "left"), np.searchsorted(flat, keys, "right")
-                w, t = np.nonzero(hi > lo)
-                if not len(w):
-                    continue
-                pairs = {(int(part[a]), int(owner[k])) for a, b in zip(w, t) for k in range(lo[a, b], hi[a, b])}
-                pairs = sorted(pairs)
-                for p in range(0, len(pairs), 2000):
-                    some = pairs[p:p + 2000]
-                    left = [max(0, s - d) for s, _ in some]
-                    dist, end = fitting_distance([self.words[k] for _, k in some],
-                                                 [sym[a:s + n + d] for a, (s, _) in zip(left, some)])
-                    out += [(k, int(x), s, a + int(e)) for (s, k), a, x, e in zip(some, left, dist, end) if x <= d]
+        if not self.words:
+            return out
+        found = self.windows(sym, gap)
+        col = np.arange(self.longest)
+        for at in range(0, len(found), 5000):
+            size, start = found[at:at + 5000].T
+            win = np.where(col < size[:, None], sym[np.minimum(start[:, None] + col, len(sym) - 1)], -1)
+            keys = self.keys(win, size)
+            lo, hi = np.searchsorted(self.flat, keys, "left"), np.searchsorted(self.flat, keys, "right")
+            w, t = np.nonzero(hi > lo)
+            n = hi[w, t] - lo[w, t]
+            entry = np.repeat(lo[w, t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs = np.unique(np.stack([np.repeat(w, n), self.owner[entry]], 1), axis=0)
+            for p in range(0, len(pairs), 2000):
+                some = pairs[p:p + 2000]
+                first, item = start[some[:, 0]], some[:, 1]
+                left = np.maximum(0, first - self.d[item])
+                dist, end = fitting_distance([self.words[k] for k in item], [
+                    sym[a:b] for a, b in zip(left, first + self.size[item] + self.d[item])])
+                out += [(int(k), int(x), int(s), int(a + e))
+                        for k, x, s, a, e in zip(item, dist, first, left, end) if x <= self.d[k]]
         return out
 
 
@@ -173,11 +211,11 @@ def search(items: Items, texts: list) -> dict[tuple[int, int], tuple]:
     gap = 3 * items.longest + 1
     get = items.vocab.get
     out: dict[tuple[int, int], tuple] = {}
-    for at in range(0, len(texts), 256):
+    for at in range(0, len(texts), 2000):
         syms, starts, size = [np.zeros(gap, np.int64)], [], gap
-        for text in texts[at:at + 256]:
+        for text in texts[at:at + 2000]:
             w = words_of(text)
-            syms += [np.fromiter((get(x, 0) for x in w), np.int64, len(w)), np.zeros(gap, np.int64)]
+            syms += [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)), np.zeros(gap, np.int64)]
             starts.append(size)
             size += len(w) + gap
         first = np.array(starts)
