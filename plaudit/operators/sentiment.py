@@ -6,7 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import hashlib
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,51 +47,98 @@ def hybrid_sentiment(df: DataFrame, scorer: Callable[[Column], Column] | None =
 
 # ------------------------------------------------------------------ model slots
 
-_MODEL_CACHE: dict = {}
+_MODELS: dict = {}
+
+SCORE_FIELDS = [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),
+                T.StructField("scored", T.BooleanType())]
+SCORE_SCHEMA = T.StructType(SCORE_FIELDS)
+
+
+def loaded_model(name: str, loader: Callable):
+    """The model of that name in this Python worker; ``loader`` runs on first use and
+    later tasks of the worker find the model here. (UDF bodies are shipped by value,
+    this module is not, so the cache is the worker's.)"""
+    if name not in _MODELS:
+        _MODELS[name] = loader()
+    return _MODELS[name]
+
+
+def loader_name(loader: Callable) -> str:
+    """A name that is the same wherever the same loader is used."""
+    return hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
+
+
+def score_texts(texts: list, loader: Callable, name: str, batch_size: int, max_chars: int | None,
+                fallback: tuple[str, float] | None) -> list[tuple]:
+    """(label, score, scored) per text; null texts are not scored: (None, None, False)."""
+    out: list[tuple] = [(None, None, False)] * len(texts)
+    at = [k for k, t in enumerate(texts) if t is not None]
+    if not at:
+        return out
+    for i in range(0, len(at), batch_size):
+        some = at[i:i + batch_size]
+        try:
+            got = loaded_model(name, loader)([texts[k][:max_chars] for k in some])
+            if len(got) != len(some):
+                raise ValueError(f"the model gave {len(got)} results for {len(some)} texts")
+        except Exception:
+            if fallback is None:
+                raise
+            got = None
+        for n, k in enumerate(some):
+            out[k] = (*fallback, False) if got is None else (str(got[n][0]).lower(), float(got[n][1]), True)
+    return out
+
+
+def model_scores(inputs: dict[str, Column], loaders: dict[str, Callable], batch_size: int = 32,
+                 max_chars: int | None = None, fallback: tuple[str, float] | None = None) -> Column:
+    """One pass of an Arrow iterator UDF around user models: a struct per model name
+    with (label, score, scored).
+
+    ``loaders[name]()`` runs once per Python worker and returns ``predict(texts)``,
+    giving one (label, score) per text; ``inputs[name]`` is its text column (null: not
+    scored). Texts are passed whole unless ``max_chars`` is given. A failing load or
+    batch raises, unless ``fallback`` is given: its rows then carry it with
+    ``scored = false``.
+    """
+    names = list(loaders)
+    keys = {n: loader_name(loaders[n]) for n in names}
+    schema = T.StructType([T.StructField(n, SCORE_SCHEMA) for n in names])
+
+    @F.pandas_udf(schema)
+    def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # pragma: no cover
+        for frame in batches:
+            out = {}
+            for n in names:
+                texts = [None if pd.isna(t) else str(t) for t in frame[n]]
+                got = score_texts(texts, loaders[n], keys[n], batch_size, max_chars, fallback)
+                out[n] = [{"label": a, "score": b, "scored": c} for a, b, c in got]
+            yield pd.DataFrame(out, columns=names)
 
-SCORE_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
-                             T.StructField("score", T.DoubleType())])
+    return _score(F.struct(*[inputs[n].alias(n) for n in names]))
 
 
-def model_scores(text: Column, loader: Callable[[], Callable[[list[str]], list]] | None,
-                 batch_size: int = 32, max_chars: int | None = None,
-                 fallback: tuple[str, float] = ("neutral", 0.0)) -> Column:
-    """Arrow iterator UDF around a user model.
+def _english(lang_col: str) -> Column:
+    return lang_code(lang_col) == F.lit("en")
 
-    ``loader()`` runs once per Python worker (cached) and returns ``predict(texts)``
-    giving one (label, score) per text. Texts are cut to the model's input size
-    only when ``max_chars`` is given (whole texts by default), batched by ``batch_size``. No loader, a failing load or a
-    failing batch gives ``fallback`` for those rows.
-    """
-    key = id(loader)
-
-    @F.pandas_udf(SCORE_SCHEMA)
-    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:  # pragma: no cover
-        predict = None
-        if loader is not None:
-            predict = _MODEL_CACHE.get(key)
-            if predict is None:
-                try:
-                    predict = loader()
-                    _MODEL_CACHE[key] = predict
-                except Exception:  # noqa: BLE001 - the original falls back on any failure
-                    predict = None
-        for s in batches:
-            texts = s.fillna("").astype(str)
-            texts = (texts.str.slice(0, max_chars) if max_chars else texts).tolist()
-            labels, scores = [], []
-            for i in range(0, len(texts), batch_size):
-                chunk = texts[i:i + batch_size]
-                try:
-                    res = predict(chunk) if predict is not None else None
-                except Exception:  # noqa: BLE001
-                    res = None
-                res = res or [fallback] * len(chunk)
-                labels += [str(r[0]).lower() for r in res]
-                scores += [float(r[1]) for r in res]
-            yield pd.DataFrame({"label": labels, "score": scores})
-
-    return _score(text)
+
+def with_models(df: DataFrame, loaders: dict, col: str = "review", lang_col: str = "language",
+                fallback: tuple[str, float] | None = None) -> DataFrame:
+    """Column ``_models`` with the outputs of all given models, from one pass of the
+    texts through Python. Emotion sees English texts only."""
+    given = {n: f for n, f in loaders.items() if f is not None}
+    if not given:
+        return df
+    text = F.coalesce(F.col(col), F.lit(""))
+    inputs = {n: F.when(_english(lang_col), text) if n == "emotion" else text for n in given}
+    return df.withColumn("_models", model_scores(inputs, given, fallback=fallback))
+
+
+def _given(df: DataFrame, name: str, loader, col: str, lang_col: str = "language") -> DataFrame:
+    """``df`` with ``_models.<name>`` when there is a loader and no earlier pass."""
+    if loader is None or "_models" in df.columns:
+        return df
+    return with_models(df, {name: loader}, col, lang_col)
 
 
 def model_sentiment(df: DataFrame, loader=None, col: str = "review") -> DataFrame:
@@ -96,46 +146,52 @@ def model_sentiment(df: DataFrame, loader=None, col: str = "review") -> DataFram
     without a model the lexicon fallback of the original is used."""
     if loader is None:
         return with_lexicon_sentiment(df, col=col)
-    s = model_scores(F.col(col), loader)
-    out = df.withColumn("_m", s)
-    comp = F.when(F.col("_m.label") == "positive", F.col("_m.score")).when(
-        F.col("_m.label") == "negative", -F.col("_m.score")).otherwise(F.lit(0.0))
-    return out.withColumns({"sentiment_label": F.col("_m.label"),
-                            "sentiment_confidence": F.col("_m.score"),
-                            "sentiment_score": comp}).drop("_m")
+    m = F.col("_models.sentiment")
+    comp = F.when(m.label == "positive", m.score).when(m.label == "negative", -m.score).otherwise(F.lit(0.0))
+    out = _given(df, "sentiment", loader, col).withColumns({
+        "sentiment_label": m.label, "sentiment_confidence": m.score, "sentiment_score": comp})
+    return out if "_models" in df.columns else out.drop("_models")
 
 
 def emotion(df: DataFrame, loader=None, col: str = "review", lang_col: str = "language") -> DataFrame:
-    """Top emotion label; non-English -> ('unknown', 0); no model -> ('neutral', 0)."""
-    is_en = lang_code(lang_col) == F.lit("en")
-    if loader is None:
-        lab, sc = F.lit("neutral"), F.lit(0.0)
-    else:
-        m = model_scores(F.col(col), loader)
-        lab, sc = m.getField("label"), m.getField("score")
-    return df.withColumns({"emotion_type": F.when(is_en, lab).otherwise(F.lit("unknown")),
-                           "emotion_score": F.when(is_en, sc).otherwise(F.lit(0.0))})
-
-
-def _flag_model(df: DataFrame, loader, positive_labels: Sequence[str], flag: str, score: str,
+    """Top emotion label; non-English -> ('unknown', 0) and never sent to the model;
+    no model -> ('neutral', 0)."""
+    is_en = _english(lang_col)
+    m = F.col("_models.emotion")
+    lab, sc = (F.lit("neutral"), F.lit(0.0)) if loader is None else (m.label, m.score)
+    out = _given(df, "emotion", loader, col, lang_col).withColumns({
+        "emotion_type": F.when(is_en, lab).otherwise(F.lit("unknown")),
+        "emotion_score": F.when(is_en, sc).otherwise(F.lit(0.0))})
+    return out if "_models" in df.columns else out.drop("_models")
+
+
+def _flag_model(df: DataFrame, name: str, loader, positive_labels: Sequence[str], flag: str, score: str,
                 col: str) -> DataFrame:
     if loader is None:
         return df.withColumns({flag: F.lit(False), score: F.lit(0.0)})
-    m = model_scores(F.col(col), loader, fallback=("none", 1.0))
-    hit = m.getField("label").isin(list(positive_labels))
-    failed = m.getField("label") == "none"
-    return df.withColumns({
-        flag: F.when(failed, F.lit(False)).otherwise(hit),
-        score: F.when(failed, F.lit(0.0)).when(hit, m.getField("score"))
-                .otherwise(1 - m.getField("score"))})
+    m = F.col(f"_models.{name}")
+    hit = m.label.isin(list(positive_labels))
+    out = _given(df, name, loader, col).withColumns({
+        flag: F.when(m.scored, hit).otherwise(F.lit(False)),
+        score: F.when(~m.scored, F.lit(0.0)).when(hit, m.score).otherwise(1 - m.score)})
+    return out if "_models" in df.columns else out.drop("_models")
 
 
 def sarcasm(df: DataFrame, loader=None, col: str = "review") -> DataFrame:
-    return _flag_model(df, loader, ["sarcasm", "1"], "is_sarcasm", "sarcasm_score", col)
+    return _flag_model(df, "sarcasm", loader, ["sarcasm", "1"], "is_sarcasm", "sarcasm_score", col)
 
 
 def toxicity(df: DataFrame, loader=None, col: str = "review") -> DataFrame:
-    return _flag_model(df, loader, ["toxic", "1"], "is_toxic", "toxicity_score", col)
+    return _flag_model(df, "toxicity", loader, ["toxic", "1"], "is_toxic", "toxicity_score", col)
+
+
+def keyword_model_loader(words: Sequence[str], hit: str, miss: str, sure: float = 0.8):
+    """A small model for the slots: label ``hit`` when a text holds any of the words."""
+    words = list(words)
+
+    def load():
+        return lambda texts: [(hit, sure) if any(w in t.lower() for w in words) else (miss, sure) for t in texts]
+    return load
 
 
 def lexicon_model_loader(positive: Sequence[str] = tuple(L.LEXICON_POSITIVE),
@@ -222,12 +278,13 @@ def enrich_sentiment(df: DataFrame, col: str = "review", lang_col: str | None =
     confidence, emotion x2, sarcasm x2, toxicity x2 and the 20 aspect columns.
     Without loaders every model falls back to the original's constants / lexicon."""
     loaders = loaders or {}
+    own = df.columns
     lang_col = lang_col or ("detected_language" if "detected_language" in df.columns else "language")
-    out = model_sentiment(df, loaders.get("sentiment"), col)
+    out = model_sentiment(with_models(df, loaders, col, lang_col), loaders.get("sentiment"), col)
     out = emotion(out, loaders.get("emotion"), col, lang_col)
     out = sarcasm(out, loaders.get("sarcasm"), col)
     out = toxicity(out, loaders.get("toxicity"), col)
-    return aspect_columns(out, col)
+    return aspect_columns(out.drop("_models") if "_models" not in own else out, col)
 
 
 # ------------------------------------------------------------------ toxicity baseline

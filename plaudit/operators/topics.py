@@ -1,19 +1,28 @@
-"""Topic models with Spark ML (2-F): LDA (online, seed 42) and a non-negative
-factorisation of the TF-IDF matrix via ALS. Both are iterative ML jobs; their
-output is checked by row counts and properties, not by SQL."""
+"""Topic models (2-F): LDA with Spark ML (online, seed 42) and a non-negative matrix
+factorisation of TF-IDF by multiplicative updates as joins and grouped sums."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, IDF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit.functions import alpha_tokens, array_lit
 from plaudit import lexicons as L
+from plaudit.operators.scan import top_n_per_group
+from plaudit.session import scratch_path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table under the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, f"topics/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _docs(df: DataFrame, min_len: int = 20) -> DataFrame:
@@ -24,17 +33,35 @@ def _docs(df: DataFrame, min_len: int = 20) -> DataFrame:
               .select("recommendation_id", "voted_up", toks.alias("tokens")))
 
 
-def fit_lda(df: DataFrame, k: int = 10, max_iter: int = 10, vocab: int = 1000,
+MIN_DOCS = 10
+
+
+def _terms(docs: DataFrame, min_df: float, max_df: float, vocab: int | None) -> DataFrame:
+    """(term, df) of the terms in at least ``min_df`` and at most ``max_df`` (a share)
+    of the documents; ``vocab`` keeps only the most frequent ones when it is given."""
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    per = docs.select("recommendation_id", F.explode("tokens").alias("term"))
+    out = (per.groupBy("term").agg(F.count_distinct("recommendation_id").alias("df"), F.count(F.lit(1)).alias("n"))
+           .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)))
+    return out if vocab is None else out.orderBy(F.desc("n"), "term").limit(vocab)
+
+
+def fit_lda(df: DataFrame, k: int = 10, max_iter: int = 10, vocab: int | None = None,
             min_df: float = 2.0, max_df: float = 0.95, seed: int = 42):
-    """CountVectorizer(minDF=2, maxDF=.95, vocabSize=1000) + online LDA (seed 42).
-    Returns (pipeline_model, docs) or (None, docs) with fewer than k documents."""
-    docs = _docs(df)
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab,
-                         minDF=min_df, maxDF=max_df)
+    """CountVectorizer (minDF=2, maxDF=.95, all passing terms unless ``vocab`` cuts
+    them) + online LDA (seed 42). The counted vectors are written once, so the passes
+    of the model do not cut the texts into words again. Returns (pipeline model,
+    docs), or (None, docs) with fewer than 10 documents that have words."""
+    docs = stored(_docs(df).where(F.size("tokens") > 0), "lda_docs")
+    if len(docs.limit(MIN_DOCS).collect()) < MIN_DOCS:
+        return None, docs
+    size = vocab if vocab is not None else max(1, _terms(docs, min_df, max_df, None).count())
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size, minDF=min_df,
+                         maxDF=max_df).fit(docs)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="features",
               topicDistributionCol="topic_distribution")
-    model = Pipeline(stages=[cv, lda]).fit(docs)
-    return model, docs
+    model = lda.fit(stored(cv.transform(docs).select("features"), "lda_vectors"))
+    return PipelineModel(stages=[cv, model]), docs
 
 
 def topic_terms(model, n: int = 10) -> DataFrame:
@@ -63,33 +90,75 @@ def topic_summary(doc_topics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.avg(F.col("voted_up").cast("double")).alias("positive_ratio"))
 
 
-def fit_nmf(df: DataFrame, k: int = 10, max_iter: int = 20, vocab: int = 1000, seed: int = 42,
-            reg: float = 0.01):
-    """TF-IDF matrix as (doc, term, weight) cells factorised with non-negative ALS.
-    ALS fits observed cells only (implicit zeros are not modelled); it is the
-    distributed stand-in for NMF. Returns (als_model, vocabulary, cells)."""
-    # ALS needs int ids: numeric review ids are used as is, others are hashed
-    docs = _docs(df).withColumn("doc", F.coalesce(F.col("recommendation_id").try_cast("int"),
-                                                  F.hash("recommendation_id")))
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab, minDF=2.0, maxDF=0.95)
-    idf = IDF(inputCol="tf", outputCol="tfidf")
-    pm = Pipeline(stages=[cv, idf]).fit(docs)
-    vec = pm.transform(docs)
-    arr = vec.select("doc", vector_to_array("tfidf").alias("a"))
-    cells = arr.select("doc", F.posexplode("a").alias("term", "w")).where(F.col("w") > 0)
-    als = ALS(rank=k, maxIter=max_iter, regParam=reg, nonnegative=True, seed=seed,
-              userCol="doc", itemCol="term", ratingCol="w", coldStartStrategy="drop")
-    model = als.fit(cells)
-    return model, pm.stages[0].vocabulary, cells
-
-
-def nmf_topic_terms(model, vocabulary: list[str], n: int = 10) -> DataFrame:
-    """Top n terms per latent factor (item factors of the ALS model)."""
-    spark = model.itemFactors.sparkSession
-    vocab_df = spark.createDataFrame([(i, w) for i, w in enumerate(vocabulary)], "id int, term string")
-    f = model.itemFactors.select("id", F.posexplode("features").alias("topic", "weight"))
-    f = f.join(vocab_df, "id")
-    from pyspark.sql import Window
-    w = Window.partitionBy("topic").orderBy(F.col("weight").desc(), F.col("term"))
-    return f.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < n).select(
-        "topic", "pos", "term", "weight")
+def tfidf_cells(df: DataFrame, min_df: float = 2.0, max_df: float = 0.95, vocab: int | None = None) -> DataFrame:
+    """(doc, term, w): TF-IDF with smoothed idf, unit length per document, only the
+    cells that are not zero. Documents are named by their review id."""
+    docs = _docs(df).where(F.size("tokens") > 0)
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    tf = docs.select(F.col("recommendation_id").alias("doc"), F.explode("tokens").alias("term")) \
+        .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = _terms(docs, min_df, max_df, vocab).select(
+        "term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    cells = tf.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("x"))
+    size = cells.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    return cells.join(size, "doc").select("doc", "term", (F.col("x") / F.col("size")).alias("w"))
+
+
+def _start(rows: DataFrame, name: str, k: int, seed: int, level: float) -> DataFrame:
+    """Positive start values that depend on the row's name alone."""
+    return rows.select(name, F.array(*[
+        (F.pmod(F.xxhash64(F.col(name), F.lit(seed + i)), F.lit(1 << 20)) / float(1 << 20) + 0.1) * level
+        for i in range(k)]).alias("f"))
+
+
+def _gram(factors: DataFrame, k: int) -> list[list[float]]:
+    """k x k sums of products of a factor's columns."""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    got = factors.agg(*[F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    return [[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+
+
+def _update(cells: DataFrame, own: DataFrame, other: DataFrame, mine: str, theirs: str, k: int) -> DataFrame:
+    """One multiplicative step for the factors of ``mine`` with ``theirs`` held."""
+    gram = _gram(other, k)
+    num = (cells.join(other.withColumnRenamed("f", "g"), theirs).groupBy(mine)
+           .agg(*[F.sum(F.col("w") * F.col("g")[i]).alias(f"n{i}") for i in range(k)]))
+    den = [sum((F.col("f")[j] * F.lit(gram[i][j]) for j in range(k)), F.lit(0.0)) for i in range(k)]
+    return own.join(num, mine).select(mine, F.array(*[
+        F.col("f")[i] * F.col(f"n{i}") / (den[i] + F.lit(1e-12)) for i in range(k)]).alias("f"))
+
+
+def nmf_error(cells: DataFrame, w: DataFrame, h: DataFrame, k: int) -> float:
+    """Squared error of the whole matrix, zeros included: |X|^2 - 2 <X, WH> + <W'W, HH'>."""
+    x2, cross = (cells.join(w.withColumnRenamed("f", "fw"), "doc").join(h.withColumnRenamed("f", "fh"), "term")
+                 .agg(F.sum(F.col("w") * F.col("w")), F.sum(F.col("w") * sum(
+                     (F.col("fw")[i] * F.col("fh")[i] for i in range(k)), F.lit(0.0)))).first())
+    a, b = _gram(w, k), _gram(h, k)
+    return x2 - 2 * cross + sum(a[i][j] * b[i][j] for i in range(k) for j in range(k))
+
+
+def fit_nmf(df: DataFrame, k: int = 10, max_iter: int = 20, vocab: int | None = None, seed: int = 42):
+    """Non-negative factorisation of the TF-IDF matrix by multiplicative updates, all
+    cells in the loss. Each half step joins the cells with the held factors, sums per
+    row of the other side, and needs only a k x k matrix on the driver; factors are
+    written after every step. Returns (term factors, document factors, cells), or
+    (None, None, cells) with fewer than 10 documents that have words."""
+    cells = stored(tfidf_cells(df, vocab=vocab), "nmf_cells")
+    if len(cells.select("doc").distinct().limit(MIN_DOCS).collect()) < MIN_DOCS:
+        return None, None, cells
+    mean = cells.agg(F.avg("w")).first()[0] or 1.0
+    w = stored(_start(cells.select("doc").distinct(), "doc", k, seed, mean), "nmf_docs")
+    h = stored(_start(cells.select("term").distinct(), "term", k, seed + k, mean), "nmf_terms")
+    for _ in range(max_iter):
+        w = stored(_update(cells, w, h, "doc", "term", k), "nmf_docs")
+        h = stored(_update(cells, h, w, "term", "doc", k), "nmf_terms")
+    return h, w, cells
+
+
+def nmf_topic_terms(terms: DataFrame, n: int = 10) -> DataFrame:
+    """Top n terms per factor, of weights that sum to one per factor (ties: term)."""
+    f = terms.select("term", F.posexplode("f").alias("topic", "x"))
+    total = f.groupBy("topic").agg(F.sum("x").alias("total"))
+    top = top_n_per_group(f, ["topic"], [F.col("x").desc(), F.col("term")], n, "_r")
+    return top.join(total, "topic").select("topic", (F.col("_r") - 1).alias("pos"), "term",
+                                           (F.col("x") / F.col("total")).alias("weight"))

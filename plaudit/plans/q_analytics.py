@@ -341,3 +341,9 @@ def q_evaluate_alerts_custom(spark, sf):
              ("few", "total_reviews_below", 25, "{{{total}}} reviews")]
     return al.evaluate_alerts(al.alert_stats(review_events(spark, sf), "D", 7), rules).select(
         "app_id", "bucket", "rule", "message")
+
+
+@register("recommend_reviews_issue", _rec_sql(S.any_contained(LOW, list(L.ISSUE_CATEGORIES.values())[0])))
+def q_recommend_issue(spark, sf):
+    """Only reviews that mention the first issue category."""
+    return rc.recommend_reviews(reviews(spark, sf), 10, issue=list(L.ISSUE_CATEGORIES)[0])

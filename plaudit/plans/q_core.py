@@ -542,3 +542,36 @@ def q_detect_anomalies(spark, sf):
 @register("detect_anomalies_sensitive", _anomaly_sql(7, 1.5))
 def q_detect_anomalies_sensitive(spark, sf):
     return ts.detect_anomalies(review_events(spark, sf), 7, 1.5)
+
+
+@register("steam_deck_counts", f"""{R}
+SELECT app_id, CAST(primarily_steam_deck AS BIGINT) AS primarily_steam_deck, count(*) AS n FROM reviews GROUP BY ALL""")
+def q_steam_deck_counts(spark, sf):
+    return stats.flag_counts(reviews(spark, sf), "primarily_steam_deck", ["app_id"])
+
+
+@register("get_reviews_sentiment_language", f"""{R}
+SELECT recommendation_id, timestamp_created FROM reviews
+WHERE (language IN ('fr') OR detected_language IN ('fr')) AND sentiment_score >= -0.5 AND sentiment_score <= 0.7
+ORDER BY timestamp_created DESC, recommendation_id""")
+def q_get_reviews_sentiment(spark, sf):
+    """Sentiment bounds, and a language found in either language column."""
+    return scan.get_reviews(reviews(spark, sf), language="fr", sentiment_min=-0.5, sentiment_max=0.7).select(
+        "recommendation_id", "timestamp_created")
+
+
+#: the month-long events spread over two years, so that months have a history
+EM = f"""WITH {REVIEW_EVENTS_CTE_SQL.replace("review_events AS", "base_events AS")},
+review_events AS (SELECT * REPLACE (timestamp_created + (CAST(recommendation_id AS BIGINT) % 24) * 2629800
+                                    AS timestamp_created) FROM base_events)"""
+PERIOD_FEATURES_M = PERIOD_FEATURES_ED.replace(DAY, f"CAST(date_trunc('month', {DAY}) AS DATE)") \
+    .replace("INTERVAL 1 DAY", "INTERVAL 1 MONTH")
+
+
+@register("forecast_rate_monthly", rnd(f"""{EM}, {PERIOD_FEATURES_M},
+{FIT_SQL.format(h=6, dates="last_day(CAST(last_bucket + to_months(CAST(step AS INTEGER)) AS DATE))")}
+SELECT * FROM pred""", ["predicted_rate"]))
+def q_forecast_monthly(spark, sf):
+    df = review_events(spark, sf).withColumn("timestamp_created", F.col("timestamp_created") + F.pmod(
+        F.col("recommendation_id").cast("long"), F.lit(24)) * 2629800)
+    return ts.forecast_rate(df, "M", 6)

@@ -83,6 +83,30 @@ def q_model_sentiment_udf(spark, sf):
         "recommendation_id", "sentiment_label", "sentiment_confidence", "sentiment_score")
 
 
+def _flag_sql(words, hit, miss, flag, score):
+    holds = " OR ".join(f"contains({LOW}, '{w}')" for w in words)
+    return f"({holds}) AS {flag}, CASE WHEN {holds} THEN 0.8 ELSE 1 - 0.8 END AS {score}"
+
+
+@register("emotion_sarcasm_toxicity_models", rnd(f"""{R}
+SELECT recommendation_id,
+       CASE WHEN {S.lang_code()} <> 'en' THEN 'unknown' WHEN contains({LOW}, 'tha') THEN 'joy' ELSE 'anger' END
+         AS emotion_type,
+       CASE WHEN {S.lang_code()} <> 'en' THEN 0.0 ELSE 0.8 END AS emotion_score,
+       {_flag_sql(["ing", "heit"], "sarcasm", "none", "is_sarcasm", "sarcasm_score")},
+       {_flag_sql(["idiot", "loser"], "toxic", "clean", "is_toxic", "toxicity_score")} FROM reviews""",
+                                                     ["emotion_score", "sarcasm_score", "toxicity_score"]))
+def q_models(spark, sf):
+    """Emotion, sarcasm and toxicity slots with models, all in one pass."""
+    loaders = {"emotion": se.keyword_model_loader(["tha"], "joy", "anger"),
+               "sarcasm": se.keyword_model_loader(["ing", "heit"], "sarcasm", "clear"),
+               "toxicity": se.keyword_model_loader(["idiot", "loser"], "toxic", "clean")}
+    d = se.with_models(reviews(spark, sf), loaders)
+    d = se.toxicity(se.sarcasm(se.emotion(d, loaders["emotion"]), loaders["sarcasm"]), loaders["toxicity"])
+    return d.select("recommendation_id", "emotion_type", "emotion_score", "is_sarcasm", "sarcasm_score",
+                    "is_toxic", "toxicity_score")
+
+
 @register("emotion_sarcasm_toxicity_defaults", f"""{R}
 SELECT recommendation_id,
        CASE WHEN {S.lang_code()} = 'en' THEN 'neutral' ELSE 'unknown' END AS emotion_type,
@@ -151,7 +175,7 @@ SELECT recommendation_id, {_lex_sql(LOW)[0]} AS sentiment_label,
        false AS is_toxic, CAST(0.0 AS DOUBLE) AS toxicity_score, {ASPECT_COLS}
 FROM reviews""", ["sentiment_confidence", "sentiment_score", *ASPECT_DOUBLES]))
 def q_enrich_sentiment(spark, sf):
-    d = se.enrich_sentiment(reviews(spark, sf))
+    d = se.enrich_sentiment(reviews(spark, sf), lang_col="language")
     return d.select("recommendation_id", "sentiment_label", "sentiment_confidence", "sentiment_score",
                     "emotion_type", "emotion_score", "is_sarcasm", "sarcasm_score", "is_toxic",
                     "toxicity_score", *ASPECT_NAMES)

@@ -258,17 +258,48 @@ SELECT app_id, count(*) AS n_all, count_if(NOT {S.is_blank()}) AS n_not_blank,
        count_if(review IS NOT NULL AND author_playtime_forever IS NOT NULL) AS n_complete
 FROM reviews GROUP BY app_id""")
 def q_review_filters(spark, sf):
-    """drop_blank_reviews, long_reviews and dropna_subset, counted per app in one pass:
-    every filter marks the rows that it keeps."""
+    """The predicates of drop_blank_reviews, long_reviews and dropna_subset, counted
+    per app in one pass."""
     from plaudit.operators import filters as fl
-    df = reviews(spark, sf).select("app_id", "review", "author_playtime_forever")
-    marked = fl.drop_blank_reviews(df).select("app_id", F.lit(1).alias("kind"))
-    marked = marked.unionByName(fl.long_reviews(df, 20).select("app_id", F.lit(2).alias("kind")))
-    marked = marked.unionByName(fl.dropna_subset(df, ["review", "author_playtime_forever"])
-                                .select("app_id", F.lit(3).alias("kind")))
-    marked = marked.unionByName(df.select("app_id", F.lit(0).alias("kind")))
-    return marked.groupBy("app_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(
-        ("n_all", "n_not_blank", "n_long", "n_complete"))])
+    return reviews(spark, sf).groupBy("app_id").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(fl.not_blank()).alias("n_not_blank"),
+        F.count_if(fl.longer_than(20)).alias("n_long"),
+        F.count_if(fl.complete(["review", "author_playtime_forever"])).alias("n_complete"))
+
+
+@register("read_review_glob", rnd(f"""{R}
+SELECT recommendation_id, app_id, review, CAST(voted_up AS BIGINT) AS voted_up, CAST(votes_up AS BIGINT) AS votes_up
+FROM (SELECT recommendation_id, app_id, review, voted_up, CASE WHEN doc % 3 = 2 THEN NULL ELSE votes_up END AS votes_up
+      FROM (SELECT *, CAST(recommendation_id AS BIGINT) AS doc FROM reviews))""", []))
+def q_read_review_glob(spark, sf):
+    """Review files of three kinds of header (order, names and columns differ), each
+    read by its own."""
+    src = reviews(spark, sf)
+    path = _scratch(spark, "glob")
+    k = F.col("recommendation_id").cast("long") % 3
+    kinds = [src.where(k == 0).select(F.col("recommendation_id").alias("recommendationid"), "review", "voted_up",
+                                      "votes_up", "app_id"),
+             src.where(k == 1).select("app_id", "voted_up", "recommendation_id", "votes_up", "review"),
+             src.where(k == 2).select("review", "app_id", "voted_up", F.col("recommendation_id").alias("recommendationid"))]
+    for i, df in enumerate(kinds):
+        df.write.option("header", True).option("escape", '"').csv(f"{path}/{i}")
+    got = io.project_to_schema(io.read_review_glob(spark, path, "*/part-*.csv"))
+    return got.select("recommendation_id", "app_id", F.coalesce("review", F.lit("")).alias("review"), "voted_up", "votes_up")
+
+
+@register("append_new_rejects", f"""{R}
+SELECT count_if(CAST(recommendation_id AS BIGINT) % 4 <> 0) AS inserted,
+       count_if(CAST(recommendation_id AS BIGINT) % 4 = 0) AS rejected,
+       count_if(CAST(recommendation_id AS BIGINT) % 4 = 0) AS reject_rows FROM reviews""")
+def q_append_new_rejects(spark, sf):
+    """A quarter of the rows have no id: all are in the reject table, none is folded."""
+    path = _scratch(spark, "rejects")
+    batch = reviews(spark, sf).withColumn("recommendation_id", F.when(
+        F.col("recommendation_id").cast("long") % 4 != 0, F.col("recommendation_id")))
+    report = ingest.append_report(None, batch, path)
+    return spark.read.json(path + "_rejects").agg(F.count(F.lit(1)).alias("reject_rows")).select(
+        F.lit(report["inserted"]).cast("long").alias("inserted"),
+        F.lit(report["rejected"]).cast("long").alias("rejected"), "reject_rows")
 
 
 @register("drop_all_null_columns", f"""{R}

@@ -61,11 +61,10 @@ def append_report(existing: DataFrame | None, batch: DataFrame, path: str,
     report = {}
     for name, rows in (("inserted", new_rows(existing, batch)), ("rejected", rows_without_id(batch))):
         obs = Observation(name)
-        rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
         if name == "inserted":
-            write_reviews_table(rows, path, "append")
+            write_reviews_table(rows, path, "append", obs)
         else:
-            rows.write.mode("append").option("mergeSchema", True).json(rejects_path or path.rstrip("/") + "_rejects")
+            rows.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").option("mergeSchema", True).json(rejects_path or path.rstrip("/") + "_rejects")
         report[name] = int(obs.get.get("n") or 0)
     return report
 

@@ -170,14 +170,17 @@ def project_to_schema(df: DataFrame, schema: T.StructType = REVIEW_SCHEMA,
     return df.select(*cols, *extra)
 
 
-def write_reviews_table(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_reviews_table(df: DataFrame, path: str, mode: str = "append", observation=None) -> None:
     """Parquet table partitioned by app, rows sorted by time inside each file so
     min/max statistics prune time ranges (the index replacement). Rows are dealt by
     ranges of (app, time, id), so an app with most of the rows is written by many
-    tasks."""
-    (df.repartitionByRange("app_id", "timestamp_created", "recommendation_id")
-       .sortWithinPartitions("app_id", "timestamp_created")
-       .write.mode(mode).partitionBy("app_id").parquet(path))
+    tasks. ``observation`` counts the written rows as ``n`` (after the exchange, whose
+    sampling pass would count them too)."""
+    dealt = df.repartitionByRange("app_id", "timestamp_created", "recommendation_id") \
+        .sortWithinPartitions("app_id", "timestamp_created")
+    if observation is not None:
+        dealt = dealt.observe(observation, F.count(F.lit(1)).alias("n"))
+    (dealt.write.mode(mode).partitionBy("app_id").parquet(path))
 
 
 def read_reviews_table(spark: SparkSession, path: str) -> DataFrame:

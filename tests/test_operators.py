@@ -158,3 +158,237 @@ def test_pearson_p_value(spark):
     h = (hi - abs(t)) / steps
     tail = sum(c * (1 + ((abs(t) + (i + 0.5) * h) ** 2) / k) ** (-(k + 1) / 2) for i in range(steps)) * h
     assert r.p_value == pytest.approx(2 * tail, rel=1e-3, abs=1e-12)
+
+
+def test_rows_without_id_are_rejects(spark, tmp_path):
+    batch = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), ("1", "x"), ("1", "x")],
+                                  "recommendation_id string, review string")
+    path = str(tmp_path / "t")
+    assert ingest.append_report(None, batch, path) == {"inserted": 1, "rejected": 3}
+    assert sorted(r["review"] for r in spark.read.json(path + "_rejects").collect()) == ["a", "a", "b"]
+
+
+def test_ties_keep_the_same_row(spark):
+    rows = [("1", f"text{k}", 5) for k in range(20)]
+    pick = [ingest.dedupe_batch(spark.createDataFrame(r, "recommendation_id string, review string, "
+                                                          "timestamp_updated long").repartition(n)).first()["review"]
+            for r, n in ((rows, 3), (rows[::-1], 1))]
+    assert pick[0] == pick[1]
+
+
+def test_hot_app_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("cast(id as string) recommendation_id", "'one' app_id", "id timestamp_created")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        io.write_reviews_table(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "t" / "app_id=one").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 20_000
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "My Game_7_reviews.csv").write_text('recommendationid,review,voted_up\n1,"a\nb",True\n')
+    (tmp_path / "Other_8_reviews.csv").write_text("language,recommendationid,review,voted_up\nen,2,c,False\n")
+    got = {r["recommendation_id"]: (r["review"], r["voted_up"], r["language"], r["file_name"])
+           for r in io.read_review_glob(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("a\nb", "True", None, "My%20Game_7_reviews.csv"),
+                   "2": ("c", "False", "en", "Other_8_reviews.csv")} or \
+        got == {"1": ("a\nb", "True", None, "My Game_7_reviews.csv"), "2": ("c", "False", "en", "Other_8_reviews.csv")}
+
+
+def test_a_wrong_schema_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(Exception):
+        io.read_review_csv(spark, str(tmp_path / "a.csv"), ["y", "x"]).collect()
+
+
+def test_stream_ingest_raises_on_an_unreadable_table(spark, tmp_path):
+    from pyspark.sql import types as T
+    from plaudit.streaming import jobs
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table" / "part.parquet").write_text("this is no parquet file")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"recommendation_id": "1", "app_id": "a"}\n')
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("recommendation_id", "app_id")])
+    q = jobs.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "ck"), schema)
+    with pytest.raises(Exception):
+        q.awaitTermination()
+
+
+def test_replayed_alert_batch_changes_nothing(spark, tmp_path):
+    from plaudit.streaming import jobs
+    rows = [(f"{k}", "a", 86_400 * (19_000 + k % 9) + k, int(k % 3 > 0)) for k in range(60)]
+    schema = "recommendation_id string, app_id string, timestamp_created long, voted_up int"
+    src = str(tmp_path / "in")
+    for n, part in enumerate((rows[:30], rows[30:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    rules = [("low", "positive_rate_below", 0.9, "{rate:.1f}")]
+    want = {(r["bucket"], r["message"]) for r in alerts.evaluate_alerts(alerts.alert_stats(
+        spark.createDataFrame(rows, schema)), rules).collect()}
+    out = str(tmp_path / "alerts")
+    for attempt in ("one", "two"):  # the second checkpoint replays all batches
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.run_to_end(jobs.stream_alerts(stream, out, str(tmp_path / attempt), rules, watermark="30 days"))
+        got = [(r["bucket"], r["message"]) for r in jobs.read_stream_alerts(spark, out).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    from plaudit.streaming import jobs
+    schema = "recommendation_id string, app_id string, timestamp_created long, voted_up int"
+    src = str(tmp_path / "in")
+    for day in (19_030, 19_031, 19_000):
+        spark.createDataFrame([(f"{day}", "a", 86_400 * day, 1)], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = jobs.upsert_sink(jobs.stream_daily_trend(stream, "1 day"), str(tmp_path / "o"), str(tmp_path / "c"))
+    with pytest.raises(RuntimeError):
+        jobs.run_to_end(q)
+
+
+def test_rule_messages(spark):
+    st = spark.createDataFrame([("a", 7, 3, 4, 1.25)], "app_id string, total long, positive long, "
+                               "recent_negative long, avg_negative double")
+    rules = [("r", "positive_rate_below", 0.8, "at {rate:.0f}% (100% is best)"),
+             ("s", "negative_reviews_spike", 2.0, "{recent} after {avg:.1f}"),
+             ("t", "total_reviews_below", 10, "{{{total}}}")]
+    got = [r["message"] for r in alerts.evaluate_alerts(st, rules).collect()]
+    assert got == ["at 43% (100% is best)", "4 after 1.3", "{7}"]
+    with pytest.raises(ValueError):
+        alerts.evaluate_alerts(st, [("r", "total_reviews_below", 1, "{rate}")])
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    from plaudit.operators import sentiment as se
+    log = str(tmp_path / "loads")
+
+    def loader():
+        import os
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: [("positive", float(len(t))) for t in texts]
+
+    df = spark.range(200).selectExpr("cast(id as string) recommendation_id", "'x' review").repartition(16)
+    assert se.model_sentiment(df, loader).where("sentiment_score = 1").count() == 200
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids))
+
+
+def test_failing_models_raise_or_are_marked(spark):
+    from plaudit.operators import sentiment as se
+
+    def loader():
+        def predict(texts):
+            raise RuntimeError("no such model")
+        return predict
+
+    df = spark.createDataFrame([("1", "a", "english")], "recommendation_id string, review string, language string")
+    with pytest.raises(Exception):
+        se.model_sentiment(df, loader).collect()
+    marked = se.with_models(df, {"sentiment": loader}, fallback=("neutral", 0.0)).select("_models.sentiment.*").first()
+    assert tuple(marked) == ("neutral", 0.0, False)
+
+
+def test_emotion_model_sees_english_only(spark):
+    from plaudit.operators import sentiment as se
+
+    def loader():
+        def predict(texts):
+            if any("le" in t for t in texts):
+                raise RuntimeError("not English")
+            return [("joy", 0.9)] * len(texts)
+        return predict
+
+    df = spark.createDataFrame([("1", "good", "english"), ("2", "le jeu", "fr")],
+                               "recommendation_id string, review string, language string")
+    got = {r["recommendation_id"]: (r["emotion_type"], r["emotion_score"]) for r in se.emotion(df, loader).collect()}
+    assert got == {"1": ("joy", 0.9), "2": ("unknown", 0.0)}
+
+
+def test_kana_before_ideographs(spark):
+    from plaudit.operators.language import detect_language
+    df = spark.createDataFrame([("このゲームは最高です",), ("这是一个好游戏",), ("좋은 게임",)], "review string")
+    got = [r["detected_language"] for r in detect_language(df).collect()]
+    assert got == ["ja", "zh", "ko"]
+    assert [r["detected_language"] for r in detect_language(df, legacy_order=True).collect()] == ["zh", "zh", "ko"]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    data = {"a": rng.lognormal(0, 3, 3000), "b": np.repeat([1.0, 2.0], [1, 7]), "c": np.array([5.0])}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in stats.describe_scores(df, "v", ["k"]).collect():
+        v = data[r["k"]]
+        assert np.allclose([r["p25"], r["p50"], r["p75"]], np.quantile(v, [0.25, 0.5, 0.75]))
+    whole = stats.describe_scores(df, "v").first()
+    assert np.isclose(whole["p50"], np.quantile(np.concatenate(list(data.values())), 0.5))
+
+
+def test_student_t_tail():
+    import math
+    assert np_close(stats.student_t_two_sided_p([2.0], [1.0])[0], 1 - 2 / math.pi * math.atan(2.0))
+    assert np_close(stats.student_t_two_sided_p([2.0], [2.0])[0], 1 - 2 / math.sqrt(6))
+    assert abs(stats.student_t_two_sided_p([1.96], [1e9])[0] - math.erfc(1.96 / math.sqrt(2))) < 1e-6
+    assert np_close(stats.student_t_two_sided_p([0.0], [5.0])[0], 1.0)
+
+
+def np_close(a, b):
+    return abs(a - b) < 1e-10
+
+
+def topic_reviews(spark, n=60):
+    kinds = (["sword", "dragon", "castle", "knight"], ["engine", "wheel", "race", "track"])
+    rows = [(f"r{k}", 1, " ".join(kinds[k % 2][(k // 2 + j) % 4] for j in range(6)) + " and more") for k in range(n)]
+    return spark.createDataFrame(rows, "recommendation_id string, voted_up int, review string")
+
+
+def test_nmf_finds_the_two_topics(spark):
+    from plaudit.operators import topics
+    df = topic_reviews(spark)
+    errors = []
+    for rounds in (0, 2, 8):
+        h, w, cells = topics.fit_nmf(df, k=2, max_iter=rounds)
+        errors.append(topics.nmf_error(cells, w, h, 2))
+    assert errors[0] > errors[1] > errors[2]
+    assert all(x >= 0 for r in h.collect() for x in r["f"])
+    top = topics.nmf_topic_terms(h, 100).collect()
+    for t in (0, 1):
+        assert abs(sum(r["weight"] for r in top if r["topic"] == t) - 1) < 1e-9
+    first = [{r["term"] for r in top if r["topic"] == t and r["pos"] < 3} for t in (0, 1)]
+    assert not first[0] & first[1]
+    again = topics.nmf_topic_terms(topics.fit_nmf(df, k=2, max_iter=8)[0], 100).collect()
+    assert [(r["topic"], r["pos"], r["term"]) for r in sorted(again)] == [(r["topic"], r["pos"], r["term"]) for r in sorted(top)]
+
+
+def test_few_documents_make_no_topics(spark):
+    from plaudit.operators import topics
+    assert topics.fit_lda(topic_reviews(spark, 3), k=2)[0] is None
+    assert topics.fit_nmf(topic_reviews(spark, 3), k=2)[0] is None
+
+
+def test_recommendation_starts_no_job(spark):
+    from plaudit.operators import recommend
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = spark.createDataFrame([("1", "a", "good game", 5, 1, 0, 1, "s", 1.0)],
+                               "recommendation_id string, app_id string, review string, timestamp_created long, "
+                               "votes_up int, votes_funny int, voted_up int, author_steam_id string, "
+                               "author_playtime_forever double")
+    recommend.recommend_reviews(df)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)
+
+
+def test_reports(spark):
+    import __spark_entry__  # noqa: F401
+    from plaudit.operators import quality
+    from plaudit.sources.fixtures import reviews
+    df = reviews(spark, "/root/testdata/sf0.001")
+    r = quality.comprehensive_report(df)
+    assert sum(x["n"] for x in r["intensity"].collect()) == df.count()
+    assert sorted(map(tuple, r["segments"].collect())) == sorted(map(tuple, quality.segment_players(df, ["app_id"]).collect()))
+    assert sum(x["count"] for x in r["quality"].collect()) == df.count()
+    r["_base"].unpersist()
+    v = versions.version_report(df)
+    assert sum(x["total"] for x in v["summary"].collect()) == v["mentions"].count()
+    v["mentions"].unpersist()

@@ -34,3 +34,19 @@ def test_no_cartesian_or_nested_loop(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = _plan(spark, "reviews_table_roundtrip")
     assert "PartitionFilters: [isnotnull(app_id" in plan and "PushedFilters" in plan
+
+
+@pytest.mark.parametrize("name", ["box_stats_playtime", "box_stats_length", "histogram_playtime", "describe_playtime"])
+def test_rows_are_not_dealt_by_the_group_alone(spark, name):
+    """Only rows that are already one per group meet by the group's key."""
+    plan = _plan(spark, name)
+    for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan):
+        names = [re.sub(r"#.*", "", k).strip() for k in keys.split(",")[:-1]]
+        if set(names) <= {"voted_up", "app_id", "_g"}:
+            at = plan.index(f"hashpartitioning({keys})")
+            assert "partial_" in plan[at:at + 700] or "Window" in plan[max(0, at - 400):at], names
+
+
+def test_view_reads(spark):
+    """The filters' counts read every table of the view once."""
+    assert _plan(spark, "review_filters").count("Scan parquet") == 3
