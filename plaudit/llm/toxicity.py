@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata over a learned lexicon trie, weighed by context.
 
 The lexicon is learned from labelled texts: words (letters and digits, lower case)
-that the share of toxic texts holding them sets apart from clean ones. Tokens are
+that stand in toxic texts far more often than chance explains. Tokens are
 matched by running the Levenshtein automaton of a token along the trie of lexicon
 terms, both at once, so a branch is left as soon as no term on it can be within
 ``max_edits``. A match is weighed by its context window of ``WINDOW`` words on either
@@ -14,12 +14,14 @@ allows for training; only texts are inputs. Tokens near a lexicon term that clea
 training texts use are ordinary words, not misspellings.
 
 Null and empty texts have no matches and score like any text without. Null and
-repeated ids are scored row by row. Without a toxic or without a clean training text
-the lexicon is empty and the score is the smoothed share of toxic labels.
+repeated ids are scored row by row. Without a toxic or without a clean
+training text the lexicon is empty and the score is the smoothed share of toxic
+labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -69,30 +71,43 @@ class Automaton:
 
 
 class Lexicon:
-    """Terms as a trie; ``find`` intersects it with a token's automaton."""
+    """Terms as a trie; ``find`` intersects it with a token's automaton. Only terms of
+    at least ``shortest`` letters (and in ``near``, if given) match inexactly."""
 
     def __init__(self, terms: dict[str, float], max_edits: int = 1, shortest: int = 5,
-                 ordinary: frozenset = frozenset()):
+                 ordinary: frozenset = frozenset(), near: frozenset | None = None):
         self.terms, self.max, self.shortest, self.ordinary = terms, max_edits, shortest, ordinary
+        self.near = frozenset(terms if near is None else near)
         self.root: dict = {}
         self.heads, self.tails = set(), set()
-        for term in terms:
+        for term in self.near:
+            if len(term) < shortest:
+                continue
             at = self.root
             for c in term:
                 at = at.setdefault(c, {})
             at[""] = term
-            if len(term) >= shortest:
-                # an edit leaves one of max_edits + 1 parts of the term whole; with one
-                # edit that is its first or its second half, at the token's start or end
-                half = len(term) // 2
-                self.heads.add(term[:half])
-                self.tails.add(term[half:])
-        self.sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            # an edit leaves one of max_edits + 1 parts of the term whole; with one
+            # edit that is its first or its second half, at the token's start or end,
+            # and the token is one letter longer or shorter at most
+            half = len(term) // 2
+            for n in (len(term) - 1, len(term), len(term) + 1):
+                self.heads.add((n, term[:half]))
+                self.tails.add((n, term[half:]))
+        self.sizes: dict[int, tuple[list, list]] = {}
+        for k, parts in enumerate((self.heads, self.tails)):
+            for n, x in parts:
+                self.sizes.setdefault(n, ([], []))[k].append(len(x))
+        self.sizes = {n: (sorted(set(a)), sorted(set(b))) for n, (a, b) in self.sizes.items()}
 
     def may_match(self, token: str) -> bool:
         if self.max > 1:
             return True
-        return any(token[:n] in self.heads for n in self.sizes[0]) or any(token[-n:] in self.tails for n in self.sizes[1])
+        n = len(token)
+        if n not in self.sizes:
+            return False
+        a, b = self.sizes[n]
+        return any((n, token[:k]) in self.heads for k in a) or any((n, token[-k:]) in self.tails for k in b)
 
     def find(self, token: str) -> tuple[str, int] | None:
         """The closest term (then the first by name) and its distance."""
@@ -108,7 +123,7 @@ class Lexicon:
             for c, below in at.items():
                 if not c:
                     d = auto.accepts(state)
-                    if d is not None and len(below) >= self.shortest:
+                    if d is not None:
                         found.append((d, below))
                 else:
                     new = auto.step(state, c)
@@ -206,18 +221,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40
     return w
 
 
-def learn_lexicon(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int, max_edits: int) -> Lexicon:
-    """Terms whose toxic share, with the corpus share as prior, is at least 0.8; words
-    is (word, toxic texts, clean texts) of the words that are over-represented."""
+def learn_lexicon(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_words: int,
+                  max_edits: int) -> Lexicon:
+    """``words`` is (word, toxic texts, clean texts) of the over-represented ones among
+    ``n_words`` words. Terms are words that chance does not explain: if labels were
+    dealt at random, fewer than one word would be so one-sided. Their weight grows
+    with the odds ratio; terms in ten or more toxic texts also match inexactly."""
     prior = n_toxic / max(1, n_toxic + n_clean)
-    terms = {}
+    terms, near = {}, set()
     for w, t, c in words:
-        # evidence: log odds ratio with half a text added on each side
-        odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
-        share = (t + prior) / (t + c + 1)
-        if share >= 0.8 and odds > 1.5:
-            terms[w] = float(min(odds, 6.0)) / 6.0 * min(1.0, t / 4)
-    return Lexicon(terms, max_edits)
+        chance = t * math.log(prior) + c * math.log(1 - prior) + sum(
+            math.log((t + c - k) / (k + 1)) for k in range(min(t, c)))
+        odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        if chance + math.log(max(n_words, 1)) < 0 and odds > 1.5:
+            terms[w] = min(odds, 6.0) / 6.0
+            if t >= 10:
+                near.add(w)
+    return Lexicon(terms, max_edits, near=frozenset(near))
 
 
 def _features(shared):
@@ -244,14 +264,23 @@ def _ordinary(shared):
     return run
 
 
-def _distinct_words(batches):
+def _word_counts(batches):
+    """(w, toxic texts, clean texts) of a task's words."""
+    seen: dict[str, list[int]] = {}
     for batch in batches:
-        labels, words = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {w for w in tokens(text) if 3 <= len(w) <= 40}
-            words += own
-            labels += [label] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.string())], ["label", "w"])
+            for w in {w for w in tokens(text) if 3 <= len(w) <= 40}:
+                seen.setdefault(w, [0, 0])[1 - label] += 1
+        if len(seen) > CACHE_WORDS:
+            yield _counted(seen)
+            seen.clear()
+    yield _counted(seen)
+
+
+def _counted(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(seen), pa.string()), pa.array([t for t, _ in seen.values()], pa.int64()),
+         pa.array([c for _, c in seen.values()], pa.int64())], ["w", "t", "c"])
 
 
 class Model:
@@ -298,15 +327,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = 20_000,
                     "toxicity_training")
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = per.get(1, 0), per.get(0, 0)
-    least = 2 if n_toxic < 200 else 3
-    words = (train.mapInArrow(_distinct_words, "label int, w string").groupBy("w")
-             .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-             .where((F.col("t") >= least) & (F.col("t") > 3 * F.col("c"))).orderBy(F.desc("t"), "w")
-             .limit(max_terms).collect())
-    lexicon = learn_lexicon([(r["w"], r["t"], r["c"]) for r in words] if n_clean else [], n_toxic, n_clean, max_edits)
+    counts = written(train.mapInArrow(_word_counts, "w string, t long, c long").groupBy("w")
+                     .agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity_words")
+    words = counts.where((F.col("t") >= 2) & (F.col("t") > 3 * F.col("c"))).orderBy(F.desc("t"), "w") \
+        .limit(max_terms).collect()
+    lexicon = learn_lexicon([(r["w"], r["t"], r["c"]) for r in words] if n_clean and n_toxic else [], n_toxic,
+                            n_clean, counts.count(), max_edits)
     first = spark.sparkContext.broadcast(lexicon)
     plain = train.where("label = 0").mapInArrow(_ordinary(first), "w string").distinct().collect()  # few: near a term
-    lexicon = Lexicon(lexicon.terms, max_edits, ordinary=frozenset(r["w"] for r in plain))
+    lexicon = Lexicon(lexicon.terms, max_edits, ordinary=frozenset(r["w"] for r in plain), near=lexicon.near)
     shared = spark.sparkContext.broadcast(lexicon)
     sample = train.mapInArrow(_features(shared), "label int, x array<double>").collect()  # train_rows short rows
     x = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
