@@ -7,8 +7,8 @@ without any given label, the share of good texts and, for each labeller that doe
 abstain, how often it votes low on low and on high texts, and so the posterior of a
 pattern. Weak prior counts say that low votes are rare on high texts. The posteriors of a
 bounded sample of texts (``train_rows`` with the smallest id hash, one of each text)
-train a linear scorer over hashed words and hashed word shapes; it scores every
-whole text.
+train a linear scorer over hashed words, hashed word shapes and hashed steps of the
+text's measures; it scores every whole text.
 
 Null and empty texts get no votes and score by the scorer's intercept alone, as do
 texts of white space. Null and repeated ids are scored row by row.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ FUNCTION_WORDS = frozenset(
     "la le les de des et un une du que est pas pour dans qui "
     "der die das und ist von den nicht ein eine sich mit dem "
     "el los las en es por con se del para".split())
+_FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
 SYMBOLS = b"#$%&*+<=>@^`{|}~\\"
 MARKS = b".,;:?"
 LABELLERS = ("symbols", "capitals", "variety", "lines", "function_words", "marks", "word_length", "plain_words",
@@ -42,32 +44,57 @@ _AROUND_WORDS = b".,;:!?()\"'"
 _SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"))
 
 
-def votes(text: bytes | None) -> list[int]:
-    """Each labeller's vote on a text."""
-    words = text.split() if text else []
+class _Kinds(dict):
+    """word -> 1 for a function word, plus 2 ** 32 for a word of letters and digits."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        got = self[w] = (w.lower() in _FUNCTION_BYTES) + (
+            (w.strip(_AROUND_WORDS).translate(None, _LETTERS) == b"") << 32)
+        return got
+
+
+@lru_cache(1)
+def kinds() -> _Kinds:
+    return _Kinds()
+
+
+def measures(text: bytes | None, words: list[bytes]) -> dict[str, float]:
+    """What the labellers look at (empty without words)."""
     n = len(words)
     if not n:
-        return [0] * len(LABELLERS)
+        return {}
     size = len(text)
-    symbols = (size - len(text.translate(None, SYMBOLS))) / size
-    capitals = (size - len(text.translate(None, _UPPER))) / size
-    variety = len(set(words)) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
-    again = 1 - len(set(lines)) / len(lines)
-    function = sum(w.lower() in _FUNCTION_BYTES for w in words) / n
-    marks = (size - len(text.translate(None, MARKS))) / n
-    mean = (size - n + 1) / n
-    stutter = sum(map(bytes.__eq__, words[1:], words)) / n
-    plain = sum(w.strip(_AROUND_WORDS).translate(None, _LETTERS) == b"" for w in words) / n
-    pick = lambda low, high: -1 if low else 1 if high else 0
-    return [pick(symbols > 0.04, symbols < 0.01), pick(capitals > 0.3, capitals < 0.1),
-            pick(n >= 50 and variety < 0.25, n >= 20 and variety > 0.35), pick(again > 0.3, len(lines) > 2 and not again),
-            pick(n >= 20 and function < 0.02, function > 0.08), pick(n >= 20 and marks < 0.01, 0.02 < marks < 0.5),
-            pick(mean < 2 or mean > 14, 3 < mean < 10), pick(n >= 8 and plain < 0.75, plain > 0.9),
-            pick(n >= 8 and stutter > 0.2, n >= 8 and stutter < 0.02)]
+    known = sum(map(kinds().__getitem__, words))
+    return {"symbols": (size - len(text.translate(None, SYMBOLS))) / size,
+            "capitals": (size - len(text.translate(None, _UPPER))) / size,
+            "variety": len(set(words)) / n, "lines": 1 - len(set(lines)) / len(lines),
+            "function_words": (known & 0xFFFFFFFF) / n,
+            "marks": (size - len(text.translate(None, MARKS))) / n, "word_length": (size - n + 1) / n,
+            "plain_words": (known >> 32) / n, "stutter": sum(map(bytes.__eq__, words[1:], words)) / n,
+            "n_lines": len(lines)}
 
 
-_FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
+def votes(text: bytes | None) -> list[int]:
+    """Each labeller's vote on a text."""
+    words = text.split() if text else []
+    return vote(measures(text, words), len(words))
+
+
+def vote(m: dict[str, float], n: int) -> list[int]:
+    if not n:
+        return [0] * len(LABELLERS)
+    pick = lambda low, high: -1 if low else 1 if high else 0
+    return [pick(m["symbols"] > 0.04, m["symbols"] < 0.01), pick(m["capitals"] > 0.3, m["capitals"] < 0.1),
+            pick(n >= 50 and m["variety"] < 0.25, n >= 20 and m["variety"] > 0.35),
+            pick(m["lines"] > 0.3, m["n_lines"] > 2 and not m["lines"]),
+            pick(n >= 20 and m["function_words"] < 0.02, m["function_words"] > 0.08),
+            pick(n >= 20 and m["marks"] < 0.01, 0.02 < m["marks"] < 0.5),
+            pick(m["word_length"] < 2 or m["word_length"] > 14, 3 < m["word_length"] < 10),
+            pick(n >= 8 and m["plain_words"] < 0.75, m["plain_words"] > 0.9),
+            pick(n >= 8 and m["stutter"] > 0.2, n >= 8 and m["stutter"] < 0.02)]
 
 
 def _vote(batches):
@@ -115,22 +142,33 @@ def buckets(w: bytes) -> tuple[int, int]:
     return zlib.crc32(w.lower()) % BUCKETS, BUCKETS + zlib.crc32(shape(w)) % BUCKETS
 
 
+def whole_buckets(m: dict[str, float], n: int) -> list[int]:
+    """Hashed features of a whole text: each measure and the length in steps."""
+    steps = [f"{k}:{min(40, int(v * 40))}" if k not in ("word_length", "n_lines") else f"{k}:{int(np.log2(v + 1) * 2)}"
+             for k, v in m.items()]
+    steps.append(f"n:{n.bit_length()}")
+    return [zlib.crc32(x.encode()) % BUCKETS for x in steps]
+
+
 def _features(batches):
-    """Pattern and hashed counts (bucket, share of words) of sampled texts."""
+    """Pattern and hashed features (bucket, value) of sampled texts: each word and word
+    shape with its share of the words, each feature of the whole text with 1."""
     for batch in batches:
         pat, idx, val = [], [], []
         for text in batch.column(0).to_pylist():
             words = text.split() if text else []
+            m = measures(text, words)
             got, n = np.unique(np.array([b for w in words for b in buckets(w)], np.int32), return_counts=True)
-            pat.append(sum((v + 1) * 3 ** k for k, v in enumerate(votes(text))))
-            idx.append(got.astype("<i4").tobytes())
-            val.append((n / max(len(words), 1)).astype("<f4").tobytes())
+            whole = np.array(whole_buckets(m, len(words)), np.int32) if words else np.empty(0, np.int32)
+            pat.append(sum((v + 1) * 3 ** k for k, v in enumerate(vote(m, len(words)))))
+            idx.append(np.concatenate([got, whole]).astype("<i4").tobytes())
+            val.append(np.concatenate([n / max(len(words), 1), np.ones(len(whole))]).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(pat, pa.int64()), pa.array(idx, pa.binary()),
                                           pa.array(val, pa.binary())], ["pattern", "idx", "val"])
 
 
-def fit_linear(idx: list[np.ndarray], val: list[np.ndarray], target: np.ndarray, rounds: int = 60,
-               rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_linear(idx: list[np.ndarray], val: list[np.ndarray], target: np.ndarray, rounds: int = 100,
+               rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets: full-batch AdaGrad over sparse rows."""
     w, b = np.zeros(2 * BUCKETS), 0.0
     if not len(target):
@@ -171,7 +209,10 @@ def _scorer(shared, b: float, keep: float):
             score = []
             for text in batch.column(1).to_pylist():
                 words = text.split() if text else []
-                z = b + (sum(map(get, words)) / len(words) if words else 0.0)
+                z = b
+                if words:
+                    z += sum(map(get, words)) / len(words) + sum(
+                        weights.w[k] for k in whole_buckets(measures(text, words), len(words)))
                 score.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64()), pa.array([s >= keep for s in score], pa.bool_())],
