@@ -5,8 +5,8 @@ closed by the end id 0. Full windows of ``window`` ids at the start of a documen
 sequences of their own; what remains of each document (its tail) is packed.
 
 Tails are range-partitioned by a lexical key (the smallest hash among the text's
-words, so texts that share words tend to meet) and the row, which also splits any
-group of equal texts. Inside a partition, runs of ``shard_rows`` tails form a shard
+pairs of neighbouring ids, so texts that share much tend to meet) and the row, which
+also splits any group of equal texts. Inside a partition, runs of ``shard_rows`` tails form a shard
 with an inverted index of BM25 weights over token ids. The longest unused tail is the
 seed; its unused neighbours in score order fill the window whole where they fit, and
 the best one left is cut to close it exactly (the rest of it stays in the shard).
@@ -22,11 +22,12 @@ from __future__ import annotations
 import base64
 import math
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,13 @@ class Bpe:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        ids = array("I", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -62,16 +66,21 @@ class Bpe:
         if _JOINED_SPACES.search(text):  # a run of white space may not be cut
             return self.whole(text)
         first, *rest = text.split(" ")
-        out = [self.whole(first)]
-        known = self.parts
-        for p in rest:
-            got = known.get(p)
-            if got is None:
-                if len(known) >= CACHE_PARTS:
-                    known.clear()
-                got = known[p] = self.whole(" " + p)
-            out.append(got)
-        return b"".join(out)
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
+
+
+class _Parts(dict):
+    """Ids of a text part behind a space."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.encode(" " + part)
+        return got
 
 
 @lru_cache(2)
@@ -79,9 +88,13 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def lexical_key(text: str) -> int:
-    """Smallest 62-bit hash among the words of a text."""
-    return min((xxhash.xxh3_64_intdigest(w) >> 2 for w in set(text.lower().split())), default=0)
+def lexical_key(ids: bytes) -> int:
+    """Smallest 63-bit hash among the pairs of neighbouring ids of a text."""
+    x = np.frombuffer(ids, "<u4").astype(np.uint64)
+    if len(x) > 1:
+        x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int(x.min() >> np.uint64(1))
 
 
 def _tokenize(path: str, window: int):
@@ -93,11 +106,10 @@ def _tokenize(path: str, window: int):
                 part = batch.slice(at, 500)
                 ids, n, key, rows, first_full = [], [], [], [], []
                 for text in part.column(1).to_pylist():
-                    text = text or ""
-                    got = enc.ids(text) + END
+                    got = enc.ids(text or "") + END
                     ids.append(got)
                     n.append(len(got) // 4)
-                    key.append(lexical_key(text))
+                    key.append(lexical_key(got))
                     rows.append(base + row)
                     first_full.append(base + fulls)
                     row += 1
@@ -166,15 +178,16 @@ def pack_shard(sizes: list[int], shard: Shard | None, window: int, near: int = 6
             score = shard.scores(seed)
             score[left == 0] = -1.0
             score[seed] = -1.0
-            order = np.argsort(-score[:], kind="stable")
-            order = order[:int((score >= 0).sum())]
-            for d in order[:near].tolist():
+            usable = np.flatnonzero(score >= 0)
+            top = usable if len(usable) <= near else usable[np.argpartition(-score[usable], near)[:near]]
+            order = top[np.argsort(-score[top], kind="stable")]
+            for d in order.tolist():
                 if left[d] <= room:
                     room -= int(left[d])
                     take(d, int(left[d]))
                     if not room:
                         break
-            for d in order.tolist():
+            for d in (*order.tolist(), *usable.tolist()):  # none fits whole any more: cut
                 if not room:
                     break
                 if left[d]:
@@ -245,7 +258,7 @@ def _pack(window: int, shard_rows: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 512) -> DataFrame:
     """Pieces doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian unsigned 32-bit) of ``docs(doc_id, text)``."""
     if window & (window - 1):
