@@ -31,6 +31,15 @@ def id_bucket(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+def hashed_sample(df: DataFrame, key, n: int, total: int) -> DataFrame:
+    """About ``n`` rows of ``total``, never more: those whose hash ``key`` is in the
+    first part of its range. The same rows every time, whatever the number of tasks,
+    and no task sends more than its share."""
+    if total <= n:
+        return df
+    return df.where(F.pmod(key, F.lit(1 << 32)) < int(0.95 * n / total * (1 << 32))).limit(n)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (long ids, null ends ignored) as
     ``(node, component_id)`` with the smallest id of each component.

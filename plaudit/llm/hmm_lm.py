@@ -280,9 +280,19 @@ def score_texts(docs: DataFrame, held_out, states: int = 8, n_iter: int = 5, own
     counts = written(rows.where("not held_out").select("text").mapInArrow(_count_words, "w binary, n long")
                      .groupBy("w").agg(F.sum("n").alias("c")), "words")
     n_train, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["w"]): r["c"] for r in
-            counts.orderBy(F.desc("c"), "w").limit(head_words).collect()}  # bounded by head_words
-    own = {w: i + 1 for i, w in enumerate([w for w in head if w != END][:own_classes])}
+    # the most frequent words: whole steps of an eighth of a doubling, as many as fit
+    step = F.floor(F.log2("c") * 8)
+    least, room = None, head_words
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):  # at most 8 rows a doubling
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["s"]
+    head = {} if least is None else {
+        bytes(r["w"]): r["c"] for r in counts.where(step >= least).collect()}  # bounded by head_words
+    head.update({bytes(r["w"]): r["c"] for r in counts.where(F.col("w") == F.lit(END)).collect()})
+    frequent = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:own_classes]
+    own = {w: i + 1 for i, w in enumerate(frequent)}
     own[END] = END_CLASS
     head.setdefault(END, 0)
     first, size = own_classes + 1, own_classes + 1 + suffix_classes

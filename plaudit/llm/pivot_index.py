@@ -12,8 +12,8 @@ Vectors equal in label and components collapse to their smallest id with a
 multiplicity first. Lists longer than ``block_rows`` are dealt out as pairs of
 blocks, so a hot list is split over many tasks and still compared whole.
 
-Pivots come from a bounded sample: of the ``4 * pivots`` vectors with the smallest
-hash, those not close to one taken before; seeded random directions fill up. Every
+Pivots come from a bounded sample: of at most ``4 * pivots`` vectors chosen by hash,
+those not close to one taken before; seeded random directions fill up. Every
 vector is indexed. Vectors that are null, zero, or hold null or non-finite
 components, and vectors with a null label, link with nothing (0 links, own
 component). Vectors of different lengths never link. A null id gets a null component
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import components, written
+from plaudit.llm.common import components, hashed_sample, written
 from plaudit.llm.lsh_forest import runs
 
 
@@ -135,9 +135,10 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, pivots: int = 256, p
     sizes = [r[0] for r in classes.select(F.size("embedding").alias("n")).distinct().collect()]  # lengths met
     refs = {}
     for dim in sizes:
-        sample = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id") \
-            .select("embedding").limit(4 * pivots).collect()
-        refs[dim] = choose_pivots([r[0] for r in sample], dim, pivots)
+        own = classes.where(F.size("embedding") == dim)
+        sample = hashed_sample(own.select("vec_id", "embedding"), F.xxhash64("vec_id"), 4 * pivots,
+                               own.count()).orderBy(F.xxhash64("vec_id"), "vec_id").collect()
+        refs[dim] = choose_pivots([r["embedding"] for r in sample], dim, pivots)
     described = classes.select("vec_id", "embedding", "mult", "grp").mapInArrow(
         _describe(refs, prefix), "vec_id long, embedding array<double>, mult long, grp long, near array<int>")
     posts = written(described, "permutations").withColumn("pivot", F.explode("near"))

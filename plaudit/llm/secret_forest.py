@@ -14,7 +14,7 @@ document's source: whether it names tests or examples), and the neighbouring wor
 The forest learns from labelled findings: a frame ``(value, label)`` that the caller
 has, or ``seed_labels``, which labels the findings whose form settles the matter
 (issuers' key formats and credential assignments against addresses, numbers, mail and
-dictionary words). At most ``train_rows`` findings (smallest hash first) train it.
+dictionary words). At most ``train_rows`` findings (by hash) train it.
 Without findings of both labels a finding's own seed label is its score (0.5: none).
 
 Null or empty texts have no candidates. A finding is reported for every occurrence;
@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import written
+from plaudit.llm.common import hashed_sample, written
 
 VALUE = r"([A-Za-z0-9+/_.@~\-]{10,200}={0,2})[\x22\x27\x60;,.)\]}>]*$"
 #: fixed values: names that stand before a credential, words that mark a made-up one
@@ -122,8 +122,10 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, train_rows: int = 2
     seen = (seen.join(labelled.select("value", F.col("label").cast("double").alias("label")).dropDuplicates(["value"]),
                       "value", "left") if labelled is not None else seen.withColumn("label", seed_labels()))
     seen = written(seen, "secret_features")
-    train = written(seen.where("label is not null").select("label", *FEATURES, "value").dropDuplicates(["value"])
-                    .orderBy(F.xxhash64("value"), "value").limit(train_rows), "secret_training")
+    known = seen.where("label is not null")
+    train = written(hashed_sample(known.select("label", *FEATURES, "value"), F.xxhash64("value"), train_rows,
+                                  known.count()).dropDuplicates(["value"])
+                    .repartition(1).sortWithinPartitions("value"), "secret_training")  # at most train_rows rows
     both = train.agg(F.countDistinct("label")).first()[0]
     cols = ["doc_id", "word_no", "value", "key"]
     if both < 2:

@@ -9,7 +9,7 @@ side: other matches and exclamation marks speak for abuse, quotation marks aroun
 word or a window of reporting words and quotes speak for quotation.
 
 A logistic model over the resulting counts gives the score. It is fitted on a bounded
-sample (``train_rows``, by smallest id hash) of the labelled rows that the caller
+sample (``train_rows``, by id hash) of the labelled rows that the caller
 allows for training; only texts are inputs. Tokens near a lexicon term that clean
 training texts use are ordinary words, not misspellings.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import written
+from plaudit.llm.common import hashed_sample, written
 
 WINDOW = 8
 CACHE_WORDS = 600_000
@@ -319,10 +319,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = 20_000,
     """Learn from the rows of ``labels(doc_id, toxic)`` where ``held_out`` (a boolean
     column over doc_id) is not true. The lexicon keeps at most ``max_terms`` terms."""
     spark = docs.sparkSession
-    chosen = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .where(~F.coalesce(held_out, F.lit(False)))
-              .select("doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))  # bounded: safe to broadcast
+              .groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("label")))
+    chosen = hashed_sample(usable, F.xxhash64("doc_id"), train_rows, usable.count())  # bounded: safe to broadcast
     train = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"),
                     "toxicity_training")
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}

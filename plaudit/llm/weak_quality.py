@@ -6,7 +6,7 @@ grouped count over all documents; expectation-maximisation on that table estimat
 without any given label, the share of good texts and, for each labeller that does not
 abstain, how often it votes low on low and on high texts, and so the posterior of a
 pattern. Weak prior counts say that low votes are rare on high texts. The posteriors of a
-bounded sample of texts (``train_rows`` with the smallest id hash, one of each text)
+bounded sample of texts (``train_rows`` by hash, one of each text)
 train a linear scorer over hashed words, hashed word shapes and hashed steps of the
 text's measures; it scores every whole text.
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaudit.llm.common import hashed_sample
+
 #: fixed values: frequent function words of the corpus languages
 FUNCTION_WORDS = frozenset(
     "the of and to in is it that for was on are as with be this from "
@@ -228,11 +230,8 @@ def quality(docs: DataFrame, train_rows: int = 6000, keep: float = 0.5) -> DataF
     table = texts.select("text").mapInArrow(_vote, "pattern long").groupBy("pattern").count().collect()
     model = label_model(np.array([r[0] for r in table], np.int64).reshape(-1),
                         np.array([r[1] for r in table], float).reshape(-1))  # at most 3 ** 9 rows
-    # the smallest hashes are found without the texts, so that only the sample's texts move
-    limit = texts.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("h")) \
-        .orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    sample = texts.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)) <= F.lit(limit)) \
-        .select("text").distinct().orderBy(F.xxhash64("text")).limit(train_rows) \
+    sample = hashed_sample(texts, F.xxhash64(F.col("doc_id").cast("string"), "text"), train_rows,
+                           sum(r[1] for r in table)).select("text").distinct() \
         .mapInArrow(_features, "pattern long, idx binary, val binary").collect()  # bounded by train_rows
     sample = [r for r in sample if r["idx"]]  # texts without words teach nothing
     w, b = fit_linear([np.frombuffer(r["idx"], "<i4") for r in sample], [np.frombuffer(r["val"], "<f4") for r in sample],
