@@ -57,7 +57,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").where("v <> m")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small-star: a node's smaller neighbours and the node itself join the smallest
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))

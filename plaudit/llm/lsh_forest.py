@@ -9,13 +9,17 @@ values each. Rows that share a prefix of ``DEPTHS[0]`` values form a region of a
 tree; a region of more than ``region_rows`` rows is taken at the next depth, where
 fewer rows share the (longer) common prefix, until it fits or the signature ends.
 Regions above ``block_rows`` rows are dealt out as pairs of blocks, so a region of
-any size is compared whole, by many tasks. Within a block pair the candidates of a
-row are its partners of highest estimated similarity over all trees' values; the
-best ``first`` per row are confirmed on the full sets, and as long as a row had more
-candidates than were tried, the untried ones between different components follow in
-later rounds (``later`` per row, then all), so truncation never loses a link between
-components. Candidates need an estimate of at least ``floor``, 4 or more standard
-errors below the threshold.
+any size is compared whole, by many tasks. The candidates of a row in a block pair
+are its ``pool`` partners of highest estimated similarity over all trees' values, and
+pairs that connect whatever further candidates connect.
+
+Each row's best candidates are confirmed on the full sets first. What they leave
+apart is decided in groups of rows that candidates connect: rows of different
+components in one group are compared exactly, block pair by block pair, until they are
+joined or no candidate is left. A pair inside one component needs no test and no pair
+is emitted but links, so a large group of copies costs about two tests a row and no
+link between components is lost. Candidates need an estimate of at least ``floor``, 4
+standard errors below the threshold.
 
 Null or empty texts have no shingles and link with nothing. A null id is kept, gets
 a null component and links with nothing. Repeated rows with one id get one row each.
@@ -28,7 +32,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import components, written
@@ -82,16 +86,26 @@ def set_key(sh: np.ndarray) -> bytes:
     return blake2b(sh.tobytes(), digest_size=16).digest()
 
 
-def tree_keys(sig: np.ndarray) -> np.ndarray:
-    """(tree, depth) -> 64-bit key of the tree's signature prefix of that depth."""
-    per = sig.reshape(TREES, DEPTHS[-1])
-    acc = np.arange(1, TREES + 1, dtype=np.uint64)
-    out = np.empty((TREES, len(DEPTHS)), np.uint64)
-    for d in range(DEPTHS[-1]):
-        acc = mix((acc + per[:, d]) * STEP[d % 5])
-        if d + 1 in DEPTHS:
-            out[:, DEPTHS.index(d + 1)] = acc
-    return out
+def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
+    """(row, tree) -> 64-bit key of the tree's signature prefix of that depth."""
+    per = sig.reshape(-1, TREES, DEPTHS[-1]).astype(np.uint64)
+    acc = np.tile(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(64) + np.uint64(depth), (len(per), 1))
+    for d in range(depth):
+        acc = mix((acc + per[:, :, d]) * STEP[d % 5])
+    return acc
+
+
+def _tree_rows(depth: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2")
+                keys = tree_keys(sig, depth)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
+                     pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(keys))),
+                     pa.array(keys.view(np.int64).ravel())], ["rep", "tree", "region"])
+    return run
 
 
 def _signer(width: int):
@@ -103,21 +117,18 @@ def _signer(width: int):
 def _sign(batches, width: int):
     cache = _Hashes()
     for batch in batches:
-        n, key, keys, sig = [], [], [], []
+        n, key, sig = [], [], []
         for text in batch.column(1).to_pylist():
             sh = shingles(text, cache, width)
             n.append(len(sh))
             if not len(sh):
-                key.append(None), keys.append(None), sig.append(None)
+                key.append(None), sig.append(None)
                 continue
-            s = signature(sh)
             key.append(set_key(sh))
-            keys.append(tree_keys(s).view(np.int64).ravel())
-            sig.append((s >> np.uint64(40)).astype(np.uint8).tobytes())
+            sig.append((signature(sh) >> np.uint64(40)).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "keys", "sig"])
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+            ["doc_id", "n_shingles", "set_key", "sig"])
 
 
 def _setter(width: int):
@@ -157,137 +168,196 @@ def runs(batches, key_cols: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
-def best_pairs(sig: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, q: int | None,
-               floor: float):
+def similar(sig: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, floor: float):
     """Pairs (i, j) of left x right rows in different components whose estimate
-    reaches ``floor``: the ``q`` best of each row (None: all), and whether some were
-    left out."""
-    need = floor * N_HASH
-    same = left is right
+    reaches ``floor``, and their equal values."""
     ii, jj, ss = [], [], []
     for at in range(0, len(left), 64):  # bounded memory: 64 x block x N_HASH bytes
         rows = left[at:at + 64]
         hits = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2, dtype=np.int16)
         hits[comp[rows][:, None] == comp[right][None, :]] = 0
-        i, j = np.nonzero(hits >= need)
+        i, j = np.nonzero(hits >= floor * N_HASH)
         ss.append(hits[i, j])
         ii.append(rows[i])
         jj.append(right[j])
     i, j, s = np.concatenate(ii), np.concatenate(jj), np.concatenate(ss)
-    if not len(i):
-        return i, j, False
-    if same:
+    if left is right:
         up = i < j
         i, j, s = i[up], j[up], s[up]
-    if q is None:
-        return i, j, False
-    # rank of each pair among its rows' pairs, best estimate first
+    return i, j, s
+
+
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row of each row's connected part."""
+    lab = np.arange(n)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        np.minimum.at(new, j, lab[i])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def best_pairs(i: np.ndarray, j: np.ndarray, s: np.ndarray, q: int) -> np.ndarray:
+    """Which pairs are among the ``q`` best of one of their rows."""
     end, pair, score = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(s, 2)
     order = np.lexsort((pair, -score, end))
     e = end[order]
     rank = np.arange(len(e)) - np.searchsorted(e, e)
     good = np.zeros(len(i), bool)
     good[pair[order][rank < q]] = True
-    return i[good], j[good], not good.all()
+    return good
+
+
+def _blocks_of(t: pa.Table, lo: int, hi: int):
+    """Rows of a cell in a fixed order: ids, components, signatures, the two blocks."""
+    rep = t.column("rep").to_numpy()
+    order = np.argsort(rep, kind="stable")  # rows arrive in any order
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, N_HASH)[order]
+    block = t.column("block").to_numpy()[order]
+    left = np.flatnonzero(block == lo)
+    return order, rep[order], sig, left, left if lo == hi else np.flatnonzero(block == hi)
 
 
-def _compare(q: int | None, floor: float):
+def _compare(q: int, floor: float):
+    """Candidates of a region's block pair: the ``q`` best of each row with their equal
+    values, and with -1 as many pairs as connect what all candidates connect."""
     def run(batches):
-        for (region, lo, hi), t in runs(batches, ["region", "lo", "hi"]):
-            rep = t.column("rep").to_numpy()
-            if len(rep) < 2:
+        for (_, lo, hi), t in runs(batches, ["region", "lo", "hi"]):
+            if t.num_rows < 2:
                 continue
-            order = np.argsort(rep, kind="stable")  # rows arrive in any order
-            rep = rep[order]
-            comp = t.column("comp").to_numpy()[order]
+            _, rep, sig, left, right = _blocks_of(t, lo, hi)
+            if not len(left) or not len(right):
+                continue
+            i, j, s = similar(sig, left, right, np.arange(len(rep)), floor)
+            if not len(i):
+                continue
+            good = best_pairs(i, j, s, q)
+            u, v, hits = rep[i[good]], rep[j[good]], s[good].astype(np.int32)
+            if not good.all():
+                root = connected(len(rep), i, j)
+                more = np.flatnonzero(root != np.arange(len(rep)))
+                u, v = np.concatenate([u, rep[more]]), np.concatenate([v, rep[root[more]]])
+                hits = np.concatenate([hits, np.full(len(more), -1, np.int32)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(hits)], ["u", "v", "hits"])
+    return run
+
+
+def _decide(percent: int, floor: float):
+    """Links between the components of a group's block pair: candidates are compared
+    exactly, best estimate first, until their components are joined."""
+    def run(batches):
+        for (_, lo, hi), t in runs(batches, ["region", "lo", "hi"]):
+            comp = t.column("comp").to_numpy()
             if (comp == comp[0]).all():
                 continue
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASH)[order]
-            block = t.column("block").to_numpy()[order]
-            left = np.flatnonzero(block == lo)
-            right = left if lo == hi else np.flatnonzero(block == hi)
+            order, rep, sig, left, right = _blocks_of(t, lo, hi)
             if not len(left) or not len(right):
                 continue
-            i, j, cut = best_pairs(sig, left, right, comp, q, floor)
-            n = len(i) + cut
-            if n:
-                u, v = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*u.tolist(), *[None] * cut], pa.int64()),
-                     pa.array([*v.tolist(), *[None] * cut], pa.int64()),
-                     pa.array([*[None] * len(i), *[region] * cut], pa.int64())], ["u", "v", "cut"])
+            names, part = np.unique(comp[order], return_inverse=True)
+            i, j, s = similar(sig, left, right, part, floor)
+            sets = t.column("set").combine_chunks()
+            flat, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+            up = np.arange(len(names))
+            u, v = [], []
+            for k in np.argsort(-s, kind="stable"):
+                a, b = part[i[k]], part[j[k]]
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                if a == b:
+                    continue
+                x, y = (flat[at[order[r]]:at[order[r] + 1]] for r in (i[k], j[k]))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * 100 >= (len(x) + len(y) - both) * percent:
+                    up[max(a, b)] = min(a, b)
+                    u.append(min(rep[i[k]], rep[j[k]]))
+                    v.append(max(rep[i[k]], rep[j[k]]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
 
 
-def regions(light: DataFrame, region_rows: int) -> DataFrame:
+def regions(reps: DataFrame, region_rows: int) -> DataFrame:
     """(region, n, rep): each tree's rows at the shallowest depth whose region holds
     at most ``region_rows`` rows, or at the full signature; single rows are left out."""
-    parts, todo = [], light
-    for level in range(len(DEPTHS)):
-        n = todo.groupBy(F.col("k")[level].alias("region")).agg(F.count("*").alias("n")).where("n > 1")
-        got = todo.withColumn("region", F.col("k")[level]).join(n, "region")
-        if level + 1 < len(DEPTHS):
-            got = written(got, f"regions{level}")
-            parts.append(got.where(F.col("n") <= region_rows).select("region", "n", "rep"))
-            todo = got.where(F.col("n") > region_rows).select("rep", "k")
-            if todo.isEmpty():
-                break
-        else:
+    parts, todo = [], None
+    for depth in DEPTHS:
+        rows = reps.select("rep", "sig").mapInArrow(_tree_rows(depth), "rep long, tree int, region long")
+        if todo is not None:
+            rows = rows.join(todo, ["rep", "tree"], "left_semi")
+        n = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+        got = written(rows.join(n, "region"), f"regions{depth}")
+        if depth == DEPTHS[-1]:
             parts.append(got.select("region", "n", "rep"))
+            break
+        parts.append(got.where(F.col("n") <= region_rows).select("region", "n", "rep"))
+        todo = got.where(F.col("n") > region_rows).select("rep", "tree")
+        if todo.isEmpty():
+            break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, first: int = 2, later: int = 24, floor: float | None = None,
-                    region_rows: int = 32_768, block_rows: int = 512) -> DataFrame:
+def best_per_row(pairs: DataFrame, q: int) -> DataFrame:
+    """The ``q`` pairs of most hits at each end."""
+    ends = pairs.select("u", "v", "hits", F.explode(F.array("u", "v")).alias("end"))
+    w = Window.partitionBy("end").orderBy(F.desc("hits"), "u", "v")
+    return ends.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= q).select("u", "v").distinct()
+
+
+def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (region, n, rep) once per pair of blocks that their own block is in."""
+    return (rows.withColumn("_b", F.ceil(F.col("n") / block_rows).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+            .withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o"))
+            .drop("n", "_b", "_o"))
+
+
+def dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, pool: int = 4, first: int = 2,
+                    floor: float | None = None, region_rows: int = 32_768, block_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of
     ``docs(doc_id, text)``; texts with ``100 * |A & B| >= percent * |A | B|`` are
     linked."""
     j = percent / 100
-    floor = j - 4.5 * (j * (1 - j) / N_HASH) ** 0.5 if floor is None else floor
+    floor = j - 4 * (j * (1 - j) / N_HASH) ** 0.5 if floor is None else floor
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(texts.mapInArrow(
-        _signer(width), "doc_id long, n_shingles long, set_key binary, keys array<long>, sig binary"), "signatures")
+        _signer(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
     reps = written(signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
-                   .agg(F.min(F.struct("doc_id", "keys", "sig")).alias("r"))
-                   .select("set_key", F.col("r.doc_id").alias("rep"), "r.keys", "r.sig"), "representatives")
-    levels = len(DEPTHS)
-    light = reps.select("rep", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * levels + 1, levels))).alias("k"))
-    where = regions(light, region_rows)
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    b = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = (where.withColumn("blocks", blocks).withColumn("block", b).select("region", "rep", "block", other.alias("o"))
-             .select("region", "rep", "block", F.least("block", "o").alias("lo"),
-                     F.greatest("block", "o").alias("hi"))
-             .join(reps.select("rep", "sig"), "rep"))
-    comps = None
-    links = None
-    tried = None
-    for q in (first, later, None):
-        if comps is None:
-            rows = written(cells, "cells")
-            cells = rows
-            rows = rows.withColumn("comp", F.col("rep"))
-        else:
-            rows = cells.join(cut, "region").join(comps.withColumnRenamed("node", "rep"), "rep", "left") \
-                .withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
-        found = written(rows.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
-                        .mapInArrow(_compare(q, floor), "u long, v long, cut long"), "pairs")
-        cut = found.where("cut is not null").select(F.col("cut").alias("region")).distinct()
-        pairs = found.where("u is not null").select("u", "v").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "candidates")
-        new = written(_confirmed(texts, reps, pairs, percent, width), "links")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comps = components(links)
-        if cut.isEmpty():
-            break
+                   .agg(F.min(F.struct("doc_id", "sig")).alias("r"))
+                   .select("set_key", F.col("r.doc_id").alias("rep"), "r.sig"), "representatives")
+    sigs = reps.select("rep", "sig")
+    cells = in_blocks(regions(reps, region_rows), block_rows).join(sigs, "rep")
+    found = written(dealt(cells).mapInArrow(_compare(pool, floor), "u long, v long, hits int")
+                    .groupBy("u", "v").agg(F.max("hits").alias("hits")), "candidates")
+    sets = _sets_of(texts, reps, found, width)
+    links = _confirmed(sets, best_per_row(found.where("hits >= 0"), first), percent)
+    comps = components(links)
+
+    # rows that candidates connect and confirmed links do not
+    loose = components(found.select("u", "v"))
+    rows = (loose.join(comps.withColumnRenamed("component_id", "comp"), "node", "left")
+            .select(F.col("node").alias("rep"), F.col("component_id").alias("region"),
+                    F.coalesce("comp", "node").alias("comp")))
+    open_groups = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("_a"),
+                                             F.max("comp").alias("_z")).where("_a < _z").select("region", "n")
+    cells = (in_blocks(rows.join(open_groups, "region"), block_rows // 4).join(sigs, "rep")
+             .join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
+    more = written(dealt(cells).mapInArrow(_decide(percent, floor), "u long, v long"), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     by_set = reps.select("set_key", "rep").join(comps, F.col("rep") == F.col("node"), "left") \
         .select("set_key", F.coalesce("component_id", "rep").alias("c"))
     own = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("c"))
@@ -296,17 +366,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, first: i
                 F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _confirmed(texts: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold; sets are made anew for
-    the texts that are in some pair."""
+def _sets_of(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) of the representatives in some pair, made anew from their texts."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id long, set_key binary, set array<long>") \
-        .join(reps.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi") \
-        .drop("set_key").dropDuplicates(["doc_id"])
-    sets = written(sets, "sets")
+    sets = texts.join(ids, "doc_id", "left_semi") \
+        .mapInArrow(_setter(width), "doc_id long, set_key binary, set array<long>") \
+        .join(reps.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
+    return written(sets.drop("set_key").dropDuplicates(["doc_id"]), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("su"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    return (pairs.join(a, "u").join(b, "v")
-            .select("u", "v", both.alias("i"), (F.size("su") + F.size("sv")).alias("n"))
-            .where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("u", "v"))
+    both, size = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
+    return written(pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), size.alias("n"))
+                   .where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("u", "v"), "confirmed")

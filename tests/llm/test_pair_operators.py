@@ -46,7 +46,7 @@ def near_copies(rng, n_base=4, copies=60, size=120, edits=3):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 8, "first": 1, "later": 2}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 8, "pool": 1, "first": 1}])
 def test_near_duplicates_match_brute_force(spark, docs, options):
     rng = np.random.default_rng(4)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
