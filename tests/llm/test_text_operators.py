@@ -117,9 +117,9 @@ def best_cut(word, vocab):
 
 def test_token_counts(spark, docs, odd_docs, no_docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    vocab, _ = trie_tokens.pieces(path)
+    vocab = trie_tokens.pieces(path)
     some = docs.where("length(text) < 4000")
-    for df, nodes in ((some, 400_000), (some, 50), (odd_docs.where("doc_id <> 8"), 400_000)):
+    for df, words, kept in ((some, 200_000, 2_000_000), (some, 50, 3000), (odd_docs, 200_000, 2_000_000)):
         known = {}
         texts = {(r["doc_id"], r["text"]) for r in df.collect()}
         want = Counter()
@@ -129,24 +129,31 @@ def test_token_counts(spark, docs, odd_docs, no_docs):
                 if w not in known:
                     known[w] = best_cut(w, vocab)
             want[d, len(ws), sum(known[w] for w in ws)] += 1
-        got = {tuple(r) for r in trie_tokens.token_counts(df, path, max_nodes=nodes).collect()}
+        got = {tuple(r) for r in trie_tokens.token_counts(df, path, words, kept).collect()}
         assert got == set(want)
     assert trie_tokens.token_counts(no_docs, path).count() == 0
 
 
-def test_trie_agrees_with_a_unigram_library():
-    """The library's unigram model finds a cut of the same score."""
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abcé✓😀")), min_size=1, max_size=12), min_size=1, max_size=20),
+       st.dictionaries(st.text(alphabet=st.sampled_from(list("abcé✓")), min_size=1, max_size=4),
+                       st.floats(-9, -1), min_size=1, max_size=30))
+def test_trie_equals_plain_search(words, vocab):
+    trie = trie_tokens.Trie(vocab)
+    got = trie.counts(words).tolist()
+    assert got == [trie.count(w) for w in words]
+    scores = lambda w: best_cut(w, vocab)
+    assert got == [scores(w) for w in words]
+
+
+def test_counts_agree_with_a_unigram_library():
+    """The library's unigram model cuts words into as many pieces."""
     from tokenizers import Tokenizer, models
-    vocab, _ = trie_tokens.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    vocab = trie_tokens.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     trie = trie_tokens.Trie(vocab)
     tok = Tokenizer(models.Unigram([("<unk>", -1000.0), *vocab.items()], 0, False))
-    for w in ("the", "tionthere", "hello", "internationalisation"):
-        ids = tok.encode(trie_tokens.MARK + w).tokens
-        trie.count(trie_tokens.MARK + w)
-        node = trie.root
-        for c in trie_tokens.MARK + w:
-            node = node.next[c]
-        assert math.isclose(node.score, sum(vocab[p] for p in ids), rel_tol=1e-9)
+    words = [trie_tokens.MARK + w for w in ("the", "tionthere", "hello", "internationalisation", "zzqx")]
+    assert trie.counts(words).tolist() == [len(tok.encode(w).ids) for w in words]
 
 
 def check_packing(docs_rows, pieces, window, ids_of):
