@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from plaudit.llm.common import hashed_sample, written
 
 WINDOW = 8
+NEAR_SHARE = 0.1
 CACHE_WORDS = 600_000
 _STRIP = bytes(b if (b >= 128 or chr(b).isalnum()) else 32 for b in range(256))
 _QUOTES = ('"', "“", "”", "«", "»", "„", "`")
@@ -226,7 +227,8 @@ def learn_lexicon(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     """``words`` is (word, toxic texts, clean texts) of the over-represented ones among
     ``n_words`` words. Terms are words that chance does not explain: if labels were
     dealt at random, fewer than one word would be so one-sided. Their weight grows
-    with the odds ratio; terms in ten or more toxic texts also match inexactly."""
+    with the odds ratio; terms in NEAR_SHARE of the toxic texts also match inexactly
+    (what is close to a rare term is mostly another word)."""
     prior = n_toxic / max(1, n_toxic + n_clean)
     terms, near = {}, set()
     for w, t, c in words:
@@ -235,7 +237,7 @@ def learn_lexicon(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
         odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         if chance + math.log(max(n_words, 1)) < 0 and odds > 1.5:
             terms[w] = min(odds, 6.0) / 6.0
-            if t >= 10:
+            if t >= NEAR_SHARE * n_toxic:
                 near.add(w)
     return Lexicon(terms, max_edits, near=frozenset(near))
 
