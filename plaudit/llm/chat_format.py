@@ -18,6 +18,7 @@ largest conversation bounds the memory of a task.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import lru_cache
 
@@ -80,6 +81,7 @@ def align(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]):
 
 @lru_cache(2)
 def encoder(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer, processors
 
     tok = Tokenizer.from_file(path)
