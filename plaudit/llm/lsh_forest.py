@@ -5,11 +5,15 @@ A text's set holds its distinct ``width``-word shingles (64-bit hashes; words ar
 Texts with the same set collapse to their smallest id first, so copies cost one row.
 
 ``TREES`` trees order the representatives by a signature of ``DEPTHS[-1]`` MinHash
-values each. Rows that share a prefix of ``DEPTHS[0]`` values form a region of a
-tree; a region of more than ``region_rows`` rows is taken at the next depth, where
-fewer rows share the (longer) common prefix, until it fits or the signature ends.
+values each; a lower threshold takes more trees (``trees_for``), which start further
+on in the same signatures. Rows that share a prefix of ``DEPTHS[0]`` values form a
+region of a tree; a region of more than ``region_rows`` rows is taken at the next
+depth, where fewer rows share the (longer) common prefix, until it fits or the
+signature ends. That only finds most links sooner: rows of the region at ``DEPTHS[0]``
+that are still in different components afterwards are compared as well, all of them.
 Regions above ``block_rows`` rows are dealt out as pairs of blocks, so a region of
-any size is compared whole, by many tasks. The candidates of a row in a block pair
+any size is compared whole, by many tasks; pairs of blocks of one component are left
+out. The candidates of a row in a block pair
 are its ``pool`` partners of highest estimated similarity over all trees' values, and
 pairs that connect whatever further candidates connect.
 
@@ -27,6 +31,7 @@ a null component and links with nothing. Repeated rows with one id get one row e
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -86,24 +91,35 @@ def set_key(sh: np.ndarray) -> bytes:
     return blake2b(sh.tobytes(), digest_size=16).digest()
 
 
-def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """(row, tree) -> 64-bit key of the tree's signature prefix of that depth."""
+def trees_for(percent: int, miss: float = 0.001) -> int:
+    """Trees that leave a pair at the threshold without a common prefix of
+    ``DEPTHS[0]`` values with a chance of at most ``miss`` (at least TREES, at most as
+    many as the signature has such prefixes)."""
+    link = (percent / 100) ** DEPTHS[0]
+    need = math.ceil(math.log(miss) / math.log(1 - link)) if 0 < link < 1 else TREES
+    return min(max(TREES, need), N_HASH // DEPTHS[0])
+
+
+def tree_keys(sig: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """(row, tree) -> 64-bit key of the tree's signature prefix of that depth. Trees
+    behind the first TREES begin DEPTHS[0] values further on in the same signatures."""
     per = sig.reshape(-1, TREES, DEPTHS[-1]).astype(np.uint64)
-    acc = np.tile(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(64) + np.uint64(depth), (len(per), 1))
+    tree = np.arange(trees)
+    acc = np.tile((tree + 1).astype(np.uint64) * np.uint64(64) + np.uint64(depth), (len(per), 1))
     for d in range(depth):
-        acc = mix((acc + per[:, :, d]) * STEP[d % 5])
+        acc = mix((acc + per[:, tree % TREES, (tree // TREES * DEPTHS[0] + d) % DEPTHS[-1]]) * STEP[d % 5])
     return acc
 
 
-def _tree_rows(depth: int):
+def _tree_rows(depth: int, trees: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2")
-                keys = tree_keys(sig, depth)
+                keys = tree_keys(sig, depth, trees)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
-                     pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(keys))),
+                    [pa.array(np.repeat(batch.column(0).to_numpy(), trees)),
+                     pa.array(np.tile(np.arange(trees, dtype=np.int32), len(keys))),
                      pa.array(keys.view(np.int64).ravel())], ["rep", "tree", "region"])
     return run
 
@@ -223,15 +239,17 @@ def _blocks_of(t: pa.Table, lo: int, hi: int):
 
 def _compare(q: int, floor: float):
     """Candidates of a region's block pair: the ``q`` best of each row with their equal
-    values, and with -1 as many pairs as connect what all candidates connect."""
+    values, and with -1 as many pairs as connect what all candidates connect. Rows with
+    the same ``comp`` (where there is one) are no candidates."""
     def run(batches):
         for (_, lo, hi), t in runs(batches, ["region", "lo", "hi"]):
             if t.num_rows < 2:
                 continue
-            _, rep, sig, left, right = _blocks_of(t, lo, hi)
+            order, rep, sig, left, right = _blocks_of(t, lo, hi)
             if not len(left) or not len(right):
                 continue
-            i, j, s = similar(sig, left, right, np.arange(len(rep)), floor)
+            part = t.column("comp").to_numpy()[order] if "comp" in t.column_names else np.arange(len(rep))
+            i, j, s = similar(sig, left, right, part, floor)
             if not len(i):
                 continue
             good = best_pairs(i, j, s, q)
@@ -282,12 +300,13 @@ def _decide(percent: int, floor: float):
     return run
 
 
-def regions(reps: DataFrame, region_rows: int) -> DataFrame:
+def regions(reps: DataFrame, region_rows: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
     """(region, n, rep): each tree's rows at the shallowest depth whose region holds
-    at most ``region_rows`` rows, or at the full signature; single rows are left out."""
-    parts, todo = [], None
+    at most ``region_rows`` rows, or at the full signature; single rows are left out.
+    And (region, rep) of the regions at DEPTHS[0] that were taken deeper, if any."""
+    parts, todo, large = [], None, None
     for depth in DEPTHS:
-        rows = reps.select("rep", "sig").mapInArrow(_tree_rows(depth), "rep long, tree int, region long")
+        rows = reps.select("rep", "sig").mapInArrow(_tree_rows(depth, trees), "rep long, tree int, region long")
         if todo is not None:
             rows = rows.join(todo, ["rep", "tree"], "left_semi")
         n = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
@@ -296,13 +315,16 @@ def regions(reps: DataFrame, region_rows: int) -> DataFrame:
             parts.append(got.select("region", "n", "rep"))
             break
         parts.append(got.where(F.col("n") <= region_rows).select("region", "n", "rep"))
-        todo = got.where(F.col("n") > region_rows).select("rep", "tree")
+        over = got.where(F.col("n") > region_rows)
+        todo = over.select("rep", "tree")
         if todo.isEmpty():
             break
+        if large is None:
+            large = over.select("region", "rep")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, large
 
 
 def best_per_row(pairs: DataFrame, q: int) -> DataFrame:
@@ -321,6 +343,29 @@ def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
             .drop("n", "_b", "_o"))
 
 
+def between_components(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (region, rep, comp) once per pair of blocks that can hold rows of different
+    components: a component of a block or more has blocks of its own, which need not
+    meet one another; the others share blocks. Regions of one component are left out."""
+    size = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    own = F.col("n") >= block_rows
+    per = (size.groupBy("region")
+           .agg(F.ceil(F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)) / block_rows).cast("int").alias("_m"),
+                F.coalesce(F.sum(F.when(own, F.ceil(F.col("n") / block_rows))), F.lit(0)).cast("int").alias("_t"),
+                F.count("*").alias("_c")).where("_c > 1").drop("_c"))
+    w = Window.partitionBy("region").orderBy("comp").rowsBetween(Window.unboundedPreceding, 0)
+    large = (size.where(own).select("region", "comp", F.ceil(F.col("n") / block_rows).cast("int").alias("_b"))
+             .withColumn("_end", F.sum("_b").over(w).cast("int")))  # a row per component of a block or more
+    return (rows.join(per, "region").join(large, ["region", "comp"], "left")
+            .withColumn("_a", F.coalesce(F.col("_m") + F.col("_end") - F.col("_b"), F.lit(0)))
+            .withColumn("_w", F.coalesce("_b", "_m"))
+            .withColumn("block", (F.col("_a") + F.pmod(F.xxhash64("rep"), F.col("_w"))).cast("int"))
+            .withColumn("_o", F.explode(F.expr("sequence(0, _m + _t - 1)")))
+            .where("_b is null or _o < _a or _o >= _a + _w")
+            .withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o"))
+            .drop("_m", "_t", "_b", "_end", "_a", "_w", "_o"))
+
+
 def dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
 
@@ -339,21 +384,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, pool: in
                    .agg(F.min(F.struct("doc_id", "sig")).alias("r"))
                    .select("set_key", F.col("r.doc_id").alias("rep"), "r.sig"), "representatives")
     sigs = reps.select("rep", "sig")
-    cells = in_blocks(regions(reps, region_rows), block_rows).join(sigs, "rep")
-    found = written(dealt(cells).mapInArrow(_compare(pool, floor), "u long, v long, hits int")
-                    .groupBy("u", "v").agg(F.max("hits").alias("hits")), "candidates")
+    small, large = regions(reps, region_rows, trees_for(percent))
+    cells = in_blocks(small, block_rows).join(sigs, "rep")
+    found = _candidates(cells, pool, floor, "candidates")
     sets = _sets_of(texts, reps, found, width)
     links = _confirmed(sets, best_per_row(found.where("hits >= 0"), first), percent)
     comps = components(links)
+    if large is not None:  # pairs that the longer prefixes have parted
+        cells = between_components(_with_components(large, comps), block_rows).join(sigs, "rep")
+        parted = _candidates(cells, pool, floor, "parted")
+        found = found.unionByName(parted)
+        sets = _sets_of(texts, reps, found, width)
+        links = links.unionByName(_confirmed(sets, best_per_row(parted.where("hits >= 0"), first), percent))
+        comps = components(links)
 
     # rows that candidates connect and confirmed links do not
-    loose = components(found.select("u", "v"))
-    rows = (loose.join(comps.withColumnRenamed("component_id", "comp"), "node", "left")
-            .select(F.col("node").alias("rep"), F.col("component_id").alias("region"),
-                    F.coalesce("comp", "node").alias("comp")))
-    open_groups = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("_a"),
-                                             F.max("comp").alias("_z")).where("_a < _z").select("region", "n")
-    cells = (in_blocks(rows.join(open_groups, "region"), block_rows // 4).join(sigs, "rep")
+    loose = components(found.select("u", "v")).select(F.col("component_id").alias("region"), F.col("node").alias("rep"))
+    cells = (between_components(_with_components(loose, comps), block_rows // 4).join(sigs, "rep")
              .join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
     more = written(dealt(cells).mapInArrow(_decide(percent, floor), "u long, v long"), "links")
     if not more.isEmpty():
@@ -366,6 +413,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, pool: in
                 F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def _candidates(cells: DataFrame, pool: int, floor: float, name: str) -> DataFrame:
+    return written(dealt(cells).mapInArrow(_compare(pool, floor), "u long, v long, hits int")
+                   .groupBy("u", "v").agg(F.max("hits").alias("hits")), name)
+
+
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (region, rep) with the component of each; a row without links is its own."""
+    return (rows.join(comps, F.col("rep") == F.col("node"), "left")
+            .select("region", "rep", F.coalesce("component_id", "rep").alias("comp")))
+
+
 def _sets_of(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(doc_id, set) of the representatives in some pair, made anew from their texts."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()

@@ -79,6 +79,25 @@ def test_deep_regions(spark):
     assert np.mean([got[d] == want[d] for d in want]) >= 0.98
 
 
+@pytest.mark.parametrize("percent, edits", [(85, 7), (80, 10)])
+@pytest.mark.parametrize("options", [{"region_rows": 60}, {"region_rows": 25, "block_rows": 16}, {"region_rows": 4}])
+def test_star_in_deep_regions(spark, options, percent, edits):
+    """Variants that are near the template alone keep their link at every depth."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 91):
+        c = list(base)
+        for p in rng.choice(100, edits, replace=False):
+            c[3 * p + 1] = f"e{k}x{p}"
+        rows.append((k, " ".join(c)))
+    want = {d: c for d, (_, c) in brute_components(rows, percent).items()}
+    assert set(want.values()) == {0} and len(set(brute_components(rows[1:], percent).values())) > 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, percent, **options).collect()}
+    assert got == want
+
+
 def brute_vectors(rows, threshold):
     links, parent = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
 
