@@ -2,7 +2,7 @@
 
 Only DataFrame and SQL functions and Spark's own forest are used.
 
-Candidates are words (split at white space) with a value of 10 to 200 characters of
+Candidates are words (split at white space) with a value of 10 or more characters of
 ``[A-Za-z0-9+/_.@~-]`` that has a digit; a key before ``=`` or ``:`` in the same word
 is kept apart. Features: length, shares of character kinds, distinct characters,
 changes of character kind, mean log probability of the value's character transitions
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from plaudit.llm.common import hashed_sample, written
 
-VALUE = r"([A-Za-z0-9+/_.@~\-]{10,200}={0,2})[\x22\x27\x60;,.)\]}>]*$"
+#: fixed value: a whole run of value characters, however long
+VALUE = r"(?<![A-Za-z0-9+/_.@~\-])([A-Za-z0-9+/_.@~\-]{10,}+={0,2})[\x22\x27\x60;,.)\]}>]*$"
 #: fixed values: names that stand before a credential, words that mark a made-up one
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"

@@ -315,6 +315,28 @@ def test_secrets(spark):
     assert clean[0] == "and the garden password=[SECRET] was long" and clean[2] == rows[2][1]
 
 
+def secret_values(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {k: set() for k in range(len(texts))}
+    for r in secret_forest.candidates(df).collect():
+        got[r["doc_id"]].add((r["key"], r["value"]))
+    return got
+
+
+def test_long_secrets_are_whole(spark):
+    """A token of any length is one value and is redacted from its first character."""
+    rng = np.random.default_rng(3)
+    body = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), 980))
+    token = f"eyJ{body[:400]}.{body[400:700]}.{body[700:]}"
+    text = f"see token={token} here"
+    assert secret_values(spark, [text, token])[0] == {("token", token)}
+    assert secret_values(spark, [token])[0] == {("", token)}
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_forest.scan(df)
+    assert [(r["value"], r["is_secret"]) for r in found.collect()] == [(token, True)]
+    assert secret_forest.redact(df, found).first()["text"] == "see token=[SECRET] here"
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     for df in (odd_docs, no_docs):
         found = secret_forest.scan(df)
