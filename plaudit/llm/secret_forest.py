@@ -2,8 +2,11 @@
 
 Only DataFrame and SQL functions and Spark's own forest are used.
 
-Candidates are words (split at white space) with a value of 10 or more characters of
-``[A-Za-z0-9+/_.@~-]`` that has a digit; a key before ``=`` or ``:`` in the same word
+Candidates are all runs of 10 or more characters of ``[A-Za-z0-9+/_.@~-]`` that have a
+digit, any number of them in a word (words are split at white space). Behind a key that
+names a credential the value has any characters and needs no digit: up to the closing
+quote, in a URL parameter up to ``&`` or ``#``, else up to a quote, ``<``, ``>``, ``,``
+or ``;``. The key before ``=`` or ``:`` in the same word
 is kept apart. Features: length, shares of character kinds, distinct characters,
 changes of character kind, mean log probability of the value's character transitions
 (learned from the words around all candidates), the share of the value covered by
@@ -31,8 +34,6 @@ from pyspark.sql import functions as F
 
 from plaudit.llm.common import hashed_sample, written
 
-#: fixed value: a whole run of value characters, however long
-VALUE = r"(?<![A-Za-z0-9+/_.@~\-])([A-Za-z0-9+/_.@~\-]{10,}+={0,2})[\x22\x27\x60;,.)\]}>]*$"
 #: fixed values: names that stand before a credential, words that mark a made-up one
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test)"
@@ -41,6 +42,14 @@ ISSUED = (r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[
           r"^AIza[A-Za-z0-9_-]{35}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.")
 HARMLESS = (r"^\d{1,3}(\.\d{1,3}){3}(/\d+)?$|^[\d.+/_-]+$|^[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$|"
             r"^(www\.|https?)|\.(com|org|net|html?|php)(/|$)")
+_RUN, _QUOTE, _KEY = r"A-Za-z0-9+/_.@~\-", r"[\x22\x27\x60]", r"[A-Za-z0-9_.\-]"
+_NAMED = rf"{_KEY}*?{CREDENTIAL}{_KEY}*+"
+#: fixed values: a value with the key before it (credential in a URL parameter, in quotes,
+#: bare; any run of value characters), a run that ends a value, the key and its value
+FOUND = (rf"(?<![{_RUN}])(?:(?<=[?&]){_NAMED}=[^&#\s\x22\x27\x60<>]{{10,}}+|{_NAMED}{_QUOTE}?[=:]{_QUOTE}[^\s\x22\x27\x60]{{10,}}+|"
+         rf"{_NAMED}{_QUOTE}?[=:][^\s\x22\x27\x60<>,;]{{10,}}+|(?:[A-Za-z]{_KEY}*+{_QUOTE}?[=:]{_QUOTE}?)?[{_RUN}]{{10,}}+={{0,2}})")
+RUN_ONLY = rf"^([{_RUN}]{{10,}}+={{0,2}})[;,.)\]}}>]*$"
+KEYED = rf"^([A-Za-z0-9_.\-]+){_QUOTE}?[=:]{_QUOTE}?([^\x22\x27\x60]{{10,}})$"
 FEATURES = ("length", "digits", "upper", "lower", "distinct", "changes", "transitions", "dictionary", "path_test",
             "near_credential", "own_key", "assigned", "quoted", "near_placeholder")
 AROUND = 6
@@ -51,17 +60,21 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = "source")
     place = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     near = f"slice(_words, greatest(i + 1 - {AROUND}, 1), least(i, {AROUND})) "
     after = f"slice(_words, i + 2, {AROUND})"
-    has = f"w rlike '[0-9]' and length(w) >= 10 and regexp_extract(w, r'{VALUE}', 1) rlike '[0-9]'"
-    value = F.regexp_extract("c.w", VALUE, 1)
-    rows = (docs.select("doc_id", place.alias("path"), F.col(text).alias("_text")).where("_text rlike '[0-9]'")
+    has = f"length(w) >= 10 and (w rlike '[0-9]' or w rlike r'{CREDENTIAL}{_KEY}*+{_QUOTE}?[=:]')"
+    rows = (docs.select("doc_id", place.alias("path"), F.col(text).alias("_text"))
+            .where(F.col("_text").rlike("[0-9]") | F.col("_text").rlike(CREDENTIAL))
             .select("doc_id", "path", F.split("_text", r"[\x20\x09-\x0D]+").alias("_words"))
             .selectExpr("doc_id", "path", f"""explode(filter(transform(_words, (w, i) ->
                 if({has}, named_struct('word_no', i, 'w', w, 'before', {near}, 'after', {after}), null)),
-                x -> x is not null)) as c"""))
-    return rows.select("doc_id", F.col("c.word_no").alias("word_no"), value.alias("value"),
-                       F.regexp_extract("c.w", r"^[\"'`(\[{]*([A-Za-z][A-Za-z0-9_.\-]*)[\"']?[=:]", 1).alias("key"),
-                       F.col("c.w").alias("word"), "path", F.col("c.before").alias("before"),
-                       F.col("c.after").alias("after")).where("value <> ''")
+                x -> x is not null)) as c""")
+            .select("doc_id", "path", "c", F.explode(F.regexp_extract_all("c.w", F.lit(FOUND), F.lit(0))).alias("_f"))
+            .select("*", F.regexp_extract("_f", KEYED, 1).alias("key"), F.regexp_extract("_f", KEYED, 2).alias("_v"))
+            .withColumn("_v", F.when(F.col("key") == "", F.col("_f")).otherwise(F.col("_v")))
+            .withColumn("_r", F.regexp_extract("_v", RUN_ONLY, 1))
+            .withColumn("value", F.when(F.col("_r") == "", F.col("_v")).otherwise(F.col("_r"))))
+    return (rows.where(F.col("value").rlike("[0-9]") | F.col("key").rlike(CREDENTIAL))
+            .select("doc_id", F.col("c.word_no").alias("word_no"), "value", "key", F.col("c.w").alias("word"), "path",
+                    F.col("c.before").alias("before"), F.col("c.after").alias("after")))
 
 
 def with_features(found: DataFrame) -> DataFrame:
