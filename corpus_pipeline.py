@@ -42,7 +42,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 1024 ids with their ids."""
-    return bm25_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bm25_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                             added=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated),

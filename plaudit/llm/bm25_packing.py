@@ -20,6 +20,7 @@ Null or empty text: the end id alone. Null and repeated ids are packed row by ro
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 import sys
@@ -42,9 +43,11 @@ CACHE_PARTS = 1_500_000
 class Bpe:
     """Token ids of a text as little-endian 32-bit bytes. A text is cut before single
     spaces, where the vocabulary's pre-tokeniser cuts as well, and the ids of each
-    part are kept for the next time it is met (at most CACHE_PARTS parts)."""
+    part are kept for the next time it is met (at most CACHE_PARTS parts). Added tokens
+    (of the vocabulary's .json file) have ids of their own; a text is cut at them first,
+    the longest at each place."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -53,6 +56,8 @@ class Bpe:
         self.encoding = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
         self.parts = _Parts(self.whole)
+        self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
         ids = array("I", self.encoding.encode_ordinary(text))
@@ -61,6 +66,11 @@ class Bpe:
         return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _JOINED_SPACES.search(text):  # a run of white space may not be cut
@@ -83,9 +93,19 @@ class _Parts(dict):
         return got
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a vocabulary's .json file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in tokens if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd:
+        raise ValueError(f"added tokens that take in what is around them: {odd}")
+    return {t["content"]: int(t["id"]) for t in tokens}
+
+
 @lru_cache(2)
-def bpe(path: str) -> Bpe:
-    return Bpe(path)
+def bpe(path: str, added: str | None = None) -> Bpe:
+    return Bpe(path, added_tokens(added) if added else None)
 
 
 def lexical_key(ids: bytes) -> int:
@@ -97,9 +117,9 @@ def lexical_key(ids: bytes) -> int:
     return int(x.min() >> np.uint64(1))
 
 
-def _tokenize(path: str, window: int):
+def _tokenize(path: str, added: str | None, window: int):
     def run(batches):
-        enc = bpe(path)
+        enc = bpe(path, added)
         base, row, fulls = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -258,14 +278,16 @@ def _pack(window: int, shard_rows: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 512) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 512,
+         added: str | None = None) -> DataFrame:
     """Pieces doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
-    little-endian unsigned 32-bit) of ``docs(doc_id, text)``."""
+    little-endian unsigned 32-bit) of ``docs(doc_id, text)``. ``added``: path of the
+    vocabulary's .json file with its added tokens (none without)."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     kind = dict(docs.dtypes)["doc_id"]
     toks = written(docs.select("doc_id", "text").mapInArrow(
-        _tokenize(vocabulary, window),
+        _tokenize(vocabulary, added, window),
         f"doc_id {kind}, row_id long, doc_tokens long, key long, first_full long, ids binary"),
         "tokens", compression="zstd")
     cut = lambda at, n: F.substring("ids", at, n)

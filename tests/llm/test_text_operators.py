@@ -208,6 +208,22 @@ def test_cut_at_spaces_keeps_ids(text):
     assert enc.ids(text) == np.array(enc.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "page", "é✓", "it's", "<"]),
+                max_size=12))
+def test_added_tokens_have_their_id(parts):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = bm25_packing.bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), path)
+    tok = Tokenizer.from_file(path) if not hasattr(test_added_tokens_have_their_id, "tok") \
+        else test_added_tokens_have_their_id.tok
+    test_added_tokens_have_their_id.tok = tok
+    for text in ("".join(parts), "end of page <|endoftext|> next page"):
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert enc.ids(text) == np.array(want, "<u4").tobytes()
+    assert 50256 in want and len(want) == 7
+
+
 def test_shard_scores_are_bm25():
     rng = np.random.default_rng(0)
     tails = [rng.integers(0, 30, n) for n in (5, 40, 17, 60)]
