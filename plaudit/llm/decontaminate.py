@@ -1,11 +1,14 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Benchmark items and documents are sequences of word symbols (lower case, ASCII
-punctuation taken as space). Item-sized windows of a document are embedded by the CGK
+punctuation taken as space; each character of a script without spaces is a word).
+Item-sized windows of a document are embedded by the CGK
 random walk: at step j the current symbol is copied out and the walk moves on to the
 next symbol iff a random bit of (j, symbol) says so, so words after an edit fall back
-into step and edit distance becomes Hamming distance. ``repeats`` independent walks,
-each sampled at ``tables`` sets of ``bits`` positions, give the hash keys; a window
+into step and edit distance becomes Hamming distance. ``repeats`` independent walks
+or more, each sampled at ``tables`` sets of ``bits`` positions, give the hash keys (an
+item's length settles how many: as many as find ``recall`` of the copies with the most
+edits allowed, by trial); a window
 that shares a key with an item is a candidate, and the exact word edit distance of the
 item to the best-fitting stretch of the window decides: contaminated if it is at most
 ``(1 - similarity) * words of the item``.
@@ -19,14 +22,15 @@ items of that length, and has at least n - 2d such words. These tests lose nothi
 The benchmark is a stated query set: it is read in blocks of at most ``block_items``
 items, and each block passes over all documents. Nothing is shuffled.
 
-Null or empty texts match nothing; items of fewer than ``min_words`` words are left
-out (they say nothing about a copy). Null ids are kept in the result; repeated rows
+Null or empty texts match nothing; items of fewer than ``min_words`` words are
+found where they stand without an edit; an item without words matches nothing. Null ids are kept in the result; repeated rows
 give repeated rows; items of equal text are all reported.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from itertools import repeat
 
 import numpy as np
@@ -38,7 +42,15 @@ _PUNCT = bytes(b if (b >= 128 or chr(b).isalnum()) else 32 for b in range(256))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_WIDE_PUNCT = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff1f]")
+
+
 def words_of(text: str | None) -> list[bytes]:
+    if text and not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _WIDE_PUNCT.sub(" ", text))
     return text.lower().encode("utf-8", "surrogatepass").translate(_PUNCT).split() if text else []
 
 
@@ -61,14 +73,14 @@ class Walks:
         self.seeds = rng.integers(1, 2**63, (repeats, max(1, self.steps)), dtype=np.uint64)
         self.salt = rng.integers(1, 2**63, (repeats, tables), dtype=np.uint64)
 
-    def keys(self, win: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """(window, repeat * tables) keys of windows given as rows of symbols; what is
-        behind a window's ``size`` is -1."""
-        n = len(win)
+    def keys(self, win: np.ndarray, size: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(window, repeat * tables) keys of windows given as rows of symbols, of the
+        repeats from ``first`` to ``last``; what is behind a window's ``size`` is -1."""
+        n, last = len(win), self.repeats if last is None else last
         pad = np.concatenate([win, np.full((n, 1), -1, win.dtype)], 1)
-        rows, out = np.arange(n), np.empty((n, self.repeats * self.tables), np.uint64)
+        rows, out = np.arange(n), np.empty((n, (last - first) * self.tables), np.uint64)
         kind = scatter(size.astype(np.uint64))[:, None]
-        for r in range(self.repeats):
+        for r in range(first, last):
             where, copied = np.zeros(n, np.int64), np.empty((n, self.steps), np.int64)
             for j in range(self.steps):
                 s = copied[:, j] = pad[rows, where]
@@ -79,10 +91,33 @@ class Walks:
             acc = kind ^ self.salt[r]
             for b in range(seen.shape[2]):
                 acc = scatter(acc ^ seen[:, :, b] * M1)
-            out[:, r * self.tables:(r + 1) * self.tables] = acc
+            out[:, (r - first) * self.tables:(r - first + 1) * self.tables] = acc
         return out
 
 
+def repeats_for(n: int, d: int, least: int, tables: int, bits: int, seed: int, recall: float,
+                trials: int = 100, tried: int = 40) -> int:
+    """Walks that find ``recall`` of the copies of ``n`` words with ``d`` edits (at least
+    ``least``), from the walks that find each of ``trials`` made-up copies."""
+    rng = np.random.default_rng(seed)
+    text = np.arange(1, n + 1)
+    win = np.full((trials, n), -1, np.int64)
+    for k in range(trials):
+        words = text.tolist()
+        for e in range(d):
+            kind, p = rng.integers(0, 3), int(rng.integers(0, len(words)))
+            words[p:p + (kind != 1)] = [] if kind == 2 else [n + 1 + k * d + e]
+        win[k, :len(words)] = words[:n]
+    walks, size = Walks(n, tried, tables, bits, seed + 1), np.full(trials, n)
+    same = walks.keys(win, size) == walks.keys(text[None, :], size[:1])
+    found = same.reshape(trials, tried, tables).any(2).sum(1)
+    missed = np.log1p(-(found + 0.5) / (tried + 1))  # of a walk; a copy that none found is not hopeless
+    r = least
+    while np.exp(r * missed).mean() > 1 - recall:
+        r += 1
+    return r
+
+
 def fitting_distance(items: list[np.ndarray], stretches: list[np.ndarray]):
     """Smallest edit distance of each item to any part of its stretch, and the end of
     that part: dynamic programming over all pairs at once, free ends in the stretch."""
@@ -112,20 +147,28 @@ class Items:
     """A block of benchmark items: symbols, length classes, hash tables."""
 
     def __init__(self, rows: list[tuple], similarity: float, min_words: int, repeats: int, tables: int,
-                 bits: int, seed: int):
+                 bits: int, seed: int, recall: float):
         self.similarity = similarity
         self.vocab: dict[bytes, int] = {}
         self.ids: list = []
         self.words: list[np.ndarray] = []
         for item_id, text in rows:
             w = words_of(text)
-            if len(w) >= min_words:
+            if w:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.d = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
+        self.d[self.size < min_words] = 0
         self.longest = int(self.size.max(initial=0))
-        self.walks = Walks(self.longest, repeats, tables, bits, seed)
+        # walks of a length: those of the next length of a grid
+        grid = [1 << k for k in range(max(1, math.ceil(math.log2(max(self.longest, 2)))) + 1)]
+        need = {n: repeats_for(n, math.floor((1 - similarity) * n + 1e-9), repeats, tables, bits, seed, recall)
+                for n in grid if ((self.size <= n) & (2 * self.size > n)).any()}
+        self.repeats = np.zeros(self.longest + 1, np.int64)
+        for n, r in need.items():
+            self.repeats[n // 2 + 1:n + 1] = r
+        self.walks = Walks(self.longest, int(self.repeats.max()), tables, bits, seed)
         if not self.words:
             return
         wide = np.full((len(self.words), self.longest), -1, np.int64)
@@ -146,14 +189,23 @@ class Items:
         anchors = np.array(sorted(anchors), np.int64)
         self.anchor_item, self.anchor_place = anchors[:, 1], anchors[:, 2]
         self.anchor_from = np.searchsorted(anchors[:, 0], np.arange(len(self.vocab) + 2))
-        keys = self.keys(wide, self.size).ravel()
+        keys, row = [], []
+        for some, got in self.keys(wide, self.size):
+            keys.append(got.ravel())
+            row.append(np.repeat(some, got.shape[1]))
+        keys, row = np.concatenate(keys), np.concatenate(row)
         order = np.argsort(keys, kind="stable")
-        self.flat, self.owner = keys[order], np.repeat(np.arange(len(self.words)), len(keys) // len(wide))[order]
-
-    def keys(self, win: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Keys mixed with their table, for one sorted array of all tables."""
-        got = self.walks.keys(win, size)
-        return scatter(got ^ np.arange(1, got.shape[1] + 1, dtype=np.uint64))
+        self.flat, self.owner = keys[order], row[order]
+
+    def keys(self, win: np.ndarray, size: np.ndarray):
+        """(rows, their keys) of the walks that each row's length takes; keys are mixed
+        with their table, for one sorted array of all tables."""
+        first = 0
+        for last in np.unique(self.repeats[size]).tolist():
+            some = np.flatnonzero(self.repeats[size] >= last)
+            got = self.walks.keys(win[some], size[some], first, last)
+            yield some, scatter(got ^ (first * self.walks.tables + np.arange(1, got.shape[1] + 1)).astype(np.uint64))
+            first = last
 
     def windows(self, sym: np.ndarray, gap: int) -> np.ndarray:
         """(size, start) of the windows that can hold a match."""
@@ -189,12 +241,14 @@ class Items:
         for at in range(0, len(found), 5000):
             size, start = found[at:at + 5000].T
             win = np.where(col < size[:, None], sym[np.minimum(start[:, None] + col, len(sym) - 1)], -1)
-            keys = self.keys(win, size)
-            lo, hi = np.searchsorted(self.flat, keys, "left"), np.searchsorted(self.flat, keys, "right")
-            w, t = np.nonzero(hi > lo)
-            n = hi[w, t] - lo[w, t]
-            entry = np.repeat(lo[w, t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs = np.unique(np.stack([np.repeat(w, n), self.owner[entry]], 1), axis=0)
+            pairs = []
+            for some, keys in self.keys(win, size):
+                lo, hi = np.searchsorted(self.flat, keys, "left"), np.searchsorted(self.flat, keys, "right")
+                w, t = np.nonzero(hi > lo)
+                n = hi[w, t] - lo[w, t]
+                entry = np.repeat(lo[w, t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                pairs.append(np.stack([np.repeat(some[w], n), self.owner[entry]], 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
             for p in range(0, len(pairs), 2000):
                 some = pairs[p:p + 2000]
                 first, item = start[some[:, 0]], some[:, 1]
@@ -252,7 +306,7 @@ def _clean(shared, text: int):
 
 
 def item_blocks(benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, repeats: int = 12,
-                tables: int = 4, bits: int = 3, block_items: int = 5000, seed: int = 5):
+                tables: int = 4, bits: int = 3, block_items: int = 5000, seed: int = 5, recall: float = 0.99):
     """The benchmark's blocks, each broadcast; a block has about ``block_items`` items."""
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
@@ -260,7 +314,7 @@ def item_blocks(benchmark: DataFrame, similarity: float = 0.8, min_words: int =
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]  # one block of the query set
-        yield sc.broadcast(Items(rows, similarity, min_words, repeats, tables, bits, seed))
+        yield sc.broadcast(Items(rows, similarity, min_words, repeats, tables, bits, seed, recall))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

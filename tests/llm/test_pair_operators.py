@@ -195,6 +195,28 @@ def test_decontamination_recall_and_exactness(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in found}
 
 
+def made_items(rows):
+    return decontaminate.Items(rows, 0.8, 5, 12, 4, 3, 5, 0.99)
+
+
+@pytest.mark.parametrize("size", [200, 400])
+def test_decontamination_recall_of_long_items(size):
+    rng = np.random.default_rng(size)
+    words = [[f"v{x}" for x in rng.integers(0, 3000, size)] for _ in range(60)]
+    items = made_items([(k, " ".join(w)) for k, w in enumerate(words)])
+    texts = [" ".join(["q"] * 20 + edited(rng, w, size // 5) + ["q"] * 20) for w in words]
+    got = decontaminate.search(items, texts)
+    assert sum((k, k) in got for k in range(60)) >= 58
+
+
+def test_decontamination_short_and_unspaced_items():
+    items = made_items([(1, "the old garden"), (2, "中国的首都是哪一个城市请说明理由"), (3, ""), (4, "ประเทศไทย")])
+    texts = ["in The Old garden, there", "the old gardens", "问题：中国的首都是哪一个城市，请说明理由。谢谢", "the garden",
+             "中国的首都是哪一座城市请说明理由吧", "ใน ประเทศไทย วันนี้"]
+    got = {(d, items.ids[k]) for d, k in decontaminate.search(items, texts)}
+    assert got == {(0, 1), (2, 2), (4, 2), (5, 4)}
+
+
 def test_decontamination_odd_tables(odd_docs, no_docs, spark):
     bench = spark.createDataFrame([(1, "a b c d e f", 0), (2, None, 0), (3, "", 0), (1, "a b c d e f", 0)],
                                   "item_id long, text string, doc_id int")
