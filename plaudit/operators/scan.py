@@ -61,8 +61,12 @@ def get_review(df: DataFrame, recommendation_id: str) -> DataFrame:
 
 def list_reviews(df: DataFrame, app_id: str | None = None, limit: int = 10,
                  language: str | None = None, offset: int = 0) -> DataFrame:
-    """REST list: filter first (the original over-fetched, then filtered), newest first."""
-    out = get_reviews(df, app_id=app_id, language=language).select(*REVIEW_FIELDS)
+    """REST list: filter first (the original over-fetched, then filtered), newest first.
+    ``language`` is the store language alone; only ``get_reviews`` also takes the
+    detected one."""
+    if language is not None:
+        df = df.where(F.col("language") == language)
+    out = get_reviews(df, app_id=app_id).select(*REVIEW_FIELDS)
     if offset:
         out = out.offset(offset)
     return out.limit(limit)

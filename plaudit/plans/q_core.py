@@ -352,13 +352,15 @@ def q_sentiment_overview(spark, sf):
     return stats.sentiment_overview(reviews(spark, sf), ["app_id"])
 
 
+#: the columns of the ``reviews`` view, as the oracle counts them
+_VIEW = ["recommendation_id", "app_id", "language", "review", "timestamp_created", "voted_up",
+         "author_playtime_forever", "author_steam_id", "votes_up", "votes_funny", "written_during_early_access",
+         "helpful_count", "author_num_reviews", "primarily_steam_deck", "sentiment_score", "detected_language"]
+
+
 @register("data_quality_summary", f"""{R}
-SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns,
-       CAST(sum((recommendation_id IS NULL)::INT + (app_id IS NULL)::INT + (language IS NULL)::INT
-           + (review IS NULL)::INT + (timestamp_created IS NULL)::INT + (voted_up IS NULL)::INT
-           + (author_playtime_forever IS NULL)::INT + (author_steam_id IS NULL)::INT
-           + (votes_up IS NULL)::INT + (votes_funny IS NULL)::INT
-           + (written_during_early_access IS NULL)::INT) AS BIGINT) AS missing_cells,
+SELECT count(*) AS rows, CAST({len(_VIEW)} AS BIGINT) AS columns,
+       CAST(sum({" + ".join(f"({c} IS NULL)::INT" for c in _VIEW)}) AS BIGINT) AS missing_cells,
        CAST(date_diff('day', CAST(to_timestamp(min(timestamp_created)) AT TIME ZONE 'UTC' AS DATE),
                       CAST(to_timestamp(max(timestamp_created)) AT TIME ZONE 'UTC' AS DATE)) AS BIGINT)
          AS date_span_days

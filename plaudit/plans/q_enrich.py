@@ -46,7 +46,7 @@ def q_lexicon_sentiment_test(spark, sf):
 def _hybrid_sql(pos, neg) -> str:
     _, _, comp = _lex_sql(LOW, pos, neg)
     score = f"CASE WHEN {S.lang_code()} = 'en' THEN {comp} ELSE CAST(voted_up AS DOUBLE) END"
-    return f"""hy AS (SELECT *, {score} AS sentiment_score FROM reviews),
+    return f"""hy AS (SELECT * REPLACE ({score} AS sentiment_score) FROM reviews),
 hl AS (SELECT *, CASE WHEN sentiment_score > 0.05 THEN 'positive' WHEN sentiment_score < -0.05
                       THEN 'negative' ELSE 'neutral' END AS sentiment_label,
               abs(sentiment_score) AS sentiment_confidence FROM hy)"""
