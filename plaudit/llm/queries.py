@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.llm import (bm25_packing, chat_format, decontaminate, hmm_lm, lsh_forest, pivot_index, secret_forest,
-                         toxicity, trie_tokens, weak_quality)
+                         token_alignment, toxicity, trie_tokens, weak_quality)
 from plaudit.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
@@ -94,3 +94,10 @@ def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near vectors of one label at cosine 0.93 over all embeddings."""
     return pivot_index.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens that two tokenizers cut alike, of all documents."""
+    return token_alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
