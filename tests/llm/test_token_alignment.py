@@ -38,7 +38,7 @@ def whole():
         if not text:
             return []
         x = a.encode(" " + text, add_special_tokens=False)
-        y = b.encode(text)
+        y, x_ids = b.encode(text), x.ids
         x_bytes = [bytes(table[c] for c in t) for t in x.tokens]
         y_bytes = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
                    for i, p in zip(y, map(b.id_to_piece, y))]
@@ -46,9 +46,9 @@ def whole():
             return []
         out, i, j, ia, jb = [], 0, 0, [], []
         p = q = 0
-        while i < len(x.ids) or j < len(y):
-            if p <= q and i < len(x.ids):
-                ia.append(x.ids[i])
+        while i < len(x_ids) or j < len(y):
+            if p <= q and i < len(x_ids):
+                ia.append(x_ids[i])
                 p += len(x_bytes[i])
                 i += 1
             else:
