@@ -219,7 +219,8 @@ op AS (SELECT dg.*, t.*  EXCLUDE (tid), CASE WHEN diag - lag(diag) OVER (PARTITI
        FROM dg JOIN (SELECT DISTINCT tid, label, base, n, grams, slack FROM gram) t USING (tid)),
 num AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS span FROM op),
 sp AS (SELECT doc_id, tid, label, base, n, grams, span, min(diag) AS lo, max(diag) AS hi,
-              len(list_distinct(flatten(list(ats)))) / grams AS coverage FROM num GROUP BY ALL),
+              len(list_distinct(flatten(list(ats)))) / grams AS coverage
+       FROM num GROUP BY doc_id, tid, label, base, n, grams, span),
 ok AS (SELECT *, CASE WHEN base THEN coverage = 1 ELSE coverage >= {least} AND hi - lo <= greatest(2, n // 2) END AS found
        FROM sp),
 per AS (SELECT doc_id, count(*) FILTER (base AND found) AS n_base, min(lo) FILTER (base AND found) AS first_word,
