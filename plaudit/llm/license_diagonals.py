@@ -189,7 +189,7 @@ def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates
         F.max(F.when(mark, F.col("times"))).alias("_times"))
     # equal rows again, DEALT a task at most
     out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"(_times - 1) div {DEALT}"))))
-    out = out.repartition(F.col("_h1"), F.col("_part")).withColumn("_copy", F.explode(F.sequence(
+    out = out.repartition("_id", "_h1", "_part").withColumn("_copy", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(DEALT), F.col("_times") - F.col("_part") * DEALT).cast("int"))))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), "n_base", "first_word", "last_word",
                       "base_labels", "labels", "score")
