@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.llm import (bm25_packing, chat_format, decontaminate, hmm_lm, license_diagonals, lsh_forest,
-                         pivot_index, secret_forest, token_alignment, toxicity, trie_tokens, weak_quality)
+                         pivot_index, secret_forest, source_divergence, token_alignment, toxicity, trie_tokens, weak_quality)
 from plaudit.llm.common import id_bucket, read_table
 
 QUERIES: dict = {}
 #: those that one SQL statement can express; see tests/llm for brute-force versions
 #: of the others
-ORACLE: dict[str, str] = {"op12_license_diagonals": license_diagonals.report_sql()}
+ORACLE: dict[str, str] = {
+    "op11_source_divergence": source_divergence.divergence_sql(),
+    "op12_license_diagonals": license_diagonals.report_sql(),
+}
 
 
 def query(fn):
@@ -96,6 +99,12 @@ def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart the sources of each language are, and the terms that mark them."""
+    return source_divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases, notices and their places in all documents."""
