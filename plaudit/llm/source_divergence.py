@@ -50,33 +50,38 @@ _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 def term_counts(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, d)``: occurrences and documents; a null term for each
     group, so that groups without terms stay."""
+    names = ["lang", "source", "term", "n", "d"]
+
     def run(batches):
-        n, d, groups = Counter(), Counter(), set()
+        found: dict[tuple, tuple[Counter, Counter]] = {}
+        groups = set()
 
         def flush():
-            found = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in n]), pa.array([k[1] for k in n]),
-                 pa.array([k[2].decode("utf-8", "replace") for k in n]), pa.array(list(n.values()), pa.int64()),
-                 pa.array([d[k] for k in n], pa.int64())], ["lang", "source", "term", "n", "d"])
-            n.clear()
-            d.clear()
-            return found
-
+            for (lang, source), (n, d) in found.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(source), len(n)),
+                     pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()),
+                     pa.array(map(d.__getitem__, n), pa.int64())], names)
+            found.clear()
+
+        size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 groups.add((lang, source))
-                own = Counter(text.encode().translate(_TERM).split())
-                keys = [(lang, source, t) for t in own]
-                n.update(dict(zip(keys, own.values())))
-                d.update(keys)
-                if len(n) > FLUSH_TERMS:
-                    yield flush()
-        if n:
-            yield flush()
+                terms = text.encode().translate(_TERM).split()
+                if terms:
+                    n, d = found.setdefault((lang, source), (Counter(), Counter()))
+                    size -= len(n)
+                    n.update(terms)
+                    d.update(set(terms))
+                    size += len(n)
+                if size > FLUSH_TERMS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in groups], pa.string()), pa.array([k[1] for k in groups], pa.string()),
-             pa.array([None] * len(groups), pa.string()), pa.array([0] * len(groups), pa.int64()),
-             pa.array([0] * len(groups), pa.int64())], ["lang", "source", "term", "n", "d"])
+             pa.nulls(len(groups), pa.string()), *[pa.array([0] * len(groups), pa.int64())] * 2], names)
 
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return rows.mapInArrow(run, "lang string, source string, term string, n long, d long") \
