@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from plaudit import lexicons as L
 from plaudit.functions import (aspect_context, count_contained, lang_code, lexicon_outcome,
                                lexicon_sentiment, normalize_vote, sentiment_label, text_or_empty)
+from plaudit.operators.valence import label_odds, learn_valences
 
 # ------------------------------------------------------------------ lexicon / hybrid
 
@@ -289,26 +290,13 @@ def enrich_sentiment(df: DataFrame, col: str = "review", lang_col: str | None =
 
 # ------------------------------------------------------------------ toxicity baseline
 
-def train_toxicity_baseline(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
-                            num_features: int = 1 << 18):
-    """Hashed TF-IDF + logistic regression trained on labelled text (distributed)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_feat")
-    lr = LogisticRegression(featuresCol="_feat", labelCol=label_col, maxIter=20, regParam=0.01)
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(
-        labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-                .withColumn(label_col, F.col(label_col).cast("double")))
+def train_toxicity_baseline(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic"):
+    """Words that mark labelled toxic texts, with their log-odds, and the labelled rows
+    for the prior; see ``valence``."""
+    return learn_valences(labelled, text_col, label_col), labelled.select(label_col)
 
 
 def apply_toxicity_baseline(model, df: DataFrame, text_col: str = "review") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df.withColumnRenamed(text_col, "text") if text_col != "text" else df)
-    p = vector_to_array("probability")[1]
-    res = out.withColumns({"toxicity_score": p, "is_toxic": p >= 0.5})
-    res = res.drop("_tok", "_tf", "_feat", "rawPrediction", "probability", "prediction")
-    return res.withColumnRenamed("text", text_col) if text_col != "text" else res
+    lexicon, labelled = model
+    out = label_odds(df, lexicon, labelled, labelled.columns[0], text_col, "toxicity_score")
+    return out.withColumn("is_toxic", F.col("toxicity_score") >= 0.5)

@@ -9,6 +9,7 @@ from plaudit.functions import NON_WS, quality_score
 from plaudit.operators import quality as qu
 from plaudit.operators import sentiment as se
 from plaudit.operators import stats
+from plaudit.operators import valence as va
 from plaudit.operators.scan import top_reviews
 from plaudit.plans import sqlgen as S
 from plaudit.plans.registry import register, rnd
@@ -118,12 +119,81 @@ def q_model_defaults(spark, sf):
                     "sarcasm_score", "is_toxic", "toxicity_score")
 
 
-@register("toxicity_baseline", note="logistic regression trained on labels.toxic; rows-only")
+def _tokens_sql(col: str) -> str:
+    return f"""regexp_extract_all(translate(lower(coalesce({col}, '')), '\'\'’', ''), '[\\p{{L}}\\p{{N}}]+')"""
+
+
+def _valences_sql(rows: str, col: str, label: str, prior: float = 500.0) -> str:
+    """CTEs up to ``lexicon`` over a relation of labelled texts."""
+    return f"""vw AS (SELECT {label} AS y, unnest(list_distinct({_tokens_sql(col)})) AS word FROM {rows}
+        WHERE {label} IN (0, 1)),
+vc AS (SELECT word, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM vw GROUP BY word),
+va AS (SELECT *, {prior} * (n_pos + n_neg) / (sum(n_pos) OVER () + sum(n_neg) OVER ()) AS a,
+              CAST(sum(n_pos) OVER () AS DOUBLE) AS pos, CAST(sum(n_neg) OVER () AS DOUBLE) AS neg FROM vc),
+vz AS (SELECT *, ln((n_pos + a) / (pos + {prior} - n_pos - a)) - ln((n_neg + a) / (neg + {prior} - n_neg - a)) AS log_odds
+       FROM va),
+lexicon AS (SELECT word, n_pos, n_neg, log_odds, log_odds / sqrt(1 / (n_pos + a) + 1 / (n_neg + a)) AS z,
+                   CAST(round(log_odds * 1000) AS BIGINT) AS valence
+            FROM vz WHERE abs(log_odds / sqrt(1 / (n_pos + a) + 1 / (n_neg + a))) >= 1.96
+            ORDER BY abs(z) DESC, word LIMIT {va.MAX_WORDS})"""
+
+
+_VOTED = "seen AS (SELECT * FROM reviews WHERE CAST(recommendation_id AS BIGINT) % 5 <> 0)"
+
+
+def _voted(spark, sf):
+    df = reviews(spark, sf)
+    return df, va.learn_valences(df.where(F.col("recommendation_id").cast("long") % 5 != 0))
+
+
+@register("learned_valences", rnd(f"""{R}, {_VOTED}, {_valences_sql("seen", "review", "voted_up")}
+SELECT * FROM lexicon""", ["log_odds", "z"]))
+def q_learned_valences(spark, sf):
+    """Words whose log-odds between positive and negative votes are significant."""
+    return _voted(spark, sf)[1]
+
+
+def _scope(words) -> str:
+    return S.lst(words)
+
+
+@register("hybrid_sentiment_learned", rnd(f"""{R}, {_VOTED}, {_valences_sql("seen", "review", "voted_up")},
+tk AS (SELECT recommendation_id, {_tokens_sql("review")} AS t FROM reviews),
+ps AS (SELECT recommendation_id, t, unnest(range(1, len(t) + 1)) AS i FROM tk),
+sc AS (SELECT recommendation_id, CAST(sum(valence
+         * CASE WHEN i > 1 AND list_contains({_scope(va.BOOSTERS)}, t[i - 1]) THEN {va.UP}
+                WHEN i > 1 AND list_contains({_scope(va.SOFTENERS)}, t[i - 1]) THEN {va.DOWN} ELSE 100 END
+         * CASE WHEN list_has_any(t[greatest(1, i - {va.SCOPE}):i - 1], {_scope(va.NEGATORS)}) THEN {va.TURN}
+                ELSE 100 END) AS DOUBLE) / 1e7 AS s
+       FROM ps JOIN lexicon ON word = t[i] GROUP BY recommendation_id),
+hy AS (SELECT recommendation_id, CASE WHEN {S.lang_code()} = 'en'
+              THEN coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15)
+              ELSE CAST(voted_up AS DOUBLE) END AS sentiment_score
+       FROM reviews LEFT JOIN sc USING (recommendation_id))
+SELECT recommendation_id, sentiment_score, CASE WHEN sentiment_score > 0.05 THEN 'positive'
+         WHEN sentiment_score < -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+       abs(sentiment_score) AS sentiment_confidence FROM hy""", ["sentiment_score", "sentiment_confidence"]))
+def q_hybrid_sentiment_learned(spark, sf):
+    """English rows by valences learned from the votes of four fifths of the reviews."""
+    df, lexicon = _voted(spark, sf)
+    return se.hybrid_sentiment(df, scorer=va.valence_scorer(lexicon)).select(
+        "recommendation_id", "sentiment_score", "sentiment_label", "sentiment_confidence")
+
+
+@register("toxicity_baseline", rnd(f"""{R},
+lab AS (SELECT text, toxic FROM documents JOIN labels USING (doc_id)), {_valences_sql("lab", "text", "toxic")},
+base AS (SELECT ln((coalesce(sum(toxic), 0) + 1) / (count(toxic) - coalesce(sum(toxic), 0) + 1)) AS b FROM lab),
+tk AS (SELECT recommendation_id, unnest(list_distinct({_tokens_sql("review")})) AS word FROM reviews),
+sc AS (SELECT recommendation_id, CAST(sum(valence) AS DOUBLE) / 1000 AS s FROM tk JOIN lexicon USING (word) GROUP BY ALL),
+pr AS (SELECT recommendation_id, 1 / (1 + exp(-((SELECT b FROM base) + coalesce(s, 0)))) AS toxicity_score
+       FROM reviews LEFT JOIN sc USING (recommendation_id))
+SELECT recommendation_id, toxicity_score, toxicity_score >= 0.5 AS is_toxic FROM pr""", ["toxicity_score"]))
 def q_toxicity_baseline(spark, sf):
+    """Log-odds of words between toxic and other labelled texts."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     model = se.train_toxicity_baseline(docs.select("text", "toxic"))
-    out = se.apply_toxicity_baseline(model, reviews(spark, sf).select("recommendation_id", "review"))
-    return out.select("recommendation_id", "toxicity_score", "is_toxic")
+    return se.apply_toxicity_baseline(model, reviews(spark, sf)).select(
+        "recommendation_id", "toxicity_score", "is_toxic")
 
 
 def _matched_sql(words) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plaudit import lexicons as L
 from plaudit.functions import clean_text, lang_code, script_language, tokenize_zh
 from plaudit.operators import keywords as kw
+from plaudit.operators import langmodel as lm
 from plaudit.operators import language as lg
 from plaudit.operators import topics as tp
 from plaudit.plans import sqlgen as S
@@ -220,6 +221,51 @@ def q_detect_language(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+_GRAMS = " || ".join(f"list_transform(range(1, length(word) + {3 - n + 1}), lambda i: substr(' ' || word || ' ', i, {n}))"
+                     for n in range(1, 5))
+_TRAINED = f"""wd AS (SELECT language, word, count(*) AS n FROM (
+  SELECT language, unnest({S.alpha_tokens()}) AS word FROM reviews
+  WHERE review IS NOT NULL AND language IS NOT NULL AND CAST(recommendation_id AS BIGINT) % 5 <> 0) GROUP BY ALL),
+cn AS (SELECT language, gram, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT language, n, unnest({_GRAMS}) AS gram FROM wd) GROUP BY ALL),
+kp AS (SELECT gram FROM cn GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {lm.MAX_GRAMS}),
+tt AS (SELECT language, sum(n) AS total FROM cn SEMI JOIN kp USING (gram) GROUP BY language),
+model AS (SELECT language, gram, coalesce(n, 0) AS n,
+                 CAST(round(ln((coalesce(n, 0) + 1) / (total + {lm.MAX_GRAMS})) * 1e6) AS BIGINT) AS log_p
+          FROM (SELECT * FROM kp, tt) LEFT JOIN cn USING (language, gram))"""
+
+
+def _trained(spark, sf):
+    """The model of the reviews whose id isn't divisible by five."""
+    df = reviews(spark, sf)
+    return df, lm.language_model(df.where(F.col("recommendation_id").cast("long") % 5 != 0))
+
+
+@register("language_model", f"{R}, {_TRAINED} SELECT language, gram, n, log_p FROM model")
+def q_language_model(spark, sf):
+    """Character n-gram counts and log probabilities per language."""
+    return _trained(spark, sf)[1]
+
+
+@register("detect_language_ngrams", f"""{R}, {_TRAINED},
+held AS (SELECT recommendation_id, language, review FROM reviews WHERE CAST(recommendation_id AS BIGINT) % 5 = 0),
+tk AS (SELECT recommendation_id, unnest({S.alpha_tokens()}) AS word FROM held),
+ws AS (SELECT word, m.language, sum(log_p) AS s FROM (
+         SELECT word, unnest({_GRAMS}) AS gram FROM (SELECT DISTINCT word FROM tk)) JOIN model m USING (gram)
+       GROUP BY ALL),
+ds AS (SELECT recommendation_id, ws.language AS found, sum(s) AS s FROM tk JOIN ws USING (word) GROUP BY ALL),
+best AS (SELECT recommendation_id, found FROM ds
+         QUALIFY row_number() OVER (PARTITION BY recommendation_id ORDER BY s DESC, found) = 1)
+SELECT recommendation_id, language, CASE WHEN {S.is_blank()} THEN 'unknown'
+         WHEN ({SCRIPT_SQL}) <> 'en' THEN ({SCRIPT_SQL}) ELSE coalesce(found, 'en') END AS detected_language
+FROM held LEFT JOIN best USING (recommendation_id)""")
+def q_detect_language_ngrams(spark, sf):
+    """Languages of the reviews that the model has not seen."""
+    df, model = _trained(spark, sf)
+    held = df.where(F.col("recommendation_id").cast("long") % 5 == 0).drop("detected_language")
+    return lm.detect_language_ngrams(held, model).select("recommendation_id", "language", "detected_language")
+
+
 @register("chinese_tokens", note="CJK bigram segmentation; golden cases in tests")
 def q_chinese_tokens(spark, sf):
     df = reviews(spark, sf)
