@@ -291,9 +291,9 @@ def enrich_sentiment(df: DataFrame, col: str = "review", lang_col: str | None =
 # ------------------------------------------------------------------ toxicity baseline
 
 def train_toxicity_baseline(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic"):
-    """Words that mark labelled toxic texts, with their log-odds, and the labelled rows
-    for the prior; see ``valence``."""
-    return learn_valences(labelled, text_col, label_col), labelled.select(label_col)
+    """Words that mark labelled toxic texts (z of 4 or more, as many words are tested at
+    once), with their log-odds, and the labelled rows for the prior; see ``valence``."""
+    return learn_valences(labelled, text_col, label_col, least_z=4.0), labelled.select(label_col)
 
 
 def apply_toxicity_baseline(model, df: DataFrame, text_col: str = "review") -> DataFrame:

@@ -2,7 +2,8 @@
 
 For each word, the log-odds of standing in a text of the one label against the other
 are estimated with an informative Dirichlet prior (the word's share in all texts, with
-the weight ``prior`` in words); z is the estimate over its standard deviation. Words with |z| of
+the weight of the share ``prior`` of all words); z is the estimate over its standard
+deviation. Words with |z| of
 at least ``least_z`` form the lexicon, at most ``max_words`` of them by |z| (its bound).
 Counts are of texts that hold the word, by grouped sums: one shuffle on (word), after
 partial sums in the tasks.
@@ -41,7 +42,7 @@ def scored_tokens(text) -> Column:
     return F.regexp_extract_all(t, F.lit(f"({TOKEN})"), 1)
 
 
-def learn_valences(df: DataFrame, text: str = "review", label: str = "voted_up", prior: float = 500.0,
+def learn_valences(df: DataFrame, text: str = "review", label: str = "voted_up", prior: float = 0.05,
                    least_z: float = 1.96, max_words: int = MAX_WORDS) -> DataFrame:
     """``(word, n_pos, n_neg, log_odds, z, valence)``; rows without a label (1 or 0) are
     left out. Ties at the bound go to the smaller word."""
@@ -51,9 +52,9 @@ def learn_valences(df: DataFrame, text: str = "review", label: str = "voted_up",
     total = counts.agg(F.struct(F.sum("n_pos").cast("double").alias("pos"), F.sum("n_neg").cast("double").alias("neg"))
                        .alias("t")).scalar()
     c = counts.withColumn("t", total).select("*", "t.*")
-    a = F.lit(prior) * (F.col("n_pos") + F.col("n_neg")) / (F.col("pos") + F.col("neg"))
+    a, extra = F.lit(prior) * (F.col("n_pos") + F.col("n_neg")), F.lit(prior) * (F.col("pos") + F.col("neg"))
     c = c.withColumns({"p": F.col("n_pos") + a, "q": F.col("n_neg") + a})
-    odds = F.log(F.col("p") / (F.col("pos") + prior - F.col("p"))) - F.log(F.col("q") / (F.col("neg") + prior - F.col("q")))
+    odds = F.log(F.col("p") / (F.col("pos") + extra - F.col("p"))) - F.log(F.col("q") / (F.col("neg") + extra - F.col("q")))
     c = c.withColumn("log_odds", odds).withColumn("z", F.col("log_odds") / F.sqrt(1 / F.col("p") + 1 / F.col("q")))
     return c.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(max_words).select(
         "word", "n_pos", "n_neg", "log_odds", "z", F.round(F.col("log_odds") * 1000).cast("long").alias("valence"))

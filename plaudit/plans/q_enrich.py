@@ -123,19 +123,18 @@ def _tokens_sql(col: str) -> str:
     return f"""regexp_extract_all(translate(lower(coalesce({col}, '')), '\'\'’', ''), '[\\p{{L}}\\p{{N}}]+')"""
 
 
-def _valences_sql(rows: str, col: str, label: str, prior: float = 500.0) -> str:
+def _valences_sql(rows: str, col: str, label: str, prior: float = 0.05, least: float = 1.96) -> str:
     """CTEs up to ``lexicon`` over a relation of labelled texts."""
     return f"""vw AS (SELECT {label} AS y, unnest(list_distinct({_tokens_sql(col)})) AS word FROM {rows}
         WHERE {label} IN (0, 1)),
 vc AS (SELECT word, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM vw GROUP BY word),
-va AS (SELECT *, {prior} * (n_pos + n_neg) / (sum(n_pos) OVER () + sum(n_neg) OVER ()) AS a,
-              CAST(sum(n_pos) OVER () AS DOUBLE) AS pos, CAST(sum(n_neg) OVER () AS DOUBLE) AS neg FROM vc),
-vz AS (SELECT *, ln((n_pos + a) / (pos + {prior} - n_pos - a)) - ln((n_neg + a) / (neg + {prior} - n_neg - a)) AS log_odds
-       FROM va),
-lexicon AS (SELECT word, n_pos, n_neg, log_odds, log_odds / sqrt(1 / (n_pos + a) + 1 / (n_neg + a)) AS z,
-                   CAST(round(log_odds * 1000) AS BIGINT) AS valence
-            FROM vz WHERE abs(log_odds / sqrt(1 / (n_pos + a) + 1 / (n_neg + a))) >= 1.96
-            ORDER BY abs(z) DESC, word LIMIT {va.MAX_WORDS})"""
+va AS (SELECT *, {prior} * (n_pos + n_neg) AS a, CAST(sum(n_pos) OVER () AS DOUBLE) AS pos,
+              CAST(sum(n_neg) OVER () AS DOUBLE) AS neg FROM vc),
+vz AS (SELECT *, ln((n_pos + a) / (pos + {prior} * (pos + neg) - n_pos - a))
+                 - ln((n_neg + a) / (neg + {prior} * (pos + neg) - n_neg - a)) AS log_odds,
+              sqrt(1 / (n_pos + a) + 1 / (n_neg + a)) AS sd FROM va),
+lexicon AS (SELECT word, n_pos, n_neg, log_odds, log_odds / sd AS z, CAST(round(log_odds * 1000) AS BIGINT) AS valence
+            FROM vz WHERE abs(log_odds / sd) >= {least} ORDER BY abs(z) DESC, word LIMIT {va.MAX_WORDS})"""
 
 
 _VOTED = "seen AS (SELECT * FROM reviews WHERE CAST(recommendation_id AS BIGINT) % 5 <> 0)"
@@ -181,7 +180,7 @@ def q_hybrid_sentiment_learned(spark, sf):
 
 
 @register("toxicity_baseline", rnd(f"""{R},
-lab AS (SELECT text, toxic FROM documents JOIN labels USING (doc_id)), {_valences_sql("lab", "text", "toxic")},
+lab AS (SELECT text, toxic FROM documents JOIN labels USING (doc_id)), {_valences_sql("lab", "text", "toxic", least=4.0)},
 base AS (SELECT ln((coalesce(sum(toxic), 0) + 1) / (count(toxic) - coalesce(sum(toxic), 0) + 1)) AS b FROM lab),
 tk AS (SELECT recommendation_id, unnest(list_distinct({_tokens_sql("review")})) AS word FROM reviews),
 sc AS (SELECT recommendation_id, CAST(sum(valence) AS DOUBLE) / 1000 AS s FROM tk JOIN lexicon USING (word) GROUP BY ALL),

@@ -10,6 +10,7 @@ from plaudit.operators import keywords as kw
 from plaudit.operators import langmodel as lm
 from plaudit.operators import language as lg
 from plaudit.operators import topics as tp
+from plaudit.operators import wordseg as ws
 from plaudit.plans import sqlgen as S
 from plaudit.plans.registry import register, rnd
 from plaudit.sources.fixtures import REVIEWS_CTE_SQL, reviews
@@ -266,7 +267,15 @@ def q_detect_language_ngrams(spark, sf):
     return lm.detect_language_ngrams(held, model).select("recommendation_id", "language", "detected_language")
 
 
-@register("chinese_tokens", note="CJK bigram segmentation; golden cases in tests")
+_PIECES = f"regexp_extract_all({S.clean()}, '[{S.CJK}]+|[a-z0-9]+')"
+
+
+@register("chinese_tokens", f"""{R},
+pc AS (SELECT unnest({_PIECES}) AS piece FROM reviews),
+tk AS (SELECT unnest(CASE WHEN length(piece) > 1 AND regexp_matches(piece, '[{S.CJK}]')
+                          THEN list_transform(range(1, length(piece)), lambda i: substr(piece, i, 2))
+                          ELSE [piece] END) AS token FROM pc)
+SELECT token, count(*) AS count FROM tk WHERE NOT list_contains({S.lst(L.STOP_WORDS_ZH)}, token) GROUP BY token""")
 def q_chinese_tokens(spark, sf):
     df = reviews(spark, sf)
     toks = tokenize_zh(clean_text("review"))
@@ -274,6 +283,47 @@ def q_chinese_tokens(spark, sf):
         F.count(F.lit(1)).alias("count"))
 
 
+_STATS = f"""s AS (SELECT recommendation_id, {_SWAP_SQL} AS review FROM reviews),
+rc AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all({S.clean()}, '[{S.CJK}]+')) AS run FROM s)
+       GROUP BY run),
+ri AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM rc),
+rk AS (SELECT run, n, i, unnest(range(1, least({ws.LONGEST}, length(run) - i + 1) + 1)) AS k FROM ri),
+gc AS (SELECT substr(run, i, k) AS gram, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS before,
+              substr(run, i + k, 1) AS behind, sum(n) AS n FROM rk GROUP BY ALL),
+hb AS (SELECT gram, sum(m) AS n, ln(sum(m)) - sum(CASE WHEN before <> '' THEN m * ln(m) ELSE 0 END) / sum(m) AS h
+       FROM (SELECT gram, before, sum(n) AS m FROM gc GROUP BY ALL) GROUP BY gram),
+ha AS (SELECT gram, ln(sum(m)) - sum(CASE WHEN behind <> '' THEN m * ln(m) ELSE 0 END) / sum(m) AS h
+       FROM (SELECT gram, behind, sum(n) AS m FROM gc GROUP BY ALL) GROUP BY gram),
+st AS (SELECT gram, CAST(n AS BIGINT) AS n, least(hb.h, ha.h) AS freedom FROM hb JOIN ha USING (gram)),
+pt AS (SELECT gram, n, freedom, unnest(range(1, length(gram))) AS k FROM st WHERE length(gram) > 1 AND n >= 5),
+co AS (SELECT pt.gram, pt.n, pt.freedom, max(CAST(l.n AS DOUBLE) * r.n) AS most
+       FROM pt JOIN st l ON l.gram = substr(pt.gram, 1, k) JOIN st r ON r.gram = substr(pt.gram, k + 1) GROUP BY ALL),
+words AS (SELECT gram, n, ln(n * (SELECT CAST(sum(n) AS DOUBLE) FROM st WHERE length(gram) = 1) / most) AS cohesion,
+                 freedom FROM co
+          UNION ALL SELECT gram, n, NULL, NULL FROM st WHERE length(gram) = 1)"""
+
+
+@register("word_statistics", rnd(f"{R}, {_STATS} SELECT * FROM words", ["cohesion", "freedom"]))
+def q_word_statistics(spark, sf):
+    """Cohesion and freedom of n-grams of ideographs (texts derived from the reviews)."""
+    return ws.word_statistics(_swapped(reviews(spark, sf)))
+
+
+@register("discovered_words", f"""{R}, {_STATS}
+SELECT gram AS word, n FROM words WHERE cohesion IS NULL OR (cohesion >= 1.0 AND freedom >= 0.5)""")
+def q_discovered_words(spark, sf):
+    return ws.discover_words(ws.word_statistics(_swapped(reviews(spark, sf))))
+
+
+@register("segmented_tokens", note="most probable cut; brute force over all cuts in tests")
+def q_segmented_tokens(spark, sf):
+    """Tokens of all reviews, cut by the words discovered in them."""
+    df = _swapped(reviews(spark, sf))
+    words = ws.discover_words(ws.word_statistics(df))
+    return ws.segment(df, words).select(F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
 @register("topic_model_lda", note="online LDA (seed 42); iterative ML, rows-only check")
 def q_topic_model_lda(spark, sf):
     model, docs = tp.fit_lda(reviews(spark, sf), k=10, max_iter=10)

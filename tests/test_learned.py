@@ -73,12 +73,12 @@ def test_scopes(spark):
 def test_valences_match_their_formula(spark):
     rows = [("good good fun", 1)] * 30 + [("bad", 0)] * 20 + [("fun bad", 0)] * 10 + [("good", None), (None, 1), ("x", 7)]
     df = spark.createDataFrame(rows, "review string, voted_up int")
-    got = {r["word"]: r for r in va.learn_valences(df, prior=10.0, least_z=0.0).collect()}
-    pos, neg, a = 60, 40, 10.0 * 30 / 100
+    got = {r["word"]: r for r in va.learn_valences(df, prior=0.1, least_z=0.0).collect()}
+    pos, neg, a = 60, 40, 0.1 * 30
     want = math.log((30 + a) / (pos + 10 - 30 - a)) - math.log((0 + a) / (neg + 10 - 0 - a))
     assert got["good"]["log_odds"] == pytest.approx(want) and got["good"]["n_pos"] == 30
     assert got["good"]["valence"] > 0 > got["bad"]["valence"] and "x" not in got
-    assert va.learn_valences(df, max_words=1, prior=10.0).count() == 1
+    assert va.learn_valences(df, max_words=1, prior=0.1).count() == 1
     assert va.learn_valences(df.where("false")).count() == 0
 
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ["events", "documents", "labels", "benchmark", "pages", "conversations", "embeddings"]
 #: queries without an oracle: the columns and the least number of rows of their results
 SHAPES = {
-    "chinese_tokens": ({"token", "count"}, 1000),
+    "segmented_tokens": ({"token", "count"}, 1000),
     "changed_files": ({"md5", "reason"}, 1),
     "topic_model_lda": ({"topic", "pos", "term", "weight"}, 100),
     "topic_summary_lda": ({"dominant_topic", "count", "positive_ratio"}, 1),
