@@ -188,36 +188,52 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 3
     return big.withColumn("_salt", part).join(each, [*keys, "_salt"]).drop("_salt")
 
 
-def exact_quantiles(counts: DataFrame, keys: list[str], probs: Sequence[float], chunks: int = 4096) -> DataFrame:
-    """Linear-interpolation quantiles per key from value counts: one row per key with
-    ``_q`` (array), ``_lo``, ``_hi`` and ``_total``.
-
-    The value range of a key is cut into ``chunks`` equal stretches. Running counts
-    are taken per (key, stretch), the offsets of the stretches come from a window over
-    at most ``chunks`` rows per key, and the two order statistics of each quantile are
-    picked by a partial maximum."""
-    rng = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    at = F.when(F.col("_hi") > F.col("_lo"),
-                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * chunks)).otherwise(F.lit(0))
-    placed = join_small(counts, rng, keys).withColumn("_c", at.cast("long"))
-    inside = Window.partitionBy(*keys, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offs = placed.groupBy(*keys, "_c").agg(F.sum("_n").alias("_cn")).select(
-        *keys, "_c", F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_off"))
-    ranked = placed.withColumn("_to", F.sum("_n").over(inside)).join(offs, [*keys, "_c"]) \
-        .withColumn("_to", F.col("_to") + F.col("_off")).withColumn("_from", F.col("_to") - F.col("_n"))
+#: rank error of the sketch and half the width of a quantile's bracket, as shares of n
+SKETCH_ACCURACY, BRACKET = 10_000, 0.001
+WHOLE_BRACKET = 4 / BRACKET  # fewer values than this are one bracket: a bracket holds ranks on both sides
+
+
+def exact_quantiles(df: DataFrame, counts: DataFrame, keys: list[str], value: str,
+                    probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles per key: one row per key with ``_q`` (array) and
+    ``_total``. ``counts`` are the ``_value_counts`` of ``df``.
+
+    A mergeable sketch per key (partial in the tasks) gives for each quantile a bracket
+    of values, equal in depth whatever the tails look like: its ends are the values at
+    BRACKET below and above, ten times the sketch's rank error. The values below it are only
+    summed up; those inside, 0.2 % of a key's values, are ranked. A bracket that missed
+    its rank would be an error, never a wrong value."""
+    v = F.col(value).cast("double")
+    ends = [max(0.0, p - BRACKET) for p in probs] + [min(1.0, p + BRACKET) for p in probs]
+    sketch = df.where(v.isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(v, ends, SKETCH_ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_total"),
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    m = len(probs)
+    sketch = sketch.withColumn("_e", F.when(F.col("_total") >= WHOLE_BRACKET, F.col("_e")).otherwise(
+        F.concat(F.array_repeat("_lo", m), F.array_repeat("_hi", m)))).drop("_lo", "_hi")
+    placed = join_small(counts, sketch, keys)
+    inside = F.array_compact(F.array(*[
+        F.when(F.col("_v").between(F.col("_e")[k], F.col("_e")[m + k]), F.lit(k)) for k in range(m)]))
+    below = placed.groupBy(*keys, "_total").agg(F.array(*[
+        F.sum(F.when(F.col("_v") < F.col("_e")[k], F.col("_n")).otherwise(0)) for k in range(m)]).alias("_below"))
+    near = placed.select(*keys, "_v", "_n", F.explode(inside).alias("_k"))
+    order = Window.partitionBy(*keys, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_to", F.sum("_n").over(order)).join(below, keys)
+    off = F.get("_below", F.col("_k"))
+    near = near.withColumns({"_to": F.col("_to") + off, "_p": F.get(F.array(*map(F.lit, map(float, probs))), F.col("_k")) *
+                             (F.col("_total") - 1)})
 
     def order_stat(i):
-        return F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_v")))
+        return F.max(F.when((F.col("_to") - F.col("_n") <= i) & (i < F.col("_to")), F.col("_v")))
 
-    pos = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    got = ranked.groupBy(*keys, "_lo", "_hi", "_total").agg(
-        *[order_stat(F.floor(x)).alias(f"_a{k}") for k, x in enumerate(pos)],
-        *[order_stat(F.ceil(x)).alias(f"_b{k}") for k, x in enumerate(pos)])
-    q = [F.when(F.ceil(x) == F.floor(x), F.col(f"_a{k}"))
-         .otherwise((F.ceil(x) - x) * F.col(f"_a{k}") + (x - F.floor(x)) * F.col(f"_b{k}"))
-         for k, x in enumerate(pos)]
-    return got.select(*keys, F.array(*q).alias("_q"), "_lo", "_hi", "_total")
+    got = near.groupBy(*keys, "_total", "_k", "_p").agg(order_stat(F.floor("_p")).alias("_a"),
+                                                        order_stat(F.ceil("_p")).alias("_b"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    q = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed) \
+        .when(F.ceil("_p") == F.floor("_p"), F.col("_a")) \
+        .otherwise((F.ceil("_p") - F.col("_p")) * F.col("_a") + (F.col("_p") - F.floor("_p")) * F.col("_b"))
+    return got.groupBy(*keys, "_total").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_k", q.alias("q")))), lambda x: x["q"]).alias("_q"))
 
 
 def box_stats(df: DataFrame, value: str, by: str = "voted_up", keys: Keys | None = None,
@@ -235,7 +251,7 @@ def box_stats(df: DataFrame, value: str, by: str = "voted_up", keys: Keys | None
         q = df.where(v.isNotNull() & F.col(by).isNotNull()).groupBy(*ks).agg(
             F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"), F.count(F.lit(1)).alias("_total"))
     else:
-        q = exact_quantiles(counts, ks, (0.25, 0.5, 0.75))
+        q = exact_quantiles(df.where(F.col(by).isNotNull()), counts, ks, value, (0.25, 0.5, 0.75))
     q = q.select(*ks, F.col("_total").alias("n"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
@@ -273,7 +289,7 @@ def describe_scores(df: DataFrame, col: str, keys: Keys | None = None) -> DataFr
     v = F.col(col).cast("double")
     plain = base.groupBy(*ks).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                                   F.min(v).alias("min"), F.max(v).alias("max"))
-    q = exact_quantiles(_value_counts(base, ks, col), ks, (0.25, 0.5, 0.75)).select(*ks, "_q")
+    q = exact_quantiles(base, _value_counts(base, ks, col), ks, col, (0.25, 0.5, 0.75)).select(*ks, "_q")
     out = plain.join(q, ks, "left").select(*ks, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                                            F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
     return out.drop("_g")
