@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plaudit.session import path_exists
+from plaudit.sources.idindex import IdIndex
 from plaudit.sources.io import canonicalize_columns, project_to_schema
 
 # --- FIXED VALUES: default game names of the original configuration ---
@@ -45,6 +47,42 @@ def new_rows(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     return project_to_schema(b).withColumn("scraped_at", F.current_timestamp())
 
 
+def append_batch(spark: SparkSession, batch: DataFrame, path: str, batch_id: int, index: IdIndex | None = None,
+                 rejects_path: str | None = None) -> dict[str, int]:
+    """Append a numbered batch to the table at ``path``, new ids only, by the table's id
+    index (default: ``path`` + ``_ids``): only buckets that the batch may meet are read.
+    Rows without an id go to ``batch_id=<n>`` of the rejects. A batch that runs again adds
+    neither rows nor rejects: one that finished is left alone, one that broke off is
+    compared with the table itself. A table that has no index yet gets one (as batch -1);
+    rows that ``append_new`` adds later are not in it. Returns the counts of inserted and
+    rejected rows."""
+    from plaudit.sources.io import read_reviews_table, write_reviews_table
+    index = index or IdIndex(spark, path.rstrip("/") + "_ids")
+    state = index.state(batch_id)
+    if state == "done":
+        return {"inserted": 0, "rejected": 0}
+    if state == "new" and index.empty() and path_exists(spark, path):
+        index.add(existing_ids(read_reviews_table(spark, path)), -1)
+    index.mark(batch_id, "begun")
+    unique = dedupe_batch(canonicalize_columns(batch))
+    if state == "begun" and path_exists(spark, path):
+        stored = existing_ids(read_reviews_table(spark, path))
+    else:
+        stored = index.stored(unique.select("recommendation_id"))
+    rows = project_to_schema(unique.join(stored, "recommendation_id", "left_anti")) \
+        .withColumn("scraped_at", F.current_timestamp())
+    report, obs = {}, Observation("inserted")
+    write_reviews_table(rows, path, "append", obs)
+    report["inserted"] = int(obs.get.get("n") or 0)
+    obs = Observation("rejected")
+    rows_without_id(batch).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(
+        f"{(rejects_path or path.rstrip('/') + '_rejects').rstrip('/')}/batch_id={batch_id}")
+    report["rejected"] = int(obs.get.get("n") or 0)
+    index.add(unique.select("recommendation_id"), batch_id)
+    index.mark(batch_id, "done")
+    return report
+
+
 def append_new(existing: DataFrame | None, batch: DataFrame, path: str,
                rejects_path: str | None = None) -> int:
     """Append only new reviews to the partitioned table at ``path``; rows without an

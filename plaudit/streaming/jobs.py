@@ -1,8 +1,9 @@
 """Structured Streaming jobs (2-L). Each reuses the batch operators.
 
-* ``stream_ingest``: file source -> foreachBatch dedupe + append (anti join on
-  the stored ids, so a replayed micro-batch after a failure inserts nothing twice;
-  the checkpoint folder replaces the original's cursor file).
+* ``stream_ingest``: file source -> foreachBatch dedupe + append by the table's id
+  index (a micro-batch reads only the buckets that it may meet, and one that runs
+  again adds neither rows nor rejects; the checkpoint folder replaces the original's
+  cursor file).
 * ``stream_dedupe``: watermark-bounded duplicate removal.
 * ``stream_daily_trend`` / ``stream_rolling_rate``: event-time windows with a
   watermark; results are upserted per window through foreachBatch.
@@ -21,8 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plaudit import lexicons as L
 from plaudit.operators import alerts as al
-from plaudit.session import path_exists
-from plaudit.sources import ingest, io
+from plaudit.sources import ingest
 
 
 def with_event_time(df: DataFrame, ts_col: str = "timestamp_created") -> DataFrame:
@@ -41,11 +41,7 @@ def stream_ingest(spark: SparkSession, source: str, table_path: str, checkpoint:
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         b = transform(batch) if transform else batch
-        # no table before the first batch; any failure to open one is raised, or the
-        # whole batch would be appended as new
-        stored = (io.read_reviews_table(b.sparkSession, table_path)
-                  if path_exists(b.sparkSession, table_path) else None)
-        ingest.append_new(stored, b, table_path)
+        ingest.append_batch(b.sparkSession, b, table_path, batch_id)
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     if processing_time:
