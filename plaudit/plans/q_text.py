@@ -9,6 +9,7 @@ from plaudit.functions import clean_text, lang_code, script_language, tokenize_z
 from plaudit.operators import keywords as kw
 from plaudit.operators import langmodel as lm
 from plaudit.operators import language as lg
+from plaudit.operators import lda
 from plaudit.operators import topics as tp
 from plaudit.operators import wordseg as ws
 from plaudit.plans import sqlgen as S
@@ -330,6 +331,12 @@ def q_topic_model_lda(spark, sf):
     return tp.topic_terms(model, 10)
 
 
+@register("topic_model_lda_table", note="variational EM, topics as a table; properties in tests")
+def q_topic_model_lda_table(spark, sf):
+    model = lda.fit_lda_table(reviews(spark, sf), k=10, rounds=10)
+    return lda.lda_terms(model, 10)
+
+
 @register("topic_summary_lda", note="dominant LDA topic per review, counted; rows-only")
 def q_topic_summary(spark, sf):
     model, docs = tp.fit_lda(reviews(spark, sf), k=10, max_iter=10)
