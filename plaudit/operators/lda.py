@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit.operators.scan import top_n_per_group
-from plaudit.operators.topics import MIN_DOCS, _docs, _terms, stored
+from plaudit.operators.topics import MIN_DOCS, _docs, _terms, stored, with_label
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 INNER, SETTLED = 100, 1e-5   # steps of a document's weights at most; mean change at which they stop
@@ -149,8 +149,5 @@ def lda_terms(model: TopicTable, n: int = 10) -> DataFrame:
     long = model.topics.select("term", F.posexplode("weights").alias("topic", "w"))
     total = long.groupBy("topic").agg(F.sum("w").alias("total"))
     top = top_n_per_group(long, ["topic"], [F.col("w").desc(), F.col("term")], n, "rank").join(total, "topic")
-    names = top.where("rank <= 5").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
-    label = F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string"), F.lit(": "),
-                     F.array_join(F.transform("t", lambda x: x["term"]), ", "))
-    return top.join(names.select("topic", label.alias("label")), "topic").select(
-        "topic", (F.col("rank") - 1).alias("pos"), "term", (F.col("w") / F.col("total")).alias("weight"), "label")
+    return with_label(top.select("topic", (F.col("rank") - 1).alias("pos"), "term",
+                                 (F.col("w") / F.col("total")).alias("weight")))

@@ -74,7 +74,15 @@ def topic_terms(model, n: int = 10) -> DataFrame:
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
     terms = topics.select("topic", "pos", F.col("tw.termIndices").alias("term_index"),
                           F.col("tw.termWeights").alias("weight")).join(vocab_df, "term_index")
-    return terms.select("topic", "pos", "term", "weight")
+    return with_label(terms.select("topic", "pos", "term", "weight"))
+
+
+def with_label(terms: DataFrame) -> DataFrame:
+    """Adds the topic's label 'Topic i: w1, ..., w5' (i from 1) to its ranked terms."""
+    names = terms.where("pos < 5").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
+    label = F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string"), F.lit(": "),
+                     F.array_join(F.transform("t", lambda x: x["term"]), ", "))
+    return terms.join(names.select("topic", label.alias("label")), "topic")
 
 
 def document_topics(model, docs: DataFrame) -> DataFrame:
@@ -137,9 +145,11 @@ def nmf_error(cells: DataFrame, w: DataFrame, h: DataFrame, k: int) -> float:
     return x2 - 2 * cross + sum(a[i][j] * b[i][j] for i in range(k) for j in range(k))
 
 
-def fit_nmf(df: DataFrame, k: int = 10, max_iter: int = 20, vocab: int | None = None, seed: int = 42):
+def fit_nmf(df: DataFrame, k: int = 10, max_iter: int = 200, vocab: int | None = None, seed: int = 42,
+            tolerance: float = 1e-3):
     """Non-negative factorisation of the TF-IDF matrix by multiplicative updates, all
-    cells in the loss. Each half step joins the cells with the held factors, sums per
+    cells in the loss, until a round lowers the error by less than ``tolerance`` of what
+    it is (or ``max_iter`` rounds). Each half step joins the cells with the held factors, sums per
     row of the other side, and needs only a k x k matrix on the driver; factors are
     written after every step. Returns (term factors, document factors, cells), or
     (None, None, cells) with fewer than 10 documents that have words."""
@@ -149,9 +159,14 @@ def fit_nmf(df: DataFrame, k: int = 10, max_iter: int = 20, vocab: int | None =
     mean = cells.agg(F.avg("w")).first()[0] or 1.0
     w = stored(_start(cells.select("doc").distinct(), "doc", k, seed, mean), "nmf_docs")
     h = stored(_start(cells.select("term").distinct(), "term", k, seed + k, mean), "nmf_terms")
+    last = None
     for _ in range(max_iter):
         w = stored(_update(cells, w, h, "doc", "term", k), "nmf_docs")
         h = stored(_update(cells, h, w, "term", "doc", k), "nmf_terms")
+        error = nmf_error(cells, w, h, k)
+        if last is not None and last - error < tolerance * last:
+            break
+        last = error
     return h, w, cells
 
 
@@ -160,5 +175,5 @@ def nmf_topic_terms(terms: DataFrame, n: int = 10) -> DataFrame:
     f = terms.select("term", F.posexplode("f").alias("topic", "x"))
     total = f.groupBy("topic").agg(F.sum("x").alias("total"))
     top = top_n_per_group(f, ["topic"], [F.col("x").desc(), F.col("term")], n, "_r")
-    return top.join(total, "topic").select("topic", (F.col("_r") - 1).alias("pos"), "term",
-                                           (F.col("x") / F.col("total")).alias("weight"))
+    return with_label(top.join(total, "topic").select("topic", (F.col("_r") - 1).alias("pos"), "term",
+                                                      (F.col("x") / F.col("total")).alias("weight")))

@@ -345,5 +345,5 @@ def q_topic_summary(spark, sf):
 
 @register("topic_model_nmf", note="multiplicative updates; iterative, properties in tests")
 def q_topic_model_nmf(spark, sf):
-    terms, _, _ = tp.fit_nmf(reviews(spark, sf), k=5, max_iter=6)
+    terms, _, _ = tp.fit_nmf(reviews(spark, sf), tolerance=0.01)
     return tp.nmf_topic_terms(terms, 10)

@@ -15,10 +15,10 @@ TABLES = ["events", "documents", "labels", "benchmark", "pages", "conversations"
 SHAPES = {
     "segmented_tokens": ({"token", "count"}, 1000),
     "changed_files": ({"md5", "reason"}, 1),
-    "topic_model_lda": ({"topic", "pos", "term", "weight"}, 100),
+    "topic_model_lda": ({"topic", "pos", "term", "weight", "label"}, 100),
     "topic_model_lda_table": ({"topic", "pos", "term", "weight", "label"}, 100),
     "topic_summary_lda": ({"dominant_topic", "count", "positive_ratio"}, 1),
-    "topic_model_nmf": ({"topic", "pos", "term", "weight"}, 50),
+    "topic_model_nmf": ({"topic", "pos", "term", "weight", "label"}, 100),
 }
 
 
