@@ -54,8 +54,6 @@ LEXICON_POSITIVE = ["good", "great", "excellent", "amazing", "love", "best", "aw
                     "fantastic", "perfect", "fun", "好", "棒", "赞", "喜欢", "优秀"]
 LEXICON_NEGATIVE = ["bad", "terrible", "awful", "worst", "hate", "boring", "bug", "crash",
                     "lag", "垃圾", "差", "烂", "无聊"]
-#: (label, score, compound) for positive / negative / neutral lexicon outcomes
-LEXICON_OUTCOMES = {"positive": (0.7, 0.7), "negative": (0.7, -0.7), "neutral": (0.5, 0.0)}
 
 # --- FIXED VALUES: topic keywords (matched on cleaned text) ---
 TOPIC_KEYWORDS = {
@@ -131,20 +129,14 @@ VERSION_PATTERNS = [r"v?(\d+\.\d+\.\d+)", r"version\s+(\d+\.\d+)", r"update\s+(\
                     r"patch\s+(\d+\.\d+)", r"build\s+(\d+)", r"release\s+(\d{1,2}\.\d{1,2})",
                     r"(?:patch|update|hotfix).*?(\d+\.\d+)"]
 
-# --- FIXED VALUES: update keywords (English ones are used; Chinese declared only) ---
+# --- FIXED VALUES: update keywords ---
 UPDATE_KEYWORDS_EN = ["update", "patch", "version", "release", "build", "hotfix",
                       "improvement", "fix", "added", "fixed", "new features", "changelog"]
-UPDATE_KEYWORDS_ZH = ["更新", "补丁", "版本", "发布", "构建", "修复", "改进",
-                      "新增", "已修复", "功能", "日志", "版本更新"]
 
 # --- FIXED VALUES: quality detail words ---
 QUALITY_DETAIL_WORDS = ["gameplay", "graphics", "performance", "story", "characters",
                         "游戏", "画面", "性能", "故事", "角色"]
 
-# --- FIXED VALUES: Chinese stop-word file shipped with the analyser ---
-STOP_WORDS_ZH_FILE = ["的", "了", "是", "我", "你", "他", "这", "那", "个", "不", "没有", "很",
-                      "有", "也", "都", "和", "在", "就", "一个", "什么", "自己"]
-
 # --- FIXED VALUES: playtime and length bins (left-closed) and their labels ---
 PLAYTIME_BIN_EDGES = [0, 1, 5, 10, 20, 50, 100, 200, 500]
 PLAYTIME_BIN_LABELS = ["<1h", "1-5h", "5-10h", "10-20h", "20-50h", "50-100h", "100-200h",
@@ -153,10 +145,8 @@ PLAYTIME_OVERFLOW_LABEL = ">=500h"
 LENGTH_BIN_EDGES = [0, 50, 100, 200, 500, 1000]
 LENGTH_BIN_LABELS = ["<50", "50-100", "100-200", "200-500", "500-1000", ">1000"]
 
-# --- FIXED VALUES: segment, intensity and usefulness labels ---
+# --- FIXED VALUES: segment labels ---
 SEGMENTS = ["Enthusiasts", "Satisfied", "Cautious", "Dissatisfied", "Critical"]
-INTENSITY_LABELS = ["Very Positive", "Positive", "Negative", "Very Negative"]
-USEFULNESS_LABELS = ["Highly Useful", "Useful", "Moderately Useful", "Less Useful"]
 
 # --- FIXED VALUES: recommendation weights ---
 RECOMMEND_WEIGHTS = {"quality_score": 0.35, "helpfulness": 0.25, "sentiment_intensity": 0.15,
