@@ -2,16 +2,21 @@
 
 The lexicon is learned from labelled texts: words (letters and digits, lower case)
 that stand in toxic texts far more often than chance explains. Tokens are
-matched by running the Levenshtein automaton of a token along the trie of lexicon
+matched by running the Levenshtein automaton of a token along the trie of all lexicon
 terms, both at once, so a branch is left as soon as no term on it can be within
-``max_edits``. A match is weighed by its context window of ``WINDOW`` words on either
+``max_edits``; two swapped neighbours are one edit. A match is weighed by its context window of ``WINDOW`` words on either
 side: other matches and exclamation marks speak for abuse, quotation marks around the
 word or a window of reporting words and quotes speak for quotation.
 
 A logistic model over the resulting counts gives the score. It is fitted on a bounded
 sample (``train_rows``, by id hash) of the labelled rows that the caller
 allows for training; only texts are inputs. Tokens near a lexicon term that clean
-training texts use are ordinary words, not misspellings.
+training texts use are ordinary words, not misspellings. What is close to a rare term
+is more often another word than what is close to a frequent one, so the model weighs
+both apart, as what they differ from exact matches (with no misspelling among the
+labelled texts they count like those); a training text's own words don't count as ordinary for it (the two halves
+of the sample, by hash of the text, look each at the other's clean texts), or the model
+would see no clean text with a near match at all.
 
 Null and empty texts have no matches and score like any text without. Null and
 repeated ids are scored row by row. Without a toxic or without a clean
@@ -32,35 +37,42 @@ from pyspark.sql import functions as F
 from plaudit.llm.common import hashed_sample, written
 
 WINDOW = 8
-NEAR_SHARE = 0.1
+FREQUENT = 0.1  # a term in this share of the toxic texts is a frequent one
 CACHE_WORDS = 600_000
 _STRIP = bytes(b if (b >= 128 or chr(b).isalnum()) else 32 for b in range(256))
-_QUOTES = ('"', "“", "”", "«", "»", "„", "`")
 #: fixed values: words that announce a quotation in the corpus languages
 REPORTING = frozenset("said says wrote called quote quoted quoting word words term terms "
                       "dit disait mot mots cite sagte sagt schrieb wort worte zitat "
                       "dijo dice palabra palabras cita".split())
-FEATURES = ("exact", "near", "quoted", "dense", "loud", "share")
+FEATURES = ("all", "near", "quoted", "dense", "loud", "share", "near_rare")
 
 
 class Automaton:
     """Levenshtein automaton of a word: states are the reachable (position, errors)
-    pairs with the fewest errors, kept as sorted tuples."""
+    pairs with the fewest errors, kept as sorted tuples. With ``swaps`` two swapped
+    neighbours are one edit; half a swap is a position below zero (~i: the letter after
+    i has come, i is due)."""
 
-    def __init__(self, word: str, max_edits: int):
-        self.word, self.max = word, max_edits
+    def __init__(self, word: str, max_edits: int, swaps: bool = False):
+        self.word, self.max, self.swaps = word, max_edits, swaps
 
     def start(self) -> tuple:
         return tuple((i, i) for i in range(min(self.max, len(self.word)) + 1))
 
     def step(self, state: tuple, char: str) -> tuple:
         best: dict[int, int] = {}
-        size = len(self.word)
+        word, size = self.word, len(self.word)
         for i, e in state:
-            for j, cost in ((i, e + 1), (i + 1, e + (i >= size or self.word[i] != char))):
+            if i < 0:
+                moves = ((~i + 2, e),) if word[~i] == char else ()
+            else:
+                moves = ((i, e + 1), (i + 1, e + (i >= size or word[i] != char)))
+                if self.swaps and i + 1 < size and word[i + 1] == char != word[i]:
+                    moves += ((~i, e + 1),)
+            for j, cost in moves:
                 if cost <= self.max and j <= size and cost < best.get(j, self.max + 1):
                     best[j] = cost
-        for i in sorted(best):  # letters of the word that are left out
+        for i in sorted(k for k in best if k >= 0):  # letters of the word that are left out
             j, cost = i + 1, best[i] + 1
             while j <= size and cost <= self.max and cost < best.get(j, self.max + 1):
                 best[j] = cost
@@ -68,20 +80,21 @@ class Automaton:
         return tuple(sorted(best.items()))
 
     def accepts(self, state: tuple) -> int | None:
-        return min((e + len(self.word) - i for i, e in state if e + len(self.word) - i <= self.max), default=None)
+        return min((e + len(self.word) - i for i, e in state
+                    if i >= 0 and e + len(self.word) - i <= self.max), default=None)
 
 
 class Lexicon:
-    """Terms as a trie; ``find`` intersects it with a token's automaton. Only terms of
-    at least ``shortest`` letters (and in ``near``, if given) match inexactly."""
+    """Terms as a trie; ``find`` intersects it with a token's automaton. Terms of at
+    least ``shortest`` letters match inexactly; ``frequent`` are the well supported ones."""
 
-    def __init__(self, terms: dict[str, float], max_edits: int = 1, shortest: int = 5,
-                 ordinary: frozenset = frozenset(), near: frozenset | None = None):
+    def __init__(self, terms: dict[str, float], max_edits: int = 1, shortest: int = 4,
+                 ordinary: frozenset = frozenset(), frequent: frozenset = frozenset(), swaps: bool = False):
         self.terms, self.max, self.shortest, self.ordinary = terms, max_edits, shortest, ordinary
-        self.near = frozenset(terms if near is None else near)
+        self.frequent, self.swaps = frequent, swaps
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
-        for term in self.near:
+        self.heads, self.tails, self.crossed = set(), set(), set()
+        for term in terms:
             if len(term) < shortest:
                 continue
             at = self.root
@@ -90,17 +103,23 @@ class Lexicon:
             at[""] = term
             # an edit leaves one of max_edits + 1 parts of the term whole; with one
             # edit that is its first or its second half, at the token's start or end,
-            # and the token is one letter longer or shorter at most
+            # and the token is one letter longer or shorter at most; only a swap over
+            # the middle touches both halves
             half = len(term) // 2
             for n in (len(term) - 1, len(term), len(term) + 1):
                 self.heads.add((n, term[:half]))
                 self.tails.add((n, term[half:]))
+            self.crossed.add(term[:half - 1] + term[half] + term[half - 1] + term[half + 1:])
         self.sizes: dict[int, tuple[list, list]] = {}
         for k, parts in enumerate((self.heads, self.tails)):
             for n, x in parts:
                 self.sizes.setdefault(n, ([], []))[k].append(len(x))
         self.sizes = {n: (sorted(set(a)), sorted(set(b))) for n, (a, b) in self.sizes.items()}
 
+    def without(self, ordinary) -> Lexicon:
+        """The same terms; ``ordinary`` words are no misspellings of them."""
+        return Lexicon(self.terms, self.max, self.shortest, frozenset(ordinary), self.frequent, self.swaps)
+
     def may_match(self, token: str) -> bool:
         if self.max > 1:
             return True
@@ -108,15 +127,16 @@ class Lexicon:
         if n not in self.sizes:
             return False
         a, b = self.sizes[n]
-        return any((n, token[:k]) in self.heads for k in a) or any((n, token[-k:]) in self.tails for k in b)
+        return (any((n, token[:k]) in self.heads for k in a) or any((n, token[-k:]) in self.tails for k in b)
+                or (self.swaps and token in self.crossed))
 
     def find(self, token: str) -> tuple[str, int] | None:
         """The closest term (then the first by name) and its distance."""
         if token in self.terms:
             return token, 0
-        if len(token) < self.shortest - 1 or token in self.ordinary or not self.may_match(token):
+        if len(token) < self.shortest - self.max or token in self.ordinary or not self.may_match(token):
             return None
-        auto = Automaton(token, self.max)
+        auto = Automaton(token, self.max, self.swaps)
         found = []
         stack = [(self.root, auto.start())]
         while stack:
@@ -159,49 +179,81 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         words = tokens(text)
-        distinct = set(words)
-        hits = {w: m for w in distinct if (m := self.match(w))}
+        hits = {w: m for w in set(words) if (m := self.match(w))}
         if not hits:
             return [0.0] * len(FEATURES)
-        places = [k for k, w in enumerate(words) if w in hits]
-        raw = text.lower()
-        quoted_words = {w for w in hits if self._in_quotes(raw, w)}
-        loud_words = {w for w in hits if re.search(re.escape(w) + r"\s*!", raw)}
-        exact = near = quoted = dense = loud = 0.0
-        at = np.array(places)
-        for k in places:
-            w = words[k]
-            term, d = hits[w]
-            weight = self.lexicon.terms[term]
-            window = words[max(0, k - WINDOW):k] + words[k + 1:k + 1 + WINDOW]
-            report = sum(x in REPORTING for x in window)
-            if w in quoted_words or report:
-                quoted += weight
+        at = np.array([k for k, w in enumerate(words) if w in hits])
+        quoted_words, loud_words = _marked(text.lower(), hits)
+        said = np.concatenate([[0], np.cumsum([w in REPORTING for w in words])])
+        low, high = np.maximum(at - WINDOW, 0), np.minimum(at + WINDOW + 1, len(words))
+        own = said[at + 1] - said[at]
+        report = said[high] - said[low] - own > 0
+        close = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left") > 1
+        frequent = self.lexicon.frequent
+        kinds = {w: (self.lexicon.terms[t], d > 0 and t in frequent, d > 0 and t not in frequent,
+                     w in quoted_words, w in loud_words) for w, (t, d) in hits.items()}
+        weight, near, rare, quoted, loud = np.array([kinds[words[k]] for k in at], float).T
+        quoted = (quoted > 0) | report
+        meant = weight * ~quoted
+        total = meant.sum()
+        sums = [total, (meant * near).sum(), (weight * quoted).sum(), (meant * close).sum(), (meant * loud).sum(),
+                200 * total / len(words), (meant * rare).sum()]
+        return np.log1p(sums).tolist()
+
+
+_RUN = re.compile(r"\w+")
+_LOUD = re.compile(r"\s*!")
+_BLANK = re.compile(r"\s*")
+
+
+def _marked(raw: str, hits) -> tuple[set, set]:
+    """The words of ``hits`` that stand between quotation marks at every place, and those
+    that an exclamation mark follows somewhere. Quoted is a place with an odd number of
+    straight marks before it in its line and one after it, or with an open typographic
+    mark that closes in the line, or in a line that starts with ``>``. One pass over the
+    words, with marks looked up by binary search."""
+    places = {c: np.array([m.start() for m in re.finditer(re.escape(c), raw)] if c in raw else [], int)
+              for c in '\n"“”«»„'}
+
+    def below(c: str, x: int) -> int:
+        return int(np.searchsorted(places[c], x))
+
+    def last(c: str, x: int, start: int) -> int:
+        k = below(c, x)
+        return int(places[c][k - 1]) if k and places[c][k - 1] >= start else -1
+
+    def follows(c: str, x: int, end: int) -> bool:
+        k = below(c, x)
+        return k < len(places[c]) and places[c][k] < end
+
+    cited: dict[int, bool] = {}
+
+    def in_quotes(s: int, e: int) -> bool:
+        k = below("\n", s)
+        a = int(places["\n"][k - 1]) + 1 if k else 0
+        b = int(places["\n"][k]) if k < len(places["\n"]) else len(raw)
+        if a not in cited:
+            first = _BLANK.match(raw, a).end()
+            cited[a] = first < b and raw[first] == ">"
+        return (cited[a] or ((below('"', s) - below('"', a)) % 2 == 1 and follows('"', e, b))
+                or any(last(o, s, a) > last(c, s, a) and follows(c, e, b)
+                       for o, c in (("“", "”"), ("«", "»"), ("„", "“"))))
+
+    found, bare, loud = set(), set(), set()
+    plain = {w for w in hits if _RUN.fullmatch(w)}
+    spans = ((m.group(), m.start(), m.end()) for m in _RUN.finditer(raw))
+    odd = ((w, m.start(), m.end()) for w in hits if w not in plain
+           for m in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", raw))
+    for known, these in ((plain, spans), (hits, odd)):
+        for w, s, e in these:
+            if w not in known:
                 continue
-            exact += weight * (d == 0)
-            near += weight * (d > 0)
-            dense += weight * (((at >= k - WINDOW) & (at <= k + WINDOW)).sum() > 1)
-            loud += weight * (w in loud_words)
-        squash = np.log1p
-        return [float(squash(exact)), float(squash(near)), float(squash(quoted)), float(squash(dense)),
-                float(squash(loud)), float(squash(200 * (exact + near) / len(words)))]
-
-    @staticmethod
-    def _in_quotes(raw: str, word: str) -> bool:
-        """Every place of the word in the text stands between quotation marks: an odd
-        number of straight marks before it in its line, or an open typographic one."""
-        found = False
-        for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", raw):
-            a = raw.rfind("\n", 0, m.start()) + 1
-            b = raw.find("\n", m.end())
-            before, after = raw[a:m.start()], raw[m.end():b if b >= 0 else len(raw)]
-            straight = before.count('"') % 2 == 1 and '"' in after
-            curly = any(before.rfind(o) > before.rfind(c) and c in after
-                        for o, c in (("“", "”"), ("«", "»"), ("„", "“")))
-            if not (straight or curly or raw[a:m.start()].lstrip().startswith(">")):
-                return False
-            found = True
-        return found
+            found.add(w)
+            if w not in bare and not in_quotes(s, e):
+                bare.add(w)
+            if w not in loud and _LOUD.match(raw, e):
+                loud.add(w)
+    return found - bare, loud
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -227,42 +279,46 @@ def learn_lexicon(words: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     """``words`` is (word, toxic texts, clean texts) of the over-represented ones among
     ``n_words`` words. Terms are words that chance does not explain: if labels were
     dealt at random, fewer than one word would be so one-sided. Their weight grows
-    with the odds ratio; terms in NEAR_SHARE of the toxic texts also match inexactly
-    (what is close to a rare term is mostly another word)."""
+    with the odds ratio. All of them match inexactly."""
     prior = n_toxic / max(1, n_toxic + n_clean)
-    terms, near = {}, set()
+    terms, frequent = {}, set()
     for w, t, c in words:
         chance = t * math.log(prior) + c * math.log(1 - prior) + sum(
             math.log((t + c - k) / (k + 1)) for k in range(min(t, c)))
         odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         if chance + math.log(max(n_words, 1)) < 0 and odds > 1.5:
             terms[w] = min(odds, 6.0) / 6.0
-            if t >= NEAR_SHARE * n_toxic:
-                near.add(w)
-    return Lexicon(terms, max_edits, near=frozenset(near))
+            if t >= FREQUENT * n_toxic:
+                frequent.add(w)
+    return Lexicon(terms, max_edits, frequent=frozenset(frequent), swaps=True)
 
 
 def _features(shared):
+    """Features of training texts; ordinary are the words of the other half's clean texts."""
     def run(batches):
-        scorer = Scorer(shared.value)
+        lexicon, ordinary = shared.value
+        scorers = [Scorer(lexicon.without(ordinary[1 - half])) for half in (0, 1)]
         for batch in batches:
-            got = [scorer.features(t) for t in batch.column(1).to_pylist()]
+            got = [scorers[half].features(t) for t, half in zip(batch.column(1).to_pylist(),
+                                                                batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))],
                                              ["label", "x"])
     return run
 
 
 def _ordinary(shared):
-    """Tokens of clean texts that a lexicon term would take for misspellings."""
+    """(half, w): tokens of clean texts that a lexicon term would take for misspellings."""
     def run(batches):
         lexicon = shared.value
         seen: set = set()
         for batch in batches:
-            new = {w for t in batch.column(1).to_pylist() for w in tokens(t)} - seen
+            new = {(h, w) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                   for w in tokens(t)} - seen
             seen |= new
-            near = [w for w in new if w not in lexicon.terms and lexicon.find(w)]
+            near = [(h, w) for h, w in new if w not in lexicon.terms and lexicon.find(w)]
             if near:
-                yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["w"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in near], pa.int32()),
+                                                  pa.array([w for _, w in near], pa.string())], ["half", "w"])
     return run
 
 
@@ -271,7 +327,7 @@ def _word_counts(batches):
     seen: dict[str, list[int]] = {}
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w in {w for w in tokens(text) if 3 <= len(w) <= 40}:
+            for w in set(tokens(text)):
                 seen.setdefault(w, [0, 0])[1 - label] += 1
         if len(seen) > CACHE_WORDS:
             yield _counted(seen)
@@ -325,8 +381,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = 20_000,
               .where(~F.coalesce(held_out, F.lit(False)))
               .groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("label")))
     chosen = hashed_sample(usable, F.xxhash64("doc_id"), train_rows, usable.count())  # bounded: safe to broadcast
-    train = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"),
-                    "toxicity_training")
+    train = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "label", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxicity_training")
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = per.get(1, 0), per.get(0, 0)
     counts = written(train.mapInArrow(_word_counts, "w string, t long, c long").groupBy("w")
@@ -336,10 +392,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, train_rows: int = 20_000,
     lexicon = learn_lexicon([(r["w"], r["t"], r["c"]) for r in words] if n_clean and n_toxic else [], n_toxic,
                             n_clean, counts.count(), max_edits)
     first = spark.sparkContext.broadcast(lexicon)
-    plain = train.where("label = 0").mapInArrow(_ordinary(first), "w string").distinct().collect()  # few: near a term
-    lexicon = Lexicon(lexicon.terms, max_edits, ordinary=frozenset(r["w"] for r in plain), near=lexicon.near)
-    shared = spark.sparkContext.broadcast(lexicon)
-    sample = train.mapInArrow(_features(shared), "label int, x array<double>").collect()  # train_rows short rows
+    plain = train.where("label = 0").mapInArrow(_ordinary(first), "half int, w string").distinct().collect()
+    ordinary = [frozenset(r["w"] for r in plain if r["half"] == half) for half in (0, 1)]  # few: near a term
+    halves = spark.sparkContext.broadcast((lexicon, ordinary))
+    shared = spark.sparkContext.broadcast(lexicon.without(ordinary[0] | ordinary[1]))
+    sample = train.mapInArrow(_features(halves), "label int, x array<double>").collect()  # train_rows short rows
     x = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
     y = np.array([r["label"] for r in sample], float)
     return Model(shared, logistic(x, y) if len(y) else np.zeros(len(FEATURES) + 1))
