@@ -93,52 +93,55 @@ class Lexicon:
         self.terms, self.max, self.shortest, self.ordinary = terms, max_edits, shortest, ordinary
         self.frequent, self.swaps = frequent, swaps
         self.root: dict = {}
-        self.heads, self.tails, self.crossed = set(), set(), set()
+        self.after, self.before, self.crossed = {}, {}, {}
         for term in terms:
             if len(term) < shortest:
                 continue
-            at = self.root
-            for c in term:
-                at = at.setdefault(c, {})
-            at[""] = term
-            # an edit leaves one of max_edits + 1 parts of the term whole; with one
-            # edit that is its first or its second half, at the token's start or end,
-            # and the token is one letter longer or shorter at most; only a swap over
-            # the middle touches both halves
-            half = len(term) // 2
-            for n in (len(term) - 1, len(term), len(term) + 1):
-                self.heads.add((n, term[:half]))
-                self.tails.add((n, term[half:]))
-            self.crossed.add(term[:half - 1] + term[half] + term[half - 1] + term[half + 1:])
-        self.sizes: dict[int, tuple[list, list]] = {}
-        for k, parts in enumerate((self.heads, self.tails)):
-            for n, x in parts:
-                self.sizes.setdefault(n, ([], []))[k].append(len(x))
-        self.sizes = {n: (sorted(set(a)), sorted(set(b))) for n, (a, b) in self.sizes.items()}
+            _insert(self.root, term, term)
+            # one edit leaves the first or the second half of a term whole, so the rest
+            # is looked for among the terms of that length with the same half; only a
+            # swap over the middle touches both
+            size, half = len(term), len(term) // 2
+            _insert(self.after.setdefault((size, term[:half]), {}), term[half:], term)
+            _insert(self.before.setdefault((size, term[half:]), {}), term[:half], term)
+            swapped = term[:half - 1] + term[half] + term[half - 1] + term[half + 1:]
+            self.crossed[swapped] = min(term, self.crossed.get(swapped, term))
+        self.lengths = {n + k for n, _ in self.after for k in (-1, 0, 1)}
 
     def without(self, ordinary) -> Lexicon:
         """The same terms; ``ordinary`` words are no misspellings of them."""
         return Lexicon(self.terms, self.max, self.shortest, frozenset(ordinary), self.frequent, self.swaps)
 
-    def may_match(self, token: str) -> bool:
-        if self.max > 1:
-            return True
-        n = len(token)
-        if n not in self.sizes:
-            return False
-        a, b = self.sizes[n]
-        return (any((n, token[:k]) in self.heads for k in a) or any((n, token[-k:]) in self.tails for k in b)
-                or (self.swaps and token in self.crossed))
-
     def find(self, token: str) -> tuple[str, int] | None:
         """The closest term (then the first by name) and its distance."""
         if token in self.terms:
             return token, 0
-        if len(token) < self.shortest - self.max or token in self.ordinary or not self.may_match(token):
+        n = len(token)
+        if token in self.ordinary or (self.max == 1 and n not in self.lengths):
             return None
+        if self.max > 1:
+            found = self._walk(self.root, token) if n >= self.shortest - self.max else []
+        else:
+            found = [(1, self.crossed[token])] if self.swaps and token in self.crossed else []
+            for size in (n - 1, n, n + 1):
+                half = size // 2
+                rest = self.after.get((size, token[:half]))
+                if rest is not None:
+                    found += self._walk(rest, token[half:])
+                cut = max(0, n - (size - half))
+                first = self.before.get((size, token[cut:]))
+                if first is not None:
+                    found += self._walk(first, token[:cut])
+        if not found:
+            return None
+        d, term = min(found)
+        return term, d
+
+    def _walk(self, trie: dict, token: str) -> list[tuple[int, str]]:
+        """(distance, term) of the trie's entries that the token's automaton accepts."""
         auto = Automaton(token, self.max, self.swaps)
         found = []
-        stack = [(self.root, auto.start())]
+        stack = [(trie, auto.start())]
         while stack:
             at, state = stack.pop()
             for c, below in at.items():
@@ -150,10 +153,13 @@ class Lexicon:
                     new = auto.step(state, c)
                     if new:
                         stack.append((below, new))
-        if not found:
-            return None
-        d, term = min(found)
-        return term, d
+        return found
+
+
+def _insert(trie: dict, letters: str, term: str) -> None:
+    for c in letters:
+        trie = trie.setdefault(c, {})
+    trie[""] = term
 
 
 def tokens(text: str | None) -> list[str]:
