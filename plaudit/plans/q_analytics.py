@@ -114,7 +114,7 @@ def q_update_impact(spark, sf):
 @register("update_impact_1h", _impact_sql(1))
 def q_update_impact_short(spark, sf):
     """One-day window with one-hour chunks: exercises probes in chunks without reviews."""
-    return vs.update_impact(reviews(spark, sf), 1, chunk_s=3600)
+    return vs.update_impact(reviews(spark, sf), 1, block_s=600)
 
 
 @register("version_keywords", f"""{R},
