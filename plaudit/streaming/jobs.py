@@ -4,18 +4,20 @@
   index (a micro-batch reads only the buckets that it may meet, and one that runs
   again adds neither rows nor rejects; the checkpoint folder replaces the original's
   cursor file).
-* ``stream_dedupe``: watermark-bounded duplicate removal.
+* ``stream_dedupe``: duplicate removal over all time, or within a watermark.
 * ``stream_daily_trend`` / ``stream_rolling_rate``: event-time windows with a
   watermark; results are upserted per window through foreachBatch.
-* ``stream_alerts``: windowed stats evaluated with the batch alert rules; every
-  evaluated day goes to the history table, by batch, and to an optional handler.
+* ``stream_alerts``: daily counts kept as state, changed days evaluated with the batch
+  alert rules; every evaluated day goes to the history table, by batch, and to an
+  optional handler.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plaudit import lexicons as L
 from plaudit.operators import alerts as al
 from plaudit.sources import ingest
+from plaudit.streaming import daycounts
 
 
 def with_event_time(df: DataFrame, ts_col: str = "timestamp_created") -> DataFrame:
@@ -51,8 +54,27 @@ def stream_ingest(spark: SparkSession, source: str, table_path: str, checkpoint:
     return w.start()
 
 
-def stream_dedupe(df: DataFrame, watermark: str = "1 day", key: str = "recommendation_id") -> DataFrame:
-    """Drop repeats of an id arriving within the watermark delay of each other."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on disk and not on the heap (a
+    query takes the settings of its start); the session's setting comes back after."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def stream_dedupe(df: DataFrame, watermark: str | None = None, key: str = "recommendation_id") -> DataFrame:
+    """Drop repeats of an id, however far apart they come: the ids seen are the state (start
+    such a query under ``rocksdb_state``). With a ``watermark`` ids are forgotten after that delay, and later repeats pass."""
+    if watermark is None:
+        return df.dropDuplicates([key])
     return with_event_time(df).withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
@@ -114,54 +136,34 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def stream_alerts(df: DataFrame, history_path: str, checkpoint: str, rules=L.DEFAULT_ALERT_RULES,
                   handler: Callable[[DataFrame, int], None] | None = None, lookback: int = 7,
-                  processing_time: str | None = None, watermark: str = "1 day") -> StreamingQuery:
-    """Daily stats per app; each micro-batch re-evaluates the days that it changes:
-    its own days and the ``lookback`` days whose averages they enter, over a calendar
-    without gaps, as ``alert_stats`` does for a table. Every evaluated (app, day) is
-    recorded with the alerts it has now (none, too), so ``read_stream_alerts`` gives
-    the state after the last batch and a replayed batch changes nothing. ``handler``
-    gets the batch's alerts as a frame, to deliver them where it likes."""
-    daily = stream_daily_trend(df, watermark)
-    stats_path = history_path.rstrip("/") + "_stats"
-    day = F.expr("INTERVAL 1 DAY")
-
+                  processing_time: str | None = None) -> StreamingQuery:
+    """Daily stats per app as state (``daycounts``); each micro-batch evaluates the days
+    that it changes, over a calendar without gaps, as ``alert_stats`` does for a table.
+    Every evaluated (app, day) is recorded with the alerts it has now (none, too), so
+    ``read_stream_alerts`` gives the state after the last batch and a replayed batch
+    changes nothing. The record is only written; no batch reads an earlier one.
+    ``handler`` gets the batch's alerts as a frame, to deliver them where it likes."""
     def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _replace_batch(batch, stats_path, batch_id)
-        changed = spark.read.parquet(f"{stats_path}/batch_id={batch_id}")
-        first, last = changed.agg(F.min("date"), F.max("date")).first()
-        if first is None:
-            return
-        log = spark.read.parquet(stats_path)
-        span = log.groupBy("app_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-        # an app's last day moves when the batch brings a newer one, so days after the
-        # batch's own are looked at as far as the averages reach
-        near = (log.where(F.col("date").between(F.lit(first) - F.expr(f"INTERVAL {lookback} DAYS"),
-                                                F.lit(last) + F.expr(f"INTERVAL {lookback} DAYS")))
-                .groupBy("app_id", "date").agg(F.max_by(F.struct("total", "positive"), "batch_id").alias("v"))
-                .select("app_id", "date", "v.*"))
-        apps = changed.select("app_id").distinct()
-        cal = (span.join(apps, "app_id").select("app_id", F.explode(F.sequence(
-            F.greatest("lo", (F.lit(first) - F.expr(f"INTERVAL {lookback} DAYS")).cast("date")),
-            F.least("hi", (F.lit(last) + F.expr(f"INTERVAL {lookback} DAYS")).cast("date")), day)).alias("date")))
-        filled = cal.join(near, ["app_id", "date"], "left").fillna(0, ["total", "positive"])
-        w = Window.partitionBy("app_id").orderBy("date").rowsBetween(-lookback, -1)
-        stats = (filled.withColumn("recent_negative", F.col("total") - F.col("positive"))
-                 .withColumn("avg_negative", F.avg("recent_negative").over(w))
-                 .where(F.col("date") >= F.lit(first)).withColumnRenamed("date", "bucket"))
-        alerts = al.evaluate_alerts(stats, rules).groupBy("app_id", "bucket").agg(
+        day = ["app_id", "bucket"]
+        # state is not read twice: the changed days are written, their alerts follow from that
+        _replace_batch(batch, history_path.rstrip("/") + "_days", batch_id)
+        stats = batch.sparkSession.read.schema(batch.schema).parquet(
+            f"{history_path.rstrip('/')}_days/batch_id={batch_id}")
+        alerts = al.evaluate_alerts(stats, rules).groupBy(*day).agg(
             F.collect_list(F.struct("rule", "condition", "message", "total", "positive", "recent_negative",
                                     "avg_negative")).alias("alerts"))
-        _replace_batch(stats.select("app_id", "bucket").join(alerts, ["app_id", "bucket"], "left")
-                       .withColumn("alerted_at", F.current_timestamp()), history_path, batch_id)
+        _replace_batch(stats.select(*day).join(alerts, day, "left").withColumn("alerted_at", F.current_timestamp()),
+                       history_path, batch_id)
         if handler is not None:
-            done = spark.read.parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}")
-            handler(done.select("app_id", "bucket", F.explode("alerts").alias("a")).select("app_id", "bucket", "a.*"),
-                    batch_id)
+            done = batch.sparkSession.read.parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}")
+            handler(done.select(*day, F.explode("alerts").alias("a")).select(*day, "a.*"), batch_id)
 
-    w = daily.writeStream.outputMode("update").foreachBatch(check).option("checkpointLocation", checkpoint)
+    spark = df.sparkSession
+    w = daycounts.changed_days(df, lookback).writeStream.outputMode("update").foreachBatch(check) \
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return w.start()
+    with rocksdb_state(spark):
+        return w.start()
 
 
 def read_stream_alerts(spark: SparkSession, history_path: str) -> DataFrame:

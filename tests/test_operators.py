@@ -229,7 +229,7 @@ def test_replayed_alert_batch_changes_nothing(spark, tmp_path):
     out = str(tmp_path / "alerts")
     for attempt in ("one", "two"):  # the second checkpoint replays all batches
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        jobs.run_to_end(jobs.stream_alerts(stream, out, str(tmp_path / attempt), rules, watermark="30 days"))
+        jobs.run_to_end(jobs.stream_alerts(stream, out, str(tmp_path / attempt), rules))
         got = [(r["bucket"], r["message"]) for r in jobs.read_stream_alerts(spark, out).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
