@@ -11,3 +11,4 @@ from plaudit.plans import q_enrich  # noqa: F401,E402
 from plaudit.plans import q_analytics  # noqa: F401,E402
 from plaudit.plans import q_sources  # noqa: F401,E402
 from plaudit.plans import q_stream  # noqa: F401,E402
+from plaudit.plans import q_reports  # noqa: F401,E402

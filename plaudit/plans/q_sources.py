@@ -307,3 +307,54 @@ SELECT recommendation_id, app_id FROM reviews""")
 def q_drop_all_null_columns(spark, sf):
     df = reviews(spark, sf).select("recommendation_id", "app_id", F.lit(None).cast("string").alias("empty"))
     return stats.drop_all_null_columns(df)
+
+
+@register("changed_files_reasons", f"""{R},
+m AS (SELECT DISTINCT app_id FROM reviews WHERE timestamp_created < {CUTOFF}),
+n AS (SELECT DISTINCT app_id FROM reviews WHERE timestamp_created >= {CUTOFF})
+SELECT app_id, 'new' AS reason FROM n UNION ALL SELECT app_id, 'changed' FROM m WHERE app_id = 'src1'
+UNION ALL SELECT app_id, 'stale' FROM m WHERE app_id = 'src2'""")
+def q_changed_files_reasons(spark, sf):
+    """Files of a table by app against a manifest with another sum for one app's files
+    and an old check for another's, after files were added."""
+    path = _scratch(spark, "watch")
+    src = reviews(spark, sf)
+    src.where(F.col("timestamp_created") < CUTOFF).write.partitionBy("app_id").parquet(path)
+    app = F.regexp_extract("path", "app_id=([^/]+)", 1)
+    mpath = _scratch(spark, "manifest")
+    io.changed_files(spark, f"{path}/*/*.parquet").select(
+        "path", F.when(app == "src1", F.md5("md5")).otherwise(F.col("md5")).alias("md5"),
+        F.when(app == "src2", F.timestamp_seconds(F.lit(0))).otherwise(F.current_timestamp()).alias("checked_at")
+    ).write.parquet(mpath)
+    src.where(F.col("timestamp_created") >= CUTOFF).write.mode("append").partitionBy("app_id").parquet(path)
+    return io.changed_files(spark, f"{path}/*/*.parquet", spark.read.parquet(mpath)) \
+        .select(app.alias("app_id"), "reason").distinct()
+
+
+@register("import_files", f"""{R},
+k AS (SELECT app_id, CAST(recommendation_id AS BIGINT) % 7 AS k, timestamp_created >= {CUTOFF} AS fresh FROM reviews)
+SELECT app_id, CAST(count(*) AS BIGINT) AS rows, count_if(k < 3) AS errors, count_if(k >= 3 AND fresh) AS imported,
+       count_if(k >= 3 AND NOT fresh) AS skipped, count_if(k < 3) AS rejects, count_if(k >= 3) AS reviews
+FROM k GROUP BY app_id""")
+def q_import_files(spark, sf):
+    """CSV files by app in which some records lack fields, some have one too many and
+    some no id, imported over a table that holds the reviews before the cutoff."""
+    src = reviews(spark, sf)
+    path = _scratch(spark, "import_files")
+    k = F.col("recommendation_id").cast("long") % 7
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("review", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = (F.when(k == 0, F.concat_ws(",", "recommendation_id", quoted))
+            .when(k == 1, F.concat_ws(",", "recommendation_id", quoted, "voted_up", F.lit("more")))
+            .otherwise(F.concat_ws(",", F.when(k == 2, "").otherwise(F.col("recommendation_id")), quoted, "voted_up")))
+    # a file holds one header line before its records, written as text
+    (src.select("app_id", line.alias("value")).repartition("app_id").sortWithinPartitions("app_id")
+     .write.option("lineSep", "\n").partitionBy("app_id").text(path + "/body"))
+    body = spark.read.text(path + "/body/*", wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "app_id=([^/]+)", 1).alias("app_id"), "value")
+    body.select("app_id", F.concat(F.lit("recommendationid,review,voted_up\n"), "value").alias("value")) \
+        .write.option("lineSep", "\n").partitionBy("app_id").text(path + "/csv")
+    good, rejects, summary = ingest.import_files(spark, path + "/csv", "*/part-*", src.where(F.col("timestamp_created") < CUTOFF))
+    app = F.regexp_extract("file_path", "app_id=([^/]+)", 1).alias("app_id")
+    counts = [d.groupBy(app).agg(F.count(F.lit(1)).alias(n)) for d, n in ((rejects, "rejects"), (good, "reviews"))]
+    out = summary.groupBy(app).agg(*[F.sum(c).alias(c) for c in ("rows", "errors", "imported", "skipped")])
+    return out.join(counts[0], "app_id", "left").join(counts[1], "app_id", "left").fillna(0)

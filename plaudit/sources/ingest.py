@@ -108,10 +108,13 @@ def append_report(existing: DataFrame | None, batch: DataFrame, path: str,
 
 
 def import_summary(batch: DataFrame, existing: DataFrame | None = None,
-                   file_col: str = "file_name") -> DataFrame:
+                   file_col: str = "file_name", corrupt: str | None = None) -> DataFrame:
     """Per source file: rows read, new rows, skipped (already stored / duplicate),
-    rows without id (errors) and a status."""
+    rows without id (errors) and a status. Rows with a value in the column ``corrupt``
+    are errors whatever their fields hold, and never count as a review's first row."""
     b = canonicalize_columns(batch)
+    if corrupt is not None:
+        b = b.withColumn("recommendation_id", F.when(F.col(corrupt).isNull(), F.col("recommendation_id")))
     ids = existing_ids(existing).withColumn("_stored", F.lit(1)) if existing is not None else None
     if ids is not None:
         b = b.join(ids, "recommendation_id", "left")
@@ -132,6 +135,30 @@ def import_summary(batch: DataFrame, existing: DataFrame | None = None,
                           .when(F.col("errors") == F.col("rows"), "error").otherwise("skipped"))
 
 
+def import_files(spark: SparkSession, directory: str, pattern: str = "*_reviews.csv",
+                 existing: DataFrame | None = None, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reviews, rejects, summary) of all review files of a folder. Broken records and
+    records without an id are ``rejects`` (file_path, recommendation_id, record), whole as
+    they were read where broken. ``summary`` has a row for every file found: one that
+    can't be read to its end is not read at all and has the status ``unreadable``, one
+    without rows ``empty``; none of them fails the import."""
+    from plaudit.sources.io import broken_files, files_of, read_review_glob
+    files = f"{directory.rstrip('/')}/{pattern}"
+    bad = sorted(r["path"] for r in broken_files(spark, files).collect())  # one row per damaged file
+    rows = read_review_glob(spark, directory, pattern, corrupt, skip=bad)
+    good = F.col(corrupt).isNull() & F.col("recommendation_id").isNotNull()
+    fields = [c for c in rows.columns if c not in ("file_path", "file_name", corrupt)]
+    rejects = rows.where(~good).select("file_path", "recommendation_id", F.coalesce(
+        F.col(corrupt), F.to_json(F.struct(*fields))).alias("record"))
+    summary = import_summary(rows, existing, "file_path", corrupt)
+    found = spark.createDataFrame([(p, p in set(bad)) for p in files_of(spark, files)], "file_path string, _bad boolean")
+    counts = ["rows", "errors", "imported", "skipped"]
+    summary = found.join(summary, "file_path", "left").select(
+        "file_path", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts],
+        F.when(F.col("_bad"), "unreadable").otherwise(F.coalesce("status", F.lit("empty"))).alias("status"))
+    return rows.where(good).drop(corrupt), rejects, summary
+
+
 def game_names(spark: SparkSession, overrides: dict | None = None,
                defaults: dict | None = None) -> DataFrame:
     """app_id -> name; configured names override the defaults (max_by priority)."""

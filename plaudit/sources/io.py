@@ -3,8 +3,9 @@ table, CSV / JSON exports, stop-word files and changed-file detection (2-A)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,38 @@ from plaudit.sources.schema import FLAG_COLUMNS, REVIEW_FIELDS, REVIEW_SCHEMA
 # ------------------------------------------------------------------ CSV
 
 
-def read_review_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
+def read_review_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None,
+                    corrupt: str | None = None) -> DataFrame:
     """Header CSV with quoted multi-line text, all columns read as strings (typed
     later with ``try_cast``), plus the source ``file_name``. ``path`` may be a glob or
     a list; all files must have one header (``read_review_glob`` takes any). A file
-    whose header differs from ``columns`` raises."""
+    whose header differs from ``columns`` raises. With ``corrupt`` (and ``columns``) a
+    column of that name holds the whole record where it has too few or too many fields,
+    and is null elsewhere; ``file_path`` tells files of one name apart."""
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
          .option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("enforceSchema", False))
     if columns is not None:
-        r = r.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        r = r.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*columns, *([corrupt] if corrupt else [])]]))
+    if corrupt:  # fields are counted only where all are parsed
+        r = r.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
     df = r.csv(path)
+    if corrupt:
+        df = df.withColumn("file_path", plain_path(F.col("_metadata.file_path")))
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
+def plain_path(c: Column) -> Column:
+    """A file's path without the percent signs of its URI, and with three slashes where
+    it names no host (Spark writes both forms)."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9+.-]+):/(?!/)", "$1:///")
+
+
+def files_of(spark: SparkSession, path_glob: str) -> list[str]:
+    """Plain paths of all files, empty ones (which no scan shows) included."""
+    return sorted(re.sub("^([A-Za-z0-9+.-]+):/(?!/)", r"\1:///", unquote(p)) for p in spark.read.format("binaryFile").load(path_glob).inputFiles())
+
+
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, header): the first line of every file, found by a distributed scan of
     the files' first blocks."""
     lines = (spark.read.text(path)
@@ -39,21 +58,58 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("path").agg(F.min_by("value", "n").alias("header"))
 
 
-def read_review_glob(spark: SparkSession, directory: str, pattern: str = "*_reviews.csv") -> DataFrame:
+def read_review_glob(spark: SparkSession, directory: str, pattern: str = "*_reviews.csv",
+                     corrupt: str | None = None, skip: Sequence[str] = ()) -> DataFrame:
     """All review files of a folder, each by its own header: one scan per distinct
-    header, columns matched by (canonical) name, missing ones null."""
+    header, columns matched by (canonical) name, missing ones null. ``corrupt`` names
+    the column of broken records (``read_review_csv``); files in ``skip`` are left out."""
     import csv
     by_header: dict[tuple, list[str]] = {}
-    for r in file_headers(spark, f"{directory.rstrip('/')}/{pattern}").collect():  # one row per file
+    files: str | list[str] = f"{directory.rstrip('/')}/{pattern}"
+    if skip:
+        files = sorted(set(files_of(spark, files)) - set(skip))
+    for r in file_headers(spark, files).collect() if files else []:  # one row per file
         names = tuple(next(csv.reader([r["header"].lstrip("\ufeff")])))
         by_header.setdefault(names, []).append(unquote(r["path"]))
-    parts = [canonicalize_columns(read_review_csv(spark, sorted(paths), list(names)))
+    parts = [canonicalize_columns(read_review_csv(spark, sorted(paths), list(names), corrupt))
              for names, paths in sorted(by_header.items())]
     if not parts:
-        return spark.createDataFrame([], "recommendation_id string, review string, file_name string")
+        return spark.createDataFrame([], "recommendation_id string, review string, file_name string"
+                                     + (f", file_path string, `{corrupt}` string" if corrupt else ""))
     return merge_page_schemas(*parts)
 
 
+def _broken_gzip(batches):
+    """Paths of the files whose compressed stream is damaged or cut short."""
+    import zlib
+
+    import pyarrow as pa
+    for batch in batches:
+        bad = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data, ok = memoryview(content.as_buffer()), len(content.as_buffer()) > 0
+            try:
+                while ok and len(data):  # a file may hold several streams
+                    z = zlib.decompressobj(31)
+                    while data and not z.eof:
+                        z.decompress(data[:1 << 20])
+                        used = min(1 << 20, len(data)) - len(z.unused_data)
+                        data = data[used:]
+                    ok = z.eof
+            except zlib.error:
+                ok = False
+            if not ok:
+                bad.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+
+def broken_files(spark: SparkSession, path_glob: str) -> DataFrame:
+    """(path) of the ``.gz`` files that can't be read to their end. Text files without
+    compression can always be read; a damaged record of theirs is a corrupt record."""
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path_glob)
+    return packed.select(plain_path(F.col("_metadata.file_path")).alias("path"), "content").mapInArrow(_broken_gzip, "path string")
+
+
 def source_from_filename(c) -> Column:
     """'Game Name_appid_reviews.csv' -> struct(game_name, app_id); without an
     underscore the whole stem is the name and the id is null."""
@@ -212,18 +268,58 @@ def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 WHOLE_FILE = 1 << 30
+BLOCK = 64 << 20
+
+
+def _block_md5(batches):
+    """MD5 of every (path, at, size) range of a file, read in pieces of a megabyte."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+    for batch in batches:
+        sums = []
+        for path, at, size in zip(*batch.to_pydict().values()):
+            system, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
+            md5 = hashlib.md5()
+            with system.open_input_file(name) as f:
+                f.seek(at)
+                while size and (piece := f.read(min(size, 1 << 20))):
+                    md5.update(piece)
+                    size -= len(piece)
+            if size:
+                raise OSError(f"{path} became shorter while it was read")
+            sums.append(md5.digest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary())],
+                                         ["path", "at", "md5"])
+
+
+def content_sums(spark: SparkSession, path_glob: str, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
+    """(path, modificationTime, md5) of files of any size, by all of their content. Files
+    of less than ``whole`` bytes are one value each (plain MD5); a larger one, which a
+    Spark value could not hold, is read in blocks by many tasks, and its sum is the MD5
+    of the sums of its blocks in order, with ``-`` and their number behind it. The blocks
+    lie at fixed places, so the sum does not depend on how Spark splits the work."""
+    found = spark.read.format("binaryFile").load(path_glob)
+    small = found.where(F.col("length") < whole).select("path", "modificationTime", F.md5("content").alias("md5"))
+    large = found.where(F.col("length") >= whole).select("path", "modificationTime", "length")
+    ranges = (large.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("length") - 1).cast("long"),
+                                                                  F.lit(block).cast("long"))).alias("at"))
+              .select("path", "at", F.least(F.lit(block).cast("long"), F.col("length") - F.col("at")).alias("size"))
+              .repartition(F.col("path"), F.col("at")))
+    sums = ranges.mapInArrow(_block_md5, "path string, at long, md5 binary").groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("at", "md5"))).alias("blocks"))  # 24 bytes a block
+    folded = F.concat(F.md5(F.aggregate("blocks", F.lit(b""), lambda s, b: F.concat(s, b["md5"]))), F.lit("-"),
+                      F.size("blocks").cast("string"))
+    return small.unionByName(large.join(sums, "path").select("path", "modificationTime", folded.alias("md5")))
 
 
 def changed_files(spark: SparkSession, path_glob: str, manifest: DataFrame | None = None,
-                  max_age_hours: float = 24.0, now=None) -> DataFrame:
-    """Files whose MD5 is not in the manifest (path, md5, checked_at), or whose last
-    check is older than ``max_age_hours``; newest first. Files too large to be one
-    value (``WHOLE_FILE`` bytes) are told apart by length and modification time."""
-    found = spark.read.format("binaryFile").load(path_glob)
-    small = found.where(F.col("length") < WHOLE_FILE).select("path", "modificationTime", F.md5("content").alias("md5"))
-    large = found.where(F.col("length") >= WHOLE_FILE).select(
-        "path", "modificationTime", F.md5(F.concat_ws("|", "length", "modificationTime").cast("binary")).alias("md5"))
-    files = small.unionByName(large)
+                  max_age_hours: float = 24.0, now=None, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
+    """Files whose content sum is not in the manifest (path, md5, checked_at), or whose
+    last check is older than ``max_age_hours``; newest first. Content is compared at any
+    size (``content_sums``), never length or time in its place."""
+    files = content_sums(spark, path_glob, whole, block)
     if manifest is None:
         return files.withColumn("reason", F.lit("new")).orderBy(F.col("modificationTime").desc())
     now_c = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
