@@ -8,8 +8,9 @@ Tails are range-partitioned by a lexical key (the smallest hash among the text's
 pairs of neighbouring ids, so texts that share much tend to meet) and the row, which
 also splits any group of equal texts. Inside a partition, runs of ``shard_rows`` tails form a shard
 with an inverted index of BM25 weights over token ids. The longest unused tail is the
-seed; its unused neighbours in score order fill the window whole where they fit, and
-the best one left is cut to close it exactly (the rest of it stays in the shard).
+seed and asks with all distinct ids of its whole document; its unused neighbours in
+score order (ties: in the shard's order) fill the window whole where they fit, and the
+best one left is cut to close it exactly (the rest of it stays in the shard).
 What a shard can't fill goes on to the next shard; what a partition can't fill is cut
 into sequences whose lengths are powers of two, which need no padding. So each id is
 in exactly one piece and nothing is padded.
@@ -124,7 +125,7 @@ def _tokenize(path: str, added: str | None, window: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, n, key, rows, first_full = [], [], [], [], []
+                ids, n, key, rows, first_full, terms = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     got = enc.ids(text or "") + END
                     ids.append(got)
@@ -134,45 +135,72 @@ def _tokenize(path: str, added: str | None, window: int):
                     first_full.append(base + fulls)
                     row += 1
                     fulls += n[-1] // window
+                    terms.append(np.unique(np.frombuffer(got, "<u4")).tobytes() if n[-1] > window and n[-1] % window
+                                 else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                     pa.array(first_full, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "row_id", "doc_tokens", "key", "first_full", "ids"])
+                     pa.array(first_full, pa.int64()), pa.array(terms, pa.binary()), pa.array(ids, pa.binary())],
+                    ["doc_id", "row_id", "doc_tokens", "key", "first_full", "terms", "ids"])
     return run
 
 
 class Shard:
-    """BM25 inverted index of a run of tails: postings sorted by term."""
+    """BM25 inverted index of a run of tails: postings sorted by term. ``asked`` has the
+    distinct ids that a tail's seed asks with where they are not the tail's own (those of
+    its whole document), else None."""
 
-    def __init__(self, tails: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, tails: list[np.ndarray], asked: list[np.ndarray | None] | None = None,
+                 k1: float = 1.2, b: float = 0.75):
         n = len(tails)
         lens = np.array([len(t) for t in tails])
         doc = np.repeat(np.arange(n), lens)
-        terms, term = np.unique(np.concatenate(tails), return_inverse=True)
+        self.vocabulary, term = np.unique(np.concatenate(tails), return_inverse=True)
         cell, tf = np.unique(term * np.int64(n) + doc, return_counts=True)
         self.doc = (cell % n).astype(np.int32)
         of = cell // n
-        df = np.bincount(of, minlength=len(terms))
-        self.start = np.concatenate(([0], np.cumsum(df)))
+        df = np.bincount(of, minlength=len(self.vocabulary))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * lens / lens.mean())
         self.weight = idf[of] * tf * (k1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         self.terms = of[by_doc]
         self.ends = np.cumsum(np.bincount(self.doc, minlength=n))
-        self.n = n
+        self.asked = asked
+        self.n = self.live = n
+        self._index(of)
+
+    def _index(self, of: np.ndarray):
+        self.of = of
+        self.start = np.searchsorted(of, np.arange(len(self.vocabulary) + 1))
+
+    def drop_used(self, left: np.ndarray):
+        """Take the postings of used tails out once a quarter of the tails is used."""
+        live = int(np.count_nonzero(left))
+        if live <= 0.75 * self.live:
+            keep = left[self.doc] > 0
+            self.doc, self.weight, self.live = self.doc[keep], self.weight[keep], live
+            self._index(self.of[keep])
+
+    def query(self, d: int) -> np.ndarray:
+        """Distinct terms of the document of tail ``d`` that some tail holds."""
+        if self.asked is None or self.asked[d] is None:
+            return self.terms[self.ends[d - 1] if d else 0:self.ends[d]]
+        at = np.searchsorted(self.vocabulary, self.asked[d])
+        at[at == len(self.vocabulary)] = 0
+        return at[self.vocabulary[at] == self.asked[d]]
 
     def scores(self, d: int) -> np.ndarray:
-        """BM25 of every tail for the distinct terms of tail ``d``."""
-        t = self.terms[self.ends[d - 1] if d else 0:self.ends[d]]
+        """BM25 of every tail for the terms of the document of tail ``d``."""
+        t = self.query(d)
         a, size = self.start[t], self.start[t + 1] - self.start[t]
         at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def pack_shard(sizes: list[int], shard: Shard | None, window: int, near: int = 64):
+def pack_shard(sizes: list[int], shard: Shard | None, window: int):
     """Sequences of (row, from, to) parts that fill ``window`` exactly, and what is
-    left of each row. ``sizes``: ids of each tail."""
+    left of each row. ``sizes``: ids of each tail. A seed's unused neighbours are tried
+    whole from the best to the worst, all of them; the best that is left is cut."""
     left = np.array(sizes, np.int64)
     done = np.zeros(len(sizes), np.int64)
     out = []
@@ -195,25 +223,22 @@ def pack_shard(sizes: list[int], shard: Shard | None, window: int, near: int = 6
         if left[seed]:
             heap.append(seed)
         if room:
-            score = shard.scores(seed)
-            score[left == 0] = -1.0
-            score[seed] = -1.0
-            usable = np.flatnonzero(score >= 0)
-            top = usable if len(usable) <= near else usable[np.argpartition(-score[usable], near)[:near]]
-            order = top[np.argsort(-score[top], kind="stable")]
-            for d in order.tolist():
-                if left[d] <= room:
-                    room -= int(left[d])
-                    take(d, int(left[d]))
-                    if not room:
-                        break
-            for d in (*order.tolist(), *usable.tolist()):  # none fits whole any more: cut
-                if not room:
+            shard.drop_used(left)
+            usable = np.flatnonzero(left)
+            usable = usable[usable != seed]
+            order = usable[np.argsort(-shard.scores(seed)[usable], kind="stable")]
+            size, at = left[order], 0
+            while room:
+                fits = size[at:] <= room
+                step = int(fits.argmax()) if len(fits) else 0
+                if not len(fits) or not fits[step]:
                     break
-                if left[d]:
-                    n = int(min(left[d], room))
-                    take(d, n)
-                    room -= n
+                at += step
+                take(int(order[at]), int(size[at]))
+                room -= int(size[at])
+                at += 1
+            if room:  # none fits whole any more: cut the best
+                take(int(order[left[order] > 0][0]), room)
         out.append(seq)
         total -= window
     return out, done, left
@@ -222,7 +247,7 @@ def pack_shard(sizes: list[int], shard: Shard | None, window: int, near: int = 6
 def _pack(window: int, shard_rows: int):
     def run(batches):
         base, count = TaskContext.get().partitionId() << 33, 0
-        # a tail in hand: doc_id, ids of the whole document before it, its ids, doc_tokens
+        # a tail in hand: doc_id, ids of the whole document before it, its ids, doc_tokens, terms
         held: list[list] = []
 
         def emit(seqs, tails):
@@ -231,7 +256,7 @@ def _pack(window: int, shard_rows: int):
             for seq in seqs:
                 at = 0
                 for d, a, b in seq:
-                    doc_id, start, ids, tokens = tails[d]
+                    doc_id, start, ids, tokens, _ = tails[d]
                     for c, v in zip(cols, (doc_id, start + a, b - a, tokens, 2 * (base + count), at,
                                            ids[a:b].tobytes())):
                         c.append(v)
@@ -245,9 +270,9 @@ def _pack(window: int, shard_rows: int):
         def shard_of(tails, last):
             sizes = [len(t[2]) for t in tails]
             if sum(sizes) >= window:
-                seqs, done, left = pack_shard(sizes, Shard([t[2] for t in tails]), window)
+                seqs, done, left = pack_shard(sizes, Shard([t[2] for t in tails], [t[4] for t in tails]), window)
                 yield emit(seqs, tails)
-                tails = [[d, s + int(a), ids[int(a):], n] for (d, s, ids, n), a in zip(tails, done) if a < len(ids)]
+                tails = [[d, s + int(a), ids[int(a):], n, t] for (d, s, ids, n, t), a in zip(tails, done) if a < len(ids)]
             if last and tails:
                 seqs, cut, rest = [], [0] * len(tails), sum(len(t[2]) for t in tails)
                 while rest:  # powers of two from the largest down
@@ -268,9 +293,9 @@ def _pack(window: int, shard_rows: int):
         doc_type = [pa.int64()]
         for batch in batches:
             doc_type[0] = batch.schema.field("doc_id").type
-            cols = batch.select(["doc_id", "before", "doc_tokens", "tail"]).to_pydict()
-            for d, s, n, t in zip(*cols.values()):
-                held.append([d, s, np.frombuffer(t, "<u4"), n])
+            cols = batch.select(["doc_id", "before", "doc_tokens", "tail", "terms"]).to_pydict()
+            for d, s, n, t, q in zip(*cols.values()):
+                held.append([d, s, np.frombuffer(t, "<u4"), n, None if q is None else np.frombuffer(q, "<u4")])
                 if len(held) >= shard_rows:
                     yield from shard_of(list(held), False)
         if held:
@@ -278,7 +303,7 @@ def _pack(window: int, shard_rows: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 512,
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int = 1024,
          added: str | None = None) -> DataFrame:
     """Pieces doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian unsigned 32-bit) of ``docs(doc_id, text)``. ``added``: path of the
@@ -288,12 +313,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_rows: int =
     kind = dict(docs.dtypes)["doc_id"]
     toks = written(docs.select("doc_id", "text").mapInArrow(
         _tokenize(vocabulary, added, window),
-        f"doc_id {kind}, row_id long, doc_tokens long, key long, first_full long, ids binary"),
+        f"doc_id {kind}, row_id long, doc_tokens long, key long, first_full long, terms binary, ids binary"),
         "tokens", compression="zstd")
     cut = lambda at, n: F.substring("ids", at, n)
     rest = F.col("doc_tokens") % window
     tails = (toks.where(rest > 0)
-             .select("doc_id", "row_id", "key", "doc_tokens", (F.col("doc_tokens") - rest).alias("before"),
+             .select("doc_id", "row_id", "key", "doc_tokens", "terms", (F.col("doc_tokens") - rest).alias("before"),
                      F.expr(f"substring(ids, cast((doc_tokens - doc_tokens % {window}) * 4 + 1 as int), "
                             f"{window * 4})").alias("tail"))
              .repartitionByRange("key", "row_id").sortWithinPartitions("key", "row_id"))
