@@ -118,6 +118,11 @@ def lexical_key(ids: bytes) -> int:
     return int(x.min() >> np.uint64(1))
 
 
+def distinct_ids(ids: bytes) -> bytes:
+    """Distinct ids of a text in order."""
+    return np.unique(np.frombuffer(ids, "<u4")).astype("<u4").tobytes()
+
+
 def _tokenize(path: str, added: str | None, window: int):
     def run(batches):
         enc = bpe(path, added)
@@ -135,8 +140,7 @@ def _tokenize(path: str, added: str | None, window: int):
                     first_full.append(base + fulls)
                     row += 1
                     fulls += n[-1] // window
-                    terms.append(np.unique(np.frombuffer(got, "<u4")).tobytes() if n[-1] > window and n[-1] % window
-                                 else None)
+                    terms.append(distinct_ids(got) if n[-1] > window and n[-1] % window else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                      pa.array(first_full, pa.int64()), pa.array(terms, pa.binary()), pa.array(ids, pa.binary())],
@@ -171,7 +175,7 @@ class Shard:
 
     def _index(self, of: np.ndarray):
         self.of = of
-        self.start = np.searchsorted(of, np.arange(len(self.vocabulary) + 1))
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(self.vocabulary)))))
 
     def drop_used(self, left: np.ndarray):
         """Take the postings of used tails out once a quarter of the tails is used."""
