@@ -358,3 +358,32 @@ def q_import_files(spark, sf):
     counts = [d.groupBy(app).agg(F.count(F.lit(1)).alias(n)) for d, n in ((rejects, "rejects"), (good, "reviews"))]
     out = summary.groupBy(app).agg(*[F.sum(c).alias(c) for c in ("rows", "errors", "imported", "skipped")])
     return out.join(counts[0], "app_id", "left").join(counts[1], "app_id", "left").fillna(0)
+
+
+@register("variant_pages", rnd(f"""{R},
+k AS (SELECT *, CAST(recommendation_id AS BIGINT) % 3 AS k FROM reviews)
+SELECT app_id, recommendation_id AS recommendationid, CASE WHEN k < 2 THEN author_steam_id END AS author_steamid,
+       CASE WHEN k = 0 THEN author_playtime_forever WHEN k = 1 THEN CAST(votes_up AS DOUBLE) END AS author_playtime_forever,
+       CASE WHEN k = 1 THEN CAST(votes_funny AS BIGINT) END AS author_level,
+       CASE WHEN k = 0 THEN '{{"won":' || CAST(votes_up AS VARCHAR) || '}}' END AS author_badges
+FROM k""", ["author_playtime_forever"]))
+def q_variant_pages(spark, sf):
+    """Pages whose authors have three shapes: ids as text with nested badges, ids as
+    numbers with a level, and none; failed pages beside them."""
+    src = reviews(spark, sf).withColumn("k", F.col("recommendation_id").cast("long") % 3)
+    text = F.to_json(F.struct(F.col("author_steam_id").alias("steamid"), F.col("author_playtime_forever").alias("playtime_forever"),
+                              F.struct(F.col("votes_up").alias("won")).alias("badges")))
+    number = F.to_json(F.struct(F.col("author_steam_id").cast("long").alias("steamid"), F.col("votes_up").alias("playtime_forever"),
+                                F.col("votes_funny").alias("level")))
+    author = F.when(F.col("k") == 0, text).when(F.col("k") == 1, number).otherwise("null")
+    review = F.concat(F.lit('{"recommendationid":"'), "recommendation_id", F.lit('","author":'), author, F.lit("}"))
+    page = F.floor(F.col("recommendation_id").cast("long") / 100)
+    pages = src.groupBy("app_id", page.alias("page")).agg(F.array_join(F.collect_list(review), ",").alias("r"))  # 100 ids a page
+    lines = pages.select(F.explode(F.array(*[F.concat(F.lit('{"success":%d,"app_id":"' % ok), "app_id", F.lit('","reviews":['),
+                                                      "r", F.lit("]}")) for ok in (1, 0)])).alias("value"))
+    path = _scratch(spark, "variant_pages")
+    lines.write.text(path)
+    got = io.read_variant_pages(spark, path)
+    flat = got.select("app_id", F.try_variant_get("review", "$.recommendationid", "string").alias("recommendationid"),
+                      F.try_variant_get("review", "$.author", "variant").alias("author"))
+    return io.lift_fields(flat, "author", "author_")

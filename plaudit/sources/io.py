@@ -159,6 +159,52 @@ def read_api_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE_S
     return pages.select(*keep, F.explode("reviews").alias("r")).select(*keep, "r.*")
 
 
+def read_variant_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON pages (one page object a line) of any shape: (app_id, cursor, review)
+    with a review as a VARIANT, for ``success == 1`` pages. A page without a list of
+    reviews has none; fields that drift between pages are found later (``lift_fields``)."""
+    pages = spark.read.option("singleVariantColumn", "page").json(path)
+    get = lambda f, t: F.try_variant_get("page", f"$.{f}", t).alias(f)
+    return (pages.where(F.try_variant_get("page", "$.success", "int") == 1)
+            .select(get("app_id", "string"), get("cursor", "string"),
+                    F.explode(F.try_variant_get("page", "$.reviews", "array<variant>")).alias("review")))
+
+
+def variant_fields(df: DataFrame, col: str) -> dict[str, str]:
+    """Fields of the objects in a VARIANT column and a type that holds all their values:
+    bigint, double, boolean, string, ``json`` (objects and arrays) or ``mixed``. One
+    aggregate over the column; the driver gets one schema."""
+    ddl = df.agg(F.schema_of_variant_agg(col)).first()[0]
+    if not (ddl or "").startswith("OBJECT<"):
+        return {}
+    found = T.DataType.fromDDL(ddl.replace("OBJECT<", "STRUCT<"))
+    kinds = {T.LongType: "bigint", T.DoubleType: "double", T.FloatType: "double", T.DecimalType: "double",
+             T.BooleanType: "boolean", T.StringType: "string", T.NullType: "string", T.StructType: "json",
+             T.ArrayType: "json"}
+    return {f.name: kinds.get(type(f.dataType), "mixed") for f in found.fields}
+
+
+def lift_fields(df: DataFrame, col: str, prefix: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """The fields of a VARIANT column as typed columns ``prefix`` + name in the order of
+    their names; the column goes. Objects and arrays are JSON text, fields whose type
+    differs between rows are text. Rows without the field, or without an object, are null.
+    ``fields``: those of ``variant_fields``, found here if not given."""
+    fields = variant_fields(df, col) if fields is None else fields
+
+    def value(name, kind):
+        if "'" in name and '"' in name:
+            raise ValueError(f"no path can name the field {name}")
+        path = f'$["{name}"]' if "'" in name else f"$['{name}']"
+        if kind in ("json", "mixed"):
+            whole = F.to_json(F.try_variant_get(col, path, "variant"))
+            whole = F.when(whole != "null", whole)
+            return whole if kind == "json" else F.coalesce(F.try_variant_get(col, path, "string"), whole)
+        return F.try_variant_get(col, path, kind)
+
+    return df.select(*[c for c in df.columns if c != col],
+                     *[value(n, fields[n]).alias(prefix + n) for n in sorted(fields)])
+
+
 def flatten_review(df: DataFrame, struct_col: str = "author", prefix: str = "author_") -> DataFrame:
     """Lift the nested author struct into top-level ``author_<field>`` columns;
     a missing struct gives nulls; the struct column is dropped."""
