@@ -362,6 +362,31 @@ def test_nmf_finds_the_two_topics(spark):
     assert [(r["topic"], r["pos"], r["term"]) for r in sorted(again)] == [(r["topic"], r["pos"], r["term"]) for r in sorted(top)]
 
 
+def test_nmf_in_blocks_is_the_plain_update(spark, monkeypatch):
+    """Several blocks give the factors of the plain multiplicative updates."""
+    import numpy as np
+    from plaudit.operators import blocks, topics
+    monkeypatch.setattr(blocks.pack, "__defaults__", (60,))
+    df = topic_reviews(spark)
+    h0, w0, cells = topics.fit_nmf(df, k=2, max_iter=0)
+    assert blocks.pack(cells, "doc", "w", "t").count() > 3
+    h, w = ({r[0]: np.array(r[1]) for r in f.collect()} for f in (h0, w0))
+    x = [tuple(r) for r in cells.select("doc", "term", "w").collect()]
+    for _ in range(3):
+        for own, other, i, j in ((w, h, 0, 1), (h, w, 1, 0)):
+            gram = sum(np.outer(f, f) for f in other.values())
+            num = {n: np.zeros(2) for n in own}
+            for c in x:
+                num[c[i]] += c[2] * other[c[j]]
+            for n in own:
+                own[n] = own[n] * num[n] / (own[n] @ gram + 1e-12)
+    h3, w3, _ = topics.fit_nmf(df, k=2, max_iter=3, tolerance=0.0)
+    for got, want in ((h3, h), (w3, w)):
+        rows = got.collect()
+        assert {r[0] for r in rows} == set(want)
+        assert all(np.allclose(r[1], want[r[0]], rtol=1e-9) for r in rows)
+
+
 def test_few_documents_make_no_topics(spark):
     from plaudit.operators import topics
     assert topics.fit_lda(topic_reviews(spark, 3), k=2)[0] is None
