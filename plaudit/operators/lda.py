@@ -2,10 +2,10 @@
 
 Topics are a DataFrame ``(term, weights)``, a row of k numbers per term, so neither the
 vocabulary nor the topic matrix is ever on the driver; it only sees k totals a round.
-The E step joins the documents' term counts with their terms' rows, gathers one
-document's terms in a row (bounded by its distinct terms times k) and iterates that
-document's topic weights in the task; a task adds up the expected counts of its batch
-per term before the shuffle that sums them. Each round is written to the shared folder.
+Documents lie in blocks (see ``blocks``): a round sends each block its terms' rows, the
+E step iterates the topic weights of the block's documents together in the task, and a
+row per term of the block goes into the sums per term. Each round is written to the
+shared folder.
 
 The evidence lower bound of a round is returned with it and never falls. The starting
 weights come from a hash of term, topic and seed, so a fit is the same on any cluster.
@@ -20,43 +20,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaudit.operators import blocks as bl
+from plaudit.operators.blocks import stored
 from plaudit.operators.scan import top_n_per_group
-from plaudit.operators.topics import MIN_DOCS, _docs, _terms, stored, with_label
+from plaudit.operators.topics import MIN_DOCS, _docs, _kept, with_label
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 INNER, SETTLED = 100, 1e-5   # steps of a document's weights at most; mean change at which they stop
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, np.ravel(x)), float, np.size(x)).reshape(np.shape(x))
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma for positive numbers: recurrence up to 10, then the
+    """Derivative of log gamma for positive numbers: recurrence by ten steps, then the
     asymptotic series."""
     x = np.array(x, float)
     shift = np.zeros_like(x)
-    while (low := x < 10).any():
-        shift[low] -= 1 / x[low]
-        x[low] += 1
+    for _ in range(10):
+        shift -= 1 / x
+        x += 1
     r = 1 / (x * x)
     return shift + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
 
-def _e_step(log_beta: np.ndarray, n: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Topic weights of a document, expected counts of its terms, its part of the bound."""
-    k = log_beta.shape[1]
-    beta = np.exp(log_beta)
-    gamma = np.full(k, alpha + n.sum() / k)
+def _e_step(beta: np.ndarray, d: np.ndarray, t: np.ndarray, n: np.ndarray, docs: int, alpha: float
+            ) -> tuple[np.ndarray, np.ndarray, float]:
+    """Topic weights of a run of documents (cells in order of ``d``, from 0), expected
+    counts of their cells, their part of the bound. A document's weights stay when its
+    own mean change is small."""
+    k, at = beta.shape[1], beta[t]
+    gamma = np.repeat(alpha + np.bincount(d, n, docs)[:, None] / k, k, axis=1)
+    live, ld, ln, lat = np.arange(docs), d, n, at   # unsettled documents and their cells
     for _ in range(INNER):
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        now = alpha + theta * ((n / (beta @ theta + 1e-300)) @ beta)
-        done = np.abs(now - gamma).mean() < SETTLED
-        gamma = now
-        if done:
+        g = gamma[live]
+        theta = np.exp(digamma(g) - digamma(g.sum(axis=1))[:, None])
+        own = theta[ld]
+        r = ln / (np.einsum("ij,ij->i", lat, own) + 1e-300)
+        starts = np.flatnonzero(np.r_[True, ld[1:] != ld[:-1]])
+        now = alpha + theta * np.add.reduceat(lat * r[:, None], starts, axis=0)
+        gamma[live] = now
+        open_ = np.abs(now - g).mean(axis=1) >= SETTLED
+        if not open_.all():
+            keep = open_[ld]
+            live, ln, lat = live[open_], ln[keep], lat[keep]
+            ld = (np.cumsum(open_) - 1)[ld[keep]]
+        if not len(live):
             break
-    log_theta = digamma(gamma) - digamma(gamma.sum())
-    theta = np.exp(log_theta)
-    mass = beta @ theta + 1e-300
-    bound = n @ np.log(mass) + (alpha - gamma) @ log_theta + (_lgamma(gamma) - math.lgamma(alpha)).sum() \
-        + math.lgamma(k * alpha) - math.lgamma(gamma.sum())
-    return gamma, beta * theta * (n / mass)[:, None], float(bound)
+    log_theta = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
+    theta = np.exp(log_theta)[d]
+    mass = np.einsum("ij,ij->i", at, theta) + 1e-300
+    bound = n @ np.log(mass) + ((alpha - gamma) * log_theta + _lgamma(gamma) - math.lgamma(alpha)).sum() \
+        + docs * math.lgamma(k * alpha) - _lgamma(gamma.sum(axis=1)).sum()
+    return gamma, at * theta * (n / mass)[:, None], float(bound)
+
+
+def _runs(d: np.ndarray, size: int = 10_000):
+    """(first cell, end) of runs of whole documents of about ``size`` cells."""
+    ends = np.r_[np.flatnonzero(d[1:] != d[:-1]) + 1, len(d)]
+    first = 0
+    while first < len(d):
+        end = int(ends[np.searchsorted(ends, min(first + size, len(d)))])
+        yield first, end
+        first = end
 
 
 class TopicTable:
@@ -78,10 +104,11 @@ def fit_lda_table(df: DataFrame, k: int = 10, rounds: int = 10, alpha: float | N
     if len(docs.limit(MIN_DOCS).collect()) < MIN_DOCS:
         return None
     rows = docs.select(F.col("_row").alias("recommendation_id"), "tokens")  # a row's number stands for its id
-    kept = _terms(rows, min_df, max_df, None).select("term")
-    counts = stored(rows.select(F.col("recommendation_id").alias("_row"), F.explode("tokens").alias("term"))
-                    .groupBy("_row", "term").agg(F.count(F.lit(1)).cast("double").alias("n")).join(kept, "term"),
-                    "lda_counts")
+    tf = stored(rows.select(F.col("recommendation_id").alias("_row"), F.explode("tokens").alias("term"))
+                .groupBy("_row", "term").agg(F.count(F.lit(1)).cast("double").alias("n")), "lda_tf")
+    kept = _kept(tf.groupBy("term").agg(F.count("_row").alias("df")), docs.count(), min_df, max_df, None).select("term")
+    counts = stored(tf.join(kept, "term").select("_row", "term", "n"), "lda_counts")
+    packed = bl.pack(counts, "_row", "n", "lda_blocks")
     start = [F.pmod(F.xxhash64("term", F.lit(t), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 for t in range(k)]
     topics = stored(counts.select("term").distinct().select("term", F.array(*[eta + 0.5 + x for x in start])
                                                             .alias("weights")), "lda_topics")
@@ -91,40 +118,33 @@ def fit_lda_table(df: DataFrame, k: int = 10, rounds: int = 10, alpha: float | N
         terms, total = sums[0], np.array(sums[1:], float)
         if not terms:
             break
-        joined = counts.join(topics, "term").groupBy("_row").agg(
-            F.collect_list("term").alias("terms"), F.collect_list("n").alias("n"), F.flatten(F.collect_list("weights"))
-            .alias("weights"))
-
-        def expect(batches, total=total, last=last):
-            base = digamma(total)
-            for batch in batches:
-                found: dict[str, np.ndarray] = {}
-                ids, gammas, bound = batch.column(0).to_pylist(), [], 0.0
-                names, n, weights = (batch.column(c).to_pylist() for c in (1, 2, 3))
-                for t, m, w in zip(names, n, weights):
-                    gamma, stats, part = _e_step(digamma(np.reshape(w, (len(t), k))) - base, np.array(m), alpha)
-                    gammas.append(gamma / gamma.sum())
-                    bound += part
-                    if not last:
-                        for term, s in zip(t, stats):
-                            found[term] = found[term] + s if term in found else s
-                if last:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gammas, pa.list_(pa.float64()))],
-                                                     ["_row", "topic_distribution"])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([None, *found], pa.string()), pa.array([[bound] + [0.0] * (k - 1), *found.values()],
-                                                                         pa.list_(pa.float64()))], ["term", "weights"])
 
+        def expect(d, t, n, rows, own, total=total, last=last):
+            beta, found, gammas, bound = np.exp(digamma(rows) - digamma(total)), [], [], 0.0
+            for first, end in _runs(d):
+                part = d[first:end] - d[first]
+                gamma, stats, more = _e_step(beta, part, t[first:end], n[first:end], int(part[-1]) + 1, alpha)
+                gammas.append(gamma / gamma.sum(axis=1)[:, None])
+                bound += more
+                found += [] if last else [stats]
+            if last:
+                yield bl.FACTORS, np.concatenate(gammas)
+            else:
+                yield bl.TOTALS, np.array([bound])
+                yield bl.TERM, bl.sums(t, np.concatenate(found).T, len(rows))
+
+        done = bl.each_block(packed, topics, "weights", expect)
         if last:
-            shares = joined.mapInArrow(expect, "_row long, topic_distribution array<double>")
+            own = done.select(F.col("block").alias("_b"), "f")
+            shares = bl.named(packed, "docs", "_row").join(own, F.col("block") == F.col("_b")).select(
+                "_row", F.slice("f", F.col("pos") * k + 1, F.lit(k)).alias("topic_distribution"))
             out = docs.join(shares, "_row").select("recommendation_id", "voted_up", "topic_distribution")
             return TopicTable(topics, stored(out, "lda_shares"), bounds, k)
-        new = stored(joined.mapInArrow(expect, "term string, weights array<double>").groupBy("term").agg(
-            F.array(*[F.sum(F.col("weights")[t]) for t in range(k)]).alias("weights")), "lda_stats")
-        bounds.append(new.where("term is null").first()["weights"][0] + _topic_bound(topics, total, terms, eta, k))
-        topics = stored(new.where("term is not null").select("term", F.transform("weights", lambda x: x + eta)
-                                                             .alias("weights")), "lda_topics")
+        done = stored(done, "lda_round", "kind")
+        new = stored(done.where(F.col("kind") == bl.TERM).groupBy("term").agg(
+            F.array(*[F.sum(F.col("f")[t]) for t in range(k)]).alias("weights")), "lda_stats")
+        bounds.append(bl.by_position(done.where(F.col("kind") == bl.TOTALS))[0] + _topic_bound(topics, total, terms, eta, k))
+        topics = stored(new.select("term", F.transform("weights", lambda x: x + eta).alias("weights")), "lda_topics")
     none = docs.limit(0).select("recommendation_id", "voted_up", F.array().cast("array<double>").alias("topic_distribution"))
     return TopicTable(topics, none, bounds, k)
 

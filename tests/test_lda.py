@@ -72,3 +72,27 @@ def test_odd_rows(spark, corpus):
     odd = corpus.unionByName(spark.createDataFrame([(None, None, None), ("x", "", 1), ("y", "!" * 99, 0)], corpus.schema))
     assert lda.fit_lda_table(odd, k=2, rounds=1).documents.count() == 90
     assert lda.lda_terms(lda.fit_lda_table(odd.select("*", F.lit(1).alias("term")), k=2, rounds=1)).count() == 20
+
+
+def test_documents_settle_together_as_alone():
+    """The E step of a run of documents is that of each document by itself."""
+    rng = np.random.default_rng(3)
+    beta = rng.random((12, 3))
+    d = np.repeat([0, 1, 2, 3], [5, 1, 8, 3])
+    t, n = rng.integers(0, 12, len(d)), rng.integers(1, 4, len(d)).astype(float)
+    gamma, stats, bound = lda._e_step(beta, d, t, n, 4, 0.1)
+    alone = [lda._e_step(beta, np.zeros((d == k).sum(), int), t[d == k], n[d == k], 1, 0.1) for k in range(4)]
+    assert np.allclose(gamma, np.concatenate([a[0] for a in alone]), rtol=1e-12)
+    assert np.allclose(stats, np.concatenate([a[1] for a in alone]), rtol=1e-12)
+    assert bound == pytest.approx(sum(a[2] for a in alone))
+    assert list(lda._runs(d, 4)) == [(0, 5), (5, 14), (14, 17)]
+
+
+def test_topics_do_not_depend_on_the_blocks(spark, corpus, monkeypatch):
+    from plaudit.operators import blocks
+    one = lda.fit_lda_table(corpus, k=3, rounds=3)
+    monkeypatch.setattr(blocks.pack, "__defaults__", (100,))
+    many = lda.fit_lda_table(corpus, k=3, rounds=3)
+    assert one.bounds == pytest.approx(many.bounds)
+    a, b = ({r["term"]: r["weights"] for r in m.topics.collect()} for m in (one, many))
+    assert a.keys() == b.keys() and all(np.allclose(a[t], b[t]) for t in a)
