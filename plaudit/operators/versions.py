@@ -55,12 +55,14 @@ def trending_versions(mentions: DataFrame, limit: int = 10, keys: Keys | None =
 def version_over_time(mentions: DataFrame, unit: str = "W", top: int = 5,
                       keys: Keys | None = ("app_id",)) -> DataFrame:
     """Top ``top`` versions per app: gap-filled per-bucket positive / total / rate
-    (empty buckets 0). The top list is a semi join, never collected."""
+    (empty buckets 0). Mentions are counted per bucket once and written; the top list
+    adds these counts up. It is a semi join, never collected."""
     ks = _keys(keys)
-    tv = trending_versions(mentions, top, ks).select(*ks, "version")
-    m = mentions.join(tv, [*ks, "version"], "left_semi")
-    agg = m.groupBy(*ks, "version", ts.bucket(unit).alias("bucket")).agg(
-        F.sum("voted_up").cast("long").alias("positive"), F.count(F.lit(1)).alias("total"))
+    agg = _written(mentions.groupBy(*ks, "version", ts.bucket(unit).alias("bucket")).agg(
+        F.sum("voted_up").cast("long").alias("positive"), F.count(F.lit(1)).alias("total")), "buckets")
+    counts = agg.groupBy(*ks, "version").agg(F.sum("total").alias("mentions"))
+    tv = top_n_per_group(counts, ks, [F.col("mentions").desc(), F.col("version")], top).select(*ks, "version")
+    agg = agg.join(tv, [*ks, "version"], "left_semi")
     out = ts.fill_calendar(agg, unit, [*ks, "version"], {"positive": 0, "total": 0})
     return out.withColumn("rate", F.when(F.col("total") > 0, F.col("positive") / F.col("total"))
                           .otherwise(F.lit(0.0)))
