@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,7 @@ def hybrid_sentiment(df: DataFrame, scorer: Callable[[Column], Column] | None =
 # ------------------------------------------------------------------ model slots
 
 _MODELS: dict = {}
+CHUNK = 256   # rows of an Arrow batch whose texts are Python strings at a time
 
 SCORE_FIELDS = [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),
                 T.StructField("scored", T.BooleanType())]
@@ -92,31 +93,48 @@ def score_texts(texts: list, loader: Callable, name: str, batch_size: int, max_c
 
 
 def model_scores(inputs: dict[str, Column], loaders: dict[str, Callable], batch_size: int = 32,
-                 max_chars: int | None = None, fallback: tuple[str, float] | None = None) -> Column:
+                 max_chars: int | None = None, fallback: tuple[str, float] | None = None,
+                 where: dict[str, Column] | None = None) -> Column:
     """One pass of an Arrow iterator UDF around user models: a struct per model name
     with (label, score, scored).
 
     ``loaders[name]()`` runs once per Python worker and returns ``predict(texts)``,
     giving one (label, score) per text; ``inputs[name]`` is its text column (null: not
-    scored). Texts are passed whole unless ``max_chars`` is given. A failing load or
-    batch raises, unless ``fallback`` is given: its rows then carry it with
-    ``scored = false``.
+    scored), ``where[name]`` a condition that its rows must meet to be scored. Models with
+    the same column object share it: its texts go to Python once, and only those of
+    ``CHUNK`` rows are Python strings at a time. Texts are passed whole unless
+    ``max_chars`` is given. A failing load or batch raises, unless ``fallback`` is given:
+    its rows then carry it with ``scored = false``.
     """
-    names = list(loaders)
+    names, where = list(loaders), where or {}
     keys = {n: loader_name(loaders[n]) for n in names}
+    columns = {id(inputs[n]): inputs[n] for n in names}
+    field = {n: f"c{list(columns).index(id(inputs[n]))}" for n in names}
     schema = T.StructType([T.StructField(n, SCORE_SCHEMA) for n in names])
-
-    @F.pandas_udf(schema)
-    def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # pragma: no cover
-        for frame in batches:
-            out = {}
-            for n in names:
-                texts = [None if pd.isna(t) else str(t) for t in frame[n]]
-                got = score_texts(texts, loaders[n], keys[n], batch_size, max_chars, fallback)
-                out[n] = [{"label": a, "score": b, "scored": c} for a, b, c in got]
-            yield pd.DataFrame(out, columns=names)
-
-    return _score(F.struct(*[inputs[n].alias(n) for n in names]))
+    fields = pa.struct([("label", pa.string()), ("score", pa.float64()), ("scored", pa.bool_())])
+    step = max(1, CHUNK // batch_size) * batch_size
+    masks = list(where)
+
+    def scores(part: pa.StructArray) -> pa.StructArray:
+        texts = {f: part.field(f).to_pylist() for f in set(field.values())}
+        asked = {n: part.field(f"m_{masks.index(n)}").to_pylist() for n in masks}
+        out = []
+        for n in names:
+            own = [None if t is None else str(t) for t in texts[field[n]]]
+            if n in asked:
+                own = [t if m else None for t, m in zip(own, asked[n])]
+            got = score_texts(own, loaders[n], keys[n], batch_size, max_chars, fallback)
+            out.append(pa.array([{"label": a, "score": b, "scored": c} for a, b, c in got], fields))
+        return pa.StructArray.from_arrays(out, names)
+
+    @F.arrow_udf(schema)
+    def _score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # pragma: no cover
+        for whole in batches:
+            parts = [scores(whole.slice(i, step)) for i in range(0, len(whole), step)]
+            yield pa.concat_arrays(parts) if parts else scores(whole)
+
+    return _score(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())],
+                           *[where[n].alias(f"m_{i}") for i, n in enumerate(masks)]))
 
 
 def _english(lang_col: str) -> Column:
@@ -131,8 +149,8 @@ def with_models(df: DataFrame, loaders: dict, col: str = "review", lang_col: str
     if not given:
         return df
     text = F.coalesce(F.col(col), F.lit(""))
-    inputs = {n: F.when(_english(lang_col), text) if n == "emotion" else text for n in given}
-    return df.withColumn("_models", model_scores(inputs, given, fallback=fallback))
+    english = {"emotion": _english(lang_col)} if "emotion" in given else {}
+    return df.withColumn("_models", model_scores(dict.fromkeys(given, text), given, fallback=fallback, where=english))
 
 
 def _given(df: DataFrame, name: str, loader, col: str, lang_col: str = "language") -> DataFrame:
