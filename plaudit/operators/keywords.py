@@ -7,6 +7,7 @@ text is never concatenated or collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from plaudit import lexicons as L
 from plaudit.functions import (any_contained, clean_text, count_contained, is_blank, lang_code,
                                lower_text, ngrams, preprocess_tokens, tokenize_en, tokenize_zh)
 from plaudit.operators.scan import top_n_per_group
+from plaudit.session import scratch_path
 
 Keys = Sequence[str]
 
@@ -113,15 +115,45 @@ def polarity_keywords(df: DataFrame, n_range: tuple[int, int] = (1, 3), top: int
                       keys: Keys | None = None, remove_stop_words: bool = True,
                       extra_keys: Keys = ()) -> DataFrame:
     """Top n-grams (lo..hi, per review, alphabetic tokens) for positive and for
-    negative reviews; blank reviews skipped."""
+    negative reviews; blank reviews skipped. No n-gram is more frequent than any of its
+    words: words are counted first, and longer n-grams only of words that reach the count
+    of the group's ``top``-th word (all its words if there are fewer)."""
     ks = [*_keys(keys), *extra_keys, "voted_up"]
     base = df.where(~is_blank("review"))
     lang = F.col("language") if "language" in df.columns else None
     # materialise the token array first: n-gram lambdas must reference a column,
     # not re-run the tokenizer for every position
     base = base.withColumn("_ptoks", preprocess_tokens("review", lang, remove_stop_words))
-    grams = ngrams(F.col("_ptoks"), n_range[0], n_range[1])
-    return top_terms(term_counts(base, grams, ks, "ngram"), top, ks, "ngram")
+    lo, hi = n_range
+    if lo != 1 or hi == 1:
+        return top_terms(term_counts(base, ngrams(F.col("_ptoks"), lo, hi), ks, "ngram"), top, ks, "ngram")
+    words = _frequent_words(base, ks, top)
+    shifted = [F.slice("_ptoks", k + 1, F.greatest(F.size("_ptoks"), F.lit(1))).alias(f"_w{k}") for k in range(hi)]
+    grams = base.select(*ks, F.inline(F.arrays_zip(*shifted)))
+    for k in range(hi):
+        known = words.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(ks)],
+                             F.col("ngram").alias(f"_f{k}"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(ks)]
+        # a place counts as far as its words are frequent
+        grams = grams.join(known, [*same, F.col(f"_w{k}") == F.col(f"_f{k}")], "inner" if k < 2 else "left") \
+            .drop(*[f"_k{i}" for i in range(len(ks))], f"_w{k}")
+    parts, whole = [], F.lit(True)
+    for k in range(1, hi):
+        whole = whole & F.col(f"_f{k}").isNotNull()
+        parts.append(F.when(whole, F.concat_ws(" ", *[f"_f{i}" for i in range(k + 1)])))
+    longer = term_counts(grams, F.array_compact(F.array(*parts)), ks, "ngram")
+    return top_terms(words.unionByName(longer), top, ks, "ngram")
+
+
+def _frequent_words(base: DataFrame, ks: list[str], top: int) -> DataFrame:
+    """(keys, ngram, count) of each group's words with the count of its ``top``-th word or
+    more, ties included; written, as each length of n-gram asks for them."""
+    counts = term_counts(base, F.col("_ptoks"), ks, "ngram")
+    rank = F.rank().over(Window.partitionBy(*ks).orderBy(F.col("count").desc()))
+    kept = counts.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
+    path = scratch_path(base.sparkSession, f"keywords/words-{uuid.uuid4().hex}")
+    kept.write.parquet(path)
+    return base.sparkSession.read.schema(kept.schema).parquet(path)
 
 
 def language_keywords(df: DataFrame, n_range=(1, 3), top: int = 20, keys: Keys | None = None,
