@@ -24,12 +24,11 @@ import base64
 import json
 import math
 import re
-import sys
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +37,15 @@ from plaudit.llm.common import written
 
 END = (0).to_bytes(4, "little")
 _JOINED_SPACES = re.compile(r"\s (?:\s|\Z)")
-CACHE_PARTS = 1_500_000
+_SPACES_GO_ON = re.compile(r" (?:\s|\Z)")   # quicker; holds wherever the other does
+SLICE_BYTES, PIECE_BYTES = 32_000_000, 2_000_000   # of text: encoded together, in one output batch
 
 
 class Bpe:
-    """Token ids of a text as little-endian 32-bit bytes. A text is cut before single
-    spaces, where the vocabulary's pre-tokeniser cuts as well, and the ids of each
-    part are kept for the next time it is met (at most CACHE_PARTS parts). Added tokens
-    (of the vocabulary's .json file) have ids of their own; a text is cut at them first,
-    the longest at each place."""
+    """Token ids of texts, as little-endian 32-bit bytes or arrays. Texts are cut before
+    single spaces, where the vocabulary's pre-tokeniser cuts as well, and ``many`` encodes
+    each distinct part of its texts once. Added tokens (of the vocabulary's .json file) have
+    ids of their own; a text is cut at them first, the longest at each place."""
 
     def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
@@ -56,42 +55,86 @@ class Bpe:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
-        self.parts = _Parts(self.whole)
         self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.size = 1 + max([*ranks.values(), *(added or {}).values()], default=0)
+        self.spaced = np.zeros(self.size, bool)   # ids of tokens that begin with a space
+        self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
+
+    def array(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def whole(self, text: str) -> bytes:
-        ids = array("I", self.encoding.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return self.array(text).astype("<u4").tobytes() if text else b""
 
     def ids(self, text: str) -> bytes:
         if any(t in text for t in self.added):
-            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text))
-        return self.plain(text)
-
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _JOINED_SPACES.search(text):  # a run of white space may not be cut
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        return self.whole(first) + b"".join(map(self.parts.__getitem__, rest))
-
-
-class _Parts(dict):
-    """Ids of a text part behind a space."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        got = self[part] = self.encode(" " + part)
-        return got
+            return b"".join(self.added[p] if p in self.added else self.whole(p) for p in self.cut.split(text))
+        return self.whole(text)
+
+    def _uncut(self, text: str) -> bool:
+        """Whether a text holds an added token or a run of white space that may not be cut."""
+        return any(t in text for t in self.added) or (
+            _SPACES_GO_ON.search(text) is not None and _JOINED_SPACES.search(text) is not None)
+
+    def _parts(self, parts: pa.Array) -> list[np.ndarray]:
+        """Ids of distinct text parts, each behind a space, and where each part has how many.
+        Parts with no white space at their ends are encoded as one text: there a token
+        begins with a space just where a part begins."""
+        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(parts), parts), pc.not_equal(parts, ""))
+        one, plain = parts.filter(plain), plain.to_numpy(zero_copy_only=False)
+        found, size, start = [np.empty(0, np.uint32)], np.zeros(len(parts), np.int64), np.empty(len(parts), np.int64)
+        if len(one):
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one), " ")[0].as_py()
+            found = [self.array(" " + text)]
+            start[plain] = at = np.flatnonzero(self.spaced[found[0]])
+            size[plain] = np.diff(np.append(at, len(found[0])))
+        odd = [self.array(" " + p) for p in parts.filter(pa.array(~plain)).to_pylist()]
+        size[~plain] = more = np.array(list(map(len, odd)), np.int64)
+        start[~plain] = len(found[0]) + np.cumsum(more) - more
+        return [np.concatenate(found + odd), start, size]
+
+    def many(self, texts: pa.Array):
+        """Of runs of the texts (null: empty): their ids one after another, each text's closed
+        by 0, and how many each has."""
+        texts = texts.fill_null("")
+        uncut = {i: t for i, t in enumerate(texts.to_pylist()) if self._uncut(t)}
+        if uncut:
+            on = np.ones(len(texts), bool)
+            on[list(uncut)] = False
+            texts = pc.if_else(pa.array(on), texts, "")
+        cut = pc.split_pattern(texts, " ")
+        words = cut.flatten()
+        first = cut.offsets.to_numpy()[:-1].astype(np.int64) - cut.offsets[0].as_py()
+        rest = np.ones(len(words), bool)
+        rest[first] = False
+        heads = words.take(pa.array(first)).dictionary_encode()
+        others = words.filter(pa.array(rest)).dictionary_encode()
+        ids, start, size = self._parts(others.dictionary)
+        own = [*map(self.array, heads.dictionary.to_pylist()),
+               *[np.frombuffer(self.ids(t), "<u4") for t in uncut.values()], np.zeros(1, np.uint32)]
+        own_size = np.array(list(map(len, own)), np.int64)
+        start = np.concatenate([start, len(ids) + np.cumsum(own_size) - own_size])
+        size = np.concatenate([size, own_size])
+        ids = np.concatenate([ids, *own])
+        # the parts of all texts in order: a text's head, its other parts, the end id
+        ends = np.append(first[1:], len(words)) + np.arange(len(texts))
+        begins = first + np.arange(len(texts))
+        order = np.empty(len(words) + len(texts), np.int32)
+        body = np.ones(len(order), bool)
+        body[ends] = body[begins] = False
+        order[body] = others.indices.to_numpy()
+        head = heads.indices.to_numpy().copy()
+        head[list(uncut)] = len(heads.dictionary) + np.arange(len(uncut))
+        order[begins] = len(others.dictionary) + head
+        order[ends] = len(size) - 1
+        del cut, words, rest, body, others, heads
+        for a, rows in _slices(texts, PIECE_BYTES, 500):
+            own = order[begins[a]:ends[a + rows - 1] + 1]
+            sizes = size[own]
+            at = np.repeat(start[own] - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            yield ids[at], np.add.reduceat(sizes, begins[a:a + rows] - begins[a])
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -109,42 +152,59 @@ def bpe(path: str, added: str | None = None) -> Bpe:
     return Bpe(path, added_tokens(added) if added else None)
 
 
-def lexical_key(ids: bytes) -> int:
-    """Smallest 63-bit hash among the pairs of neighbouring ids of a text."""
-    x = np.frombuffer(ids, "<u4").astype(np.uint64)
-    if len(x) > 1:
-        x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return int(x.min() >> np.uint64(1))
+def lexical_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of texts with ``n`` ids each: the smallest 63-bit hash among the pairs of a text's
+    neighbouring ids (a lone id: its own)."""
+    x = ids.astype(np.uint64)
+    ends = np.cumsum(n) - 1
+    alone = x[ends[n == 1]]
+    x[:-1] = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
+    x[ends[n == 1]] = alone
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x[ends[n > 1]] = np.uint64(0xFFFFFFFFFFFFFFFF)   # reaches into the next text
+    return (np.minimum.reduceat(x, ends - n + 1) >> np.uint64(1)).astype(np.int64)
+
+
+def distinct_ids(ids: np.ndarray, seen: np.ndarray) -> bytes:
+    """Distinct ids of a text in order. ``seen``: a false flag per id, false again after."""
+    seen[ids] = True
+    got = np.flatnonzero(seen)
+    seen[ids] = False
+    return got.astype("<u4").tobytes()
 
 
-def distinct_ids(ids: bytes) -> bytes:
-    """Distinct ids of a text in order."""
-    return np.unique(np.frombuffer(ids, "<u4")).astype("<u4").tobytes()
+def _slices(texts: pa.Array, size: int, most: int):
+    """(first row, rows) of runs of about ``size`` bytes of text, one to ``most`` rows."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(upto):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), at + most)
+        yield at, end - at
+        at = end
 
 
 def _tokenize(path: str, added: str | None, window: int):
     def run(batches):
         enc = bpe(path, added)
+        seen = np.zeros(enc.size, bool)
         base, row, fulls = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, n, key, rows, first_full, terms = [], [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    got = enc.ids(text or "") + END
-                    ids.append(got)
-                    n.append(len(got) // 4)
-                    key.append(lexical_key(got))
-                    rows.append(base + row)
-                    first_full.append(base + fulls)
-                    row += 1
-                    fulls += n[-1] // window
-                    terms.append(distinct_ids(got) if n[-1] > window and n[-1] % window else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                     pa.array(first_full, pa.int64()), pa.array(terms, pa.binary()), pa.array(ids, pa.binary())],
-                    ["doc_id", "row_id", "doc_tokens", "key", "first_full", "terms", "ids"])
+            for at, rows in _slices(batch.column(1), SLICE_BYTES, batch.num_rows):
+                part = batch.slice(at, rows)
+                for ids, n in enc.many(part.column(1)):
+                    ends, full = np.cumsum(n), n // window
+                    terms = [distinct_ids(ids[e - k:e], seen) if k > window and k % window else None
+                             for e, k in zip(ends.tolist(), n.tolist())]
+                    whole = pa.Array.from_buffers(pa.binary(), len(n), [
+                        None, pa.py_buffer((np.append(0, ends) * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, len(n)), pa.array(base + row + np.arange(len(n))), pa.array(n),
+                         pa.array(lexical_keys(ids, n)), pa.array(base + fulls + np.cumsum(full) - full),
+                         pa.array(terms, pa.binary()), whole],
+                        ["doc_id", "row_id", "doc_tokens", "key", "first_full", "terms", "ids"])
+                    at, row, fulls = at + len(n), row + len(n), fulls + int(full.sum())
     return run
 
 
@@ -160,7 +220,7 @@ class Shard:
         doc = np.repeat(np.arange(n), lens)
         self.vocabulary, term = np.unique(np.concatenate(tails), return_inverse=True)
         cell, tf = np.unique(term * np.int64(n) + doc, return_counts=True)
-        self.doc = (cell % n).astype(np.int32)
+        self.doc = cell % n
         of = cell // n
         df = np.bincount(of, minlength=len(self.vocabulary))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
@@ -230,19 +290,15 @@ def pack_shard(sizes: list[int], shard: Shard | None, window: int):
             shard.drop_used(left)
             usable = np.flatnonzero(left)
             usable = usable[usable != seed]
-            order = usable[np.argsort(-shard.scores(seed)[usable], kind="stable")]
-            size, at = left[order], 0
-            while room:
-                fits = size[at:] <= room
-                step = int(fits.argmax()) if len(fits) else 0
-                if not len(fits) or not fits[step]:
-                    break
-                at += step
-                take(int(order[at]), int(size[at]))
-                room -= int(size[at])
-                at += 1
+            score, size = shard.scores(seed)[usable], left[usable]
+            while room and len(fits := np.flatnonzero((size > 0) & (size <= room))):
+                best = fits[score[fits].argmax()]
+                take(int(usable[best]), int(size[best]))
+                room -= int(size[best])
+                size[best] = 0
             if room:  # none fits whole any more: cut the best
-                take(int(order[left[order] > 0][0]), room)
+                on = np.flatnonzero(size)
+                take(int(usable[on[score[on].argmax()]]), room)
         out.append(seq)
         total -= window
     return out, done, left
