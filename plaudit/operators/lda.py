@@ -22,67 +22,8 @@ from pyspark.sql import functions as F
 
 from plaudit.operators import blocks as bl
 from plaudit.operators.blocks import stored
-from plaudit.operators.scan import top_n_per_group
-from plaudit.operators.topics import MIN_DOCS, _docs, _kept, with_label
-
-INNER, SETTLED = 100, 1e-5   # steps of a document's weights at most; mean change at which they stop
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.fromiter(map(math.lgamma, np.ravel(x)), float, np.size(x)).reshape(np.shape(x))
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma for positive numbers: recurrence by ten steps, then the
-    asymptotic series."""
-    x = np.array(x, float)
-    shift = np.zeros_like(x)
-    for _ in range(10):
-        shift -= 1 / x
-        x += 1
-    r = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
-
-
-def _e_step(beta: np.ndarray, d: np.ndarray, t: np.ndarray, n: np.ndarray, docs: int, alpha: float
-            ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Topic weights of a run of documents (cells in order of ``d``, from 0), expected
-    counts of their cells, their part of the bound. A document's weights stay when its
-    own mean change is small."""
-    k, at = beta.shape[1], beta[t]
-    gamma = np.repeat(alpha + np.bincount(d, n, docs)[:, None] / k, k, axis=1)
-    live, ld, ln, lat = np.arange(docs), d, n, at   # unsettled documents and their cells
-    for _ in range(INNER):
-        g = gamma[live]
-        theta = np.exp(digamma(g) - digamma(g.sum(axis=1))[:, None])
-        own = theta[ld]
-        r = ln / (np.einsum("ij,ij->i", lat, own) + 1e-300)
-        starts = np.flatnonzero(np.r_[True, ld[1:] != ld[:-1]])
-        now = alpha + theta * np.add.reduceat(lat * r[:, None], starts, axis=0)
-        gamma[live] = now
-        open_ = np.abs(now - g).mean(axis=1) >= SETTLED
-        if not open_.all():
-            keep = open_[ld]
-            live, ln, lat = live[open_], ln[keep], lat[keep]
-            ld = (np.cumsum(open_) - 1)[ld[keep]]
-        if not len(live):
-            break
-    log_theta = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
-    theta = np.exp(log_theta)[d]
-    mass = np.einsum("ij,ij->i", at, theta) + 1e-300
-    bound = n @ np.log(mass) + ((alpha - gamma) * log_theta + _lgamma(gamma) - math.lgamma(alpha)).sum() \
-        + docs * math.lgamma(k * alpha) - _lgamma(gamma.sum(axis=1)).sum()
-    return gamma, at * theta * (n / mass)[:, None], float(bound)
-
-
-def _runs(d: np.ndarray, size: int = 10_000):
-    """(first cell, end) of runs of whole documents of about ``size`` cells."""
-    ends = np.r_[np.flatnonzero(d[1:] != d[:-1]) + 1, len(d)]
-    first = 0
-    while first < len(d):
-        end = int(ends[np.searchsorted(ends, min(first + size, len(d)))])
-        yield first, end
-        first = end
+from plaudit.operators.topics import MIN_DOCS, _docs, lda_cells, topic_terms
+from plaudit.operators.variational import _e_step, _lgamma, _runs, digamma
 
 
 class TopicTable:
@@ -103,11 +44,7 @@ def fit_lda_table(df: DataFrame, k: int = 10, rounds: int = 10, alpha: float | N
     docs = stored(_docs(df).where(F.size("tokens") > 0).withColumn("_row", F.monotonically_increasing_id()), "lda_docs")
     if len(docs.limit(MIN_DOCS).collect()) < MIN_DOCS:
         return None
-    rows = docs.select(F.col("_row").alias("recommendation_id"), "tokens")  # a row's number stands for its id
-    tf = stored(rows.select(F.col("recommendation_id").alias("_row"), F.explode("tokens").alias("term"))
-                .groupBy("_row", "term").agg(F.count(F.lit(1)).cast("double").alias("n")), "lda_tf")
-    kept = _kept(tf.groupBy("term").agg(F.count("_row").alias("df")), docs.count(), min_df, max_df, None).select("term")
-    counts = stored(tf.join(kept, "term").select("_row", "term", "n"), "lda_counts")
+    counts = lda_cells(docs, min_df, max_df)
     packed = bl.pack(counts, "_row", "n", "lda_blocks")
     start = [F.pmod(F.xxhash64("term", F.lit(t), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 for t in range(k)]
     topics = stored(counts.select("term").distinct().select("term", F.array(*[eta + 0.5 + x for x in start])
@@ -163,11 +100,4 @@ def _topic_bound(topics: DataFrame, total: np.ndarray, terms: int, eta: float, k
     return part + sum(math.lgamma(terms * eta) - math.lgamma(t) for t in total.tolist())
 
 
-def lda_terms(model: TopicTable, n: int = 10) -> DataFrame:
-    """Top ``n`` terms per topic by weight (ties by term), their share of the topic and
-    the topic's label 'Topic i: w1, ..., w5' (i from 1)."""
-    long = model.topics.select("term", F.posexplode("weights").alias("topic", "w"))
-    total = long.groupBy("topic").agg(F.sum("w").alias("total"))
-    top = top_n_per_group(long, ["topic"], [F.col("w").desc(), F.col("term")], n, "rank").join(total, "topic")
-    return with_label(top.select("topic", (F.col("rank") - 1).alias("pos"), "term",
-                                 (F.col("w") / F.col("total")).alias("weight")))
+lda_terms = topic_terms

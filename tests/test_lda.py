@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plaudit.operators import lda
 from plaudit.operators import topics as tp
+from plaudit.operators.variational import INNER, SETTLED, trigamma
 
 THEMES = [["sword", "dragon", "castle", "quest", "knight"], ["engine", "wheel", "brake", "track", "pedal"],
           ["piano", "violin", "chorus", "melody", "rhythm"]]
@@ -96,3 +97,63 @@ def test_topics_do_not_depend_on_the_blocks(spark, corpus, monkeypatch):
     assert one.bounds == pytest.approx(many.bounds)
     a, b = ({r["term"]: r["weights"] for r in m.topics.collect()} for m in (one, many))
     assert a.keys() == b.keys() and all(np.allclose(a[t], b[t]) for t in a)
+
+
+def test_online_topics_stay_in_tables(spark, corpus, monkeypatch):
+    """Neither vocabulary nor topic matrix reaches the driver, when fitting or asking."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    sizes, real = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: sizes.append(len(got := real(self))) or got)
+    model, docs = tp.fit_lda(corpus, k=3, max_iter=3)
+    terms, shares = tp.topic_terms(model, 5), tp.document_topics(model, docs)
+    assert max(sizes) <= tp.MIN_DOCS
+    monkeypatch.undo()
+    assert terms.count() == 15 and model.topics.count() == 15
+    got = shares.collect()
+    assert len(got) == 90 and all(sum(r["mixture"]) == pytest.approx(1) for r in got)
+    assert all(r["dominant_topic"] == int(np.argmax(r["mixture"])) for r in got)
+
+
+def test_online_round_by_hand(spark, corpus, monkeypatch):
+    """One round over all documents against a plain loop over them."""
+    monkeypatch.setattr(tp, "BATCH", 2.0)
+    first, docs = tp.fit_lda(corpus, k=3, max_iter=0)
+    lam = {r["term"]: np.array(r["weights"]) for r in first.topics.collect()}
+    after, _ = tp.fit_lda(corpus, k=3, max_iter=1)
+    total, stats, shares = sum(lam.values()), {t: np.zeros(3) for t in lam}, []
+    for r in docs.collect():
+        terms, n = np.unique([t for t in r["tokens"] if t in lam], return_counts=True)
+        beta = np.exp(lda.digamma(np.array([lam[t] for t in terms])) - lda.digamma(total))
+        gamma = np.full(3, 1 / 3) + n.sum() / 3
+        for _ in range(INNER):
+            last, theta = gamma, np.exp(lda.digamma(gamma) - lda.digamma(gamma.sum()))
+            gamma = 1 / 3 + (beta * theta / (beta @ theta)[:, None] * n[:, None]).sum(axis=0)
+            if np.abs(gamma - last).mean() < SETTLED:
+                break
+        theta = np.exp(lda.digamma(gamma) - lda.digamma(gamma.sum()))
+        each = beta * theta / (beta @ theta)[:, None] * n[:, None]
+        shares.append(lda.digamma(gamma) - lda.digamma(gamma.sum()))
+        for t, x in zip(terms, each):
+            stats[t] += x
+    rate = 1025.0 ** -0.51
+    for r in after.topics.collect():
+        assert r["weights"] == pytest.approx((1 - rate) * lam[r["term"]] + rate * (1 / 3 + stats[r["term"]]), rel=1e-8)
+    shares, a = np.mean(shares, axis=0), np.full(3, 1 / 3)
+    slope = lda.digamma(a.sum()) - lda.digamma(a) + shares   # of the mean bound, whose step is Newton's
+    curve = np.diag(-trigamma(a)) + trigamma(a.sum())
+    assert after.alpha == pytest.approx(a - rate * np.linalg.solve(curve, slope), rel=1e-8)
+
+
+def test_documents_without_a_term_have_no_mixture(spark, corpus):
+    model, _ = tp.fit_lda(corpus, k=3, max_iter=1)
+    odd = spark.createDataFrame([("a", 1, ["unknown"]), ("a", 0, []), (None, None, ["sword", "sword"])],
+                                "recommendation_id string, voted_up int, tokens array<string>")
+    got = sorted((r["recommendation_id"] or "", sum(r["mixture"]), r["dominant_topic"])
+                 for r in tp.document_topics(model, odd).collect())
+    assert got[0][1] == pytest.approx(1) and got[1:] == [("a", 0.0, 0), ("a", 0.0, 0)]
+
+
+def test_trigamma():
+    x = np.array([0.05, 0.5, 1.0, 3.7, 6.0, 250.0])
+    assert trigamma(x) == pytest.approx((lda.digamma(x + 1e-5) - lda.digamma(x - 1e-5)) / 2e-5, rel=1e-4)
+    assert trigamma(np.array([1.0]))[0] == pytest.approx(np.pi ** 2 / 6, abs=1e-12)
