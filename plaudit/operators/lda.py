@@ -16,14 +16,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit.operators import blocks as bl
 from plaudit.operators.blocks import stored
-from plaudit.operators.topics import MIN_DOCS, _docs, lda_cells, topic_terms
-from plaudit.operators.variational import _e_step, _lgamma, _runs, digamma
+from plaudit.operators.topics import MIN_DOCS, _worded, expect, lda_blocks, topic_terms
+from plaudit.operators.variational import _e_step, _lgamma, _runs, digamma  # noqa: F401
 
 
 class TopicTable:
@@ -41,63 +40,53 @@ def fit_lda_table(df: DataFrame, k: int = 10, rounds: int = 10, alpha: float | N
     documents. Documents without a kept term get no distribution. Rows are documents of
     their own, repeated and null ids too."""
     alpha, eta = alpha or 1 / k, eta or 1 / k
-    docs = stored(_docs(df).where(F.size("tokens") > 0).withColumn("_row", F.monotonically_increasing_id()), "lda_docs")
-    if len(docs.limit(MIN_DOCS).collect()) < MIN_DOCS:
+    docs = stored(_worded(df).withColumn("_row", F.monotonically_increasing_id()), "lda_docs")
+    if len(docs.select("_row").limit(MIN_DOCS).collect()) < MIN_DOCS:
         return None
-    counts = lda_cells(docs, min_df, max_df)
-    packed = bl.pack(counts, "_row", "n", "lda_blocks")
-    start = [F.pmod(F.xxhash64("term", F.lit(t), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 for t in range(k)]
-    topics = stored(counts.select("term").distinct().select("term", F.array(*[eta + 0.5 + x for x in start])
-                                                            .alias("weights")), "lda_topics")
+    packed, terms, _ = lda_blocks(docs, min_df, max_df)
+    start = bl.start("names", k, lambda x, t: eta + 0.5 + F.pmod(F.xxhash64(x, F.lit(t), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0)
+    state = past = stored(terms.select("g", start.alias("f")), "lda_topics")
+    plan = bl.plan(packed, "lda_plan")
     bounds: list[float] = []
     for last in [False] * rounds + [True]:
-        sums = topics.agg(F.count(F.lit(1)), *[F.sum(F.col("weights")[t]) for t in range(k)]).first()
-        terms, total = sums[0], np.array(sums[1:], float)
-        if not terms:
+        sums = bl.summed(state, k, lambda f: np.append(f.sum(axis=0), len(f)))
+        if not len(sums):
             break
+        total, number = sums[:k], int(sums[k])
 
-        def expect(d, t, n, rows, own, total=total, last=last):
-            beta, found, gammas, bound = np.exp(digamma(rows) - digamma(total)), [], [], 0.0
-            for first, end in _runs(d):
-                part = d[first:end] - d[first]
-                gamma, stats, more = _e_step(beta, part, t[first:end], n[first:end], int(part[-1]) + 1, alpha)
-                gammas.append(gamma / gamma.sum(axis=1)[:, None])
-                bound += more
-                found += [] if last else [stats]
+        def step(d, t, n, beta, own, last=last):
+            gamma, found, bound = expect(d, t, n, beta, alpha)
             if last:
-                yield bl.FACTORS, np.concatenate(gammas)
+                yield bl.FACTORS, gamma / gamma.sum(axis=1)[:, None]
             else:
                 yield bl.TOTALS, np.array([bound])
-                yield bl.TERM, bl.sums(t, np.concatenate(found).T, len(rows))
+                yield bl.TERM, found
 
-        done = bl.each_block(packed, topics, "weights", expect)
+        sent = bl.send(plan, state, k, lambda f, total=total: np.exp(digamma(f) - digamma(total)))
         if last:
-            own = done.select(F.col("block").alias("_b"), "f")
-            shares = bl.named(packed, "docs", "_row").join(own, F.col("block") == F.col("_b")).select(
-                "_row", F.slice("f", F.col("pos") * k + 1, F.lit(k)).alias("topic_distribution"))
-            out = docs.join(shares, "_row").select("recommendation_id", "voted_up", "topic_distribution")
-            return TopicTable(topics, stored(out, "lda_shares"), bounds, k)
-        done = stored(done, "lda_round", "kind")
-        new = stored(done.where(F.col("kind") == bl.TERM).groupBy("term").agg(
-            F.array(*[F.sum(F.col("f")[t]) for t in range(k)]).alias("weights")), "lda_stats")
-        bounds.append(bl.by_position(done.where(F.col("kind") == bl.TOTALS))[0] + _topic_bound(topics, total, terms, eta, k))
-        topics = stored(new.select("term", F.transform("weights", lambda x: x + eta).alias("weights")), "lda_topics")
+            own = stored(bl.each_block(packed, sent, step), "lda_round")
+            shares = bl.named(packed.select("block", "docs").join(bl.of_blocks(own), "block"), "docs", "_row", "topic_distribution", k)
+            out = stored(docs.join(shares, "_row").select("recommendation_id", "voted_up", "topic_distribution"), "lda_shares")
+            bl.dropped(own, packed, plan, docs)
+            return TopicTable(_topics(terms, state, k), out, bounds, k)
+        done = stored(bl.each_block(packed, sent, step, plan=plan, base=eta), "lda_round")
+        bounds.append(bl.by_position(done.where(F.col("kind") == bl.TOTALS))[0] + _topic_bound(state, total, number, eta, k))
+        state = bl.of_groups(done)
+        bl.dropped(past)
+        past = done
     none = docs.limit(0).select("recommendation_id", "voted_up", F.array().cast("array<double>").alias("topic_distribution"))
-    return TopicTable(topics, none, bounds, k)
+    return TopicTable(_topics(terms, state, k), none, bounds, k)
 
 
-def _topic_bound(topics: DataFrame, total: np.ndarray, terms: int, eta: float, k: int) -> float:
-    """The topics' part of the bound, summed in the tasks."""
-    base = digamma(total)
+def _topics(terms: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    return bl.named(terms.join(state.hint("merge"), "g"), "names", "term", "weights", k)
 
-    def run(batches):
-        for batch in batches:
-            w = np.reshape(batch.column(0).flatten().to_numpy(), (-1, k))
-            part = ((eta - w) * (digamma(w) - base) + _lgamma(w) - math.lgamma(eta)).sum() if len(w) else 0.0
-            yield pa.RecordBatch.from_arrays([pa.array([float(part)])], ["part"])
 
-    part = topics.select("weights").mapInArrow(run, "part double").agg(F.sum("part")).first()[0] or 0.0
-    return part + sum(math.lgamma(terms * eta) - math.lgamma(t) for t in total.tolist())
+def _topic_bound(state: DataFrame, total: np.ndarray, terms: int, eta: float, k: int) -> float:
+    """The topics' part of the bound, summed in the tasks."""
+    base = digamma(total)
+    part = bl.summed(state, k, lambda w: np.array([((eta - w) * (digamma(w) - base) + _lgamma(w) - math.lgamma(eta)).sum()]))
+    return part[0] + sum(math.lgamma(terms * eta) - math.lgamma(t) for t in total.tolist())
 
 
 lda_terms = topic_terms
